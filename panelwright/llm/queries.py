@@ -7,6 +7,9 @@ import importlib
 #: Query name -> module; each module holds a function of the query's name and may hold ORACLE_SQL.
 MODULES = {
     "op1_byte_bpe": "bpe",
+    "op2_multiset_fingerprint": "fingerprint",
+    "op6_language_id": "langid",
+    "op9_secret_scan": "secrets",
 }
 
 
