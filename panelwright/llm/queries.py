@@ -8,8 +8,10 @@ import importlib
 MODULES = {
     "op1_byte_bpe": "bpe",
     "op2_multiset_fingerprint": "fingerprint",
+    "op4_minhash_dedup": "minhash",
     "op6_language_id": "langid",
     "op9_secret_scan": "secrets",
+    "op10_suffix_dedup": "suffix",
 }
 
 
