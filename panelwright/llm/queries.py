@@ -9,7 +9,9 @@ MODULES = {
     "op1_byte_bpe": "bpe",
     "op2_multiset_fingerprint": "fingerprint",
     "op4_minhash_dedup": "minhash",
+    "op5_decontaminate": "decontaminate",
     "op6_language_id": "langid",
+    "op8_line_dedup": "linededup",
     "op9_secret_scan": "secrets",
     "op10_suffix_dedup": "suffix",
 }
