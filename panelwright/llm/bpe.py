@@ -102,3 +102,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of docs without the text, its token ids (packed as described above), their number, and whether decoding gives the text's bytes back."""
+    import public_tokenizers
+
+    args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    others = [c for c in docs.columns if c != "text"]
+    coded = encode(docs.withColumn("_text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), *args, keep=[*others, "_text_sha256"])
+    back = decode(coded, *args)
+    return back.select(*others, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("_text_sha256")).alias("round_trip"))

@@ -8,9 +8,11 @@ import importlib
 MODULES = {
     "op1_byte_bpe": "bpe",
     "op2_multiset_fingerprint": "fingerprint",
+    "op3_toxic_segments": "toxicity",
     "op4_minhash_dedup": "minhash",
     "op5_decontaminate": "decontaminate",
     "op6_language_id": "langid",
+    "op7_url_rules": "urlrules",
     "op8_line_dedup": "linededup",
     "op9_secret_scan": "secrets",
     "op10_suffix_dedup": "suffix",
