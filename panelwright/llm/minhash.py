@@ -8,10 +8,13 @@ the similarity demands, so nothing can be missed; for larger sets it is m/2, and
 fails to share so many of 64 values with a probability below 1e-6. Rare values first keep a phrase that a third of all
 documents hold from generating pairs.
 
-Pairs are filtered by size and by the similarity estimated on the union's sketch (kept within 4.5 standard deviations of
-the threshold), and confirmed on the full sets. Lists of up to `SHORT` members give all their pairs. A longer list first
-gives each member against pivots, one for each class of sizes; what that links is contracted, and then all pairs between
-different components of the list are compared, so that a group of copies never yields all of its pairs and yet no
+Documents that share a list, directly or through others, are a family; a pair outside of families cannot be similar.
+Families of up to `BLOCK` members are compared in cells of about so many documents each. A larger family is cut into
+blocks. First every block meets one block of pivots; what that links is contracted. Then the members outside of the
+family's largest component meet all blocks in cells of two blocks, until every pair of different components has met. In a
+cell, sketches' overlaps and then the similarity estimated on the union's sketch (kept within 4.5 standard deviations of
+the threshold) filter the pairs, and full sets confirm them; pairs that the cell's links already connect are skipped. So a
+group of copies yields about one link for each copy, texts travel once for a block and not once for a pair, and yet no
 component is missed. No list, candidate or partner is dropped.
 
 Defined results: a text without words (NULL, empty, blank) has an empty set, links with nothing and is kept. Fewer words
@@ -33,7 +36,7 @@ from panelwright.llm.graph import components
 from panelwright.llm.shingles import set_key, shingle_sets
 
 K = 64
-SHORT = 32
+BLOCK = 64
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
@@ -59,43 +62,91 @@ def listed(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
     return shared.select("rep", "n", F.explode(own).alias("x")).select("x.value", "rep", "n", "x.members")
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, condition) -> DataFrame:
-    a, b = left.alias("a"), right.alias("b")
-    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    found = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") != F.col("b.rep")) & sizes & condition)
-    return found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
+def cell_links(ids: list[int], sides: list[int], labels: list[int], sets: list[np.ndarray], percent: int, k: int = K) -> list[tuple[int, int]]:
+    """Links that connect what is similar in a cell: pairs of side 0 and side 1, or all pairs of side 2; equal labels are connected already."""
+    root = {x: x for x in labels}
 
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
-    """Of pairs(a, b) those whose full sets reach the threshold."""
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    kept = both.withColumn("u", union).withColumn("shared", F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")))
-    whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    # Sketches that hold whole sets are compared exactly; the union then has na + nb - intersection values.
-    inter = F.size(F.array_intersect("sa", "sb"))
-    exact = inter * 100 >= (F.col("na") + F.col("nb") - inter) * percent
+    tops = [s[:k] for s in sets]
+    values, column = np.unique(np.concatenate(tops), return_inverse=True)
+    held = np.zeros((len(sets), len(values)), np.float32)
+    held[np.repeat(np.arange(len(sets)), [len(x) for x in tops]), column] = 1
+    overlap = held @ held.T
     t = percent / 100
-    near = F.col("shared") >= (t - 4.5 * (t * (1 - t) / k) ** 0.5) * F.size("u")
-    kept = stored(kept.where(F.when(whole, exact).otherwise(near)).select("a", "b", whole.alias("whole")))
-    open_ = kept.where("not whole")
-    if open_.isEmpty():
-        return kept.select("a", "b").distinct()
-    needed = open_.select(F.col("a").alias("doc_id")).union(open_.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi"))
-    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(shingle_sets(left.tolist(), words), shingle_sets(right.tolist(), words), strict=True):
-            both_ = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both_ * 100 >= (len(x) + len(y) - both_) * percent and both_ > 0)
-        return pd.Series(out, dtype=bool)
-
-    checked = open_.join(of("a"), "a").join(of("b"), "b").where(similar("ta", "tb")).select("a", "b")
-    return checked.union(kept.where("whole").select("a", "b")).distinct()
+    slack = 4.5 * (t * (1 - t) / k) ** 0.5
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(overlap, 1)), strict=True):
+        n, m = len(sets[i]), len(sets[j])
+        if (sides[i] == sides[j] and sides[i] != 2) or ids[i] == ids[j] or min(n, m) * 100 < max(n, m) * percent:
+            continue
+        a, b = find(labels[i]), find(labels[j])
+        if a == b:
+            continue
+        if n > k or m > k:
+            union = np.union1d(tops[i], tops[j])[:k]
+            both = np.intersect1d(tops[i], tops[j], assume_unique=True)
+            if np.searchsorted(both, union[-1], side="right") < (t - slack) * len(union):
+                continue
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if both * 100 >= (n + m - both) * percent:
+            root[b] = a
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def _met(cells: DataFrame, texts: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+    """The links of all cells(cell, rep, side, label)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = list(shingle_sets(rows["text"].tolist(), words))
+        return pd.DataFrame(cell_links(rows["rep"].tolist(), rows["side"].tolist(), rows["label"].tolist(), sets, percent, k), columns=["a", "b"])
+
+    return cells.join(texts, "rep").groupBy("cell").applyInPandas(run, "a long, b long")
+
+
+def _blocks(count: str):
+    return _blocks_of(F.col(count))
+
+
+def linked(lists: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
+    """(node, component) of all representatives that are similar to another one."""
+    least = lists.groupBy("value").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "least")
+    found = components(lists.select("value", "rep").join(least, "value").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    found = found.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    members = stored(found.join(sizes, "family").withColumn("label", F.col("rep")))
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi"))
+    small, large = members.where(f"size <= {BLOCK}"), members.where(f"size > {BLOCK}")
+    cells = max(1, -(-small.count() // BLOCK))
+    shared = small.select(F.struct(F.lit(-1).cast("long").alias("f"), F.lit(0).alias("u"), F.pmod(F.xxhash64("family"), F.lit(cells)).cast("int").alias("b")).alias("cell"), "rep", F.lit(2).alias("side"), "label")
+    blocked = large.withColumn("block", F.pmod(F.xxhash64("rep"), _blocks("size")).cast("int"))
+    pivots = blocked.where("block = 0").withColumn("b", F.explode(F.sequence(F.lit(0), _blocks("size") - 1)))
+    at = lambda u, b: F.struct(F.col("family").alias("f"), u.alias("u"), b.cast("int").alias("b")).alias("cell")
+    one = F.lit(-1)
+    against = pivots.where("b > 0").select(at(one, F.col("b")), "rep", F.lit(0).alias("side"), "label")
+    own = blocked.select(at(one, F.col("block")), "rep", F.when(F.col("block") == 0, 2).otherwise(1).alias("side"), "label")
+    links = stored(_met(shared.unionByName(against).unionByName(own), texts, words, percent, k))
+    labels = components(links)
+    if large.isEmpty():
+        return labels
+    known = stored(blocked.drop("label").join(labels.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    main = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.where(F.col("all") > F.col("most")).select("family", "main", _blocks_of(F.col("all") - F.col("most")).alias("parts"))
+    known = known.join(main, "family")
+    part = F.pmod(F.xxhash64(F.lit("part"), "rep"), F.col("parts")).cast("int")
+    rest = known.where("label != main").withColumn("u", part)
+    rest = rest.withColumn("b", F.explode(F.sequence(F.lit(0), _blocks("size") - 1))).select(at(F.col("u"), F.col("b")), "rep", F.lit(0).alias("side"), "label")
+    every = known.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(at(F.col("u"), F.col("block")), "rep", F.lit(1).alias("side"), "label")
+    more = stored(_met(rest.unionByName(every), texts, words, percent, k))
+    return components(links.union(more))
+
+
+def _blocks_of(count):
+    return F.ceil(count / BLOCK).cast("int")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -103,27 +154,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     rows = stored(sketches(docs, words, k))
     linkable = rows.where("key is not null and doc_id is not null")
     classes = stored(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    lists = stored(listed(classes, percent, k))
-    short, long = lists.where(f"members <= {SHORT}"), lists.where(f"members > {SHORT}")
-    pairs = _pairs(short, short, percent, F.col("a.rep") < F.col("b.rep"))
-    has_long = not long.isEmpty()
-    if has_long:
-        sized = long.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
-        pivots = sized.groupBy("value", "step").agg(F.min(F.struct("rep", "n")).alias("p")).select("value", "step", "p.*")
-        near = sized.withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)))
-        met = near.alias("a").join(pivots.alias("b"), ["value", "step"]).where(F.col("a.rep") != F.col("b.rep"))
-        met = met.where(F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
-        pairs = pairs.union(met.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")))
-    links = stored(confirmed(pairs, classes, docs, words, percent, k))
-    found = components(links)
-    if has_long:
-        labelled = long.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = labelled.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("value")
-        labelled = stored(labelled.join(apart, "value", "left_semi"))
-        if not labelled.isEmpty():
-            rest = _pairs(labelled, labelled, percent, F.col("a.component") < F.col("b.component"))
-            more = confirmed(rest, classes, docs, words, percent, k)
-            found = components(stored(links.union(more)))
+    found = linked(stored(listed(classes, percent, k)), docs, words, percent, k)
     of_class = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     result = rows.drop("sketch").join(of_class, "key", "left")
     if not rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():

@@ -46,8 +46,9 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_equals_all_pairs(spark, make_docs, sample, words):
+@pytest.mark.parametrize(("words", "block"), [(2, 64), (5, 64), (2, 9)])
+def test_equals_all_pairs(spark, make_docs, sample, words, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     texts = ODD + corpus(random.Random(words)) + [x["text"] for x in sample[:80]]
     rng = random.Random(1)
     rng.shuffle(texts)
