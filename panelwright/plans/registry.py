@@ -35,7 +35,7 @@ CTES = {
     "fwd": "SELECT entity, month, price, lead(price) OVER (PARTITION BY entity ORDER BY month) / price - 1 AS fwd FROM monthly",
     "bench": "SELECT month, avg(fwd) AS bench FROM fwd WHERE fwd IS NOT NULL GROUP BY 1",
     "ret": "SELECT entity, month, price / lag(price) OVER (PARTITION BY entity ORDER BY month) - 1 AS ret FROM monthly",
-    "scored": "SELECT entity, month, fwd, CASE WHEN fwd > bench THEN 1 ELSE 0 END AS label, (CAST(CAST(price * 100 AS BIGINT) AS BIGINT) % 997) / 997.0 AS score FROM fwd JOIN bench USING (month) WHERE fwd IS NOT NULL",
+    "scored": "SELECT entity, month, fwd, CASE WHEN fwd > bench THEN 1 ELSE 0 END AS label, (CAST(floor(price * 100 + 0.3) AS BIGINT) % 997) / 997.0 AS score FROM fwd JOIN bench USING (month) WHERE fwd IS NOT NULL",
     "index_ret": "SELECT month, avg(ret) AS ret FROM ret WHERE ret IS NOT NULL GROUP BY 1",
     "strat": "SELECT entity AS strategy, month, ret FROM ret WHERE ret IS NOT NULL",
 }
@@ -162,5 +162,5 @@ class Tables:
     def scored(self) -> DataFrame:
         fwd = self.fwd.where("fwd is not null")
         bench = fwd.groupBy("month").agg(F.avg("fwd").alias("bench"))
-        score = (F.round(F.col("price") * 100).cast("long") % 997) / 997.0
+        score = (F.floor(F.col("price") * 100 + 0.3).cast("long") % 997) / 997.0
         return fwd.join(bench, "month").select("entity", "month", "fwd", F.when(F.col("fwd") > F.col("bench"), 1).otherwise(0).alias("label"), score.alias("score"))
