@@ -11,8 +11,10 @@ of one anchor, and
 * the different fragments of an anchor are sorted by suffixes, whole anchors together, up to about a MB at a time. The
   sort has two stages: suffixes smaller than their successors are sorted directly, all others are induced by a scan of
   the buckets of first bytes. Common prefixes of neighbours then tell which strings start twice;
-* an anchor with over `MANY` different fragments would make one task large, so its strings are counted by Spark, by two
-  64-bit hashes, which gives the same result.
+* an anchor with over `MANY` different fragments would make one task large, so Spark counts what its fragments share: for
+  a range of starts, the bytes that all of its strings hold (if they occur once, none of the strings repeats) and the bytes
+  that hold all of its strings (if they occur twice, all of them repeat), by two 64-bit hashes; ranges of which neither is
+  told are halved, as it were, in `STEPS` down to single starts. That gives the same result.
 
 Counts are combined before they are shuffled and no list is kept for an anchor, so a passage held by a third of all
 documents costs each task no more than others.
@@ -24,7 +26,6 @@ not used; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ LENGTH, GRAM = 200, 16
 MANY = 1000
 #: Bytes of a text that are taken at once, and of fragments that are sorted together.
 PART, SORTED = 1 << 20, 1 << 19
+#: Starts in a range of a crowded anchor's strings; each divides the one before it.
+STEPS = (30, 5, 1)
 _VALUES = np.random.default_rng(10).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 KEYS = ["_id", "_hash"]
 
@@ -63,10 +66,10 @@ def least_places(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, owner_ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of texts joined in `data`, each ending at owner_ends: (anchor, fragment hash, first start, last start) of all fragments."""
+    """Of texts joined in `data`, each ending at owner_ends: (anchor, fragment hash, first start, last start, anchor's place) of all fragments."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * _power("up", n), out=sums[1:])
     down = _power("down", n + 1)
@@ -77,7 +80,7 @@ def fragments(data: np.ndarray, owner_ends: np.ndarray, length: int = LENGTH) ->
     room = np.maximum(owner_ends - starts - length + 1, 0)
     fits = np.repeat(starts - np.concatenate([[0], np.cumsum(room)[:-1]]), room) + np.arange(room.sum())
     if not len(fits):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     place = place[fits]
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (fits[1:] != fits[:-1] + 1)])
     first = fits[new]
@@ -85,18 +88,18 @@ def fragments(data: np.ndarray, owner_ends: np.ndarray, length: int = LENGTH) ->
     anchor = place[new]
     size = (last + length - first).astype(np.uint64)
     whole = mix((sums[last + length] - sums[first]) * down[first] + size * np.uint64(0x9FB21C651E98DF25) + (anchor - first).astype(np.uint64))
-    return grams[anchor].view(np.int64), whole.view(np.int64), first, last
+    return grams[anchor].view(np.int64), whole.view(np.int64), first, last, anchor
 
 
 def anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_id, _hash, anchor, fragment, lo, hi) of all fragments of all texts, lo and hi being their first and last start."""
+    """(_id, _hash, anchor, fragment, lo, hi, place) of all fragments of all texts: first and last start, and the anchor's place after the first."""
 
     def of_parts(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
         ends = np.cumsum([len(p[2]) for p in parts])
-        anchor, fragment, lo, hi = fragments(np.frombuffer(b"".join(p[2] for p in parts), np.uint8), ends, length)
+        anchor, fragment, lo, hi, place = fragments(np.frombuffer(b"".join(p[2] for p in parts), np.uint8), ends, length)
         part = np.searchsorted(ends, lo, side="right")
         shift = np.array([p[1] for p in parts]) - np.concatenate([[0], ends[:-1]])
-        return np.array([p[0] for p in parts])[part], anchor, fragment, lo + shift[part], hi + shift[part]
+        return np.array([p[0] for p in parts])[part], anchor, fragment, lo + shift[part], hi + shift[part], place - lo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,10 +109,10 @@ def anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 # A text of over PART bytes goes in parts whose starts follow on each other.
                 parts = [(a + i, at, r[at : at + PART + length - 1]) for i, r in enumerate(raw) for at in range(0, max(1, len(r) - length + 1), PART)]
                 for x, y in runs([p[2] for p in parts], 2 * PART):
-                    row, anchor, fragment, lo, hi = of_parts(parts[x:y])
-                    yield pd.DataFrame({"_id": ids[row], "_hash": hashes[row], "anchor": anchor, "fragment": fragment, "lo": lo, "hi": hi})
+                    row, anchor, fragment, lo, hi, place = of_parts(parts[x:y])
+                    yield pd.DataFrame({"_id": ids[row], "_hash": hashes[row], "anchor": anchor, "fragment": fragment, "lo": lo, "hi": hi, "place": place})
 
-    return rows.select(*KEYS, "text").mapInPandas(run, "_id long, _hash long, anchor long, fragment long, lo long, hi long")
+    return rows.select(*KEYS, "text").mapInPandas(run, "_id long, _hash long, anchor long, fragment long, lo long, hi long, place int")
 
 
 def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -229,22 +232,27 @@ def _sorted_spans(cut: DataFrame, length: int) -> DataFrame:
 
 
 def _counted_spans(cut: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many fragments: their strings are hashed twice and counted."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), 512):
-                rows = batch.iloc[a : a + 512]
-                out = []
-                for i, h, lo, alone, raw in rows[["_id", "_hash", "lo", "alone", "bytes"]].itertuples(index=False):
-                    for at in range(len(raw) - length + 1):
-                        name = hashlib.blake2b(raw[at : at + length], digest_size=16).digest()
-                        out.append((i, h, lo + at, alone, *np.frombuffer(name, np.int64).tolist()))
-                yield pd.DataFrame(out, columns=["_id", "_hash", "start", "alone", "x", "y"])
-
-    each = cut.mapInPandas(run, "_id long, _hash long, start long, alone boolean, x long, y long")
-    twice = each.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
-    return each.where("alone").join(twice, ["x", "y"]).select(*KEYS, "start", (F.col("start") + length).alias("end"))
+    """The same for anchors with very many fragments: shared bytes are counted, range of starts by range."""
+    reach = length - min(GRAM, length)  # an anchor lies so many bytes after a start at most
+    first, last = reach - F.col("place"), reach - F.col("place") + F.octet_length("bytes") - length
+    live = cut.withColumns({"first": first, "last": last, "range": F.lit(0)})
+    wide, spans = reach + 1, None
+    for step in STEPS:
+        inside = F.sequence(F.greatest("first", F.col("range") * wide), F.least("last", F.col("range") * wide + wide - 1))
+        each = live.withColumn("range", F.explode(F.array_distinct(F.transform(inside, lambda s: F.floor(s / step).cast("int")))))
+        # Places in the fragment's bytes of the range's first and last start.
+        low, high = F.col("range") * step - F.col("first"), F.col("range") * step + step - 1 - F.col("first")
+        bytes_ = lambda a, n: F.struct(*(F.xxhash64(F.lit(seed), F.substr("bytes", a + 1, F.lit(n))).alias(x) for seed, x in ((1, "x"), (2, "y"))))
+        whole = (low >= 0) & (high + length <= F.octet_length("bytes"))
+        each = stored(each.withColumns({"core": bytes_(high, length - step + 1), "hull": F.when(whole, bytes_(low, length + step - 1))}))
+        shared = lambda c, each=each: each.where(F.col(c).isNotNull()).groupBy("anchor", "range", c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "range", c, F.lit(True).alias(f"{c}_shared"))
+        told = each.join(shared("core"), ["anchor", "range", "core"]).join(shared("hull"), ["anchor", "range", "hull"], "left")
+        told = stored(told.select(*cut.columns, "first", "last", "range", F.coalesce("hull_shared", F.lit(step == 1)).alias("all")))
+        start = F.col("lo") + F.col("range") * step - F.col("first")
+        found = told.where("all and alone").select(*KEYS, start.alias("start"), (start + (step - 1 + length)).alias("end"))
+        spans = found if spans is None else spans.unionByName(found)
+        live, wide = told.where("not all").drop("all"), step
+    return spans
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
@@ -255,13 +263,13 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     met = stored(every.join(again, "anchor"))
     whole = lambda df: df.select(*KEYS, F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     alike = whole(met.where("not mixed"))
-    one = F.min(F.struct(*KEYS, "lo", "hi")).alias("one")
+    one = F.min(F.struct(*KEYS, "lo", "hi", "place")).alias("one")
     kinds = stored(met.where("mixed").groupBy("anchor", "fragment").agg(F.count(F.lit(1)).alias("n"), one))
     copies = kinds.where("n > 1").select("anchor", "fragment")
     copied = whole(met.where("mixed").join(copies, ["anchor", "fragment"], "left_semi"))
     crowded = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > many).select("anchor", F.lit(True).alias("crowded"))
     asked = kinds.join(crowded, "anchor", "left").select("one.*", "anchor", (F.col("n") == 1).alias("alone"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    asked = asked.groupBy(*KEYS).agg(F.collect_list(F.struct("anchor", "lo", "hi", "alone", "crowded")).alias("asked"))
+    asked = asked.groupBy(*KEYS).agg(F.collect_list(F.struct("anchor", "lo", "hi", "place", "alone", "crowded")).alias("asked"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -269,12 +277,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
                 out = []
                 for i, h, text, wanted in batch.iloc[a : a + 256][[*KEYS, "text", "asked"]].itertuples(index=False):
                     raw = text.encode("utf-8", "surrogatepass")
-                    out += [(i, h, w["anchor"], w["lo"], w["alone"], w["crowded"], raw[w["lo"] : w["hi"] + length]) for w in wanted]
-                yield pd.DataFrame(out, columns=["_id", "_hash", "anchor", "lo", "alone", "crowded", "bytes"])
+                    out += [(i, h, w["anchor"], w["lo"], w["place"], w["alone"], w["crowded"], raw[w["lo"] : w["hi"] + length]) for w in wanted]
+                yield pd.DataFrame(out, columns=["_id", "_hash", "anchor", "lo", "place", "alone", "crowded", "bytes"])
 
     # Equal rows give the same fragment; one of them is enough.
     texts = rows.select(*KEYS, "text").join(asked, KEYS)
-    pieces = stored(texts.mapInPandas(cut, "_id long, _hash long, anchor long, lo long, alone boolean, crowded boolean, bytes binary"))
+    pieces = stored(texts.mapInPandas(cut, "_id long, _hash long, anchor long, lo long, place int, alone boolean, crowded boolean, bytes binary"))
     apart = _sorted_spans(pieces.where("not crowded"), length).unionByName(_counted_spans(pieces.where("crowded"), length))
     return alike.unionByName(copied).unionByName(apart)
 
