@@ -37,7 +37,7 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
-def runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive texts of about `most` characters together; a longer text stands alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):
