@@ -1 +1,189 @@
-"""To come."""
+"""Queries over model, evaluation and portfolio jobs: ML1-ML17."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from panelwright.functions.scalar import clip, graded_regime, multiplier, ratio, shrink
+from panelwright.operators import models as M
+from panelwright.operators import panel as P
+from panelwright.operators import rolling as R
+from panelwright.plans.q_relational import FOLDS, REGIME_SQL, TOP
+from panelwright.plans.q_windows import METRICS, metrics_sql
+from panelwright.plans.registry import Tables, query
+
+FOLD_SQL = f"SELECT f.i - 39 AS fold, a.test_month AS train_start, e.test_month AS train_end, f.test_month FROM ({FOLDS}) f JOIN ({FOLDS}) e ON e.i = f.i - 3 JOIN ({FOLDS}) a ON a.i = greatest(1, f.i - 3 - 24 + 1) WHERE f.i > 39"
+
+
+@query("ml1_folds", FOLD_SQL, "", "train_start train_end test_month", "fold")
+def ml1(t: Tables):
+    return M.folds(t.scored.select("month").distinct(), "month", 36, 3, 24)
+
+
+@query("ml2_evaluation_split", "SELECT entity, month, month IN (SELECT month FROM (SELECT DISTINCT month FROM scored) ORDER BY month DESC LIMIT 6) AS evaluate FROM scored", "", "month")
+def ml2(t: Tables):
+    return M.with_evaluation(t.scored.select("entity", "month"), "month", 6).select("entity", "month", "evaluate")
+
+
+def _boosted(t: Tables):
+    rows = t.scored.join(t.ret, ["entity", "month"]).select("entity", "month", F.col("label").cast("double").alias("label"), F.col("score").alias("x"), "ret")
+    return rows
+
+
+@query("ml3_boosted_trees")
+def ml3(t: Tables):
+    """One boosted-tree model on all but the last six months, which stop it early; importance of each feature."""
+    rows = M.with_evaluation(_boosted(t), "month", 6)
+    model = M.fit_fold(rows, ["x", "ret"], "label", "evaluate", trees=10)
+    weights = model.stages[-1].featureImportances.toArray().tolist()
+    return t.spark.createDataFrame(list(zip(["x", "ret"], weights, strict=True)), "feature string, importance double")
+
+
+@query("ml4_walk_forward_scores")
+def ml4(t: Tables):
+    """The last two folds, each scored by its own model."""
+    rows = _boosted(t).cache()
+    folds = M.folds(rows.select("month").distinct(), "month", 36, 3).orderBy(F.desc("fold")).limit(2).collect()
+    models = {f.test_month: M.fit_fold(rows.where(F.col("month").between(F.lit(f.train_start), F.lit(f.train_end))), ["x", "ret"], "label", trees=5) for f in folds}
+    return M.score_folds(models, rows, "month", ["x", "ret"]).select("entity", "month", "label", "score")
+
+
+AUC = "SELECT year(month) AS year, (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * sum(1 - label), 0) AS auc FROM (SELECT month, label, rank() OVER (PARTITION BY year(month) ORDER BY score) + (count(*) OVER (PARTITION BY year(month), score) - 1) / 2.0 AS r FROM scored) GROUP BY 1"
+
+
+@query("ml5_auc", AUC, "auc", "", "year")
+def ml5(t: Tables):
+    ranked = R.average_rank(t.scored.withColumn("year", F.year("month")), "score", "year", "r")
+    pos, neg = F.sum("label"), F.sum(1 - F.col("label"))
+    area = ratio(F.sum(F.when(F.col("label") == 1, F.col("r"))) - pos * (pos + 1) / 2, (pos * neg).cast("double"))
+    return ranked.groupBy("year").agg(area.alias("auc"))
+
+
+@query("ml6_labelled_dataset", "SELECT s.entity, s.month, r.ret, two.vix, s.fwd, s.label FROM scored s LEFT JOIN ret r USING (entity, month) LEFT JOIN two USING (month)", "ret vix fwd", "month", "label")
+def ml6(t: Tables):
+    rows = P.merge_left(t.scored.select("entity", "month", "fwd", "label"), [t.ret], ["entity", "month"])
+    return rows.join(P.small(t.two.select("month", "vix")), "month", "left").select("entity", "month", "ret", "vix", "fwd", "label")
+
+
+ML7 = """SELECT * FROM (SELECT e.entity, c.month, last_value(m.price IGNORE NULLS) OVER w AS price, last_value(r.ret IGNORE NULLS) OVER (PARTITION BY e.entity ORDER BY c.month ROWS 2 PRECEDING) AS ret, f.revenue, two.vix FROM (SELECT DISTINCT entity FROM monthly) e CROSS JOIN (SELECT DISTINCT month FROM monthly) c LEFT JOIN monthly m ON m.entity = e.entity AND m.month = c.month LEFT JOIN ret r ON r.entity = e.entity AND r.month = c.month LEFT JOIN facts f ON f.entity = e.entity AND f.quarter = c.month LEFT JOIN two ON two.month = c.month WINDOW w AS (PARTITION BY e.entity ORDER BY c.month)) WHERE (CASE WHEN price IS NULL THEN 1 ELSE 0 END + CASE WHEN ret IS NULL THEN 1 ELSE 0 END + CASE WHEN revenue IS NULL THEN 1 ELSE 0 END + CASE WHEN vix IS NULL THEN 1 ELSE 0 END) / 4.0 <= 0.5"""
+
+
+@query("ml7_feature_matrix", ML7, "price ret revenue vix", "month")
+def ml7(t: Tables):
+    """Price, filing and macro features on every (entity, month end): filled forward, rows mostly missing dropped."""
+    spine = P.densify(t.monthly.select("entity", "month", "price"), "entity", "month")
+    facts = t.facts.select("entity", F.col("quarter").alias("month"), "revenue")
+    rows = P.merge_left(spine, [t.ret, facts], ["entity", "month"]).join(P.small(t.two.select("month", "vix")), "month", "left")
+    rows = rows.withColumns({"price": P.filled(F.col("price"), "entity", "month"), "ret": P.filled(F.col("ret"), "entity", "month", 2)})
+    missing = sum(F.col(c).isNull().cast("int") for c in ("price", "ret", "revenue", "vix"))
+    return rows.where(missing / 4 <= 0.5).select("entity", "month", "price", "ret", "revenue", "vix")
+
+
+ML8_CELLS = "SELECT k.key, w.week, coalesce(c.n, 0) AS n, c.raw FROM (SELECT DISTINCT key FROM news) k CROSS JOIN (SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS week FROM news) w LEFT JOIN (SELECT key, CAST(date_trunc('week', day) AS DATE) AS week, count(*) AS n, avg(score) AS raw FROM news GROUP BY 1, 2) c ON c.key = k.key AND c.week = w.week"
+ML8_SHRUNK = f"SELECT key, week, n, CASE WHEN n = 0 THEN prior ELSE n / (n + 10.0) * raw + 10 / (n + 10.0) * prior END AS shrunk FROM ({ML8_CELLS}) JOIN (SELECT week, coalesce(avg(raw), 0) AS prior FROM ({ML8_CELLS}) GROUP BY 1) USING (week)"
+ML8_SMOOTH = f"SELECT a.key, a.week, max(a.n) AS n, sum(b.shrunk * power(0.6, a.i - b.i)) / sum(power(0.6, a.i - b.i)) AS smooth FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY week) AS i FROM ({ML8_SHRUNK})) a JOIN (SELECT *, row_number() OVER (PARTITION BY key ORDER BY week) AS i FROM ({ML8_SHRUNK})) b ON a.key = b.key AND b.i <= a.i GROUP BY 1, 2"
+
+
+@query("ml8_news_factor", f"SELECT key, week, n, smooth, CASE WHEN coalesce(stddev_samp(smooth) OVER (PARTITION BY week), 0) = 0 THEN 0 ELSE greatest(-3, least(3, (smooth - avg(smooth) OVER (PARTITION BY week)) / stddev_samp(smooth) OVER (PARTITION BY week))) END AS z FROM ({ML8_SMOOTH})", "smooth z", "week", "n")
+def ml8(t: Tables):
+    """Mean by key and period, shrunk to the period's mean of means, smoothed, made a z-score."""
+    own = t.news.groupBy("key", F.trunc("day", "week").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("raw"))
+    cells = P.densify(own, "key", "week").fillna(0, ["n"])
+    prior = cells.groupBy("week").agg(F.coalesce(F.avg("raw"), F.lit(0.0)).alias("prior"))
+    cells = cells.join(P.small(prior), "week").withColumn("shrunk", shrink(F.col("raw"), F.col("n"), F.col("prior")))
+    smooth = cells.select("key", "week", "n", R.ewm("shrunk", "key", "week", 4).alias("smooth"))
+    return R.cross_z(smooth, "smooth", "week", "z", zero_sd=0.0, cap=3.0, missing=0.0).select("key", "week", "n", "smooth", "z")
+
+
+@query("ml9_forecast_factor", "SELECT entity, month, exp(21 * (ln(last) - ln(first)) / (n - 1)) - 1 AS forecast FROM (SELECT m.entity, m.month, count(*) AS n, arg_min(p.price, p.day) AS first, arg_max(p.price, p.day) AS last FROM (SELECT DISTINCT entity, last_day(day) AS month FROM panel) m JOIN (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day) AS i FROM panel) p ON p.entity = m.entity AND p.day <= m.month JOIN (SELECT entity, last_day(day) AS month, max(i) AS top FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day) AS i FROM panel) GROUP BY 1, 2) x ON x.entity = m.entity AND x.month = m.month AND p.i > x.top - 252 GROUP BY 1, 2) WHERE n >= 63", "forecast", "month")
+def ml9(t: Tables):
+    """A forecaster over context windows; the default one goes on with the mean log increment for 21 steps."""
+    @F.pandas_udf("double")
+    def drift(contexts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return contexts.map(lambda c: float(np.exp(21 * np.diff(np.log(c)).mean()) - 1) if len(c) >= 63 else None)
+
+    w = R.along("entity", "day").rowsBetween(-251, 0)
+    rows = t.panel.withColumn("context", F.collect_list("price").over(w)).withColumn("month", F.last_day("day"))
+    last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "month").orderBy(F.desc("day")))).where("_r = 1 and size(context) >= 63")
+    return last.select("entity", "month", drift("context").alias("forecast"))
+
+
+HOLD = f"SELECT entity, month, weight FROM ({TOP})"
+DAILY = f"SELECT d.day, p.entity, coalesce(h.weight, 0) AS weight FROM (SELECT day, (SELECT max(month) FROM ({HOLD}) x WHERE x.month <= day) AS month FROM cal) d CROSS JOIN ents p LEFT JOIN ({HOLD}) h ON h.month = d.month AND h.entity = p.entity WHERE d.month IS NOT NULL"
+
+
+def daily_weights(t: Tables):
+    held = R.top_n(t.scored, "month", "score", "entity", 5, 0.52).select("entity", "month", "weight")
+    days = t.panel.select("day").distinct().withColumn("one", F.lit(1))
+    marks = held.select("month").distinct().select(F.lit(1).alias("one"), F.col("month").alias("day"), "month")
+    at = P.as_of(days, marks, ["one"], "day", ["month"]).where("month is not null").select("day", "month")
+    spine = at.crossJoin(P.small(t.panel.select("entity").distinct()))
+    return spine.join(held, ["entity", "month"], "left").select("day", "entity", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+@query("ml10_daily_weights", DAILY, "weight", "day")
+def ml10(t: Tables):
+    return daily_weights(t)
+
+
+ML11 = f"""SELECT day, gross - cost AS ret FROM (SELECT day, sum(coalesce(pw, 0) * coalesce(r, 0)) AS gross, sum(abs(weight - coalesce(pw, 0))) * 0.0015 AS cost FROM (SELECT w.day, w.entity, w.weight, lag(w.weight) OVER (PARTITION BY w.entity ORDER BY w.day) AS pw, d.r FROM ({DAILY}) w JOIN (SELECT entity, day, price / lag(price) OVER (PARTITION BY entity ORDER BY day) - 1 AS r FROM dense) d ON d.entity = w.entity AND d.day = w.day) GROUP BY 1)"""
+
+
+@query("ml11_portfolio_path", ML11, "ret", "day")
+def ml11(t: Tables):
+    """Yesterday's weights earn today's returns; turnover costs fee and slippage."""
+    rets = t.dense.select("entity", "day", R.growth("price", "entity", "day").alias("r"))
+    rows = daily_weights(t).join(rets, ["entity", "day"]).withColumn("pw", F.coalesce(F.lag("weight").over(R.along("entity", "day")), F.lit(0.0)))
+    return rows.groupBy("day").agg((F.sum(F.col("pw") * F.coalesce("r", F.lit(0.0))) - F.sum(F.abs(F.col("weight") - F.col("pw"))) * 0.0015).alias("ret"))
+
+
+@query("ml12_comparison", f"SELECT metric, max(CASE WHEN strategy = 'Brand#11' THEN value END) AS a, max(CASE WHEN strategy = 'Brand#22' THEN value END) AS b, arg_max(strategy, value) AS winner FROM (SELECT strategy, unnest(['total', 'cagr', 'sharpe', 'max_dd']) AS metric, unnest([total, cagr, sharpe, max_dd]) AS value FROM ({metrics_sql('strategy', 'SELECT strategy, month, ret FROM strat')}) WHERE strategy IN ('Brand#11', 'Brand#22')) GROUP BY 1", "a b")
+def ml12(t: Tables):
+    got = R.path_metrics(t.ret.where("ret is not null").withColumnRenamed("entity", "strategy").where(F.col("strategy").isin("Brand#11", "Brand#22")), ["strategy"], "month", "ret", 12.0)
+    long = got.unpivot("strategy", ["total", "cagr", "sharpe", "max_dd"], "metric", "value")
+    pick = lambda s: F.max(F.when(F.col("strategy") == s, F.col("value")))
+    return long.groupBy("metric").agg(pick("Brand#11").alias("a"), pick("Brand#22").alias("b"), F.max_by("strategy", "value").alias("winner"))
+
+
+@query("ml13_block_bootstrap")
+def ml13(t: Tables):
+    """Percentiles of the mean monthly return over 200 circular block resamples."""
+    index = t.ret.where("ret is not null").groupBy("month").agg(F.avg("ret").alias("ret")).withColumn("i", F.row_number().over(Window.orderBy("month")) - 1)
+    draws = M.block_bootstrap(index, "i", "ret", index.count(), 6, 200)
+    return draws.agg(F.percentile("mean", 0.05).alias("p05"), F.percentile("mean", 0.5).alias("p50"), F.percentile("mean", 0.95).alias("p95"))
+
+
+@query("ml14_perturbed_worlds", "SELECT quantile_cont(sharpe, 0.05) AS p05, quantile_cont(sharpe, 0.5) AS p50, quantile_cont(sharpe, 0.95) AS p95 FROM (SELECT world, avg(m) / nullif(stddev_samp(m), 0) * sqrt(12) AS sharpe FROM (SELECT world, month, avg(fwd * (1 + ((world * 7 + month(month)) % 5 - 2) * 0.1)) AS m FROM scored CROSS JOIN (SELECT unnest(range(20)) AS world) GROUP BY 1, 2) GROUP BY 1)", "p05 p50 p95")
+def ml14(t: Tables):
+    worlds = t.spark.range(20).withColumnRenamed("id", "world")
+    draw = F.col("fwd") * (1 + ((F.col("world") * 7 + F.month("month")) % 5 - 2) * 0.1)
+    paths = t.scored.crossJoin(F.broadcast(worlds)).groupBy("world", "month").agg(F.avg(draw).alias("m"))
+    sharpe = paths.groupBy("world").agg((ratio(F.avg("m"), F.stddev_samp("m")) * F.sqrt(F.lit(12.0))).alias("sharpe"))
+    return sharpe.agg(*(F.percentile("sharpe", p).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))))
+
+
+@query("ml15_estimator_stability", "SELECT entity, stddev_samp(fwd) / nullif(abs(avg(fwd)), 0) AS rse, avg(CASE WHEN fwd < 0 THEN 1.0 ELSE 0 END) AS flips FROM fwd WHERE fwd IS NOT NULL GROUP BY 1", "rse flips")
+def ml15(t: Tables):
+    return t.fwd.where("fwd is not null").groupBy("entity").agg(ratio(F.stddev_samp("fwd"), F.abs(F.avg("fwd"))).alias("rse"), F.avg((F.col("fwd") < 0).cast("double")).alias("flips"))
+
+
+@query("ml16_target_book", f"SELECT t.month, t.entity, t.weight * {REGIME_SQL} AS weight, sum(t.weight * {REGIME_SQL}) OVER (PARTITION BY t.month) AS gross, 1 - sum(t.weight * {REGIME_SQL}) OVER (PARTITION BY t.month) AS cash FROM ({TOP}) t JOIN two USING (month)", "weight gross cash", "month")
+def ml16(t: Tables):
+    regime = t.two.select("month", multiplier(graded_regime(F.col("vix"), F.col("spread"))).alias("m"))
+    book = R.top_n(t.scored, "month", "score", "entity", 5, 0.52).join(P.small(regime), "month")
+    book = book.select("month", "entity", (F.col("weight") * F.col("m")).alias("weight"))
+    gross = book.groupBy("month").agg(F.sum("weight").alias("gross"))
+    return book.join(P.small(gross), "month").withColumn("cash", 1 - F.col("gross"))
+
+
+@query("ml17_panel_checks", "SELECT 'null_without_inputs' AS rule, count(*) FILTER ((ret IS NULL) <> (z IS NULL)) AS violations FROM (SELECT ret, CASE WHEN ret IS NOT NULL THEN greatest(-3, least(3, ret)) END AS z FROM ret) UNION ALL SELECT 'infinite', count(*) FILTER (isinf(ret)) FROM ret UNION ALL SELECT 'early_coverage', count(*) FILTER (n < 3) FROM (SELECT month, count(ret) AS n FROM ret GROUP BY 1)", "", "", "violations")
+def ml17(t: Tables):
+    z = clip(F.col("ret"), 3.0)
+    a = t.ret.agg(F.count_if(F.col("ret").isNull() != z.isNull()).alias("violations")).select(F.lit("null_without_inputs").alias("rule"), "violations")
+    b = t.ret.agg(F.count_if(F.coalesce(F.abs("ret") == float("inf"), F.lit(False))).alias("violations")).select(F.lit("infinite").alias("rule"), "violations")
+    c = t.ret.groupBy("month").agg(F.count("ret").alias("n")).agg(F.count_if(F.col("n") < 3).alias("violations")).select(F.lit("early_coverage").alias("rule"), "violations")
+    return a.unionByName(b).unionByName(c)

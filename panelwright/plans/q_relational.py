@@ -366,3 +366,6 @@ def fn14(t: Tables):
 @query("fn10_safe_ratio", "SELECT entity, quarter, debt / nullif(equity, 0) AS r FROM facts", "r", "quarter")
 def fn10(t: Tables):
     return t.facts.select("entity", "quarter", ratio(F.col("debt"), F.col("equity")).alias("r"))
+
+
+REGIME_SQL = "CASE WHEN vix > 25 OR (vix > 20 AND spread < 0) THEN 0.5 WHEN vix < 20 AND spread > 0 THEN 1.2 ELSE 1.0 END"

@@ -1 +1,92 @@
-"""To come."""
+"""Queries over streaming jobs: ST1-ST8. Each takes the events table through a stream with availableNow."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelwright.operators.text import scored
+from panelwright.plans.registry import Tables, query
+from panelwright.streaming import jobs as J
+
+
+def scratch(t: Tables) -> str:
+    """A new folder in the shared checkpoint folder, or a local one where none is set."""
+    shared = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
+def events(t: Tables) -> DataFrame:
+    """The events table as a stream; times are cast, since a watermark needs a time zone."""
+    raw = J.landed(t.spark, f"{t.dir}/events.parquet", t.read("events").schema)
+    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 50) / 50))
+    return raw.select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), score.alias("score"), "props")
+
+
+def articles(t: Tables) -> DataFrame:
+    return events(t).select(F.concat(F.lit("k"), F.col("key")).alias("ticker"), F.when(F.col("event_id") % 50 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("published_at"), F.col("source").alias("title"), F.col("props").alias("snippet"), "event_id")
+
+
+@query("st1_ingest")
+def st1(t: Tables):
+    universe = t.read("events").where("user_id % 2 = 0").select(F.concat(F.lit("K"), "user_id").alias("ticker")).distinct()
+    return J.run_to_table(J.ingested(articles(t), universe), scratch(t)).select("ticker", "published_at", "article_hash")
+
+
+@query("st2_score_once")
+def st2(t: Tables):
+    path = scratch(t)
+    rows = articles(t).select("event_id", F.col("title").alias("text"))
+    write = J.scored_once(f"{path}/scores", lambda df: scored(df, "text").select("event_id", "score"), "event_id")
+    for run in (1, 2):  # the second run finds everything scored
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint-{run}").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/scores")
+
+
+CLOSED = "SELECT key, day, avg(score) AS mean, count(*) AS n FROM news WHERE day + 1 <= (SELECT max(ts) FROM news) - INTERVAL 1 DAY GROUP BY 1, 2"
+
+
+@query("st3_closed_days", CLOSED, "mean", "day", "n")
+def st3(t: Tables):
+    return J.run_to_table(J.daily_means(events(t), "key", "ts", "score"), scratch(t))
+
+
+@query("st4_high_water", "SELECT key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest, strftime(max(ts) - INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS resume FROM news GROUP BY 1")
+def st4(t: Tables):
+    latest = J.resume_points(J.run_to_table(J.high_water(events(t), "key", "ts"), scratch(t), "complete"))
+    return latest.select("key", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("latest", "resume")))
+
+
+@query("st5_quarantine", "SELECT CASE WHEN event_id % 50 = 0 THEN 'bad' ELSE 'good' END AS kind, count(*) AS n FROM events GROUP BY 1", "", "", "n")
+def st5(t: Tables):
+    path = scratch(t)
+    articles(t).writeStream.foreachBatch(J.quarantined(None, f"{path}/good", f"{path}/bad")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    count = lambda kind: t.spark.read.parquet(f"{path}/{kind}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count("good").unionByName(count("bad"))
+
+
+@query("st6_window_status", "SELECT key, source, w AS week, n AS rows, gap AS gap_days, CASE WHEN n = 0 THEN 'error' WHEN n >= 3 AND gap > 1 THEN 'partial' ELSE 'ok' END AS status FROM (SELECT l.key, l.source, l.w, count(e.key) AS n, coalesce(l.w + 6 - max(e.day), 7) AS gap FROM (SELECT DISTINCT a.key, b.source, c.w FROM (SELECT DISTINCT key FROM news) a CROSS JOIN (SELECT DISTINCT source FROM news) b CROSS JOIN (SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS w FROM news) c) l LEFT JOIN news e ON e.key = l.key AND e.source = l.source AND CAST(date_trunc('week', e.day) AS DATE) = l.w GROUP BY 1, 2, 3)", "", "week", "rows gap_days")
+def st6(t: Tables):
+    from panelwright.operators.panel import densify
+
+    found = t.news.groupBy(F.struct("key", "source").alias("id"), F.trunc("day", "week").alias("week")).agg(F.count(F.lit(1)).alias("rows"), F.max("day").alias("last"))
+    ids = t.news.select("key").distinct().crossJoin(F.broadcast(t.news.select("source").distinct())).select(F.struct("key", "source").alias("id"))
+    weeks = densify(found, "id", "week").select("week").distinct()
+    cells = ids.crossJoin(F.broadcast(weeks)).join(found, ["id", "week"], "left").fillna(0, ["rows"])
+    gap = F.coalesce(F.date_diff(F.date_add("week", 6), "last"), F.lit(7))
+    return J.window_status(cells.select("id.key", "id.source", "week", "rows", gap.alias("gap_days")), 3, 1)
+
+
+@query("st7_freshness")
+def st7(t: Tables):
+    latest = J.run_to_table(J.high_water(events(t), "source", "ts"), scratch(t), "complete")
+    return J.freshness(latest, "source", {"click": 5, "view": 3}, "2024-02-01").drop("latest")
+
+
+@query("st8_enriched", "SELECT event_id, source, upper(source) || '!' AS name FROM news")
+def st8(t: Tables):
+    names = t.read("events").select(F.col("event_type").alias("source")).distinct().withColumn("name", F.concat(F.upper("source"), F.lit("!")))
+    return J.run_to_table(J.enriched(events(t).select("event_id", "source"), F.broadcast(names), "source").select("event_id", "source", "name"), scratch(t))

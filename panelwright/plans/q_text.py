@@ -1 +1,106 @@
-"""To come."""
+"""Queries over text and vector jobs: TX1-TX15."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from panelwright.operators import text as X
+from panelwright.plans.registry import Tables, query
+
+W = r"list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda x: x <> '')"
+#: Fixed values of the example dictionary: words and the categories they belong to.
+LEXICON = [("THE", 1, 0, 0, 0), ("AND", 0, 1, 0, 0), ("WORTHLESS", 0, 1, 1, 0), ("DE", 1, 0, 0, 1), ("LA", 0, 0, 1, 0)]
+VALUES = ", ".join(str(x) for x in LEXICON)
+
+
+@query("tx1_html_text")
+def tx1(t: Tables):
+    return t.read("pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+
+
+@query("tx2_clean_report")
+def tx2(t: Tables):
+    return t.read("documents").select("doc_id", X.without_boilerplate(F.coalesce("text", F.lit(""))).alias("clean"))
+
+
+@query("tx3_fixed_chunks", f"SELECT doc_id, i AS chunk, array_to_string(list_slice(w, i * 435 + 1, i * 435 + 435), ' ') AS text FROM (SELECT doc_id, w, unnest(range((len(w) + 434) // 435)) AS i FROM (SELECT doc_id, {W} AS w FROM documents))", "", "", "chunk")
+def tx3(t: Tables):
+    each = t.read("documents").select("doc_id", F.posexplode(X.fixed_chunks(F.col("text"))).alias("chunk", "c"))
+    return each.select("doc_id", "chunk", F.col("c.text").alias("text"))
+
+
+@query("tx4_word_windows", f"SELECT doc_id, i * 160 AS word_offset, array_to_string(list_slice(w, i * 160 + 1, i * 160 + 200), ' ') AS text FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) < 40 THEN 0 ELSE (len(w) - 40) // 160 + 1 END)) AS i FROM (SELECT doc_id, {W} AS w FROM documents))", "", "", "word_offset")
+def tx4(t: Tables):
+    each = t.read("documents").select("doc_id", F.explode(X.windows(F.col("text"), 200, 160, 40)).alias("c"))
+    return each.select("doc_id", F.col("c.offset").alias("word_offset"), F.col("c.text").alias("text"))
+
+
+@query("tx5_sections")
+def tx5(t: Tables):
+    """Sections of documents under headings set before every third line; documents without headings fall back to windows."""
+    docs = t.read("documents").withColumn("text", F.concat(F.lit("Item 1. Business "), "text", F.lit("\nItem 7. Management's discussion "), "text"))
+    return X.sections(docs, "doc_id", "text").select("doc_id", "section", F.length("body").alias("n_chars"))
+
+
+@query("tx6_packed_paragraphs")
+def tx6(t: Tables):
+    paragraphs = F.regexp_replace("text", "\n", "\n\n")
+    return t.read("documents").select("doc_id", F.posexplode(X.packed_paragraphs(paragraphs, 120, 5)).alias("chunk", "text"))
+
+
+@query("tx7_notes", f"SELECT doc_id, trim(text) AS body FROM documents WHERE len({W}) >= 30 AND trim(text) = trim(text, E' ')")
+def tx7(t: Tables):
+    notes = t.read("documents").withColumn("text", F.concat(F.lit("---\ntags: a\n---\n"), "text"))
+    return notes.select("doc_id", X.note_body(F.col("text")).alias("body")).where("body is not null")
+
+
+@query("tx8_dictionary_scores", f"""SELECT doc_id, total, positive, negative, uncertainty, litigious, (positive - negative) / greatest(total, 1) AS net FROM (SELECT doc_id, len(w) AS total, {', '.join(f"coalesce((SELECT sum(d.{c}) FROM (SELECT unnest(w) AS word) x JOIN (VALUES {VALUES}) d(word, positive, negative, uncertainty, litigious) USING (word)), 0) AS {c}" for c in ('positive', 'negative', 'uncertainty', 'litigious'))} FROM (SELECT doc_id, regexp_extract_all(upper(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[A-Z'']+') AS w FROM documents))""", "net", "", "total positive negative uncertainty litigious")
+def tx8(t: Tables):
+    lexicon = t.spark.createDataFrame(LEXICON, "word string, positive int, negative int, uncertainty int, litigious int")
+    return X.dictionary_counts(t.read("documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " ")), "doc_id", "text", F.broadcast(lexicon), ["positive", "negative", "uncertainty", "litigious"])
+
+
+@query("tx9_model_scores")
+def tx9(t: Tables):
+    return X.scored(t.read("documents").select("doc_id", "text"), "text").select("doc_id", "score")
+
+
+@query("tx10_document_scores", f"SELECT doc_id, greatest(-1, least(1, avg(s))) AS score, count(*) AS chunks FROM (SELECT doc_id, list_sum(list_transform(list_slice(w, i * 435 + 1, i * 435 + 435), lambda x: CASE WHEN length(x) > 6 THEN 1 WHEN length(x) < 3 THEN -1 ELSE 0 END)) / len(list_slice(w, i * 435 + 1, i * 435 + 435)) AS s FROM (SELECT doc_id, w, unnest(range((len(w) + 434) // 435)) AS i FROM (SELECT doc_id, {W} AS w FROM documents))) GROUP BY 1", "score", "", "chunks")
+def tx10(t: Tables):
+    """Mean of chunk scores, cut to +-1; chunks are under the scorer's cut of characters."""
+    chunks = t.read("documents").select("doc_id", F.explode(X.fixed_chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.text").alias("text"))
+    got = X.scored(chunks, "text").groupBy("doc_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("chunks"))
+    return got.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score")))
+
+
+@query("tx11_batched_scores")
+def tx11(t: Tables):
+    rows = X.batched_by_length(t.read("documents").select("doc_id", "lang", "text"), "lang", "text")
+    return X.scored(rows, "text").select("doc_id", "lang", "score")
+
+
+@query("tx12_embeddings")
+def tx12(t: Tables):
+    return X.embedded(t.read("documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dims"), F.get("embedding", F.lit(0)).alias("first"))
+
+
+@query("tx13_chunk_store", "SELECT CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE 'other' END AS collection, count(DISTINCT sha256(text)) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1", "", "", "n")
+def tx13(t: Tables):
+    chunks = t.read("documents").where("text is not null").select("lang", F.sha2("text", 256).alias("id"))
+    return X.routed(chunks, "lang", {"en": "english", "de": "german"}, "id").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tx14_context", f"SELECT lang, string_agg(t, ' ... ' ORDER BY doc_id) AS context FROM (SELECT lang, doc_id, array_to_string(list_slice({W}, 1, 30), ' ') AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 6 GROUP BY 1")
+def tx14(t: Tables):
+    """The first six of each language (a top-k, taken within salted parts first), each cut to 30 words."""
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(32))).orderBy("doc_id")
+    rows = t.read("documents").withColumn("r", F.row_number().over(salted)).where("r <= 6")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("r <= 6")
+    cut = rows.select("lang", "doc_id", F.array_join(F.slice(X.words(F.col("text")), 1, 30), " ").alias("t"))
+    return cut.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), " ... ").alias("context"))
+
+
+@query("tx15_dehyphenated", r"SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 20 OR trim(x) = ''), chr(10)), '(\w)-\n(\w)', '\1\2', 'g')) AS text FROM documents WHERE text NOT LIKE '%' || chr(9) || '%'")
+def tx15(t: Tables):
+    return t.read("documents").where(~F.contains("text", F.lit("\t"))).select("doc_id", X.dehyphenated(F.col("text")).alias("text"))
