@@ -11,9 +11,14 @@ TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd
 MULTIPLIERS = {"RISK_OFF": 0.5, "NEUTRAL": 1.0, "RISK_ON": 1.2}
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end; trim() takes blanks only."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse_timestamp(raw: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
     """The first format that reads the text, ` UTC` and `+00:00` removed; NULL if none does."""
-    plain = F.trim(F.replace(F.replace(raw, F.lit(" UTC"), F.lit("")), F.lit("+00:00"), F.lit("")))
+    plain = strip(F.replace(F.replace(raw, F.lit(" UTC"), F.lit("")), F.lit("+00:00"), F.lit("")))
     return F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in formats))
 
 
@@ -30,13 +35,13 @@ def chunk_id(text: Column, metadata: Column) -> Column:
 
 def clean_field(raw: Column, most: int | None = None) -> Column:
     """Trimmed, cut to `most` characters, empty as NULL."""
-    text = F.trim(raw)
+    text = strip(raw)
     return F.nullif(F.substring(text, 1, most) if most else text, F.lit(""))
 
 
 def title_and_snippet(title: Column, snippet: Column) -> tuple[Column, Column]:
     """Text to score, and its shape: `title_snippet` or `title_only`."""
-    t, s = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(snippet, F.lit("")))
+    t, s = strip(F.coalesce(title, F.lit(""))), strip(F.coalesce(snippet, F.lit("")))
     return F.when(s != "", F.concat(t, F.lit(". "), s)).otherwise(t), F.when(s != "", F.lit("title_snippet")).otherwise(F.lit("title_only"))
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.scalar import strip
+
 #: Lines that match one of these are boilerplate.
 BOILERPLATE = (
     r"(?i)^.*forward[- ]looking\s+statement.*$",
@@ -34,7 +36,7 @@ SECTIONS = {
 
 def words(text: Column) -> Column:
     """Words between white space; none for NULL or blank texts."""
-    return F.array_remove(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), "")
+    return F.array_remove(F.split(strip(F.coalesce(text, F.lit(""))), r"\s+"), "")
 
 
 class _Text(HTMLParser):
@@ -74,7 +76,7 @@ def html_text(html: Column, dropped: tuple[str, ...] = ("script", "style", "head
 
 def without_boilerplate(text: Column, least_words: int = 100, after: float = 0.7) -> Column:
     """Boilerplate lines blanked, the rest cut at a legal marker past 70 % of the characters; if under least_words remain of over 20 lines, uncut."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), strip)
     for pattern in BOILERPLATE:
         lines = _replaced(lines, pattern)
     total = F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x))
@@ -86,7 +88,7 @@ def without_boilerplate(text: Column, least_words: int = 100, after: float = 0.7
         return F.struct((s["seen"] + F.length(x)).alias("seen"), over.alias("over"), F.when(over & (x != ""), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"))
 
     def tidy(parts):
-        return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(parts, "\n"), r"\n{3,}", "\n\n"), r"[ \t]+", " "))
+        return strip(F.regexp_replace(F.regexp_replace(F.array_join(parts, "\n"), r"\n{3,}", "\n\n"), r"[ \t]+", " "))
 
     cut = tidy(F.aggregate(lines, zero, step, lambda s: s["kept"]))
     return F.when((F.size(words(cut)) < least_words) & (F.size(lines) > 20), tidy(lines)).otherwise(cut)
@@ -122,14 +124,22 @@ def sections(df: DataFrame, key: str, text: str, patterns: dict[str, str] = SECT
     parts = F.slice(F.split(marked, "\x01"), 2, 1_000_000)
     each = df.select(key, F.posexplode(parts).alias("at", "part"))
     names = F.create_map(*(x for i, n in enumerate(patterns) for x in (F.lit(chr(97 + i)), F.lit(n))))
-    each = each.select(key, "at", names[F.substring("part", 1, 1)].alias("section"), F.trim(F.regexp_replace("part", r"^[a-z]\x02", "")).alias("body"))
+    each = each.select(key, "at", names[F.substring("part", 1, 1)].alias("section"), strip(F.regexp_replace("part", r"^[a-z]\x02", "")).alias("body"))
     long = each.where(F.size(words(F.col("body"))) >= least)
     return long.groupBy(key, "section").agg(F.max_by("body", "at").alias("body"))
 
 
+def section_chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200, least: int = 40) -> DataFrame:
+    """(key, section, chunk, word_offset, text): windows within each section; a text without sections is windowed as a whole, section NULL."""
+    found = sections(df, key, text)
+    whole = df.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(None).cast("string").alias("section"), F.col(text).alias("body"))
+    each = found.unionByName(whole).select(key, "section", F.posexplode(windows(F.col("body"), size, size - overlap, least)).alias("chunk", "w"))
+    return each.select(key, "section", "chunk", F.col("w.offset").alias("word_offset"), F.col("w.text").alias("text"))
+
+
 def packed_paragraphs(text: Column, budget: int = 800, least: int = 20) -> Column:
     """Paragraphs of `least` words packed up to a budget of words, each pack beginning with the last paragraph of the one before."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: F.size(words(p)) >= least)
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: F.size(words(p)) >= least)
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
 
     def step(s, p):
@@ -145,14 +155,14 @@ def packed_paragraphs(text: Column, budget: int = 800, least: int = 20) -> Colum
 
 def note_body(text: Column, least: int = 30) -> Column:
     """A note without front matter; NULL under `least` words."""
-    body = F.trim(F.regexp_replace(text, r"(?s)^---\s*\n.*?\n---\s*\n", ""))
+    body = strip(F.regexp_replace(text, r"(?s)^---\s*\n.*?\n---\s*\n", ""))
     return F.when(F.size(words(body)) >= least, body)
 
 
 def dehyphenated(text: Column) -> Column:
     """Lines of over 20 characters and blank ones, words broken at a line end joined."""
-    kept = F.filter(F.split(text, "\n"), lambda x: (F.length(F.trim(x)) > 20) | (F.trim(x) == ""))
-    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"(\w)-\n(\w)", "$1$2"))
+    kept = F.filter(F.split(text, "\n"), lambda x: (F.length(strip(x)) > 20) | (strip(x) == ""))
+    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"(\w)-\n(\w)", "$1$2"))
 
 
 def dictionary_counts(df: DataFrame, key: str, text: str, dictionary: DataFrame, categories: list[str]) -> DataFrame:

@@ -38,9 +38,10 @@ def tx4(t: Tables):
 
 @query("tx5_sections")
 def tx5(t: Tables):
-    """Sections of documents under headings set before every third line; documents without headings fall back to windows."""
-    docs = t.read("documents").withColumn("text", F.concat(F.lit("Item 1. Business "), "text", F.lit("\nItem 7. Management's discussion "), "text"))
-    return X.sections(docs, "doc_id", "text").select("doc_id", "section", F.length("body").alias("n_chars"))
+    """Windows within sections; every other document has headings, the others fall back to windows of the whole."""
+    headed = F.concat(F.lit("Item 1. Business "), "text", F.lit("\nItem 7. Management's discussion "), "text")
+    docs = t.read("documents").withColumn("text", F.when(F.col("doc_id") % 2 == 0, headed).otherwise(F.col("text")))
+    return X.section_chunks(docs, "doc_id", "text").select("doc_id", "section", "chunk", "word_offset", F.length("text").alias("n_chars"))
 
 
 @query("tx6_packed_paragraphs")
@@ -49,7 +50,7 @@ def tx6(t: Tables):
     return t.read("documents").select("doc_id", F.posexplode(X.packed_paragraphs(paragraphs, 120, 5)).alias("chunk", "text"))
 
 
-@query("tx7_notes", f"SELECT doc_id, trim(text) AS body FROM documents WHERE len({W}) >= 30 AND trim(text) = trim(text, E' ')")
+@query("tx7_notes", rf"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents WHERE len({W}) >= 30")
 def tx7(t: Tables):
     notes = t.read("documents").withColumn("text", F.concat(F.lit("---\ntags: a\n---\n"), "text"))
     return notes.select("doc_id", X.note_body(F.col("text")).alias("body")).where("body is not null")
@@ -101,6 +102,6 @@ def tx14(t: Tables):
     return cut.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), " ... ").alias("context"))
 
 
-@query("tx15_dehyphenated", r"SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 20 OR trim(x) = ''), chr(10)), '(\w)-\n(\w)', '\1\2', 'g')) AS text FROM documents WHERE text NOT LIKE '%' || chr(9) || '%'")
+@query("tx15_dehyphenated", r"SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 20 OR trim(x) = ''), chr(10)), '(\w)-\n(\w)', '\1\2', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents WHERE text NOT LIKE '%' || chr(9) || '%'")
 def tx15(t: Tables):
     return t.read("documents").where(~F.contains("text", F.lit("\t"))).select("doc_id", X.dehyphenated(F.col("text")).alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.scalar import strip
+
 FACTS = "map<string,map<string,struct<units:map<string,array<struct<end:string,val:double,form:string,frame:string>>>>>>"
 FEED = "struct<feed:array<struct<time_published:string,title:string,summary:string,source_domain:string,ticker_sentiment:array<struct<ticker:string,relevance_score:string>>>>>"
 COMPACT = "struct<columns:array<string>,data:array<array<string>>>"
@@ -38,7 +40,7 @@ def articles(rows: DataFrame, universe: DataFrame, first: str, last: str) -> Dat
     from panelwright.functions.scalar import clean_field, parse_timestamp
 
     at = parse_timestamp(F.col("Date"))
-    got = rows.select(F.upper(F.trim("Stock_symbol")).alias("ticker"), at.alias("published_at"), F.coalesce(clean_field(F.col("Article_title")), F.lit("")).alias("title"), F.coalesce(clean_field(F.col("Lsa_summary"), 2000), clean_field(F.col("Article"), 2000)).alias("snippet"))
+    got = rows.select(F.upper(strip(F.col("Stock_symbol"))).alias("ticker"), at.alias("published_at"), F.coalesce(clean_field(F.col("Article_title")), F.lit("")).alias("title"), F.coalesce(clean_field(F.col("Lsa_summary"), 2000), clean_field(F.col("Article"), 2000)).alias("snippet"))
     return got.where(at.isNotNull() & F.col("published_at").between(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"))).join(universe.select("ticker"), "ticker", "left_semi")
 
 
@@ -70,7 +72,7 @@ def news_feed(raw: DataFrame, ticker: str, json: str) -> DataFrame:
     items = raw.select(ticker, F.explode(F.from_json(json, FEED)["feed"]).alias("a"))
     own = F.get(F.filter("a.ticker_sentiment", lambda s: F.upper(s["ticker"]) == F.upper(F.col(ticker))), F.lit(0))
     return items.select(
-        ticker, F.try_to_timestamp("a.time_published", F.lit("yyyyMMdd'T'HHmmss")).alias("published_at"), F.trim("a.title").alias("title"), F.substring(F.trim("a.summary"), 1, 2000).alias("snippet"),
+        ticker, F.try_to_timestamp("a.time_published", F.lit("yyyyMMdd'T'HHmmss")).alias("published_at"), strip(F.col("a.title")).alias("title"), F.substring(strip(F.col("a.summary")), 1, 2000).alias("snippet"),
         F.col("a.source_domain").alias("site"), own["relevance_score"].try_cast("double").alias("relevance"),
     )
 
@@ -95,13 +97,13 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     head = r"(?s)^---\s*\n(.*?)\n---\s*\n"
     name = F.regexp_extract("path", r"([^/]+)\.\w+$", 1)
-    return raw.select("path", name.alias("name"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("section"), front_matter(F.regexp_extract("text", head, 1)).alias("front"), F.trim(F.regexp_replace("text", head, "")).alias("body"))
+    return raw.select("path", name.alias("name"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("section"), front_matter(F.regexp_extract("text", head, 1)).alias("front"), strip(F.regexp_replace("text", head, "")).alias("body"))
 
 
 def front_matter(text: Column) -> Column:
     """`key: value` lines as a map."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(":")))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, r"^[^:]*:", ""))))
+    pairs = F.transform(lines, lambda x: F.struct(strip(F.substring_index(x, ":", 1)), strip(F.regexp_replace(x, r"^[^:]*:", ""))))
     return F.map_from_entries(F.array_distinct(pairs))
 
 

@@ -7,18 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import clean_field, content_key, parse_timestamp
+from panelwright.functions.scalar import clean_field, content_key, parse_timestamp, strip
 from panelwright.sources.sinks import insert_absent
 
 
 def landed(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
-    """New files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    """New files of a folder as a stream; a path that is one file is taken through its folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def ingested(articles: DataFrame, universe: DataFrame, lateness: str = "7 days") -> DataFrame:
     """Articles(ticker, published_at as text, title, snippet) of known tickers: normalised, keyed by content, once each within the watermark."""
-    rows = articles.select(F.upper(F.trim("ticker")).alias("ticker"), parse_timestamp(F.col("published_at")).alias("published_at"), F.coalesce(clean_field(F.col("title")), F.lit("")).alias("title"), clean_field(F.col("snippet"), 2000).alias("snippet"))
+    rows = articles.select(F.upper(strip(F.col("ticker"))).alias("ticker"), parse_timestamp(F.col("published_at")).alias("published_at"), F.coalesce(clean_field(F.col("title")), F.lit("")).alias("title"), clean_field(F.col("snippet"), 2000).alias("snippet"))
     rows = rows.where("published_at is not null").join(F.broadcast(universe.select("ticker")), "ticker", "left_semi")
     rows = rows.withColumn("article_hash", content_key(F.col("ticker"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"), F.col("title")))
     return rows.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["article_hash"])
