@@ -259,7 +259,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     """(_id, _hash, start, end) of bytes of keyed rows that repeated strings cover; spans may overlap."""
     every = stored(anchors(rows, length))
     seen = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("fragment").alias("x"), F.max("fragment").alias("y"))
-    again = seen.where("n > 1").select("anchor", (F.col("x") != F.col("y")).alias("mixed"))
+    # Stored, so that both sides of the join are plain shuffles and a frequent anchor's rows can be split over tasks.
+    again = stored(seen.where("n > 1").select("anchor", (F.col("x") != F.col("y")).alias("mixed")))
     met = stored(every.join(again, "anchor"))
     whole = lambda df: df.select(*KEYS, F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     alike = whole(met.where("not mixed"))
