@@ -119,7 +119,8 @@ def shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
 
     lines = stored(rows.mapInPandas(hashed, "_id long, _hash long, lines array<long>, words array<int>, rare array<long>"))
     each = lines.select(F.struct("_id", "_hash").alias("doc"), F.explode("rare").alias("line"))
-    firsts = each.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first")
+    # Stored, so that both sides of the join are plain shuffles and a frequent line's rows can be split over tasks.
+    firsts = stored(each.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first"))
     pairs = each.join(firsts, "line").where("doc > first").select("doc", "first").distinct()
     later = lines.select(F.struct("_id", "_hash").alias("doc"), F.col("lines").alias("new"), "words")
     earlier = lines.select(F.struct("_id", "_hash").alias("first"), F.col("lines").alias("old")).dropDuplicates(["first"])
