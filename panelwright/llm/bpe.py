@@ -109,7 +109,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
     coded = encode(docs.withColumn("_text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), *args, keep=[*others, "_text_sha256"])
     back = decode(coded, *args)
     return back.select(*others, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("_text_sha256")).alias("round_trip"))

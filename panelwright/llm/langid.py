@@ -121,9 +121,9 @@ def fit(docs: DataFrame, dims: int = DIMS) -> dict:
     return {"langs": langs, "code": code, "weights": weights, "bit_weights": apart / apart.mean() if len(apart) else apart, "dims": dims}
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None, margin: float = MARGIN) -> DataFrame:
-    """The columns `keep` (all, unless named; they must not clash with the result's) and lang_pred, score, ambiguous, second."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def classifier(spark: SparkSession, model: dict, margin: float = MARGIN):
+    """A function of a text column that gives lang_pred, score, ambiguous and second."""
+    shared = spark.sparkContext.broadcast(model)
 
     def decide(texts: list[str | None]) -> tuple:
         m = shared.value
@@ -158,8 +158,14 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
             rows = [x for a, b in runs(texts) for x in decide(texts[a:b])]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "ambiguous", "second"])
 
+    return call
+
+
+def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None, margin: float = MARGIN) -> DataFrame:
+    """The columns `keep` (all, unless named; they must not clash with the result's) and lang_pred, score, ambiguous, second."""
+    call = classifier(docs.sparkSession, model, margin)
     keep = docs.columns if keep is None else keep
-    return docs.withColumn("_found", call(F.col(text))).select(*(F.col(f"`{c}`") for c in keep), "_found.*")
+    return docs.withColumn("_langid", call(F.col(text))).select(*(F.col(f"`{c}`") for c in keep), "_langid.*")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,5 +176,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter or ambiguous between two languages go."""
-    found = predict(docs, fit(docs.where(fold("doc_id", 5) != 0)))
-    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    call = classifier(spark, fit(docs.where(fold("doc_id", 5) != 0)))
+    told = docs.withColumn("_langid", call(F.col("text"))).where((F.col("_langid.lang_pred") != "und") & ~F.col("_langid.ambiguous"))
+    return told.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -134,9 +134,9 @@ def shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
     return aligned.groupBy("doc").agg(F.collect_set("line").alias("gone")).select("doc.*", "gone")
 
 
-def without_shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
-    """docs with what later documents share cut from `text`; columns n_lines and n_gone are added (and must not be there)."""
-    gone = shared_lines(docs, least)
+def without_shared_lines(docs: DataFrame, least: int = WORDS, names: tuple[str, str] = ("n_lines", "n_gone")) -> DataFrame:
+    """docs with what later documents share cut from `text`; n_lines and n_gone are added and replace columns of those names."""
+    gone = shared_lines(docs, least).toDF("_ld_id", "_ld_hash", "_ld_gone")
 
     @F.pandas_udf("text string, n_lines int, n_gone int")
     def cut(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -146,10 +146,11 @@ def without_shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
             out.append(("\n".join(x for i, x in enumerate(lines) if i not in lost) if lost else text, len(lines), len(lost)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_gone"])
 
-    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text"))
-    joined = keyed.join(gone, (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
-    done = joined.withColumn("_cut", cut("text", "gone"))
-    return done.select(*(F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), "_cut.n_lines", "_cut.n_gone")
+    same = (F.col("_ld_doc") == F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_hash"))
+    keyed = docs.withColumn("_ld_doc", F.col("doc_id").cast("long")).withColumn("_ld_text", F.xxhash64("text"))
+    done = keyed.join(gone, same, "left").withColumn("_ld_cut", cut("text", "_ld_gone"))
+    kept = [F.col("_ld_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return done.select(*kept, *(F.col(f"_ld_cut.{n}").alias(new) for n, new in zip(("n_lines", "n_gone"), names, strict=True)))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +160,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines they share with earlier ones; those of which nothing but blanks is left go."""
-    done = without_shared_lines(docs)
-    left = done.where((F.col("n_gone") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    done = without_shared_lines(docs, names=("_ld_lines", "_ld_lost"))
+    left = done.where((F.col("_ld_lost") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -21,7 +21,7 @@ def make_docs(tmp_path):
             },
             DOCS,
         )
-        for name in ("ids", "component_id", "text_", "kept", "_key"):
+        for name in ("ids", "component_id", "text_", "kept", "_key", "lang_pred", "score", "n_gone", "n_lines", "gone", "decoded", "n_tokens", "similarity", "_hash", "_id"):
             table = table.append_column(name, pa.array([7] * n, pa.int32()))
         pq.write_table(table, tmp_path / "documents.parquet")
         for name, columns in more.items():
