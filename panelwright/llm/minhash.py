@@ -6,7 +6,9 @@ m values the m - overlap + 1 rarest (by the length of their lists) are listed, b
 `overlap` values then share a listed one. For sets that fit into the sketch together with any partner, overlap is what
 the similarity demands, so nothing can be missed; for larger sets it is m/2, and a pair at exactly the threshold of 0.8
 fails to share so many of 64 values with a probability below 1e-6. Rare values first keep a phrase that a third of all
-documents hold from generating pairs.
+documents hold from generating pairs. Sets of over `SINGLES` shingles are listed under two neighbouring ones of these
+values at a time: similar ones share most of them and so some neighbours, while a single value that unlike documents have
+in common would chain them. Sizes near the bound are listed both ways, so that partners meet.
 
 Documents that share a list, directly or through others, are a family; a pair outside of families cannot be similar.
 Families of up to `BLOCK` members are compared in cells of about so many documents each. A larger family is cut into
@@ -37,6 +39,8 @@ from panelwright.llm.shingles import set_key, shingle_sets
 
 K = 64
 BLOCK = 64
+#: Sets of so many shingles at most are listed under single values; those of 0.8 times as many or more under pairs of values.
+SINGLES = 60
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
@@ -51,15 +55,21 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
 
 
 def listed(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """(value, rep, n, members): each sketch's rarest values with the length of their lists; lists of one are left out."""
+    """(key, rep): under which values, or pairs of neighbouring values, each sketch is listed."""
     each = classes.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
-    lengths = each.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Stored, so that both sides of the join are plain shuffles and a frequent value's rows can be split over tasks.
+    lengths = stored(each.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     shared = each.join(lengths, "value").groupBy("rep", "n", "m").agg(F.array_sort(F.collect_list(F.struct("members", "value"))).alias("own"))
     needed = F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.floor(F.col("m") / 2))
     # The m - size(own) values that no other sketch holds are the rarest and take their places first.
     places = (F.col("m") - needed + 1) - (F.col("m") - F.size("own"))
-    own = F.slice("own", F.lit(1), F.greatest(F.lit(0), places).cast("int"))
-    return shared.select("rep", "n", F.explode(own).alias("x")).select("x.value", "rep", "n", "x.members")
+    own = F.transform(F.slice("own", F.lit(1), F.greatest(F.lit(0), places).cast("int")), lambda x: x["value"])
+    rows = shared.select("rep", "n", own.alias("own"))
+    none = F.array().cast("array<bigint>")
+    singles = F.when(F.col("n") <= SINGLES, F.transform("own", lambda x: F.xxhash64(F.lit(1), x))).otherwise(none)
+    pairs = F.zip_with(F.slice("own", 1, F.greatest(F.size("own") - 1, F.lit(0))), F.slice("own", 2, F.greatest(F.size("own") - 1, F.lit(0))), lambda x, y: F.xxhash64(F.lit(2), x, y))
+    pairs = F.when(F.col("n") * 100 >= SINGLES * percent, pairs).otherwise(none)
+    return rows.select("rep", F.explode(F.array_distinct(F.concat(singles, pairs))).alias("key"))
 
 
 def cell_links(ids: list[int], sides: list[int], labels: list[int], sets: list[np.ndarray], percent: int, k: int = K) -> list[tuple[int, int]]:
@@ -114,8 +124,8 @@ def _blocks(count: str):
 
 def linked(lists: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
     """(node, component) of all representatives that are similar to another one."""
-    least = lists.groupBy("value").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "least")
-    found = components(lists.select("value", "rep").join(least, "value").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    least = stored(lists.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"))
+    found = components(lists.join(least, "key").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     found = found.select(F.col("node").alias("rep"), F.col("component").alias("family"))
     sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     members = stored(found.join(sizes, "family").withColumn("label", F.col("rep")))
