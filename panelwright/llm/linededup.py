@@ -112,7 +112,7 @@ def shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[a : a + 1000] for b in batches for a in range(0, len(b), 1000)):
             found = [line_hashes(t) for t in batch["text"]]
             rare = [[h for h, n in Counter(x).items() if n == 1 and h] for x, _ in found]
             yield pd.DataFrame({"_id": batch["_id"], "_hash": batch["_hash"], "lines": [x for x, _ in found], "words": [x for _, x in found], "rare": rare})

@@ -48,7 +48,7 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(len(s), set_key(s) if len(s) else None, s[:k]) for s in shingle_sets(batch["text"].tolist(), words)]
+            rows = [(len(s), set_key(s) if len(s) else None, s[:k].copy()) for s in shingle_sets(batch["text"].tolist(), words)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [r[0] for r in rows], "key": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, sketch array<long>")
