@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.common import table
+from panelwright.llm.common import small_batches, table
 
 #: Characters after which a text is cut at the next safe boundary.
 PIECE = 1 << 16
@@ -65,6 +65,7 @@ def unpack(ids: bytes | None, enc, most: int = PIECE) -> bytes:
 
 def _mapped(df: DataFrame, source: str, target: str, keep: list[str], each) -> DataFrame:
     """df[keep] with a binary column made of another column, batch by batch."""
+    small_batches(df.sparkSession)
     keep = [c for c in keep if c != target]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(target, T.BinaryType())])
     sent = list(dict.fromkeys([*keep, source]))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import fold, runs, table
+from panelwright.llm.common import fold, runs, small_batches, table
 
 DIMS = 1 << 14
 MOST_LANGUAGES = 256
@@ -103,6 +103,7 @@ def codewords(n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, dims: int = DIMS) -> dict:
     """The model: languages, codewords, gram weights by bit, bit weights. At most MOST_LANGUAGES * 2 * dims counts reach the driver."""
+    small_batches(docs.sparkSession)
     counts = gram_counts(docs, dims)
     found = counts.toPandas()
     langs = sorted(found["lang_"].unique())
@@ -123,6 +124,7 @@ def fit(docs: DataFrame, dims: int = DIMS) -> dict:
 
 def classifier(spark: SparkSession, model: dict, margin: float = MARGIN):
     """A function of a text column that gives lang_pred, score, ambiguous and second."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def decide(texts: list[str | None]) -> tuple:

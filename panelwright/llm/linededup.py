@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stored, table
+from panelwright.llm.common import small_batches, stored, table
 
 WORDS = 5
 
@@ -109,6 +109,7 @@ def common_blocks(later: list[int], earlier: list[int], words: list[int], least:
 
 def shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """(_id, _hash, gone): the lines that each later document loses."""
+    small_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stored, table
+from panelwright.llm.common import small_batches, stored, table
 from panelwright.llm.graph import components
 from panelwright.llm.shingles import set_key, shingle_sets
 
@@ -161,6 +161,7 @@ def _blocks_of(count):
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     rows = stored(sketches(docs, words, k))
     linkable = rows.where("key is not null and doc_id is not null")
     classes = stored(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
