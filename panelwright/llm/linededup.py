@@ -1,9 +1,13 @@
 """Line deduplication by pairwise alignment (operator 8).
 
-A line is rare in a document if it occurs there once, which is what patience diff anchors on. Every rare line's hash leads
-from each later document to the first document that holds it, so a line in n documents gives n - 1 pairs and not n^2, and
-no line is too frequent to count. The two documents of a pair are aligned by patience diff over their line hashes: common
-heads and tails, then the longest increasing chain of lines that are rare in both, then the same between its links. Blocks
+A line is cut if any earlier document aligns with it in a block of `words` words or more. Such a block contains one of the
+line's runs, neighbouring lines that reach `words` words going forward or backward from it, so only earlier documents
+that hold an open run need to be aligned: a run is open while one of its lines is uncut. Round by round open runs lead to
+further holders: to their first one, then to shares of all others, from one in about `n` to every one, each share four
+times the last. A run that its first holders cut never meets the rest, and what stays uncut has met them all.
+
+Two documents are aligned by patience diff over their line hashes: common heads and tails, then the longest increasing
+chain of lines that occur once in both, then the same between its links. Blocks
 of aligned lines, neighbours in both documents, are deleted from the later document if they hold `words` words or more.
 
 A document comes later if its (doc_id, text hash) is greater. Lines are split at line feeds and compared without blanks
@@ -107,6 +111,41 @@ def common_blocks(later: list[int], earlier: list[int], words: list[int], least:
     return out
 
 
+def runs(lines: list[int], words: list[int], least: int = WORDS) -> list[tuple[int, int]]:
+    """Places (first, last) of each run: for each line the shortest one of `least` words forward, and the same backward."""
+    out: list[tuple[int, int]] = []
+    n, end, total = len(lines), 0, 0
+    for i in range(n):  # forward: total is the sum of words[i:end]
+        while end < n and total < least:
+            total += words[end]
+            end += 1
+        if total < least:
+            break
+        out.append((i, end - 1))
+        total -= words[i]
+    start, total = n - 1, 0
+    for i in range(n - 1, -1, -1):  # backward: total is the sum of words[start + 1 : i + 1]
+        while start >= 0 and total < least:
+            total += words[start]
+            start -= 1
+        if total < least:
+            break
+        out.append((start + 1, i))
+        total -= words[i]
+    return list(dict.fromkeys(out))
+
+
+def run_key(lines: list[int], a: int, b: int) -> int:
+    if a == b:
+        return lines[a]
+    return int.from_bytes(hashlib.blake2b(np.asarray(lines[a : b + 1], "<i8").tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def open_runs(lines: list[int], words: list[int], gone: set[int], least: int = WORDS) -> list[int]:
+    """Distinct keys of the runs of which a line is not gone."""
+    return list({run_key(lines, a, b) for a, b in runs(lines, words, least) if not gone or any(i not in gone for i in range(a, b + 1))})
+
+
 def shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """(_id, _hash, gone): the lines that each later document loses."""
     small_batches(docs.sparkSession)
@@ -115,24 +154,65 @@ def shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[a : a + 1000] for b in batches for a in range(0, len(b), 1000)):
             found = [line_hashes(t) for t in batch["text"]]
-            rare = [[h for h, n in Counter(x).items() if n == 1 and h] for x, _ in found]
-            yield pd.DataFrame({"_id": batch["_id"], "_hash": batch["_hash"], "lines": [x for x, _ in found], "words": [x for _, x in found], "rare": rare})
+            keys = [open_runs(x, n, set(), least) for x, n in found]
+            yield pd.DataFrame({"_id": batch["_id"], "_hash": batch["_hash"], "lines": [x for x, _ in found], "words": [x for _, x in found], "keys": keys})
 
-    lines = stored(rows.mapInPandas(hashed, "_id long, _hash long, lines array<long>, words array<int>, rare array<long>"))
-    each = lines.select(F.struct("_id", "_hash").alias("doc"), F.explode("rare").alias("line"))
-    # Stored, so that both sides of the join are plain shuffles and a frequent line's rows can be split over tasks.
-    firsts = stored(each.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first"))
-    pairs = each.join(firsts, "line").where("doc > first").select("doc", "first").distinct()
-    later = lines.select(F.struct("_id", "_hash").alias("doc"), F.col("lines").alias("new"), "words")
-    earlier = lines.select(F.struct("_id", "_hash").alias("first"), F.col("lines").alias("old")).dropDuplicates(["first"])
+    lines = stored(rows.mapInPandas(hashed, "_id long, _hash long, lines array<long>, words array<int>, keys array<long>"))
+    doc = F.struct("_id", "_hash").alias("doc")
+    each = lines.select(doc, F.explode("keys").alias("key"))
+    # Stored, so that both sides of the join are plain shuffles and a frequent run's rows can be split over tasks.
+    firsts = stored(each.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"))
+    later = lines.select(doc, F.col("lines").alias("new"), "words").dropDuplicates(["doc"])
+    earlier = lines.select(doc.alias("first"), F.col("lines").alias("old")).dropDuplicates(["first"])
 
     @F.pandas_udf("array<int>")
     def gone(new: pd.Series, old: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([common_blocks(np.asarray(a).tolist(), np.asarray(b).tolist(), np.asarray(w).tolist(), least) for a, b, w in zip(new, old, words, strict=True)])
 
-    aligned = pairs.join(later.dropDuplicates(["doc"]), "doc").join(earlier, "first").select("doc", gone("new", "old", "words").alias("gone"))
-    aligned = aligned.where(F.size("gone") > 0).select("doc", F.explode("gone").alias("line"))
-    return aligned.groupBy("doc").agg(F.collect_set("line").alias("gone")).select("doc.*", "gone")
+    @F.pandas_udf("array<long>")
+    def still(new: pd.Series, words: pd.Series, keys: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for a, w, k, g in zip(new, words, keys, gone, strict=True):
+            left = set(open_runs(np.asarray(a).tolist(), np.asarray(w).tolist(), set(np.asarray(g).tolist()) if g is not None else set(), least))
+            out.append([x for x in np.asarray(k).tolist() if x in left])
+        return pd.Series(out)
+
+    def cut_by(pairs: DataFrame) -> DataFrame:
+        aligned = pairs.join(later, "doc").join(earlier, "first").select("doc", gone("new", "old", "words").alias("gone"))
+        aligned = aligned.where(F.size("gone") > 0).select("doc", F.explode("gone").alias("line"))
+        return aligned.groupBy("doc").agg(F.collect_set("line").alias("gone"))
+
+    asked = each.join(firsts.select("key", "first", "n"), "key").where("doc > first")
+    total = stored(cut_by(asked.select("doc", "first").distinct()))
+    # Runs whose only earlier holder is the first one are settled: n counts it and the document itself.
+    asked = stored(asked.where("n > 2").groupBy("doc").agg(F.collect_set("key").alias("keys")))
+
+    def narrowed(asked: DataFrame, total: DataFrame) -> DataFrame:
+        state = asked.join(later, "doc").join(total, "doc", "left")
+        return stored(state.select("doc", still("new", "words", "keys", "gone").alias("keys")).where(F.size("keys") > 0))
+
+    asked = narrowed(asked, total)
+    if asked.isEmpty():
+        return total.select("doc.*", "gone")
+    wanted = asked.select(F.explode("keys").alias("key")).distinct()
+    few = firsts.join(wanted, "key", "left_semi").select("key", F.col("first").alias("least"))
+    most = firsts.join(wanted, "key", "left_semi").agg(F.max("n")).first()[0]
+    draw = F.pmod(F.xxhash64("doc", F.lit("share")), F.lit(2**40))
+    holders = stored(each.join(few, "key").where("doc > least").select("key", F.col("doc").alias("first"), draw.alias("draw")).distinct())
+    share, low = 1.0 / max(most, 4), 0
+    while True:
+        high = min(2**40, int(2**40 * share) + 1)
+        here = holders.where((F.col("draw") >= low) & (F.col("draw") < high)).drop("draw")
+        pairs = asked.select("doc", F.explode("keys").alias("key")).join(here, "key").where("first < doc").select("doc", "first").distinct()
+        fresh = stored(cut_by(pairs))
+        total = stored(total.unionByName(fresh).select("doc", F.explode("gone").alias("line")).groupBy("doc").agg(F.collect_set("line").alias("gone")))
+        if high == 2**40:
+            break
+        asked = narrowed(asked, total)
+        if asked.isEmpty():
+            break
+        share, low = share * 4, high
+    return total.select("doc.*", "gone")
 
 
 def without_shared_lines(docs: DataFrame, least: int = WORDS, names: tuple[str, str] = ("n_lines", "n_gone")) -> DataFrame:

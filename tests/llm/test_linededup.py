@@ -57,3 +57,31 @@ def test_stage_and_odd_tables(spark, make_docs):
     rows = spark.createDataFrame([(1, copy), (1, copy), (None, copy), (0, None)], "doc_id long, text string")
     assert [r.n_gone for r in ld.without_shared_lines(rows).collect()] == [0] * 4
     assert ld.without_shared_lines(rows.limit(0)).count() == 0
+
+
+def every(texts):
+    """Each document against all earlier ones, in plain Python."""
+    lines = [ld.line_hashes(t) for t in texts]
+    out = []
+    for i, t in enumerate(texts):
+        gone = set()
+        for j in range(i):
+            gone |= set(ld.common_blocks(lines[i][0], lines[j][0], lines[i][1]))
+        kept = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone) if gone else t or ""
+        out.append((i, len(t.split("\n")) if t else 0, len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def test_all_earlier_holders(spark, make_docs):
+    a, b, c = "the first line of five", "the second line of five", "the third line of five"
+    # The first holder has the lines in another order, a later one in the same; a line repeats; short lines make a block.
+    texts = ["\n".join(x) for x in ([a, b, c], [c, b, a], [c, b, a, "own"], ["x y", "", "z u", c, c], [c, "own", c, "x y", "", "z u", "v"], ["z u", "v", "w w w"])]
+    texts += ["\n".join(random.Random(k).sample([a, b, c, "x y", "z u", ""], 4)) for k in range(30)] + corpus(random.Random(8))
+    got = sorted(tuple(r) for r in ld.op8_line_dedup(spark, make_docs(texts)).collect())
+    assert got == every(texts)
+    assert got[2][2] == 3 and got != brute(texts)
+
+
+def test_runs():
+    assert sorted(ld.runs([1, 2, 3], [2, 2, 2], 5)) == [(0, 2)] and ld.runs([1], [4], 5) == [] and ld.runs([], [], 5) == []
+    assert sorted(ld.runs([1, 0, 2], [5, 0, 6], 5)) == [(0, 0), (0, 1), (1, 2), (2, 2)]
