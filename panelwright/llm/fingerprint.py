@@ -6,7 +6,8 @@ document's fingerprint is the sum of its paragraphs' vectors. The vector has two
 
 * `IDENTITY` words of 64 bits, summed modulo 2^64: equal multisets have equal sums, and different ones differ but for a
   collision of 2 x 64 independent hash bits;
-* `SKETCH` words of 64 bits, each holding four counters of 16 bits, one for each bit of a hash. A counter of m paragraphs
+* `SKETCH` words of 64 bits, each holding two counters of 32 bits, one for each bit of a hash; a text has less than 2^31
+  paragraphs, so none overflows into the other. A counter of m paragraphs
   less m/2 is a random sign sum, so the distance of two fingerprints estimates the size of the multisets' difference.
 
 Sums make the fingerprint independent of order and let paragraphs be inserted or deleted without the text (`combine`).
@@ -26,10 +27,10 @@ from panelwright.llm.common import table
 
 #: After each of these a paragraph ends.
 BOUNDARY = r"(?<=[.!?\n])"
-IDENTITY, SKETCH = 4, 32
-COUNTERS = 4 * SKETCH
-#: One bit in each of four counters of 16 bits.
-SPREAD = 0x0001000100010001
+IDENTITY, SKETCH = 4, 64
+COUNTERS = 2 * SKETCH
+#: One bit in each of two counters of 32 bits.
+SPREAD = 0x0000000100000001
 #: Documents in a bucket of the ordering; the list of bucket bounds is documents / BUCKET long, at least LEAST_BUCKETS.
 BUCKET, LEAST_BUCKETS = 50_000, 256
 
@@ -68,10 +69,9 @@ def fingerprint(text: Column) -> Column:
         fields[f"l{i}"] = lambda h, word=word: word(h).bitwiseAND(half)
         fields[f"h{i}"] = lambda h, word=word: F.shiftrightunsigned(word(h), 32)
     for i in range(SKETCH):
-        fields[f"s{i}"] = lambda h, i=i: F.shiftrightunsigned(h["a"] if i < 16 else h["b"], i % 16).bitwiseAND(spread)
+        fields[f"s{i}"] = lambda h, i=i: F.shiftrightunsigned(h["a"] if i < 32 else h["b"], i % 32).bitwiseAND(spread)
     zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in fields))
-    # A sketch word's lowest counter may carry into the next one beyond 65535 paragraphs: the sum stays homomorphic.
-    total = F.aggregate(hashes, zero, lambda s, h: F.struct(*((_sketch_add(s[k], make(h)) if k[0] == "s" else s[k] + make(h)).alias(k) for k, make in fields.items())))
+    total = F.aggregate(hashes, zero, lambda s, h: F.struct(*((s[k] + make(h)).alias(k) for k, make in fields.items())))
     words = lambda t: F.array(
         *(F.shiftleft(t[f"h{i}"] + F.shiftrightunsigned(t[f"l{i}"], 32), 32).bitwiseOR(t[f"l{i}"].bitwiseAND(half)) for i in range(IDENTITY)),
         *(t[f"s{i}"] for i in range(SKETCH)),
@@ -80,12 +80,6 @@ def fingerprint(text: Column) -> Column:
     return F.element_at(F.transform(F.array(total), words), 1)
 
 
-def _sketch_add(a: Column, b: Column) -> Column:
-    """b has at most 2^48 + ...: the sum overflows only when the top counter has reached 32767, so it is taken modulo 2^63 there."""
-    top = F.lit(0x7FFFFFFFFFFFFFFF).cast("long")
-    return F.when(a > F.lit(0x7FFE000000000000).cast("long"), (a - F.lit(0x7FFE000000000000).cast("long") + b).bitwiseAND(top)).otherwise(a + b)
-
-
 def combine(left: Column, right: Column, sign: int = 1) -> Column:
     """The fingerprint of a text with paragraphs inserted (sign 1) or deleted (sign -1), from the fingerprints of both."""
     return _added(left, right, sign)
@@ -98,10 +92,10 @@ def as_hex(vector: Column) -> Column:
 
 def counters(vector: Column) -> Column:
     """The signed counters, doubled: 2 * counter - paragraphs."""
-    mask = F.lit(0xFFFF).cast("long")
+    mask = F.lit(0xFFFFFFFF).cast("long")
     n = F.element_at(vector, IDENTITY + SKETCH + 1)
     words = F.slice(vector, IDENTITY + 1, SKETCH)
-    apart = F.flatten(F.transform(words, lambda w: F.array(*(F.shiftrightunsigned(w, 16 * k).bitwiseAND(mask) for k in range(4)))))
+    apart = F.flatten(F.transform(words, lambda w: F.array(*(F.shiftrightunsigned(w, 32 * k).bitwiseAND(mask) for k in range(2)))))
     return F.transform(apart, lambda c: (2 * c - n).cast("double"))
 
 

@@ -43,3 +43,17 @@ def test_next_document_over_buckets(spark, monkeypatch):
     assert fp.with_next(rows.limit(0)).count() == 0
     one = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "doc_id long, text string")
     assert sorted((r.text, r.next_text) for r in fp.with_next(one).collect()) == [("a", "a"), ("a", "b"), ("b", "a")]
+
+
+def test_counters_of_many_paragraphs(spark):
+    rows = spark.createDataFrame([("".join(f"a{i}." for i in range(80_000)), "".join(f"b{i}." for i in range(80_000)), "\n" * 70_000)], "a string, b string, c string")
+    f = {c: fp.fingerprint(F.col(c)) for c in "abc"}
+    joined = fp.fingerprint(F.concat("a", "c"))
+    prints = rows.select(*(f[c].alias(c) for c in "abc"), joined.alias("j"))
+    near = {f"{x}{y}": fp.likeness(fp.counters(F.col(x)), fp.counters(F.col(y))) for x, y in ("aa", "ab", "aj")}
+    r = prints.select("*", fp.combine(F.col("a"), F.col("c")).alias("in"), fp.combine(F.col("j"), F.col("c"), -1).alias("out"), fp.fingerprint(F.lit("")).alias("e"), *(v.alias(k) for k, v in near.items())).first()
+    assert r.aa == 1 and r.ab < 0.4 and r.aj < 0.4
+    # The joined text has one empty paragraph less than its parts.
+    whole = [(x - y) % 2**64 for x, y in zip(r["in"], r.e, strict=True)]
+    assert whole == [x % 2**64 for x in r.j]
+    assert [(x - y) % 2**64 for x, y in zip(r.out, r.a, strict=True)] == [-y % 2**64 for y in r.e]
