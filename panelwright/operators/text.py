@@ -185,15 +185,37 @@ def lexicon_scorer(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def pieces(text: str, most: int) -> list[str]:
+    """The text in pieces of `most` characters at most that end behind a blank where there is one; joined they give the text."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = next((i for i in range(at + most, at, -1) if text[i - 1].isspace()), at + most)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 def scored(df: DataFrame, text: str, name: str = "score", scorer: Callable[[], Callable[[pd.Series], pd.Series]] = lambda: lexicon_scorer, most: int = 10_000) -> DataFrame:
-    """Scores of texts by a model that `scorer()` loads once in each worker; empty texts score 0, longer ones are cut at `most`."""
+    """Scores of texts by a model that `scorer()` loads once in each worker; empty texts score 0.
+
+    The model takes `most` characters: longer texts are scored in pieces that end at a blank where there is one, and the
+    pieces' scores are averaged, weighted by their words, so that
+    a mean over words comes out as on the whole text (a single word longer than `most` counts once for each piece).
+    """
 
     @F.pandas_udf("double")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = scorer()
         for batch in batches:
-            plain = batch.fillna("").str.slice(0, most)
-            yield model(plain).astype(float).where(plain.str.strip() != "", 0.0)
+            cut = [pieces(t, most) for t in batch.fillna("")]
+            plain = pd.Series([x for p in cut for x in p], dtype=object)
+            scores = model(plain).astype(float).where(plain.str.strip() != "", 0.0).tolist()
+            out, at = [], 0
+            for p in cut:
+                words = [len(x.split()) for x in p]
+                out.append(sum(s * n for s, n in zip(scores[at : at + len(p)], words, strict=True)) / max(sum(words), 1) if len(p) > 1 else scores[at])
+                at += len(p)
+            yield pd.Series(out, index=batch.index, dtype=float)
 
     return df.withColumn(name, call(F.col(text)))
 

@@ -69,7 +69,7 @@ def tx9(t: Tables):
 
 @query("tx10_document_scores", f"SELECT doc_id, greatest(-1, least(1, avg(s))) AS score, count(*) AS chunks FROM (SELECT doc_id, list_sum(list_transform(list_slice(w, i * 435 + 1, i * 435 + 435), lambda x: CASE WHEN length(x) > 6 THEN 1 WHEN length(x) < 3 THEN -1 ELSE 0 END)) / len(list_slice(w, i * 435 + 1, i * 435 + 435)) AS s FROM (SELECT doc_id, w, unnest(range((len(w) + 434) // 435)) AS i FROM (SELECT doc_id, {W} AS w FROM documents))) GROUP BY 1", "score", "", "chunks")
 def tx10(t: Tables):
-    """Mean of chunk scores, cut to +-1; chunks are under the scorer's cut of characters."""
+    """Mean of chunk scores, cut to +-1."""
     chunks = t.read("documents").select("doc_id", F.explode(X.fixed_chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.text").alias("text"))
     got = X.scored(chunks, "text").groupBy("doc_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("chunks"))
     return got.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score")))
