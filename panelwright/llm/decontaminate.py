@@ -10,9 +10,10 @@ smaller over the sum of the larger weights, a shingle weighing as often as it oc
 2. Fingerprints. A window's SimHash has 64 bits, each the majority of that bit among the hashes of its shingles.
 3. Search. Fingerprints are cut into 4 blocks of 16 bits. If two differ in 15 bits or fewer, some block differs in 3 at
    most, so items are listed under every block value within 3 bits of theirs and windows look up their blocks: all
-   fingerprints within the radius meet. At a similarity of exactly 0.8 about one window in forty lies beyond it; passages
-   give several windows each, and closer ones do not.
-4. Candidates within the radius are verified on the weighted shingles themselves.
+   fingerprints within the radius meet. At a similarity of exactly 0.8 about one window in forty lies beyond it.
+4. Counts. A window that matches an item holds as many of this item's own shingles as the similarity takes. Windows are
+   counted item by item, and those that reach it are candidates too, whatever their fingerprints: none is missed.
+5. Candidates are verified on the weighted shingles themselves.
 
 The shingles of items are broadcast if there are `MOST` at most, counted beforehand; otherwise they are joined by a shuffle.
 
@@ -78,6 +79,22 @@ def flips() -> list[int]:
     return [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BITS), n)]
 
 
+def by_items(met: DataFrame, starts: DataFrame, owners: DataFrame, longest: int, percent: int) -> DataFrame:
+    """(_id, _hash, start, m, item_id): windows that hold enough shingles of one item; met has the places of items' shingles."""
+    text = ["_id", "_hash", "m"]
+    places = met.join(starts.select(*text).distinct(), text, "left_semi").join(owners, ["m", "h"]).select(*text, "item_id", "at").distinct()
+    enough = places.groupBy(*text, "item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 100 >= F.col("m") * percent).drop("n")
+    places = stored(places.join(enough, [*text, "item_id"], "left_semi"))
+    asked = places.select(*text, "item_id").distinct().join(starts, text)
+    both = places.select(*text, "item_id", "at", F.lit(1).alias("held"), F.lit(0).alias("asked"))
+    both = both.unionByName(asked.select(*text, "item_id", "at", F.lit(0).alias("held"), F.lit(1).alias("asked")))
+    both = both.groupBy(*text, "item_id", "at").agg(F.max("held").alias("held"), F.max("asked").alias("asked"))
+    ahead = Window.partitionBy(*text, "item_id").orderBy("at").rangeBetween(Window.currentRow, longest - 1)
+    counts = both.withColumn("places", F.size(F.filter(F.collect_list(F.when(F.col("held") == 1, F.col("at"))).over(ahead), lambda p: p < F.col("at") + F.col("m"))))
+    counts = counts.where((F.col("asked") == 1) & (F.col("places") * 100 >= F.col("m") * percent))
+    return counts.select("_id", "_hash", F.col("at").alias("start"), "m", "item_id")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, similarity, start): matches with the best window's similarity and first word; one row for each row of docs and item."""
     spark = docs.sparkSession
@@ -94,12 +111,14 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", F.lit("id")).alias("_id"), F.xxhash64(text).alias("_hash"))
     each = rows.select(*key, F.posexplode(shingles(F.col("text"))).alias("at", "h"))
-    hits = each.join(vocabulary, "h").select(*key, "m", "at").distinct()
+    met = stored(each.join(vocabulary, "h").select(*key, "m", "at", "h").distinct())
+    hits = met.select(*key, "m", "at")
     # Of each such shingle the following ones of items of that size, as far as the longest item reaches.
     ahead = Window.partitionBy(*key, "m").orderBy("at").rangeBetween(Window.currentRow, max(sizes) - 1)
     near = hits.withColumn("met", F.size(F.filter(F.collect_list("at").over(ahead), lambda p: p < F.col("at") + F.col("m"))))
     # The sum of the larger weights is an item's size at least.
-    wanted = near.where(F.col("met") * 100 >= F.col("m") * percent).groupBy(*key).agg(F.collect_list(F.struct("at", "m")).alias("wanted"))
+    starts = stored(near.where(F.col("met") * 100 >= F.col("m") * percent).select(*key, "m", "at"))
+    wanted = starts.groupBy(*key).agg(F.collect_list(F.struct("at", "m")).alias("wanted"))
 
     texts = rows.join(wanted, key).withColumn("own", shingles(F.col("text")))
     windows = texts.select("doc_id", *key, "own", F.explode("wanted").alias("w"))
@@ -110,7 +129,8 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     probes = listed.select("item_id", "m", "target", F.explode(blocks(F.col("target"))).alias("b")).select("item_id", "m", "target", "b.block", F.explode(F.transform(masks, lambda x: x.bitwiseXOR(F.col("b.value")))).alias("value"))
     looked = windows.select(*key, "start", "m", "print", F.explode(blocks(F.col("print"))).alias("b")).select(*key, "start", "m", "print", "b.*")
     close = looked.join(probes, ["m", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("target"))) <= RADIUS)
-    close = close.select(*key, "start", "m", "item_id").distinct()
+    owners = bench.select("item_id", F.size("own").alias("m"), F.explode(F.array_distinct("own")).alias("h")).distinct()
+    close = close.select(*key, "start", "m", "item_id").unionByName(by_items(met, starts, owners, max(sizes), percent)).distinct()
     checked = close.join(windows.select("doc_id", *key, "start", "m", counted(F.col("own")).alias("mine")), [*key, "start", "m"])
     checked = checked.join(listed.select("item_id", counted(F.col("theirs")).alias("item")), "item_id")
     shared = F.size(F.array_intersect("mine", "item"))

@@ -66,3 +66,15 @@ def test_stage_and_odd_tables(spark, make_docs):
     rows = spark.createDataFrame([(None, item), (4, item), (4, item)], "doc_id long, text string")
     got = dc.contaminated(rows, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()
     assert sorted(map(str, (r.doc_id for r in got))) == ["4", "None"] and {r.similarity for r in got} == {1.0}
+
+
+def test_windows_beyond_the_radius(spark, make_docs):
+    rng = random.Random(5)
+    items, texts = [], []
+    for _ in range(300):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(50)]  # 46 shingles; one word altered inside leaves 41 of 51: 0.804
+        items.append(" ".join(w))
+        texts.append(" ".join([*w[:25], "changed", *w[26:]]))
+    folder = make_docs(texts, benchmark={"item_id": list(range(len(items))), "text": items})
+    got = {(r.doc_id, r.item_id) for r in dc.op5_decontaminate(spark, folder).collect()}
+    assert got == {(i, i) for i in range(len(items))}
