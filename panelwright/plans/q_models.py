@@ -43,9 +43,9 @@ def ml3(t: Tables):
 
 @query("ml4_walk_forward_scores")
 def ml4(t: Tables):
-    """The last two folds, each scored by its own model."""
+    """All folds, each scored by its own model."""
     rows = _boosted(t).cache()
-    folds = M.folds(rows.select("month").distinct(), "month", 36, 3).orderBy(F.desc("fold")).limit(2).collect()
+    folds = M.folds(rows.select("month").distinct(), "month", 36, 3).orderBy("fold").collect()
     models = {f.test_month: M.fit_fold(rows.where(F.col("month").between(F.lit(f.train_start), F.lit(f.train_end))), ["x", "ret"], "label", trees=5) for f in folds}
     return M.score_folds(models, rows, "month", ["x", "ret"]).select("entity", "month", "label", "score")
 
