@@ -97,10 +97,15 @@ def by_items(met: DataFrame, starts: DataFrame, owners: DataFrame, longest: int,
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, similarity, start): matches with the best window's similarity and first word; one row for each row of docs and item."""
+    return matches(docs, items, percent).drop("_id", "_hash")
+
+
+def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, _id, _hash, item_id, similarity, start): matches with the best window's similarity and first word; one row for each row of docs and item."""
     spark = docs.sparkSession
     bench = stored(items.select("item_id", shingles(F.col("text")).alias("own")).where(F.size("own") > 0))
     sizes = sorted(r[0] for r in bench.select(F.size("own")).distinct().collect())
-    schema = "doc_id long, item_id long, similarity double, start int"
+    schema = "doc_id long, _id long, _hash long, item_id long, similarity double, start int"
     if not sizes:
         return spark.createDataFrame([], schema)
     vocabulary = stored(bench.select(F.explode("own").alias("h"), F.size("own").alias("m")).distinct())
@@ -137,7 +142,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     checked = checked.withColumn("shared", shared).withColumn("either", F.size("mine") + F.size("item") - F.col("shared")).where(F.col("shared") * 100 >= F.col("either") * percent)
     best = F.max(F.struct((F.col("shared") / F.col("either")).alias("similarity"), (-F.col("start")).alias("start")))
     found = checked.groupBy("doc_id", *key, "item_id").agg(best.alias("best"))
-    return found.select("doc_id", F.col("item_id").cast("long").alias("item_id"), "best.similarity", (-F.col("best.start")).alias("start"))
+    return found.select("doc_id", *key, F.col("item_id").cast("long").alias("item_id"), "best.similarity", (-F.col("best.start")).alias("start"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +150,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
-    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti").select(*docs.columns)
+    """Documents in which no benchmark item was found; of rows with a NULL or repeated doc_id only those whose own text matched go."""
+    hit = matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("_id").alias("_hit_id"), F.col("_hash").alias("_hit_text")).distinct()
+    own = (F.xxhash64(docs["doc_id"], F.lit("id")) == F.col("_hit_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hit_text"))
+    return docs.join(hit, own, "left_anti").select(*docs.columns)

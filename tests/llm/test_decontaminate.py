@@ -78,3 +78,10 @@ def test_windows_beyond_the_radius(spark, make_docs):
     folder = make_docs(texts, benchmark={"item_id": list(range(len(items))), "text": items})
     got = {(r.doc_id, r.item_id) for r in dc.op5_decontaminate(spark, folder).collect()}
     assert got == {(i, i) for i in range(len(items))}
+
+
+def test_stage_removes_rows_by_their_own_text(spark, make_docs):
+    item = "one two three four five six seven eight nine ten"
+    folder = make_docs(["x"], benchmark={"item_id": [1], "text": [item]})
+    rows = spark.createDataFrame([(None, item), (None, "clean"), (4, item), (4, "clean too"), (5, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in dc.decontamination_stage(spark, rows, folder).collect()} == {(None, "clean"), (4, "clean too"), (5, None)}
