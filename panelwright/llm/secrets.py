@@ -7,7 +7,8 @@ the documents whose postings fulfil its query, and only they are verified with t
 mandatory trigrams (a run of hex digits) is verified on every text.
 
 Spans are in code points, end exclusive. Matches are leftmost and do not overlap within a kind; those that fail the
-length test of a rule are dropped after matching, as the rule says.
+length test of a rule are dropped after matching, as the rule says. Every pattern takes time in proportion to the text
+and no pattern repeats a group, so no length of text is too long for it.
 
 Defined results: NULL and empty texts have no spans; repeated rows are each scanned, and a candidate id makes every row
 of that id a candidate; rows with a NULL doc_id are verified for all rules, since postings cannot name them; an empty
@@ -28,6 +29,8 @@ from panelwright.llm.common import table
 
 #: Literal alternatives kept apart for one sequence; beyond it the sequence is cut and its parts are ANDed.
 MOST_STRINGS = 64
+#: Matches in a block of running sums.
+CHUNK = 128
 
 
 @dataclass(frozen=True)
@@ -49,10 +52,12 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 18, 0, False, True),
     # Greedy runs are maximal, so a length test after matching equals a bound within the pattern.
     Rule("hex", r"[0-9a-f]{16,}", 16, 0, False, True),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # Repeated parts are single classes: Java's matcher recurses on repeated groups, and a long text would overflow its stack.
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # Only the start of a run is tried, so that a long run is scanned once.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 
 
@@ -112,27 +117,44 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found.select("doc_id", F.array_compact(F.array(*met)).alias("rules")).where(F.size("rules") > 0)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _placed(steps: Column) -> Column:
+    """(start, end, ok) of each step (gap, n, ok): running sums, which are kept by blocks so that appending copies little."""
+    width = lambda s, x: s + x["gap"] + x["n"]
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda b: F.slice(steps, b * CHUNK + 1, F.lit(CHUNK)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    offsets = lambda parts: F.aggregate(
+        F.transform(parts, lambda part: F.aggregate(part, F.lit(0), width)),
+        begin,
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")),
+        lambda s: s["out"],
+    )
+
+    def inside(part: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("found"))
+        one = lambda s, x: F.struct((s["at"] + x["gap"]).alias("start"), width(s["at"], x).alias("end"), x["ok"].alias("ok"))
+        return F.aggregate(part, zero, lambda s, x: F.struct(width(s["at"], x).alias("at"), F.array_append(s["found"], one(s, x)).alias("found")), lambda s: s["found"])
+
+    every = _let(blocks, lambda parts: F.flatten(F.zip_with(parts, offsets(parts), inside)))
+    return F.when(F.size(steps) > 0, every).otherwise(F.array().cast("array<struct<start:int,end:int,ok:boolean>>"))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Array of (start, end) of a rule's matches, from the lengths of the matches and of what lies between them."""
     matches = F.regexp_extract_all(text, F.lit(f"({rule.java})"), F.lit(1))
     between = F.split(text, rule.java, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("found"))
     if rule.group:
         values = F.regexp_extract_all(text, F.lit(f"({rule.java})"), F.lit(rule.group + 1))
         checked = F.zip_with(matches, values, lambda m, v: F.struct(F.char_length(m).alias("n"), (F.char_length(v) >= rule.least).alias("ok")))
     else:
         checked = F.transform(matches, lambda m: F.struct(F.char_length(m).alias("n"), (F.char_length(m) >= rule.least).alias("ok")))
     steps = F.zip_with(between, checked, lambda b, m: F.struct(F.char_length(b).alias("gap"), m["n"].alias("n"), m["ok"].alias("ok")))
-    done = F.aggregate(
-        F.filter(steps, lambda s: s["n"].isNotNull()),
-        zero,
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(s["found"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end"), x["ok"].alias("ok")))).alias("found"),
-        ),
-        lambda s: F.filter(s["found"], lambda x: x["ok"]),
-    )
-    return F.transform(done, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    placed = _let(F.filter(steps, lambda s: s["n"].isNotNull()), _placed)
+    return F.transform(F.filter(placed, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -49,3 +49,28 @@ def test_empty_and_repeated_rows(spark):
     assert secrets.scan(spark.createDataFrame([], schema)).count() == 0
     rows = spark.createDataFrame([(1, SECRETS[0]), (1, None), (None, SECRETS[0]), (1, SECRETS[0])], schema)
     assert sorted(len(r.assign) for r in secrets.scan(rows).collect()) == [0, 2, 2, 2]
+
+
+LONG = 1_000_000
+WORST = {
+    "assign": ["password" + " " * LONG, "token=" + "a" * LONG, "token" * (LONG // 5), "secret=" * (LONG // 7), "api_key: '" * (LONG // 10)],
+    "access": ["AKIA" * (LONG // 4), "AKIA!" * (LONG // 5)],
+    "hex": ["0" * LONG, "0123456789abcdeg" * (LONG // 16), "0123456789abcdef " * (LONG // 17)],
+    "private_key": ["-----BEGIN " + "A " * (LONG // 2) + "PRIVATE KEY-----", "-----BEGIN " * (LONG // 11), "-----BEGIN " + "PRIVATE KEY " * (LONG // 12)],
+    "github": ["ghp_" * (LONG // 4), "ghp_" + "a" * LONG],
+    "slack": ["xoxb-" * (LONG // 5), "xoxb-" + "a" * LONG],
+    "web_token": ["eyJ" * (LONG // 3), ("eyJ" + "a" * 12 + ".") * (LONG // 16), "eyJ." * (LONG // 4)],
+}
+
+
+def test_a_million_characters_of_each_rules_worst_shape(spark):
+    """No pattern overflows the matcher's stack or takes more than linear time, and many matches in one text are placed right."""
+    rules = {r.kind: r for r in secrets.RULES}
+    for kind, texts in WORST.items():
+        rule = rules[kind]
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: [tuple(x) for x in r[kind]] for r in secrets.scan(rows, (rule,)).collect()}
+        pattern, good = BASE.get(kind) or (re.compile(rule.pattern), lambda m: True)
+        for i, t in enumerate(texts):
+            if kind != "web_token" or i != 0:  # brute force would take quadratic time there
+                assert got[i] == [(m.start(), m.end()) for m in pattern.finditer(t) if good(m)], (kind, i)
