@@ -7,10 +7,11 @@ that are significant keep their log-odds; a word unknown to the table takes its
 Scoring. A linear scan finds all maximal scoring segments of a text. Segment scores of clean texts follow an extreme-value
 law, P(S >= s) = 1 - exp(-K n exp(-lambda s)) for n tokens; lambda and K come from the clean training texts. A text's
 evidence is the sum of -ln of the expected number of chance segments over its segments where that number is below 1, and
-a logistic curve over the training texts turns the evidence into a score.
+a logistic curve over ln(1 + evidence) of the training texts turns it into a score.
 
-The model is fitted on a bounded sample, `SAMPLE` texts of each label, those with the least hash of their id, and holds
-`MOST` words and prefixes at most, the most significant ones; both are parameters. Every text is scored as a whole.
+The model is fitted on a bounded sample, `SAMPLE` texts of each label, those with the least hash of their id; the bound is
+a parameter. The sample bounds the model too: a word in it occurs `LEAST_COUNT` times in the sample. All segments of every
+text count, in the fit as in scoring, and every text is scored as a whole.
 
 Defined results: NULL and empty texts have no evidence and get the score of none; without toxic or clean training texts
 every score is 0; an id that is labelled more than once is toxic if any label says so; labels that are NULL or have no
@@ -29,12 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import fold, stored, table
+from panelwright.llm.common import fold, small_batches, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIX, PRIOR, DRIFT = 4, 0.1, 0.5
 LEAST_Z, LEAST_COUNT = 2.5, 4
-SAMPLE, MOST = 20_000, 50_000
+SAMPLE = 20_000
 THRESHOLD = 0.7
 
 
@@ -45,27 +46,29 @@ def tokens(text: str | None) -> list[str]:
 def segments(scores: list[float], gaps: list[int]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last) of a sequence in which gaps[i] tokens of no score stand before scores[i].
 
-    Linear: each scored token is pushed once, and merging pops segments for good.
+    Linear: each segment knows the nearest one before it that begins lower, so that a search steps from link to link; a
+    link that was stepped over lies behind the new segment's own link and is stepped over again only after a merge, which
+    drops it for good.
     """
-    stack: list[tuple[float, float, int, int]] = []  # sums before and after the segment, its first and last place
+    stack: list[tuple[float, float, int, int, int]] = []  # sums before and after the segment, its first and last place, its link
     total = 0.0
     for i, (s, g) in enumerate(zip(scores, gaps, strict=True)):
         total -= DRIFT * g
         before, total = total, total + s - DRIFT
         if total <= before:
             continue
-        left, right, first = before, total, i
+        left, right, first, j = before, total, i, len(stack) - 1
         while True:
             # The nearest segment that begins lower; what lies between begins higher and can stay only if it ends as high.
-            j = len(stack) - 1
             while j >= 0 and stack[j][0] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= right:
                 break
-            left, first = stack[j][0], stack[j][2]
+            left, _, first, _, link = stack[j]
             del stack[j:]
-        stack.append((left, right, first, i))
-    return [(b - a, i, j) for a, b, i, j in stack]
+            j = link
+        stack.append((left, right, first, i, j))
+    return [(b - a, i, j) for a, b, i, j, _ in stack]
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -77,8 +80,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long").alias("_of"), "text").join(F.broadcast(few), "_of").select("text", F.col("toxic").cast("int").alias("toxic")))
 
 
-def weights(rows: DataFrame, most: int = MOST) -> dict[str, float]:
-    """Log-odds of the significant words, and of prefixes (marked by a dot at the end), from (text, toxic)."""
+def weights(rows: DataFrame) -> dict[str, float]:
+    """Log-odds of the significant words, and of prefixes (marked by a dot at the end), from (text, toxic); the sample bounds their number."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
@@ -108,8 +111,7 @@ def weights(rows: DataFrame, most: int = MOST) -> dict[str, float]:
     told = counts.select("token", delta.alias("delta"), z.alias("z"), "y1", "y0").where((F.abs("z") >= LEAST_Z) & (F.col("y1") + F.col("y0") >= LEAST_COUNT))
     # A prefix speaks for words not seen, so it must be nearly always toxic itself.
     told = told.where(~F.col("token").endswith(".") | (F.col("y1") >= 9 * F.col("y0")))
-    best = told.orderBy(F.desc(F.abs("z")), "token").limit(most).collect()
-    return {r.token: float(r.delta) for r in best}
+    return {r.token: float(r.delta) for r in told.select("token", "delta").collect()}
 
 
 class Scorer:
@@ -144,42 +146,55 @@ def evidence(n: int, found: list[tuple[float, int, int]], lam: float, k: float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict | None:
-    """The model, or None without both labels. Reaching the driver: MOST weights and 2 * SAMPLE scores at most."""
+    """The model, or None without both labels. Reaching the driver: the sample's significant words and a few numbers for each of its texts."""
     rows = sample(docs, labels, most)
     table_ = weights(rows)
     if not table_:
         return None
     shared = rows.sparkSession.sparkContext.broadcast(table_)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            out = []
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                n, found = scorer.segments(text)
-                out.append((toxic, n, sorted((s for s, _, _ in found), reverse=True)[:50]))
-            yield pd.DataFrame(out, columns=["toxic", "n", "top"])
-
-    seen = rows.mapInPandas(scan, "toxic int, n long, top array<double>").toPandas()
-    clean = seen[seen["toxic"] == 0]
-    top = np.array([max(t, default=0.0) for t in clean["top"]])
-    # Gumbel by moments: sd = pi / (sqrt(6) lambda), mean of lambda * S - ln n = ln K + Euler's constant.
+    def scan(of) -> pd.DataFrame:
+        """(toxic, x): of(tokens, segments) for every text of the sample."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = Scorer(shared.value)
+            for batch in batches:
+                out = [(toxic, *of(*scorer.segments(text))) for text, toxic in zip(batch["text"], batch["toxic"], strict=True)]
+                yield pd.DataFrame(out, columns=["toxic", "n", "x"])
+
+        return rows.mapInPandas(run, "toxic int, n long, x double").toPandas()
+
+    seen = scan(lambda n, found: (n, max((s for s, _, _ in found), default=0.0)))
+    lam, k = extremes(seen[seen["toxic"] == 0])
+    seen = scan(lambda n, found: (n, evidence(n, found, lam, k)))
+    return {"weights": table_, "lambda": lam, "k": k, "curve": curve(np.log1p(seen["x"].to_numpy()), seen["toxic"].to_numpy(float))}
+
+
+def extremes(clean: pd.DataFrame) -> tuple[float, float]:
+    """lambda and K of clean texts' best segments x by Gumbel's moments: sd = pi / (sqrt(6) lambda), mean of lambda * x - ln n = ln K + Euler's constant."""
+    top = clean["x"].to_numpy()
     lam = math.pi / (math.sqrt(6) * max(float(top.std()), 0.25))
-    k = math.exp(float(np.mean(lam * top - np.log(np.maximum(clean["n"], 1)))) - 0.5772156649)
-    x = np.array([evidence(n, [(s, 0, 0) for s in t], lam, k) for n, t in zip(seen["n"], seen["top"], strict=True)])
-    y = seen["toxic"].to_numpy(float)
-    # The logistic curve by Newton's method, both labels at the weight they have together with a slight pull to 0.
-    x = np.minimum(x, 50.0)
+    return lam, math.exp(float(np.mean(lam * top - np.log(np.maximum(clean["n"], 1)))) - 0.5772156649)
+
+
+def curve(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """The logistic curve by Newton's method, with a slight pull to 0."""
     design, beta = np.stack([np.ones_like(x), x], 1), np.zeros(2)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
         beta = beta + np.clip(np.linalg.solve(hessian, design.T @ (y - p) - 1e-3 * beta), -5, 5)
-    return {"weights": table_, "lambda": lam, "k": k, "curve": beta.tolist()}
+    return beta.tolist()
+
+
+def score_of(n: int, found: list[tuple[float, int, int]], model: dict) -> float:
+    a, b = model["curve"]
+    return 1 / (1 + math.exp(-max(-700.0, a + b * math.log1p(evidence(n, found, model["lambda"], model["k"])))))
 
 
 def score(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` and score, n_passages and passages: (score, first and last token) of each significant segment."""
+    """The columns `keep` and score, n_passages and passages: (score, first and last token) of each significant segment; columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     schema = "score double, n_passages int, passages array<struct<score:double,first:int,last:int>>"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -195,12 +210,12 @@ def score(docs: DataFrame, model: dict | None, keep: list[str], text: str = "tex
                     continue
                 n, found = scorer.segments(x)
                 good = [f for f in found if m["lambda"] * f[0] - math.log(m["k"] * max(n, 1)) > 0]
-                a, b = m["curve"]
-                e = min(evidence(n, good, m["lambda"], m["k"]), 50.0)
-                out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * e)))), len(good), [{"score": s, "first": i, "last": j} for s, i, j in good]))
+                out.append((score_of(n, good, m), len(good), [{"score": s, "first": i, "last": j} for s, i, j in good]))
             yield pd.DataFrame(out, columns=["score", "n_passages", "passages"])
 
-    return docs.withColumn("_found", call(F.col(text))).select(*keep, "_found.*")
+    others = [c for c in keep if c not in ("score", "n_passages", "passages")]
+    found = docs.select(*(F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(others)), call(F.col(text)).alias("_found"))
+    return found.select(*(F.col(f"_kept_{i}").alias(c) for i, c in enumerate(others)), "_found.*")
 
 
 def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

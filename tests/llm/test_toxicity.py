@@ -1,4 +1,9 @@
+import math
 import random
+import re
+import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -30,6 +35,67 @@ def test_segments_are_all_maximal_ones():
         assert sorted(s for s, _, _ in got) == sorted(s for s, _, _ in want)
 
 
+def test_segments_take_linear_time():
+    for n in (20_000, 200_000):
+        began = time.perf_counter()
+        assert len(tx.segments([3.0] * n, [20] * n)) == n  # each stands apart
+        assert len(tx.segments([3.0] * n, [0] * n)) == 1
+        # Segments that begin lower and lower and are merged by a last one.
+        assert tx.segments([*([1.0] * n), 1e9], [*([9] * n), 0])[-1][0] > 1e8
+        assert time.perf_counter() - began < n * 1e-5
+
+
+def plain_scores(texts, labels):
+    """The whole model and all scores in plain Python, from texts by id and labels by id."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    learn = {i: y for i, y in labels.items() if i in texts and zlib.crc32(str(i).encode()) % 3 != 1}
+    counts = {0: Counter(), 1: Counter()}
+    for i, y in learn.items():
+        for w in words(texts[i]):
+            counts[y][w] += 1
+            if len(w) > 4:
+                counts[y][w[:4] + "."] += 1
+    total = {y: sum(n for w, n in counts[y].items() if not w.endswith(".")) for y in (0, 1)}
+    prior, weight = 0.1 * (total[0] + total[1]), {}
+    for w in counts[0].keys() | counts[1].keys():
+        y0, y1 = counts[0][w], counts[1][w]
+        a = (y0 + y1) / (total[0] + total[1]) * prior
+        odds = [math.log((y + a) / max(total[k] + prior - y - a, 1.0)) for k, y in ((0, y0), (1, y1))]
+        delta = odds[1] - odds[0]
+        if abs(delta) / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= 2.5 and y0 + y1 >= 4 and (not w.endswith(".") or y1 >= 9 * y0):
+            weight[w] = delta
+    found = {i: [b for b, _, _ in slow_segments([weight.get(w, weight.get(w[:4] + ".", 0.0) if len(w) > 4 else 0.0) - 0.5 for w in words(t)])] for i, t in texts.items()}
+    size = {i: max(len(words(t)), 1) for i, t in texts.items()}
+    clean = [i for i, y in learn.items() if y == 0]
+    top = np.array([max(found[i], default=0.0) for i in clean])
+    lam = math.pi / (math.sqrt(6) * max(top.std(), 0.25))
+    k = math.exp(np.mean(lam * top - np.log([size[i] for i in clean])) - 0.5772156649)
+    x = {i: math.log1p(sum(max(0.0, lam * s - math.log(k * size[i])) for s in found[i])) for i in texts}
+    a, b = tx.curve(np.array([x[i] for i in learn]), np.array([learn[i] for i in learn], float))
+    return {i: 1 / (1 + math.exp(-a - b * x[i])) for i in texts}
+
+
+def test_query_equals_plain_scores(spark, make_docs):
+    rng = random.Random(12)
+    some = lambda n, w: " ".join(rng.choice(w) for _ in range(n))
+    good, bad = [f"good{c}" for c in "abcdefghijklmnop"], ["vile", "rottenly", "nasty", "rottenish"]
+    texts = {i: some(rng.randint(0, 30), good) + " " + (some(rng.randint(1, 4), bad) if i % 3 == 0 else "") + " " + some(rng.randint(0, 30), good) for i in range(150)}
+    texts |= {150: None, 151: "", 152: " ".join(["vile " + some(9, good)] * 9), 153: texts[3], 154: texts[3]}
+    labels = {i: int(i % 3 == 0) for i in range(120)}
+    folder = make_docs(list(texts.values()), labels={"doc_id": list(labels), "toxic": list(labels.values()), "quality": [1] * len(labels)})
+    got = {r.doc_id: r.score for r in tx.op3_toxic_segments(spark, folder).collect()}
+    want = plain_scores(texts, labels)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert got[152] > got[3] and got[153] == got[154] == got[3]
+
+
+def test_columns_of_the_results_names_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "a b", 9, 9), (1, "a b", 9, 9)], "doc_id long, text string, score int, _found int")
+    model = {"weights": {"a": 3.0}, "lambda": 1.0, "k": 0.1, "curve": [0.0, 1.0]}
+    found = tx.score(rows, model, ["doc_id", "score", "_found"])
+    assert found.columns == ["doc_id", "_found", "score", "n_passages", "passages"] and len({r.score for r in found.collect()}) == 1
+
+
 def auc(y, x):
     order = np.argsort(np.argsort(x))
     return (order[y == 1].sum() + (y == 1).sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
