@@ -6,6 +6,9 @@ languages whose bit is 1 to that in the others, so a frequent language does not
 codeword with the least logistic loss, each bit weighted by how far its classifier separates the training languages;
 `ambiguous` flags a text whose two best codewords lie within `margin` of each other.
 
+Grams of one text depend on each other, so a bit's evidence is the mean over all of a text's grams times their number or
+`MOST_GRAMS`, whichever is less: a calibration of scores, under which every gram of a text counts alike.
+
 The model is one array of (2 * `dims`) x bits numbers, whatever the corpus size; languages are few (`MOST_LANGUAGES`
 is checked, an excess raises an error). Up to 7 languages get the exhaustive code, more get the best of seeded random codes.
 
@@ -29,7 +32,7 @@ from panelwright.llm.common import fold, runs, small_batches, table
 DIMS = 1 << 14
 MOST_LANGUAGES = 256
 MARGIN = 0.5
-#: A bit's evidence counts for as many grams at most, so that a long text can still be found ambiguous.
+#: Grams that count as independent at most, so that a long text can still be found ambiguous.
 MOST_GRAMS = 200
 SCHEMA = "lang_pred string, score double, ambiguous boolean, second string"
 
@@ -43,25 +46,23 @@ def letters() -> np.ndarray:
 def grams(texts: list[str | None], dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed grams of all texts in order, 2-grams below dims and 3-grams from dims, and the text each belongs to.
 
-    Letters are lower-cased and runs of anything else are one blank; every text begins and ends with a blank.
+    Letters are lower-cased and runs of anything else are one blank; every text begins and ends with a blank, so that its
+    grams are the same alone and beside others.
     """
-    joined = "\n".join(t or "" for t in texts).lower() + "\n"
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    # Lower-casing may change lengths and texts may hold line breaks, so bounds come from the lower-cased texts.
-    sizes = np.array([len((t or "").lower()) + 1 for t in texts])
+    lowered = [f"\n{(t or '').lower()}\n" for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(t) for t in lowered], np.int64)
     of = np.repeat(np.arange(len(texts)), sizes)
     is_letter = letters()[codes]
     keep = is_letter.copy()
     keep[:-1] |= is_letter[1:]  # the blank before a word
     ends = np.cumsum(sizes) - 1
-    keep[ends] = True
+    keep[ends] = keep[ends - sizes + 1] = True
     codes, of = np.where(is_letter, codes, 32)[keep].astype(np.uint64), of[keep]
     blank = codes == 32
     double = np.zeros(len(codes), bool)
     double[1:] = blank[1:] & blank[:-1] & (of[1:] == of[:-1])
     codes, of = codes[~double], of[~double]
-    if len(codes) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % dims
     two = mix(codes[:-1] * np.uint64(1 << 21) + codes[1:])
     three = mix((codes[:-2] * np.uint64(1 << 21) + codes[1:-1]) * np.uint64(0x2545F4914F6CDD1D) + codes[2:]) + dims
@@ -164,10 +165,11 @@ def classifier(spark: SparkSession, model: dict, margin: float = MARGIN):
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None, margin: float = MARGIN) -> DataFrame:
-    """The columns `keep` (all, unless named; they must not clash with the result's) and lang_pred, score, ambiguous, second."""
+    """The columns `keep` (all, unless named) and lang_pred, score, ambiguous, second, which replace columns of these names."""
     call = classifier(docs.sparkSession, model, margin)
-    keep = docs.columns if keep is None else keep
-    return docs.withColumn("_langid", call(F.col(text))).select(*(F.col(f"`{c}`") for c in keep), "_langid.*")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "ambiguous", "second")]
+    found = docs.select(*(F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(keep)), call(F.col(text)).alias("_found"))
+    return found.select(*(F.col(f"_kept_{i}").alias(c) for i, c in enumerate(keep)), "_found.*")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,5 +181,5 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter or ambiguous between two languages go."""
     call = classifier(spark, fit(docs.where(fold("doc_id", 5) != 0)))
-    told = docs.withColumn("_langid", call(F.col("text"))).where((F.col("_langid.lang_pred") != "und") & ~F.col("_langid.ambiguous"))
-    return told.select(*(F.col(f"`{c}`") for c in docs.columns))
+    told = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), call(F.col("text")).alias("found"))
+    return told.where((F.col("found.lang_pred") != "und") & ~F.col("found.ambiguous")).select("row.*")
