@@ -15,7 +15,8 @@ at their ends; blank lines are no anchors but may lie within a block.
 
 Defined results: NULL and empty texts have no lines to delete and stay as they are; rows equal in id and text are one
 document and are treated alike; rows with a NULL doc_id are neither aligned nor changed; a document may lose all its
-lines, its text is then empty; an empty table gives an empty table; other columns pass through.
+lines, its text is then empty; an empty table gives an empty table; other columns pass through, whatever their names. The
+stage renews `n_chars` where there is such a column.
 """
 
 from __future__ import annotations
@@ -158,12 +159,15 @@ def shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
             yield pd.DataFrame({"_id": batch["_id"], "_hash": batch["_hash"], "lines": [x for x, _ in found], "words": [x for _, x in found], "keys": keys})
 
     lines = stored(rows.mapInPandas(hashed, "_id long, _hash long, lines array<long>, words array<int>, keys array<long>"))
+    # Once each and stored: the joins below are plain shuffles of it, so that a document many others meet can be split over tasks.
+    if not lines.groupBy("_id", "_hash").count().where("count > 1").isEmpty():
+        lines = stored(lines.dropDuplicates(["_id", "_hash"]))
     doc = F.struct("_id", "_hash").alias("doc")
     each = lines.select(doc, F.explode("keys").alias("key"))
     # Stored, so that both sides of the join are plain shuffles and a frequent run's rows can be split over tasks.
     firsts = stored(each.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"))
-    later = lines.select(doc, F.col("lines").alias("new"), "words").dropDuplicates(["doc"])
-    earlier = lines.select(doc.alias("first"), F.col("lines").alias("old")).dropDuplicates(["first"])
+    later = lines.select(doc, F.col("lines").alias("new"), "words")
+    earlier = lines.select(doc.alias("first"), F.col("lines").alias("old"))
 
     @F.pandas_udf("array<int>")
     def gone(new: pd.Series, old: pd.Series, words: pd.Series) -> pd.Series:
@@ -227,11 +231,13 @@ def without_shared_lines(docs: DataFrame, least: int = WORDS, names: tuple[str,
             out.append(("\n".join(x for i, x in enumerate(lines) if i not in lost) if lost else text, len(lines), len(lost)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_gone"])
 
-    same = (F.col("_ld_doc") == F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_hash"))
-    keyed = docs.withColumn("_ld_doc", F.col("doc_id").cast("long")).withColumn("_ld_text", F.xxhash64("text"))
-    done = keyed.join(gone, same, "left").withColumn("_ld_cut", cut("text", "_ld_gone"))
-    kept = [F.col("_ld_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return done.select(*kept, *(F.col(f"_ld_cut.{n}").alias(new) for n, new in zip(("n_lines", "n_gone"), names, strict=True)))
+    others = [c for c in docs.columns if c != "text" and c not in names]
+    kept = [F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(others)]
+    keyed = docs.select(*kept, F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_ld_doc"), F.xxhash64("text").alias("_ld_same"))
+    same = (F.col("_ld_doc") == F.col("_ld_id")) & (F.col("_ld_same") == F.col("_ld_hash"))
+    done = keyed.join(gone, same, "left").withColumn("_cut", cut("_text", "_ld_gone"))
+    named = {c: F.col(f"_kept_{i}").alias(c) for i, c in enumerate(others)} | {"text": F.col("_cut.text").alias("text")}
+    return done.select(*(named[c] for c in docs.columns if c not in names), *(F.col(f"_cut.{n}").alias(new) for n, new in zip(("n_lines", "n_gone"), names, strict=True)))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +247,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines they share with earlier ones; those of which nothing but blanks is left go."""
-    done = without_shared_lines(docs, names=("_ld_lines", "_ld_lost"))
-    left = done.where((F.col("_ld_lost") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
-    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    count, lost = (next(n for n in (f"_{x}" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("lines", "lost"))
+    done = without_shared_lines(docs, names=(count, lost))
+    left = done.where((F.col(lost) == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
