@@ -14,7 +14,7 @@ Sums make the fingerprint independent of order and let paragraphs be inserted or
 Likeness is 1 - |A - B|^2 / (|A|^2 + |B|^2) with multiset norms estimated from the counters, cut to 0..1.
 
 Defined results: NULL and empty texts are one empty paragraph and equal each other. The next document is the next row by
-descending doc_id and, for repeated ids, descending text; the last row's next is the first; a single document is its own
+descending doc_id and, for repeated ids, descending text hash and text; the last row's next is the first; a single document is its own
 next; NULL ids come last. An empty table gives an empty table; other columns are not used.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import table
+from panelwright.llm.common import stored, table
 
 #: After each of these a paragraph ends.
 BOUNDARY = r"(?<=[.!?\n])"
@@ -31,8 +31,6 @@ IDENTITY, SKETCH = 4, 64
 COUNTERS = 2 * SKETCH
 #: One bit in each of two counters of 32 bits.
 SPREAD = 0x0000000100000001
-#: Documents in a bucket of the ordering; the list of bucket bounds is documents / BUCKET long, at least LEAST_BUCKETS.
-BUCKET, LEAST_BUCKETS = 50_000, 256
 
 
 def paragraphs(text: Column) -> Column:
@@ -107,51 +105,57 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(both == 0, F.when(apart == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - apart / both))
 
 
+def bounds(docs: DataFrame) -> DataFrame:
+    """One row with `cuts`, the ordered lists of lists of (_key, _row) at which ranges of rows begin: as many as Spark's shuffle has partitions.
+
+    Ranges are those of Spark's own range partitioning of (key, hash of the text), so rows of one repeated or NULL doc_id
+    fall into many of them.
+    """
+    rows = docs.select("_key", "_row").repartitionByRange("_key", "_row").select(F.spark_partition_id().alias("_part"), F.struct("_key", "_row").alias("_at"))
+    least = rows.groupBy("_part").agg(F.min("_at").alias("_at"))
+    cuts = least.agg(F.array_sort(F.collect_list("_at")).alias("all"))
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("all")))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - 1), step), lambda i: F.slice("all", i + 1, step))
+    return stored(cuts.select(parts.alias("cuts")))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) and next_text: the text of the next row by descending (doc_id, text), the last row's being the first's.
+    """docs(doc_id, text), print, next_text and next_print: text and fingerprint of the next row by descending (doc_id, text hash, text), the last row's being the first's.
 
-    Rows are put in buckets between quantiles of doc_id (a list of documents / BUCKET bounds) and each bucket is ordered by
-    itself, so text is shuffled once and no task holds more than a bucket; the last row below each bucket, one for each,
-    is handed on to the next.
+    Rows are put into ranges of the order and each range is ordered by itself, so text is shuffled once and a fingerprint
+    is made once; the last row below each range, one for each, is handed on to the next. Sorted rows stream through the
+    window, so a range need not fit into memory.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).cast("long").alias("_key"))
-    n = ids.count()
-    many = max(LEAST_BUCKETS, n // BUCKET)
-    cuts = ids.agg(F.percentile_approx("_key", [i / many for i in range(1, many)], 20 * many)).first()[0] or []
-    cuts = sorted(set(cuts))
-    step = max(1, int(len(cuts) ** 0.5))
-    # Two levels of bounds, so that finding a row's bucket takes 2 * sqrt(bounds) comparisons.
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    firsts = F.array(*(F.lit(g[0]).cast("long") for g in groups)) if groups else F.array().cast("array<long>")
-    fine = F.array(*(F.array(*(F.lit(x).cast("long") for x in g)) for g in groups)) if groups else F.array().cast("array<array<long>>")
-    key = F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).cast("long")
-    coarse = F.size(F.filter(firsts, lambda x: x < key))
-    bucket = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(F.get(fine, coarse - 1), lambda x: x < key)))
-    placed = docs.select("doc_id", "text", key.alias("_key"), bucket.cast("int").alias("_bucket"))
-    # Of each bucket the greatest row: the bucket above (or, for the topmost, the lowest) needs its text.
-    tops = placed.groupBy("_bucket").agg(F.max("_key").alias("_key"))
-    ring = Window.orderBy("_bucket")  # as many rows as buckets
-    tops = tops.withColumn("_to", F.coalesce(F.lead("_bucket").over(ring), F.min("_bucket").over(Window.partitionBy(F.lit(1)))))
-    carried = placed.join(F.broadcast(tops), ["_bucket", "_key"]).groupBy("_to").agg(F.max("text").alias("text"), F.max("_key").alias("_key"))
-    # Carried rows sort below every row of their bucket.
-    all_rows = placed.select("_bucket", F.lit(1).alias("_own"), "_key", "doc_id", "text").unionByName(
-        carried.select(F.col("_to").alias("_bucket"), F.lit(0).alias("_own"), "_key", F.lit(None).cast("long").alias("doc_id"), "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_key"), F.xxhash64(text).alias("_row"))
+    own = F.struct("_key", "_row")
+    # Two levels of bounds, so that finding a row's range takes about 2 * sqrt(bounds) comparisons.
+    known = rows.withColumn("_cuts", bounds(rows).scalar())
+    below = lambda cuts, at: F.size(F.filter(cuts, at))
+    coarse = known.withColumn("_coarse", below(F.col("_cuts"), lambda x: F.get(x, 0) <= own))
+    fine = below(F.get("_cuts", F.col("_coarse") - 1), lambda x: x <= own)
+    placed = coarse.withColumn("_range", F.struct("_coarse", fine.alias("_fine"))).drop("_cuts", "_coarse")
+    # Of each range the greatest row: the range above (or, for the topmost, the lowest) needs its text.
+    tops = placed.groupBy("_range").agg(F.max(own).alias("_top"))
+    ring = Window.orderBy("_range")  # as many rows as ranges
+    tops = tops.withColumn("_to", F.coalesce(F.lead("_range").over(ring), F.min("_range").over(Window.partitionBy(F.lit(1)))))
+    carried = placed.join(F.broadcast(tops), (placed["_range"] == tops["_range"]) & (own == tops["_top"])).groupBy("_to").agg(F.max("text").alias("text"))
+    # Carried rows sort below every row of their range.
+    every = placed.select("_range", F.lit(1).alias("_own"), "_key", "_row", "doc_id", "text").unionByName(
+        carried.select(F.col("_to").alias("_range"), F.lit(0).alias("_own"), F.lit(0).cast("long").alias("_key"), F.lit(0).cast("long").alias("_row"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text")
     )
-    order = Window.partitionBy("_bucket").orderBy("_own", "_key", "text")
-    return all_rows.withColumn("next_text", F.lag(F.coalesce("text", F.lit(""))).over(order)).where("_own = 1").select("doc_id", "text", "next_text")
+    order = Window.partitionBy("_range").orderBy("_own", "_key", "_row", "text")
+    # Fingerprints are made between two windows of one order: after the shuffle and once for a row.
+    every = every.withColumn("next_text", F.lag("text").over(order)).withColumn("print", fingerprint(F.col("text")))
+    return every.withColumn("next_print", F.lag("print").over(order)).where("_own = 1").select("doc_id", "text", "print", "next_text", "next_print")
 
 
 def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    text = F.coalesce("text", F.lit(""))
-    rows = with_next(docs).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_chars", F.char_length("text").cast("long"))
     half = (F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("next_text", F.lit(1), half))
-    rows = rows.withColumn("edited", edited)
-    prints = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("f"), fingerprint(F.col("edited")).alias("e"), fingerprint(F.col("next_text")).alias("x"),
-    )
+    rows = rows.select("doc_id", "n_chars", edited.alias("edited"), F.col("print").alias("f"), F.col("next_print").alias("x"))
+    prints = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "f", fingerprint(F.col("edited")).alias("e"), "x")
     counted = prints.withColumns({"cf": counters(F.col("f")), "ce": counters(F.col("e")), "cx": counters(F.col("x"))})
     return counted.select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("f")).alias("fingerprint"), as_hex(F.col("e")).alias("edited_fingerprint"),

@@ -33,16 +33,35 @@ def test_sums_are_homomorphic(spark):
     assert r.a == r.d == r["in"] and r.out == r.c
 
 
-def test_next_document_over_buckets(spark, monkeypatch):
-    monkeypatch.setattr(fp, "LEAST_BUCKETS", 7)
+def test_next_document_over_ranges(spark):
     ids = [5, -3, 100, 2**40, 8, 9, 10, 11, None, 55, 56, 57, 58, 59, 60, 61, 62]
     rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    got = {r.text: r.next_text for r in fp.with_next(rows).collect()}
-    down = sorted(ids, key=lambda i: -(2**63) if i is None else i, reverse=True)
-    assert got == {f"t{a}": f"t{b}" for a, b in zip(down, down[1:] + down[:1], strict=True)}
+    for n in ("1", "3", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.text: r.next_text for r in fp.with_next(rows).collect()}
+        down = sorted(ids, key=lambda i: -(2**63) if i is None else i, reverse=True)
+        assert got == {f"t{a}": f"t{b}" for a, b in zip(down, down[1:] + down[:1], strict=True)}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert fp.with_next(rows.limit(0)).count() == 0
     one = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "doc_id long, text string")
-    assert sorted((r.text, r.next_text) for r in fp.with_next(one).collect()) == [("a", "a"), ("a", "b"), ("b", "a")]
+    pairs = sorted((r.text, r.next_text) for r in fp.with_next(one).collect())
+    assert pairs == [("a", "a"), ("a", "b"), ("b", "a")]
+
+
+def test_rows_of_one_id_make_one_ring(spark):
+    """Repeated and NULL ids fall into many ranges; each text is the next of just one row, and prints go with texts."""
+    many = [(None if i % 3 else 7, f"text {i}.") for i in range(300)]
+    rows = spark.createDataFrame(many, "doc_id long, text string")
+    got = fp.with_next(rows).collect()
+    assert sorted(r.text for r in got) == sorted(r.next_text for r in got) == sorted(t for _, t in many)
+    prints = {r.text: r["print"] for r in got}
+    assert all(r.next_print == prints[r.next_text] for r in got)
+    following, at, seen = {r.text: r.next_text for r in got}, got[0].text, 0
+    while True:
+        at, seen = following[at], seen + 1
+        if at == got[0].text:
+            break
+    assert seen == len(many)
 
 
 def test_counters_of_many_paragraphs(spark):
