@@ -15,13 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset and Spark runs on one machine.
+
+    On a cluster each executor would write to a disk of its own, so there an unset folder is an error.
+    """
     sc = spark.sparkContext
     if found := (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
         return found
-    own = f"file://{tempfile.mkdtemp(prefix='panelwright-')}"
-    sc.setCheckpointDir(own)
-    return sc.getCheckpointDir() or own
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='panelwright-')}")
+    return sc.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:

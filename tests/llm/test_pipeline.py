@@ -53,3 +53,20 @@ def test_stages_in_turn_against_brute_force(spark, make_docs, sample):
     whole = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in whole) == sorted((r.doc_id, r.n_tokens) for r in rows)
     assert ld.WORDS == 5
+
+
+def test_odd_tables(spark, make_docs, sample):
+    """NULL and repeated ids and rows, empty texts, an empty table; a table of just the columns that stages read."""
+    texts, langs = [x["text"] for x in sample[:60]], [x["lang"] for x in sample[:60]]
+    items = {"item_id": [1], "text": [sample[70]["text"] or "some words of a benchmark item here"]}
+    ids = [None, None, *range(2, 58), 57, 57]
+    folder = make_docs([*texts, None, "", texts[5]], [*langs, None, "en", None], [*ids, 900, 901, 902], benchmark=items)
+    rows = corpus_pipeline.run(spark, folder).collect()
+    kept = [r.doc_id for r in rows]
+    assert all(r.round_trip for r in rows) and set(kept) <= {*ids, 902} and 900 not in kept and 901 not in kept and 902 not in kept
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for part in (docs.limit(0), docs.select("doc_id", "text", "lang")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, part, folder)
+            assert name == "byte_bpe" or out.columns == part.columns
+            part = spark.createDataFrame(out.collect(), out.schema)
