@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -19,35 +20,66 @@ def folds(months: DataFrame, month: str, least: int = 36, purge: int = 3, traili
     return got.join(starts, "_s").select((F.col("_i") - least - purge).alias("fold"), "train_start", "train_end", F.col(month).alias("test_month"))
 
 
-def with_evaluation(rows: DataFrame, month: str, last: int = 6) -> DataFrame:
-    """`evaluate` marks the rows of the last months; months are ranked among themselves, not rows."""
-    ranks = rows.select(month).distinct().withColumn("evaluate", F.row_number().over(Window.orderBy(F.desc(month))) <= last)
-    return rows.join(F.broadcast(ranks), month)
+def with_evaluation(rows: DataFrame, month: str, last: int = 6, share: float = 0.2, order: list[str] | None = None) -> DataFrame:
+    """`evaluate` marks the rows of the last months; with no more than `last` months, the last `share` of the rows in their order.
+
+    Months are ranked among themselves. The share is found from counts of months: only the month that the cut falls into
+    is ordered row by row, by `order`.
+    """
+    sizes = rows.groupBy(month).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(month)  # one row a month
+    ranks = sizes.withColumns({"_place": F.row_number().over(w), "_below": F.sum("_n").over(w) - F.col("_n")})
+    many, total = ranks.agg(F.max("_place"), F.sum("_n")).first()
+    if (many or 0) > last:
+        return rows.join(F.broadcast(ranks.select(month, (F.col("_place") > many - last).alias("evaluate"))), month)
+    first = int((total or 0) * (1 - share))
+    joined = rows.join(F.broadcast(ranks.select(month, "_n", "_below")), month)
+    cut = (F.col("_below") <= first) & (F.col("_below") + F.col("_n") > first)
+    within = joined.where(cut).withColumn("evaluate", F.row_number().over(Window.partitionBy(month).orderBy(*(order or rows.columns))) + F.col("_below") > first)
+    return within.unionByName(joined.where(~cut).withColumn("evaluate", F.col("_below") > first)).drop("_n", "_below")
 
 
-def fit_fold(rows: DataFrame, features: list[str], label: str, validation: str | None = None, trees: int = 20, depth: int = 4):
-    """Boosted trees over features with missing values as 0; `validation` is a boolean column that stops training early."""
+def fit_fold(rows: DataFrame, features: list[str], label: str, validation: str | None = None, trees: int = 20, depth: int = 4, subset: str = "all"):
+    """Boosted trees over features with missing values as 0; `validation` is a boolean column that stops training early, `subset` the features tried at a split."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    model = GBTClassifier(labelCol=label, featuresCol="_x", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=7)
+    model = GBTClassifier(labelCol=label, featuresCol="_x", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy=subset, seed=7)
     if validation:
         model = model.setValidationIndicatorCol(validation)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), model]).fit(rows.fillna(0.0, features))
 
 
-def score_folds(models: dict, rows: DataFrame, month: str, features: list[str]) -> DataFrame:
+def fit_folds(folds: DataFrame, rows: DataFrame, month: str, fit: Callable[[DataFrame], object], at_once: int = 8) -> dict:
+    """A model for each fold by its test month, fitted on the fold's months; folds number months, and several are fitted at once."""
+    from multiprocessing.pool import ThreadPool
+
+    known = folds.orderBy("fold").collect()
+    with ThreadPool(at_once) as pool:
+        models = pool.map(lambda f: fit(rows.where(F.col(month).between(F.lit(f.train_start), F.lit(f.train_end)))), known)
+    return {f.test_month: m for f, m in zip(known, models, strict=True)}
+
+
+def score_folds(models: dict, rows: DataFrame, month: str, features: list[str], name: str = "score") -> DataFrame:
     """Each test month scored by its own fold's model."""
     from pyspark.ml.functions import vector_to_array
 
     parts = []
     for test_month, model in models.items():
         scored = model.transform(rows.where(F.col(month) == F.lit(test_month)).fillna(0.0, features))
-        parts.append(scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "probability", "prediction"))
+        parts.append(scored.withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "probability", "prediction"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def score_range(model, rows: DataFrame, month: str, first, last, features: list[str], name: str = "score") -> DataFrame:
+    """All months of a range scored by one frozen model."""
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(rows.where(F.col(month).between(F.lit(first), F.lit(last))).fillna(0.0, features))
+    return scored.withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "probability", "prediction")
+
+
 def block_bootstrap(series: DataFrame, index: str, value: str, length: int, block: int, draws: int, seed: int = 7) -> DataFrame:
     """(draw, mean): circular blocks of a series with indices 0..length-1, starts from a hash of draw and block."""
     spark = series.sparkSession

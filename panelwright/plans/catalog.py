@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.plans import q_aggregates, q_functions, q_models, q_relational, q_streams, q_text, q_windows  # noqa: F401
+from panelwright.plans import q_aggregates, q_functions, q_models, q_relational, q_sources, q_streams, q_text, q_windows  # noqa: F401
 from panelwright.plans.registry import QUERIES, SQL
 
 

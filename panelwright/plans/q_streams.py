@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +10,6 @@ from panelwright.plans.registry import Tables, query
 from panelwright.streaming import jobs as J
 
 
-def scratch(t: Tables) -> str:
-    """A new folder in the shared checkpoint folder, or a local one where none is set."""
-    shared = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    return f"{shared}/stream-{uuid.uuid4().hex}"
-
-
 def events(t: Tables) -> DataFrame:
     """The events table as a stream; times are cast, since a watermark needs a time zone."""
     raw = J.landed(t.spark, f"{t.dir}/events.parquet", t.read("events").schema)
@@ -33,12 +24,12 @@ def articles(t: Tables) -> DataFrame:
 @query("st1_ingest")
 def st1(t: Tables):
     universe = t.read("events").where("user_id % 2 = 0").select(F.concat(F.lit("K"), "user_id").alias("ticker")).distinct()
-    return J.run_to_table(J.ingested(articles(t), universe), scratch(t)).select("ticker", "published_at", "article_hash")
+    return J.run_to_table(J.ingested(articles(t), universe), t.scratch()).select("ticker", "published_at", "article_hash")
 
 
 @query("st2_score_once")
 def st2(t: Tables):
-    path = scratch(t)
+    path = t.scratch()
     rows = articles(t).select("event_id", F.col("title").alias("text"))
     write = J.scored_once(f"{path}/scores", lambda df: scored(df, "text").select("event_id", "score"), "event_id")
     for run in (1, 2):  # the second run finds everything scored
@@ -51,18 +42,18 @@ CLOSED = "SELECT key, day, avg(score) AS mean, count(*) AS n FROM news WHERE day
 
 @query("st3_closed_days", CLOSED, "mean", "day", "n")
 def st3(t: Tables):
-    return J.run_to_table(J.daily_means(events(t), "key", "ts", "score"), scratch(t))
+    return J.run_to_table(J.daily_means(events(t), "key", "ts", "score"), t.scratch())
 
 
 @query("st4_high_water", "SELECT key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest, strftime(max(ts) - INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS resume FROM news GROUP BY 1")
 def st4(t: Tables):
-    latest = J.resume_points(J.run_to_table(J.high_water(events(t), "key", "ts"), scratch(t), "complete"))
+    latest = J.resume_points(J.run_to_table(J.high_water(events(t), "key", "ts"), t.scratch(), "complete"))
     return latest.select("key", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("latest", "resume")))
 
 
 @query("st5_quarantine", "SELECT CASE WHEN event_id % 50 = 0 THEN 'bad' ELSE 'good' END AS kind, count(*) AS n FROM events GROUP BY 1", "", "", "n")
 def st5(t: Tables):
-    path = scratch(t)
+    path = t.scratch()
     articles(t).writeStream.foreachBatch(J.quarantined(None, f"{path}/good", f"{path}/bad")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     count = lambda kind: t.spark.read.parquet(f"{path}/{kind}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count("good").unionByName(count("bad"))
@@ -82,11 +73,11 @@ def st6(t: Tables):
 
 @query("st7_freshness")
 def st7(t: Tables):
-    latest = J.run_to_table(J.high_water(events(t), "source", "ts"), scratch(t), "complete")
+    latest = J.run_to_table(J.high_water(events(t), "source", "ts"), t.scratch(), "complete")
     return J.freshness(latest, "source", {"click": 5, "view": 3}, "2024-02-01").drop("latest")
 
 
 @query("st8_enriched", "SELECT event_id, source, upper(source) || '!' AS name FROM news")
 def st8(t: Tables):
     names = t.read("events").select(F.col("event_type").alias("source")).distinct().withColumn("name", F.concat(F.upper("source"), F.lit("!")))
-    return J.run_to_table(J.enriched(events(t).select("event_id", "source"), F.broadcast(names), "source").select("event_id", "source", "name"), scratch(t))
+    return J.run_to_table(J.enriched(events(t).select("event_id", "source"), F.broadcast(names), "source").select("event_id", "source", "name"), t.scratch())

@@ -53,9 +53,9 @@ def company_facts(raw: DataFrame, key: str, json: str) -> DataFrame:
 
 
 def by_priority(facts: DataFrame, keys: list[str], name: str, wanted: list[str]) -> DataFrame:
-    """Of alternatives the first wanted one that is there, for each key."""
+    """Of alternatives the first wanted one that is there, for each key; of rows in equal place the one with the greatest other values."""
     place = F.array_position(F.array(*map(F.lit, wanted)), F.col(name))
-    w = Window.partitionBy(*keys).orderBy("_place")
+    w = Window.partitionBy(*keys).orderBy("_place", *(F.desc(c) for c in facts.columns if c not in (*keys, name)))
     return facts.withColumn("_place", place).where("_place > 0").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_place", "_r")
 
 

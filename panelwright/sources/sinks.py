@@ -11,9 +11,19 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] |
     if order:
         w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
         new = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    else:
+        new = settled(new, keys)
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
+def settled(new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: without an order the greatest of the other columns, so that a rerun gives the same row."""
+    rest = [c for c in new.columns if c not in keys]
+    if not rest:
+        return new.dropDuplicates(keys)
+    return new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_best")).select(*(F.col(f"_best.{c}").alias(c) if c in rest else F.col(c) for c in new.columns))
+
+
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str) -> None:
     """Replaces rows by key in the partitions that new rows touch, and no others; written aside first, because Spark cannot overwrite what it reads."""
     from panelwright.sources.readers import path_exists
@@ -26,7 +36,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], part
         rows = spark.read.parquet(aside).withColumn(partition, F.col(partition).cast(new.schema[partition].dataType))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     else:
-        new.write.partitionBy(partition).parquet(path)
+        settled(new, keys).write.partitionBy(partition).parquet(path)
 
 
 def absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,7 +67,8 @@ def as_json(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """With a header; quotes within fields are doubled, and blanks at their ends are kept."""
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_payload(df: DataFrame, path: str, month: str) -> None:
@@ -67,6 +78,17 @@ def write_payload(df: DataFrame, path: str, month: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
 
 
-def save_models(models: dict, path: str) -> None:
+def save_models(models: dict, path: str, metadata: DataFrame | None = None) -> None:
+    """Each model in a folder of its name, and a table of metadata beside them."""
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/{name}")
+    if metadata is not None:
+        metadata.write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_models(spark: SparkSession, path: str, name: str = "test_month") -> tuple[dict, DataFrame]:
+    """The models by name, and their metadata, whose column `name` holds the names (one row a model)."""
+    from pyspark.ml import PipelineModel
+
+    metadata = spark.read.parquet(f"{path}/metadata")
+    return {r[0]: PipelineModel.load(f"{path}/{r[0]}") for r in metadata.select(name).collect()}, metadata
