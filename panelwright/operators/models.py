@@ -81,11 +81,11 @@ def score_range(model, rows: DataFrame, month: str, first, last, features: list[
 
 
 def block_bootstrap(series: DataFrame, index: str, value: str, length: int, block: int, draws: int, seed: int = 7) -> DataFrame:
-    """(draw, mean): circular blocks of a series with indices 0..length-1, starts from a hash of draw and block."""
+    """(draw, mean): circular blocks of a series with indices 0..length-1, starts from a hash of seed, draw and block."""
     spark = series.sparkSession
     blocks = -(-length // block)
     starts = spark.range(draws).withColumnRenamed("id", "draw").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    starts = starts.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "draw", "b"), F.lit(length)))
+    starts = starts.withColumn("start", F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "draw", "b")), 1, 8), 16, 10).cast("long") % length)
     places = starts.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("o") < length)
     picked = places.select("draw", ((F.col("start") + F.col("o")) % length).alias(index))
     return picked.join(series.select(index, value), index).groupBy("draw").agg(F.avg(value).alias("mean"))

@@ -42,25 +42,32 @@ def filled(value: Column, entity: str, time: str, most: int | None = None) -> Co
     return F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding if most is None else -most, 0))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], forward: bool = False, most_days: int | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], forward: bool = False, most_days: int | None = None, clamp: bool = False, at: str | None = None) -> DataFrame:
     """left with the last values of right at or before each row's time (forward: the first at or after), by one shuffle.
 
     Both sides are united and the known values carried along each key; a value older than most_days is NULL. Values of
-    right that are NULL are passed over, column by column.
+    right that are NULL are passed over, column by column; of several rows of right at one time the greatest value counts.
+    clamp: where nothing is found, the value at the end of the key, its last one (forward) or its first. at: a column for
+    the time of the first value found, whatever its age.
     """
     names = [f"_{v}" for v in values]
     a = left.withColumns({n: F.lit(None).cast(right.schema[v].dataType) for n, v in zip(names, values, strict=True)} | {"_at": F.lit(None).cast(right.schema[time].dataType), "_side": F.lit(1)})
-    b = right.select(*keys, time, *(F.col(v).alias(n) for n, v in zip(names, values, strict=True)), F.col(time).alias("_at"), F.lit(0 if not forward else 2).alias("_side"))
+    b = right.select(*keys, time, *(F.col(v).alias(n) for n, v in zip(names, values, strict=True)), F.col(time).alias("_at"), F.lit(0).alias("_side"))
     rows = a.unionByName(b, allowMissingColumns=True)
-    window = Window.partitionBy(*keys).orderBy(time, "_side")
-    window = window.rowsBetween(0, Window.unboundedFollowing) if forward else window.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
-    found = {v: pick(F.when(F.col(n).isNotNull(), F.struct(n, "_at")), ignorenulls=True).over(window) for n, v in zip(names, values, strict=True)}
-    got = rows.withColumns({f"_got_{v}": c for v, c in found.items()}).where("_side = 1")
+    # Forward, time runs backward: what was carried so far then lies at or after a row.
+    along = Window.partitionBy(*keys).orderBy(F.desc(time) if forward else time, "_side", *names).rowsBetween(Window.unboundedPreceding, 0)
+    known = {v: F.when(F.col(n).isNotNull(), F.struct("_at", n)) for n, v in zip(names, values, strict=True)}
+    got = rows.withColumns({f"_got_{v}": F.last(c, ignorenulls=True).over(along) for v, c in known.items()})
+    if clamp:
+        end = F.max if forward else F.min
+        got = got.withColumns({f"_got_{v}": F.coalesce(f"_got_{v}", end(c).over(Window.partitionBy(*keys))) for v, c in known.items()})
+    got = got.where("_side = 1")
+    found = {}
     for n, v in zip(names, values, strict=True):
         fresh = F.lit(True) if most_days is None else F.abs(F.date_diff(F.col(time), F.col(f"_got_{v}._at"))) <= most_days
-        got = got.withColumn(v, F.when(fresh, F.col(f"_got_{v}.{n}")))
-    return got.select(*[c for c in left.columns if c not in values], *values)
+        found[v] = F.when(fresh, F.col(f"_got_{v}.{n}"))
+    seen = {at: F.col(f"_got_{values[0]}._at")} if at else {}
+    return got.withColumns(found | seen).select(*[c for c in left.columns if c not in values], *values, *seen)
 
 
 def merge_left(spine: DataFrame, frames: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -35,6 +35,12 @@ def rolling_z(value: str, entity: str, time: str, rows: int, least: int | None =
     return ratio(x - rolling(F.avg, x, entity, time, rows, least), rolling(F.stddev_samp, x, entity, time, rows, least))
 
 
+def rolling_z_or(df: DataFrame, value: str, entity: str, time: str, rows: int, name: str, missing: float = 0.0) -> DataFrame:
+    """df with rolling_z; an input of which fewer than `rows` times are known anywhere is unavailable and gives `missing` throughout."""
+    known = df.where(F.col(value).isNotNull()).select(time).distinct().limit(rows).agg((F.count(F.lit(1)) >= rows).alias("_known"))  # one row
+    return df.withColumn(name, rolling_z(value, entity, time, rows)).join(F.broadcast(known)).withColumn(name, F.when(F.col("_known"), F.col(name)).otherwise(missing)).drop("_known")
+
+
 def cross_z(df: DataFrame, value: str, period: str, name: str, least: int = 1, zero_sd: float | None = None, cap: float | None = None, missing: float | None = None) -> DataFrame:
     """z-score among a period's rows. Fewer than `least` known values give NULL, no spread gives `zero_sd`; then cut and filled.
 
@@ -48,9 +54,13 @@ def cross_z(df: DataFrame, value: str, period: str, name: str, least: int = 1, z
     return df.join(stats, period, "left").withColumn(name, z).drop(n, mean, sd)
 
 
-def ewm(value: str, entity: str, time: str, span: int, rows: int = 64) -> Column:
-    """Exponentially weighted mean with adjusted weights over the last rows; missing values weigh nothing but age the others."""
+def ewm(value: str, entity: str, time: str, span: int, rows: int | None = None) -> Column:
+    """Exponentially weighted mean with adjusted weights over the last rows; missing values weigh nothing but age the others.
+
+    Unless given, so many rows count that those before them weigh less than 1e-14 together.
+    """
     keep = 1 - 2 / (span + 1)
+    rows = rows or max(1, math.ceil(-14 * math.log(10) / math.log(keep))) if keep > 0 else 1
     w = along(entity, time).rowsBetween(-(rows - 1), 0)
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
     pairs = F.collect_list(F.struct(F.col(value).alias("v"))).over(w)
@@ -60,10 +70,16 @@ def ewm(value: str, entity: str, time: str, span: int, rows: int = 64) -> Column
 
 def rolling_beta(y: str, x: str, entity: str, time: str, rows: int, least: int) -> Column:
     """Covariance over rows that know both, over the variance of all known x."""
-    w = along(entity, time).rowsBetween(-(rows - 1), 0)
-    both = F.count(F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), 1)).over(w)
-    cov = F.when(both >= least, F.covar_samp(F.col(y), F.col(x)).over(w))
-    return ratio(cov, F.when(F.count(x).over(w) >= least, F.var_samp(x).over(w)))
+    # Sums up to a row less the sums up to `rows` before it: each row is added once, not once for every frame that holds it.
+    so_far = along(entity, time).rowsBetween(Window.unboundedPreceding, 0)
+    u, v = F.col(x), F.col(y)
+    known = u.isNotNull() & v.isNotNull()
+    held = lambda c: F.coalesce(c, F.lit(0.0))
+    parts = {"n": F.when(known, 1.0), "u": F.when(known, u), "v": F.when(known, v), "uv": F.when(known, u * v), "m": F.when(u.isNotNull(), 1.0), "w": u, "ww": u * u}
+    past = along(entity, time).rowsBetween(Window.unboundedPreceding, -rows)
+    s = {k: F.sum(held(c)).over(so_far) - held(F.sum(held(c)).over(past)) for k, c in parts.items()}
+    cov = F.when((s["n"] >= least) & (s["n"] > 1), (s["uv"] - s["u"] * s["v"] / s["n"]) / (s["n"] - 1))
+    return ratio(cov, F.when((s["m"] >= least) & (s["m"] > 1), (s["ww"] - s["w"] * s["w"] / s["m"]) / (s["m"] - 1)))
 
 
 def cumulated(ret: str, entity: str | list[str], time: str) -> Column:
@@ -94,8 +110,23 @@ def path_metrics(df: DataFrame, keys: list[str], time: str, ret: str, per_year:
     return got.select(*keys, "total", "years", "cagr", "sharpe", "sortino", "max_dd", "calmar")
 
 
-def average_rank(df: DataFrame, value: str, period: str, name: str) -> DataFrame:
-    """Rank among a period's rows, ties sharing their mean rank: counts of each value, summed in order, joined back."""
+def magnitude_bin(value: Column, steps: int = 64) -> Column:
+    """A bin that does not fall as the value rises: `steps` bins for each doubling of |value| + 1, so that ranges of rows can be ordered apart."""
+    return F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * steps)
+
+
+def average_rank(df: DataFrame, value: str, period: str | None, name: str) -> DataFrame:
+    """Rank among a period's rows, ties sharing their mean rank: counts of each value, summed in order, joined back.
+
+    Without a period all rows are ranked: bins of values are ordered each by itself, after the bins before it are counted.
+    """
+    if period is None:
+        seen = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", magnitude_bin(F.col(value)))
+        bins = seen.groupBy("_bin").agg(F.sum("_n").alias("_all"))
+        before = bins.select("_bin", F.coalesce(F.sum("_all").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each bin
+        run = F.sum("_n").over(Window.partitionBy("_bin").orderBy(value))
+        ranks = seen.join(F.broadcast(before), "_bin").select(value, (F.col("_before") + run - (F.col("_n") - 1) / 2).alias(name))
+        return df.join(ranks, value, "left")
     counts = df.where(F.col(value).isNotNull()).groupBy(period, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(period).orderBy(value)
     ranks = counts.withColumn(name, F.sum("_n").over(w) - (F.col("_n") - 1) / 2)

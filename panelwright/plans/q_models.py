@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import clip, graded_regime, multiplier, ratio, shrink
 from panelwright.operators import models as M
 from panelwright.operators import panel as P
 from panelwright.operators import rolling as R
+from panelwright.plans.q_aggregates import WEIGHTS
 from panelwright.plans.q_relational import FOLDS, REGIME_SQL, TOP
 from panelwright.plans.q_windows import METRICS, metrics_sql
 from panelwright.plans.registry import Tables, query
@@ -27,38 +30,76 @@ def ml2(t: Tables):
     return M.with_evaluation(t.scored.select("entity", "month"), "month", 6).select("entity", "month", "evaluate")
 
 
+SHORT = "SELECT entity, month, row_number() OVER (ORDER BY month, entity) AS r, count(*) OVER () AS n FROM scored WHERE month IN (SELECT month FROM (SELECT DISTINCT month FROM scored) ORDER BY month LIMIT 5)"
+
+
+@query("ml2b_evaluation_fallback", f"SELECT entity, month, r > floor(n * 0.8) AS evaluate FROM ({SHORT})", "", "month")
+def ml2b(t: Tables):
+    """With five months there are too few for six of evaluation: the last fifth of the rows is taken."""
+    rows = t.scored.select("entity", "month")
+    first = F.broadcast(rows.select("month").distinct().orderBy("month").limit(5))
+    return M.with_evaluation(rows.join(first, "month"), "month", 6, order=["entity"]).select("entity", "month", "evaluate")
+
+
 def _boosted(t: Tables):
     rows = t.scored.join(t.ret, ["entity", "month"]).select("entity", "month", F.col("label").cast("double").alias("label"), F.col("score").alias("x"), "ret")
     return rows
 
 
+def _early_stopping(trees: int, depth: int):
+    """Fits a fold: its last six months stop the training."""
+    return lambda part: M.fit_fold(M.with_evaluation(part, "month", 6, order=["entity"]), ["x", "ret"], "label", "evaluate", trees, depth, "0.8")
+
+
 @query("ml3_boosted_trees")
 def ml3(t: Tables):
-    """One boosted-tree model on all but the last six months, which stop it early; importance of each feature."""
-    rows = M.with_evaluation(_boosted(t), "month", 6)
-    model = M.fit_fold(rows, ["x", "ret"], "label", "evaluate", trees=10)
-    weights = model.stages[-1].featureImportances.toArray().tolist()
-    return t.spark.createDataFrame(list(zip(["x", "ret"], weights, strict=True)), "feature string, importance double")
+    """A boosted-tree model for each yearly fold, stopped early by its last six months: trees kept and importance of each feature."""
+    rows = _boosted(t).cache()
+    folds = M.folds(rows.select("month").distinct(), "month", 36, 3).where("fold % 12 = 1")
+    models = M.fit_folds(folds, rows, "month", _early_stopping(20, 4))
+    told = [(m, len(x.stages[-1].trees), f, w) for m, x in models.items() for f, w in zip(["x", "ret"], x.stages[-1].featureImportances.toArray().tolist(), strict=True)]
+    return t.spark.createDataFrame(told, "test_month date, trees int, feature string, importance double")
 
 
 @query("ml4_walk_forward_scores")
 def ml4(t: Tables):
-    """All folds, each scored by its own model."""
+    """All folds, each scored by its own model, which its last six months stop early."""
     rows = _boosted(t).cache()
-    folds = M.folds(rows.select("month").distinct(), "month", 36, 3).orderBy("fold").collect()
-    models = {f.test_month: M.fit_fold(rows.where(F.col("month").between(F.lit(f.train_start), F.lit(f.train_end))), ["x", "ret"], "label", trees=5) for f in folds}
+    folds = M.folds(rows.select("month").distinct(), "month", 36, 3)
+    models = M.fit_folds(folds, rows, "month", _early_stopping(5, 3))
     return M.score_folds(models, rows, "month", ["x", "ret"]).select("entity", "month", "label", "score")
 
 
-AUC = "SELECT year(month) AS year, (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * sum(1 - label), 0) AS auc FROM (SELECT month, label, rank() OVER (PARTITION BY year(month) ORDER BY score) + (count(*) OVER (PARTITION BY year(month), score) - 1) / 2.0 AS r FROM scored) GROUP BY 1"
+@query("ml4b_frozen_scores")
+def ml4b(t: Tables):
+    """The first fold's model, frozen, scores all months after its training."""
+    rows = _boosted(t).cache()
+    fold = M.folds(rows.select("month").distinct(), "month", 36, 3).where("fold = 1")
+    model = list(M.fit_folds(fold, rows, "month", _early_stopping(10, 3)).items())
+    last = rows.agg(F.max("month")).first()[0]
+    return M.score_range(model[0][1], rows, "month", model[0][0], last, ["x", "ret"]).select("entity", "month", "label", "score")
+
+
+RANKED = "SELECT period, label, rank() OVER (PARTITION BY period ORDER BY score) + (count(*) OVER (PARTITION BY period, score) - 1) / 2.0 AS r FROM (SELECT CAST(year(month) AS VARCHAR) AS period, label, score FROM scored UNION ALL SELECT 'all', label, score FROM scored)"
+AUC = f"SELECT period, (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * sum(1 - label), 0) AS auc FROM ({RANKED}) GROUP BY 1"
 
 
-@query("ml5_auc", AUC, "auc", "", "year")
+@query("ml5_auc", AUC, "auc")
 def ml5(t: Tables):
-    ranked = R.average_rank(t.scored.withColumn("year", F.year("month")), "score", "year", "r")
+    """AUC of each year and of all rows."""
+    rows = t.scored.select(F.year("month").cast("string").alias("period"), "label", "score")
+    yearly = R.average_rank(rows, "score", "period", "r")
+    every = R.average_rank(rows.select(F.lit("all").alias("period"), "label", "score"), "score", None, "r")
     pos, neg = F.sum("label"), F.sum(1 - F.col("label"))
     area = ratio(F.sum(F.when(F.col("label") == 1, F.col("r"))) - pos * (pos + 1) / 2, (pos * neg).cast("double"))
-    return ranked.groupBy("year").agg(area.alias("auc"))
+    return yearly.select("period", "label", "r").unionByName(every.select("period", "label", "r")).groupBy("period").agg(area.alias("auc"))
+
+
+@query("ml5b_score_distribution", "SELECT label, count(*) AS n, avg(score) AS mean, stddev_samp(score) AS sd, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS q2, quantile_cont(score, 0.75) AS q3 FROM scored GROUP BY 1", "mean sd q1 q2 q3", "", "label n")
+def ml5b(t: Tables):
+    """Scores by label; there are about a thousand different ones, which bounds what the exact quantiles keep."""
+    q = [F.percentile("score", p).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
+    return t.scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), *q)
 
 
 @query("ml6_labelled_dataset", "SELECT s.entity, s.month, r.ret, two.vix, s.fwd, s.label FROM scored s LEFT JOIN ret r USING (entity, month) LEFT JOIN two USING (month)", "ret vix fwd", "month", "label")
@@ -106,10 +147,9 @@ def ml9(t: Tables):
 
         return contexts.map(lambda c: float(np.exp(21 * np.diff(np.log(c)).mean()) - 1) if len(c) >= 63 else None)
 
-    w = R.along("entity", "day").rowsBetween(-251, 0)
-    rows = t.panel.withColumn("context", F.collect_list("price").over(w)).withColumn("month", F.last_day("day"))
-    last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "month").orderBy(F.desc("day")))).where("_r = 1 and size(context) >= 63")
-    return last.select("entity", "month", drift("context").alias("forecast"))
+    from panelwright.plans.q_windows import contexts
+
+    return contexts(t.panel).select("entity", "month", drift("context").alias("forecast"))
 
 
 HOLD = f"SELECT entity, month, weight FROM ({TOP})"
@@ -130,26 +170,42 @@ def ml10(t: Tables):
     return daily_weights(t)
 
 
-ML11 = f"""SELECT day, gross - cost AS ret FROM (SELECT day, sum(coalesce(pw, 0) * coalesce(r, 0)) AS gross, sum(abs(weight - coalesce(pw, 0))) * 0.0015 AS cost FROM (SELECT w.day, w.entity, w.weight, lag(w.weight) OVER (PARTITION BY w.entity ORDER BY w.day) AS pw, d.r FROM ({DAILY}) w JOIN (SELECT entity, day, price / lag(price) OVER (PARTITION BY entity ORDER BY day) - 1 AS r FROM dense) d ON d.entity = w.entity AND d.day = w.day) GROUP BY 1)"""
+@query("fn14_exposure_series", f"SELECT w.day, w.entity, w.weight * coalesce(r.m, 1.0) AS weight FROM ({DAILY}) w ASOF LEFT JOIN (SELECT month, {REGIME_SQL} AS m FROM two) r ON w.day >= r.month", "weight", "day")
+def fn14(t: Tables):
+    """Monthly multipliers carried to days and scaled into the daily weights; before the first month the exposure is 1."""
+    months = t.two.select(F.lit(1).alias("one"), F.col("month").alias("day"), multiplier(graded_regime(F.col("vix"), F.col("spread"))).alias("m"))
+    days = t.panel.select("day").distinct().withColumn("one", F.lit(1))
+    exposure = P.as_of(days, months, ["one"], "day", ["m"]).select("day", F.coalesce("m", F.lit(1.0)).alias("m"))
+    return daily_weights(t).join(P.small(exposure), "day").select("day", "entity", (F.col("weight") * F.col("m")).alias("weight"))
+
+
+ML11 = f"""SELECT day, gross - cost AS ret, b.ret AS benchmark FROM (SELECT day, sum(coalesce(pw, 0) * coalesce(r, 0)) AS gross, sum(abs(weight - coalesce(pw, 0))) * 0.0015 AS cost FROM (SELECT w.day, w.entity, w.weight, lag(w.weight) OVER (PARTITION BY w.entity ORDER BY w.day) AS pw, d.r FROM ({DAILY}) w JOIN (SELECT entity, day, price / lag(price) OVER (PARTITION BY entity ORDER BY day) - 1 AS r FROM dense) d ON d.entity = w.entity AND d.day = w.day) GROUP BY 1) LEFT JOIN (SELECT day, p / lag(p) OVER (ORDER BY day) - 1 AS ret FROM (SELECT day, avg(price) AS p FROM panel GROUP BY 1)) b USING (day)"""
 
 
-@query("ml11_portfolio_path", ML11, "ret", "day")
+@query("ml11_portfolio_path", ML11, "ret benchmark", "day")
 def ml11(t: Tables):
-    """Yesterday's weights earn today's returns; turnover costs fee and slippage."""
+    """Yesterday's weights earn today's returns; turnover costs fee and slippage; beside it the mean price, bought and held."""
     rets = t.dense.select("entity", "day", R.growth("price", "entity", "day").alias("r"))
     rows = daily_weights(t).join(rets, ["entity", "day"]).withColumn("pw", F.coalesce(F.lag("weight").over(R.along("entity", "day")), F.lit(0.0)))
-    return rows.groupBy("day").agg((F.sum(F.col("pw") * F.coalesce("r", F.lit(0.0))) - F.sum(F.abs(F.col("weight") - F.col("pw"))) * 0.0015).alias("ret"))
+    path = rows.groupBy("day").agg((F.sum(F.col("pw") * F.coalesce("r", F.lit(0.0))) - F.sum(F.abs(F.col("weight") - F.col("pw"))) * 0.0015).alias("ret"))
+    index = t.panel.groupBy("day").agg(F.avg("price").alias("p")).withColumn("index", F.lit("mean"))  # one row a day
+    return path.join(P.small(index.select("day", R.growth("p", "index", "day").alias("benchmark"))), "day", "left")
 
 
-@query("ml12_comparison", f"SELECT metric, max(CASE WHEN strategy = 'Brand#11' THEN value END) AS a, max(CASE WHEN strategy = 'Brand#22' THEN value END) AS b, arg_max(strategy, value) AS winner FROM (SELECT strategy, unnest(['total', 'cagr', 'sharpe', 'max_dd']) AS metric, unnest([total, cagr, sharpe, max_dd]) AS value FROM ({metrics_sql('strategy', 'SELECT strategy, month, ret FROM strat')}) WHERE strategy IN ('Brand#11', 'Brand#22')) GROUP BY 1", "a b")
+@query("ml12_comparison", f"SELECT metric, strategy, value, strategy = arg_max(strategy, value) OVER (PARTITION BY metric) AS winner FROM (SELECT strategy, unnest(['total', 'cagr', 'sharpe', 'max_dd']) AS metric, unnest([total, cagr, sharpe, max_dd]) AS value FROM ({metrics_sql('strategy', 'SELECT strategy, month, ret FROM strat')}))", "value")
 def ml12(t: Tables):
-    got = R.path_metrics(t.ret.where("ret is not null").withColumnRenamed("entity", "strategy").where(F.col("strategy").isin("Brand#11", "Brand#22")), ["strategy"], "month", "ret", 12.0)
+    """Every metric of every strategy, and which one is best."""
+    got = R.path_metrics(t.ret.where("ret is not null").withColumnRenamed("entity", "strategy"), ["strategy"], "month", "ret", 12.0)
     long = got.unpivot("strategy", ["total", "cagr", "sharpe", "max_dd"], "metric", "value")
-    pick = lambda s: F.max(F.when(F.col("strategy") == s, F.col("value")))
-    return long.groupBy("metric").agg(pick("Brand#11").alias("a"), pick("Brand#22").alias("b"), F.max_by("strategy", "value").alias("winner"))
+    best = long.groupBy("metric").agg(F.max_by("strategy", "value").alias("best"))
+    return long.join(F.broadcast(best), "metric").select("metric", "strategy", "value", (F.col("strategy") == F.col("best")).alias("winner"))
+
+
+INDEXED = "SELECT ret, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM index_ret"
+DRAWS = f"SELECT d.draw, avg(x.ret) AS mean FROM (SELECT unnest(range(200)) AS draw) d CROSS JOIN (SELECT max(n) AS n FROM ({INDEXED})) c CROSS JOIN LATERAL (SELECT unnest(range((c.n + 5) // 6)) AS b) e CROSS JOIN (SELECT unnest(range(6)) AS o) f JOIN ({INDEXED}) x ON x.i = (CAST('0x' || substr(md5('7-' || d.draw || '-' || e.b), 1, 8) AS BIGINT) % c.n + f.o) % c.n WHERE e.b * 6 + f.o < c.n GROUP BY 1"
 
 
-@query("ml13_block_bootstrap")
+@query("ml13_block_bootstrap", f"SELECT quantile_cont(mean, 0.05) AS p05, quantile_cont(mean, 0.5) AS p50, quantile_cont(mean, 0.95) AS p95 FROM ({DRAWS})", "p05 p50 p95")
 def ml13(t: Tables):
     """Percentiles of the mean monthly return over 200 circular block resamples."""
     index = t.ret.where("ret is not null").groupBy("month").agg(F.avg("ret").alias("ret")).withColumn("i", F.row_number().over(Window.orderBy("month")) - 1)
@@ -180,10 +236,28 @@ def ml16(t: Tables):
     return book.join(P.small(gross), "month").withColumn("cash", 1 - F.col("gross"))
 
 
-@query("ml17_panel_checks", "SELECT 'null_without_inputs' AS rule, count(*) FILTER ((ret IS NULL) <> (z IS NULL)) AS violations FROM (SELECT ret, CASE WHEN ret IS NOT NULL THEN greatest(-3, least(3, ret)) END AS z FROM ret) UNION ALL SELECT 'infinite', count(*) FILTER (isinf(ret)) FROM ret UNION ALL SELECT 'early_coverage', count(*) FILTER (n < 3) FROM (SELECT month, count(ret) AS n FROM ret GROUP BY 1)", "", "", "violations")
+WEIGHED = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {w} / den ELSE 0 END" for c, w in WEIGHTS.items())
+DEN = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {w} ELSE 0 END" for c, w in WEIGHTS.items())
+
+
+@query("ml17_panel_checks", f"""SELECT 'null_without_inputs' AS rule, count(*) FILTER ((ret IS NULL) <> (z IS NULL)) AS violations FROM (SELECT ret, CASE WHEN ret IS NOT NULL THEN greatest(-3, least(3, ret)) END AS z FROM ret) UNION ALL SELECT 'infinite', count(*) FILTER (isinf(ret)) FROM ret
+ UNION ALL SELECT 'early_coverage', count(*) FILTER (n < 3) FROM (SELECT month, count(ret) AS n FROM ret GROUP BY 1 ORDER BY 1 LIMIT 12) UNION ALL SELECT 'late_coverage', count(*) FILTER (n < 3) FROM (SELECT month, count(ret) AS n FROM ret GROUP BY 1 ORDER BY 1 DESC LIMIT 12)
+ UNION ALL SELECT 'used_weights', count(*) FILTER (abs({WEIGHED} - 1) > 1e-9) FROM (SELECT *, nullif({DEN}, 0) AS den FROM facts) UNION ALL SELECT 'nothing_used', count(*) FILTER (({DEN}) = 0) FROM facts""", "", "", "violations")
 def ml17(t: Tables):
+    """Violations of each rule: scores are NULL where inputs are, none is infinite, the first and last year's months are covered, used weights sum to 1."""
     z = clip(F.col("ret"), 3.0)
-    a = t.ret.agg(F.count_if(F.col("ret").isNull() != z.isNull()).alias("violations")).select(F.lit("null_without_inputs").alias("rule"), "violations")
-    b = t.ret.agg(F.count_if(F.coalesce(F.abs("ret") == float("inf"), F.lit(False))).alias("violations")).select(F.lit("infinite").alias("rule"), "violations")
-    c = t.ret.groupBy("month").agg(F.count("ret").alias("n")).agg(F.count_if(F.col("n") < 3).alias("violations")).select(F.lit("early_coverage").alias("rule"), "violations")
-    return a.unionByName(b).unionByName(c)
+    of = lambda df, name, bad: df.agg(F.count_if(bad).alias("violations")).select(F.lit(name).alias("rule"), "violations")
+    no = F.lit(False)
+    months = t.ret.groupBy("month").agg(F.count("ret").alias("n"))
+    weights = {c: F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in WEIGHTS.items()}
+    total = sum(weights.values())
+    share = sum(ratio(w, total) for w in weights.values())
+    checks = [
+        of(t.ret, "null_without_inputs", F.col("ret").isNull() != z.isNull()),
+        of(t.ret, "infinite", F.coalesce(F.abs("ret") == float("inf"), no)),
+        of(months.orderBy("month").limit(12), "early_coverage", F.col("n") < 3),
+        of(months.orderBy(F.desc("month")).limit(12), "late_coverage", F.col("n") < 3),
+        of(t.facts, "used_weights", F.coalesce(F.abs(share - 1) > 1e-9, no)),
+        of(t.facts, "nothing_used", total == 0),
+    ]
+    return reduce(DataFrame.unionByName, checks)

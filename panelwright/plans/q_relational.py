@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalar import content_key, graded_regime, multiplier, ratio
+from panelwright.functions.scalar import content_key, ratio
 from panelwright.operators import panel as P
 from panelwright.operators import rolling as R
 from panelwright.plans.registry import Tables, query
@@ -165,29 +165,33 @@ def jn4(t: Tables):
     return t.dense.groupBy("entity").agg(F.count(F.lit(1)).alias("days"), F.count("price").alias("filled"))
 
 
-ASOF = "SELECT p.entity, p.day, m.value FROM panel p ASOF LEFT JOIN (SELECT day, value FROM macro WHERE series = '1-URGENT') m ON p.day {} m.day"
+SPREAD = "(SELECT p.entity, p.day, s.series FROM panel p CROSS JOIN (SELECT DISTINCT series FROM macro) s) p"
+ASOF = f"SELECT p.entity, p.day, p.series, {{1}} FROM {SPREAD} ASOF LEFT JOIN macro m ON p.series = m.series AND p.day {{0}} m.day"
 
 
 def _macro_as_of(t: Tables, **how):
-    """Macro values are the same for all entities: looked up once a day, then joined."""
-    days = t.panel.select("day").distinct().withColumn("series", F.lit("1-URGENT"))
-    found = P.as_of(days, t.macro.where("series = '1-URGENT'"), ["series"], "day", ["value"], **how)
-    return t.panel.select("entity", "day").join(found.drop("series"), "day", "left").select("entity", "day", "value")
+    """Macro values are the same for all entities: each series is looked up once a day, then joined."""
+    days = t.panel.select("day").distinct().crossJoin(P.small(t.macro.select("series").distinct()))
+    found = P.as_of(days, t.macro, ["series"], "day", ["value"], **how)
+    return t.panel.select("entity", "day").join(found, "day", "left")
 
 
-@query("jn5_as_of_backward", ASOF.format(">="), "value", "day")
+@query("jn5_as_of_backward", ASOF.format(">=", "m.value"), "value", "day")
 def jn5(t: Tables):
-    return _macro_as_of(t)
+    return _macro_as_of(t).select("entity", "day", "series", "value")
 
 
-@query("jn6_as_of_forward", f"SELECT entity, day, value FROM ({ASOF.format('<=')})", "value", "day")
+@query("jn6_as_of_forward", f"SELECT entity, day, series, coalesce(value, last) AS value FROM ({ASOF.format('<=', 'm.value')}) JOIN (SELECT series, arg_max(value, day) AS last FROM macro GROUP BY 1) USING (series)", "value", "day")
 def jn6(t: Tables):
-    return _macro_as_of(t, forward=True)
+    """The first value at or after each day; past a series' end its last one."""
+    return _macro_as_of(t, forward=True, clamp=True).select("entity", "day", "series", "value")
 
 
-@query("jn7_as_of_stale", "SELECT p.entity, p.day, CASE WHEN p.day - m.day <= 1 THEN m.value END AS value FROM panel p ASOF LEFT JOIN (SELECT day, value FROM macro WHERE series = '1-URGENT') m ON p.day >= m.day", "value", "day")
+@query("jn7_as_of_stale", ASOF.format(">=", "CASE WHEN p.day - m.day <= 1 THEN m.value END AS value, coalesce(p.day - m.day > 1, FALSE) AS stale"), "value", "day")
 def jn7(t: Tables):
-    return _macro_as_of(t, most_days=1)
+    """The last value of each series; one older than a day is NULL and flagged."""
+    rows = _macro_as_of(t, most_days=1, at="seen")
+    return rows.select("entity", "day", "series", "value", F.coalesce(F.date_diff("day", "seen") > 1, F.lit(False)).alias("stale"))
 
 
 @query("jn8_latest_value", "SELECT series, max(day) AS day, arg_max(value, day) AS value FROM macro GROUP BY 1", "value", "day")
@@ -350,17 +354,11 @@ def tk9(t: Tables):
     return top.select("q", "vec_id", "sim", F.concat(F.lit("doc "), "vec_id", F.lit(" | c"), "collection").alias("citation"))
 
 
-@query("tk10_sample_per_group")
+@query("tk10_sample_per_group", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42-' || event_id) DESC, event_id) AS r FROM events) WHERE r <= 5")
 def tk10(t: Tables):
-    """Five rows of each type by a seeded random number: a sample is the feature here."""
-    rows = t.read("events").withColumn("u", F.rand(42))
-    return R.top_n(rows.select("event_type", "event_id", "u"), "event_type", "u", "event_id", 5).select("event_type", "event_id")
-
-
-@query("fn14_exposure_series", "SELECT s.entity, s.month, s.score * CASE WHEN vix > 25 OR (vix > 20 AND spread < 0) THEN 0.5 WHEN vix < 20 AND spread > 0 THEN 1.2 ELSE 1 END AS scaled FROM scored s LEFT JOIN two USING (month)", "scaled", "month")
-def fn14(t: Tables):
-    regime = t.two.select("month", multiplier(graded_regime(F.col("vix"), F.col("spread"))).alias("m"))
-    return t.scored.join(P.small(regime), "month", "left").select("entity", "month", (F.col("score") * F.coalesce("m", F.lit(1.0))).alias("scaled"))
+    """Five rows of each type in a random order that a seed and the id settle: a sample is the feature here, and a lost executor does not change it."""
+    rows = t.read("events").select("event_type", "event_id", F.md5(F.concat(F.lit("42-"), "event_id")).alias("u"))
+    return R.top_n(rows, "event_type", "u", "event_id", 5).select("event_type", "event_id")
 
 
 @query("fn10_safe_ratio", "SELECT entity, quarter, debt / nullif(equity, 0) AS r FROM facts", "r", "quarter")

@@ -19,9 +19,12 @@ def w1(t: Tables):
     return t.dense.select("entity", "day", *(R.skip_return("price", "entity", "day", 5, n).alias(f"m{n}") for n in (21, 63)))
 
 
-@query("w2_volume_z", f"""SELECT entity, day, CASE WHEN count(volume) {W_DENSE} ROWS 19 PRECEDING) = 20 THEN (volume - avg(volume) {W_DENSE} ROWS 19 PRECEDING)) / nullif(stddev_samp(volume) {W_DENSE} ROWS 19 PRECEDING), 0) END AS z FROM panel""", "z", "day")
+@query("w2_volume_z", f"""SELECT entity, day, CASE WHEN count(volume) {W_DENSE} ROWS 19 PRECEDING) = 20 THEN (volume - avg(volume) {W_DENSE} ROWS 19 PRECEDING)) / nullif(stddev_samp(volume) {W_DENSE} ROWS 19 PRECEDING), 0) END AS z, 0.0 AS z_unavailable FROM panel""", "z z_unavailable", "day")
 def w2(t: Tables):
-    return t.panel.select("entity", "day", R.rolling_z("volume", "entity", "day", 20).alias("z"))
+    """Rolling z of volume; of an input that is wholly unavailable it is 0."""
+    rows = t.panel.withColumn("turnover", F.lit(None).cast("double"))
+    rows = R.rolling_z_or(R.rolling_z_or(rows, "volume", "entity", "day", 20, "z"), "turnover", "entity", "day", 20, "z_unavailable")
+    return rows.select("entity", "day", "z", "z_unavailable")
 
 
 @query("w3_realised_vol", f"""SELECT entity, day, vol, 1 / nullif(vol, 0) AS inverse FROM (SELECT entity, day, CASE WHEN count(lr) {W_DENSE} ROWS 20 PRECEDING) = 21 THEN stddev_samp(lr) {W_DENSE} ROWS 20 PRECEDING) * sqrt(252) END AS vol FROM (SELECT entity, day, ln(price / lag(price) {W_DENSE})) AS lr FROM panel))""", "vol inverse", "day")
@@ -288,8 +291,20 @@ def w30(t: Tables):
 @query("w31_context", """SELECT entity, month, n, first, last FROM (SELECT m.entity, m.month, count(*) AS n, 1.0 AS first, arg_max(p.price, p.day) / arg_min(p.price, p.day) AS last FROM (SELECT DISTINCT entity, last_day(day) AS month FROM panel) m JOIN (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS back FROM panel) p ON p.entity = m.entity AND p.day <= m.month WHERE p.back < (SELECT min(q.back) FROM (SELECT entity, day, row_number() OVER (PARTITION BY entity ORDER BY day DESC) AS back FROM panel) q WHERE q.entity = m.entity AND q.day <= m.month) + 252 GROUP BY 1, 2) WHERE n >= 63""", "first last", "month", "n")
 def w31(t: Tables):
     """Up to 252 last prices at each month end, divided by the first of them; fewer than 63 are no context."""
-    w = R.along("entity", "day").rowsBetween(-251, 0)
-    rows = t.panel.where("price is not null").withColumn("context", F.collect_list("price").over(w)).withColumn("month", F.last_day("day"))
-    last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "month").orderBy(F.desc("day")))).where("_r = 1 and size(context) >= 63")
     shape = F.transform("context", lambda x: x / F.get("context", F.lit(0)))
-    return last.select("entity", "month", F.size("context").alias("n"), F.get(shape, F.lit(0)).alias("first"), F.element_at(shape, -1).alias("last"))
+    rows = contexts(t.panel).select("entity", "month", F.size("context").alias("n"), shape.alias("shape"))
+    return rows.select("entity", "month", "n", F.get("shape", F.lit(0)).alias("first"), F.element_at("shape", -1).alias("last"))
+
+
+def contexts(panel, most: int = 252, least: int = 63):
+    """(entity, month, context): the last `most` prices at each month's last day, at least `least`.
+
+    Each price goes to the month ends that it is in reach of, so lists are made for month ends and not for every day.
+    """
+    rows = panel.where("price is not null").select("entity", "day", "price", F.last_day("day").alias("month"), F.row_number().over(R.along("entity", "day")).alias("i"))
+    ends = rows.groupBy("entity", "month").agg(F.max("i").alias("end"))
+    # Months that a row is in reach of follow on its own; there are at most as many as rows in a context.
+    ahead = ends.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("end", "month"))).alias("ends"))
+    near = rows.join(ahead, "entity").withColumn("e", F.explode(F.filter("ends", lambda e: (e["end"] >= F.col("i")) & (e["end"] - most < F.col("i")))))
+    lists = near.groupBy("entity", F.col("e.month").alias("month")).agg(F.array_sort(F.collect_list(F.struct("i", "price"))).alias("all"))
+    return lists.where(F.size("all") >= least).select("entity", "month", F.transform("all", lambda x: x["price"]).alias("context"))
