@@ -133,6 +133,21 @@ def average_rank(df: DataFrame, value: str, period: str | None, name: str) -> Da
     return df.join(ranks.drop("_n"), [period, value], "left")
 
 
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the median of each key, the mean of the two middle values: the bins that hold them are found from counts, and only these are ordered."""
+    seen = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", magnitude_bin(F.col(value)))
+    bins = seen.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_all"))
+    w = Window.partitionBy(*keys)
+    upto = bins.select(*keys, "_bin", (F.sum("_all").over(w.orderBy("_bin")) - F.col("_all")).alias("_before"), "_all", F.sum("_all").over(w).alias("_total"))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
+    middle = upto.where((F.col("_before") < high) & (F.col("_before") + F.col("_all") >= low))
+    near = seen.join(F.broadcast(middle.drop("_all")), [*keys, "_bin"])  # two bins a key at most
+    last = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy(value))
+    near = near.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    hits = (F.col("_first") <= low).cast("int") * (F.col("_last") >= low).cast("int") + (F.col("_first") <= high).cast("int") * (F.col("_last") >= high).cast("int")
+    return near.groupBy(*keys).agg((F.sum(hits * F.col(value)) / 2).alias(name))
+
+
 def islands(df: DataFrame, entity: str, number: str, label: str) -> DataFrame:
     """Runs of one label over consecutive numbers: first, last, length."""
     group = F.col(number) - F.row_number().over(Window.partitionBy(entity, label).orderBy(number))

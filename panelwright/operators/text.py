@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -121,8 +122,7 @@ def sections(df: DataFrame, key: str, text: str, patterns: dict[str, str] = SECT
     marked = F.col(text)
     for i, pattern in enumerate(patterns.values()):
         marked = F.regexp_replace(marked, f"(?i)({pattern})", f"\x01{chr(97 + i)}\x02$1")
-    parts = F.slice(F.split(marked, "\x01"), 2, 1_000_000)
-    each = df.select(key, F.posexplode(parts).alias("at", "part"))
+    each = df.select(key, F.posexplode(F.split(marked, "\x01")).alias("at", "part")).where("at > 0")
     names = F.create_map(*(x for i, n in enumerate(patterns) for x in (F.lit(chr(97 + i)), F.lit(n))))
     each = each.select(key, "at", names[F.substring("part", 1, 1)].alias("section"), strip(F.regexp_replace("part", r"^[a-z]\x02", "")).alias("body"))
     long = each.where(F.size(words(F.col("body"))) >= least)
@@ -185,6 +185,21 @@ def lexicon_scorer(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def tokens_of(text: str) -> list[str]:
+    """The tokens that dictionary_counts() takes."""
+    return re.findall(r"[A-Z']+", text.upper())
+
+
+def dictionary_scorer(values: dict[str, int]) -> Callable[[pd.Series], pd.Series]:
+    """A scorer over a dictionary of word values: their sum over the number of tokens, as dictionary_counts() gives it."""
+
+    def one(text: str) -> float:
+        found = tokens_of(text)
+        return sum(values.get(w, 0) for w in found) / max(len(found), 1)
+
+    return lambda texts: texts.map(one)
+
+
 def pieces(text: str, most: int) -> list[str]:
     """The text in pieces of `most` characters at most that end behind a blank where there is one; joined they give the text."""
     out, at = [], 0
@@ -195,12 +210,12 @@ def pieces(text: str, most: int) -> list[str]:
     return [*out, text[at:]]
 
 
-def scored(df: DataFrame, text: str, name: str = "score", scorer: Callable[[], Callable[[pd.Series], pd.Series]] = lambda: lexicon_scorer, most: int = 10_000) -> DataFrame:
+def scored(df: DataFrame, text: str, name: str = "score", scorer: Callable[[], Callable[[pd.Series], pd.Series]] = lambda: lexicon_scorer, most: int = 10_000, weigh: Callable[[str], list] = str.split) -> DataFrame:
     """Scores of texts by a model that `scorer()` loads once in each worker; empty texts score 0.
 
     The model takes `most` characters: longer texts are scored in pieces that end at a blank where there is one, and the
-    pieces' scores are averaged, weighted by their words, so that
-    a mean over words comes out as on the whole text (a single word longer than `most` counts once for each piece).
+    pieces' scores are averaged, weighted by their words (the length of `weigh(piece)`), so that a mean over words comes
+    out as on the whole text (a single word longer than `most` counts once for each piece).
     """
 
     @F.pandas_udf("double")
@@ -212,7 +227,7 @@ def scored(df: DataFrame, text: str, name: str = "score", scorer: Callable[[], C
             scores = model(plain).astype(float).where(plain.str.strip() != "", 0.0).tolist()
             out, at = [], 0
             for p in cut:
-                words = [len(x.split()) for x in p]
+                words = [len(weigh(x)) for x in p] if len(p) > 1 else [1]
                 out.append(sum(s * n for s, n in zip(scores[at : at + len(p)], words, strict=True)) / max(sum(words), 1) if len(p) > 1 else scores[at])
                 at += len(p)
             yield pd.Series(out, index=batch.index, dtype=float)

@@ -64,10 +64,15 @@ def ag8(t: Tables):
     return t.read("lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("ag9_missing_rates", "SELECT quarter, unnest(['debt', 'equity']) AS feature, unnest([d, e]) AS rate, unnest([d, e]) > 0.3 AS flagged FROM (SELECT quarter, avg(CASE WHEN debt IS NULL THEN 1.0 ELSE 0 END) AS d, avg(CASE WHEN equity IS NULL THEN 1.0 ELSE 0 END) AS e FROM facts GROUP BY 1)", "rate", "quarter")
+MISSING = "SELECT {0} AS period, unnest(['debt', 'equity']) AS feature, unnest([d, e]) AS rate, unnest([d, e]) > 0.3 AS flagged FROM (SELECT {1} avg(CASE WHEN debt IS NULL THEN 1.0 ELSE 0 END) AS d, avg(CASE WHEN equity IS NULL THEN 1.0 ELSE 0 END) AS e FROM facts {2})"
+
+
+@query("ag9_missing_rates", f"{MISSING.format('CAST(quarter AS VARCHAR)', 'quarter,', 'GROUP BY 1')} UNION ALL {MISSING.format(chr(39) + 'all' + chr(39), '', '')}", "rate")
 def ag9(t: Tables):
-    rates = t.facts.groupBy("quarter").agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in ("debt", "equity")))
-    return rates.unpivot("quarter", ["debt", "equity"], "feature", "rate").withColumn("flagged", F.col("rate") > 0.3)
+    """Missing rates of each quarter and of all rows, in one pass over quarters."""
+    names = ("debt", "equity")
+    counts = t.facts.rollup("quarter").agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in names)).withColumn("period", F.coalesce(F.col("quarter").cast("string"), F.lit("all"))).drop("quarter")
+    return counts.unpivot("period", list(names), "feature", "rate").withColumn("flagged", F.col("rate") > 0.3)
 
 
 @query("ag10_summary", "SELECT count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd, min(l_quantity) AS low, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS q2, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS high FROM lineitem", "mean sd low q1 q2 q3 high", "", "n")
@@ -125,9 +130,10 @@ def ag16(t: Tables):
 
 @query("ag17_outcomes", "SELECT coalesce(l_returnflag, 'all') AS trigger, count(*) AS n, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END) AS hit, avg(l_extendedprice) AS mean, quantile_cont(l_extendedprice, 0.5) AS median, sum(l_extendedprice) / 1000000 AS total FROM lineitem GROUP BY ROLLUP (l_returnflag)", "hit mean median total", "", "n")
 def ag17(t: Tables):
-    x = "l_extendedprice"
-    got = t.read("lineitem").rollup("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_discount") > 0.05).cast("double")).alias("hit"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), (F.sum(x) / 1000000).alias("total"))
-    return got.withColumn("trigger", F.coalesce("l_returnflag", F.lit("all"))).drop("l_returnflag")
+    x, key = "l_extendedprice", F.coalesce("l_returnflag", F.lit("all")).alias("trigger")
+    got = t.read("lineitem").rollup("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_discount") > 0.05).cast("double")).alias("hit"), F.avg(x).alias("mean"), (F.sum(x) / 1000000).alias("total"))
+    rows = t.read("lineitem").select(F.explode(F.array(F.col("l_returnflag"), F.lit("all"))).alias("trigger"), x)
+    return got.select(key, "n", "hit", "mean", "total").join(R.exact_median(rows, ["trigger"], x, "median"), "trigger")
 
 
 @query("ag18_concentration", "SELECT count(*) FILTER (running <= 0.5 * total) + 1 AS n FROM (SELECT sum(v) OVER (ORDER BY v DESC, o_custkey) AS running, sum(v) OVER () AS total FROM (SELECT o_custkey, abs(sum(o_totalprice - 150000)) AS v FROM orders GROUP BY 1))", "", "", "n")
@@ -143,29 +149,42 @@ def ag18(t: Tables):
 
 PAIRS = "SELECT key, day, avg(CASE WHEN source = 'click' THEN score END) AS a, avg(CASE WHEN source <> 'click' THEN score END) AS b FROM news GROUP BY 1, 2"
 _RANKS = f"SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM ({PAIRS}) WHERE a IS NOT NULL AND b IS NOT NULL"
-AGREE = f"SELECT count(*) AS n, avg(a - b) AS difference, stddev_samp(a) / nullif(stddev_samp(b), 0) AS sd_ratio, corr(ra, rb) AS rank_corr FROM ({_RANKS})"
+_EACH = f"SELECT day, unnest([a, b]) AS v FROM ({PAIRS}) WHERE a IS NOT NULL AND b IS NOT NULL"
+AGREE = f"SELECT * FROM (SELECT count(*) AS n, avg(a - b) AS difference, stddev_samp(a) / nullif(stddev_samp(b), 0) AS sd_ratio, corr(ra, rb) AS rank_corr FROM ({_RANKS})) CROSS JOIN (SELECT stddev_samp(v) AS pooled_sd FROM ({_EACH})) CROSS JOIN (SELECT avg(sd) AS period_sd FROM (SELECT stddev_samp(v) AS sd FROM ({_EACH}) GROUP BY day))"
 
 
 def agreement(t: Tables):
-    pairs = t.news.groupBy("key", "day").agg(F.avg(F.when(F.col("source") == "click", F.col("score"))).alias("a"), F.avg(F.when(F.col("source") != "click", F.col("score"))).alias("b")).dropna("any", subset=["a", "b"]).withColumn("all", F.lit(1))
-    ranked = R.average_rank(R.average_rank(pairs, "a", "all", "ra"), "b", "all", "rb")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("a") - F.col("b")).alias("difference"), ratio(F.stddev_samp("a"), F.stddev_samp("b")).alias("sd_ratio"), F.corr("ra", "rb").alias("rank_corr"))
-
-
-@query("ag19_agreement", AGREE, "difference sd_ratio rank_corr", "", "n")
+    """One row: difference, ratio of deviations and rank correlation of paired means, their pooled deviation and the mean of periods' deviations."""
+    of = lambda c: F.avg(F.when(c, F.col("score")))
+    pairs = t.news.groupBy("key", "day").agg(of(F.col("source") == "click").alias("a"), of(F.col("source") != "click").alias("b")).dropna("any", subset=["a", "b"])
+    ranked = R.average_rank(R.average_rank(pairs, "a", None, "ra"), "b", None, "rb")
+    told = ranked.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("a") - F.col("b")).alias("difference"), ratio(F.stddev_samp("a"), F.stddev_samp("b")).alias("sd_ratio"), F.corr("ra", "rb").alias("rank_corr"))
+    each = pairs.select("day", F.explode(F.array("a", "b")).alias("v"))
+    pooled = each.agg(F.stddev_samp("v").alias("pooled_sd"))
+    period = each.groupBy("day").agg(F.stddev_samp("v").alias("sd")).agg(F.avg("sd").alias("period_sd"))
+    return told.join(F.broadcast(pooled)).join(F.broadcast(period))  # one row each
+
+
+@query("ag19_agreement", AGREE, "difference sd_ratio rank_corr pooled_sd period_sd", "", "n")
 def ag19(t: Tables):
     return agreement(t)
 
 
-@query("ag20_decision", f"SELECT n, CASE WHEN n < 30 THEN 'TOO_FEW' WHEN rank_corr >= 0.5 AND abs(difference) < 0.1 THEN 'POOL' WHEN rank_corr >= 0.1 THEN 'RESCALE' ELSE 'SEPARATE' END AS decision FROM ({AGREE})", "", "", "n")
+@query("ag20_decision", f"SELECT n, CASE WHEN n < 30 THEN 'TOO_FEW' WHEN rank_corr >= 0.5 AND abs(difference) < 0.25 * pooled_sd THEN 'POOL' WHEN rank_corr >= 0.1 THEN 'RESCALE' ELSE 'SEPARATE' END AS decision FROM ({AGREE})", "", "", "n")
 def ag20(t: Tables):
-    decision = F.when(F.col("n") < 30, "TOO_FEW").when((F.col("rank_corr") >= 0.5) & (F.abs("difference") < 0.1), "POOL").when(F.col("rank_corr") >= 0.1, "RESCALE").otherwise("SEPARATE")
+    decision = F.when(F.col("n") < 30, "TOO_FEW").when((F.col("rank_corr") >= 0.5) & (F.abs("difference") < 0.25 * F.col("pooled_sd")), "POOL").when(F.col("rank_corr") >= 0.1, "RESCALE").otherwise("SEPARATE")
     return agreement(t).select("n", decision.alias("decision"))
 
 
-@query("ag21_density", "SELECT week, quantile_cont(n, 0.5) AS median FROM (SELECT CAST(date_trunc('week', day) AS DATE) AS week, key, count(*) AS n FROM news GROUP BY 1, 2) GROUP BY 1", "median", "week")
+RULES = "SELECT key, day, unnest(['all', CASE WHEN source = 'click' THEN 'click only' ELSE 'without click' END]) AS rule FROM news"
+
+
+@query("ag21_density", f"SELECT year, rule, quantile_cont(n, 0.5) AS median FROM (SELECT year(day) AS year, rule, key, date_trunc('week', day) AS week, count(*) AS n FROM ({RULES}) GROUP BY ALL) GROUP BY 1, 2", "median", "", "year")
 def ag21(t: Tables):
-    return t.news.groupBy(F.trunc("day", "week").alias("week"), "key").agg(F.count(F.lit(1)).alias("n")).groupBy("week").agg(F.percentile("n", 0.5).alias("median"))
+    """Median items of a key's week, by year and by which sources a rule takes."""
+    rule = F.explode(F.array(F.lit("all"), F.when(F.col("source") == "click", "click only").otherwise("without click")))
+    n = t.news.select("key", "day", rule.alias("rule")).groupBy(F.year("day").alias("year"), "rule", "key", F.trunc("day", "week").alias("week")).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("year", "rule").agg(F.percentile("n", 0.5).alias("median"))  # counts: few different values
 
 
 @query("ag22_shrinkage", "SELECT week, avg(n / (n + 10.0)) AS own_weight, quantile_cont(n, 0.5) AS median, avg(CASE WHEN n = 0 THEN 1.0 ELSE 0 END) AS prior_share FROM (SELECT w.week, k.key, count(m.key) AS n FROM (SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS week FROM news) w CROSS JOIN (SELECT DISTINCT key FROM news) k LEFT JOIN news m ON m.key = k.key AND CAST(date_trunc('week', m.day) AS DATE) = w.week GROUP BY 1, 2) GROUP BY 1", "own_weight median prior_share", "week")
@@ -253,11 +272,13 @@ def ag30(t: Tables):
     return persistence(t)
 
 
-@query("ag31_table_fingerprint")
+@query("ag31_table_fingerprint", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS keys, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last, bit_xor(h) AS digest, sum(h) AS sum FROM (SELECT *, CAST('0x' || substr(sha256(o_orderkey || '|' || o_custkey || '|' || CAST(round(o_totalprice * 100) AS BIGINT) || '|' || strftime(o_orderdate, '%Y-%m-%d')), 1, 8) AS BIGINT) AS h FROM orders)", "", "", "n keys digest sum")
 def ag31(t: Tables):
-    """Rows, keys, first and last, and a digest of all rows that their order does not change."""
-    h = F.xxhash64("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    return t.read("orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("keys"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.hex(F.bit_xor(h)).alias("digest"), F.hex(F.sum(F.pmod(h, F.lit(2**31)))).alias("sum"))
+    """Rows, keys, first and last, and digests of all rows that their order does not change."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    row = F.concat_ws("|", "o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long"), day("o_orderdate"))
+    h = F.conv(F.substring(F.sha2(row, 256), 1, 8), 16, 10).cast("long")
+    return t.read("orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("keys"), day(F.min("o_orderdate")).alias("first"), day(F.max("o_orderdate")).alias("last"), F.bit_xor(h).alias("digest"), F.sum(h).alias("sum"))
 
 
 @query("ag32_compare_snapshots", "SELECT CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'changed' END AS kind, count(*) AS n FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 11 <> 0) b ON a.k = b.k GROUP BY 1", "", "", "n")

@@ -21,9 +21,9 @@ def fn2(t: Tables):
     return t.read("part").select("p_partkey", S.content_key(F.col("p_name"), brand, F.col("p_type")).alias("key"))
 
 
-@query("fn3_chunk_id")
+@query("fn3_chunk_id", """SELECT doc_id, sha1(coalesce(text, '') || '{' || concat_ws(',', CASE WHEN lang IS NOT NULL THEN '"lang":"' || lang || '"' END, CASE WHEN source IS NOT NULL THEN '"source":"' || source || '"' END) || '}') AS chunk_id FROM documents""")
 def fn3(t: Tables):
-    meta = F.create_map(F.lit("source"), "source", F.lit("lang"), "lang")
+    meta = F.map_filter(F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"), lambda k, v: v.isNotNull())
     return t.read("documents").select("doc_id", S.chunk_id(F.coalesce("text", F.lit("")), meta).alias("chunk_id"))
 
 
@@ -108,14 +108,13 @@ def fn18(t: Tables):
     return t.read("events").select("event_id", S.relevance(F.col("props"), "$.k").alias("k"))
 
 
-@query("fn19_symbol_in_text", "SELECT doc_id, list_extract(list_filter(['THE', 'DE'], lambda s: list_contains(string_split_regex(upper(text), '[^A-Z0-9]+'), s)), 1) AS symbol FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)")
+@query("fn19_symbol_in_text", "SELECT doc_id, list_extract(list_filter(['THE', 'DE'], lambda s: list_contains(string_split_regex(upper(replace(text, 'ß', 'ss')), '[^A-Z0-9]+'), s)), 1) AS symbol FROM documents")
 def fn19(t: Tables):
     """The longest known symbol among a text's words."""
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", " ")
-    return t.read("documents").select("doc_id", S.first_symbol(plain, ["THE", "DE"]).alias("symbol"))
+    return t.read("documents").select("doc_id", S.first_symbol(F.col("text"), ["THE", "DE"]).alias("symbol"))
 
 
-@query("fn20_path_parts")
+@query("fn20_path_parts", r"SELECT page_id, nullif(regexp_extract(path, '(19\d\d|20\d\d)', 1), '') AS year, nullif(regexp_extract(path, '([^/]+)/[^/]+$', 1), '') AS folder FROM (SELECT page_id, 'papers/' || list_extract(string_split(url, '/'), -1) || '/paper_2019.pdf' AS path FROM pages)")
 def fn20(t: Tables):
     rows = t.read("pages").withColumn("path", F.concat(F.lit("papers/"), F.substring_index("url", "/", -1), F.lit("/paper_2019.pdf")))
     return rows.select("page_id", S.year_in_path(F.col("path")).alias("year"), S.parent_folder(F.col("path")).alias("folder"))

@@ -56,29 +56,44 @@ def tx7(t: Tables):
     return notes.select("doc_id", X.note_body(F.col("text")).alias("body")).where("body is not null")
 
 
-@query("tx8_dictionary_scores", f"""SELECT doc_id, total, positive, negative, uncertainty, litigious, (positive - negative) / greatest(total, 1) AS net FROM (SELECT doc_id, len(w) AS total, {', '.join(f"coalesce((SELECT sum(d.{c}) FROM (SELECT unnest(w) AS word) x JOIN (VALUES {VALUES}) d(word, positive, negative, uncertainty, litigious) USING (word)), 0) AS {c}" for c in ('positive', 'negative', 'uncertainty', 'litigious'))} FROM (SELECT doc_id, regexp_extract_all(upper(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[A-Z'']+') AS w FROM documents))""", "net", "", "total positive negative uncertainty litigious")
+CATEGORIES = ("positive", "negative", "uncertainty", "litigious")
+TOKENS = "regexp_extract_all(upper(replace(coalesce({0}, ''), 'ß', 'ss')), '[A-Z'']+')"
+_SUMS = ", ".join(f"coalesce((SELECT sum(d.{c}) FROM (SELECT unnest(w) AS word) x JOIN (VALUES {VALUES}) d(word, positive, negative, uncertainty, litigious) USING (word)), 0) AS {c}" for c in CATEGORIES)
+TX8 = f"SELECT doc_id, lang, total, positive, negative, uncertainty, litigious, (positive - negative) / greatest(total, 1) AS net FROM (SELECT doc_id, lang, len(w) AS total, {_SUMS} FROM (SELECT doc_id, lang, {TOKENS.format('text')} AS w FROM documents))"
+
+
+@query("tx8_dictionary_scores", f"SELECT * EXCLUDE (lang) FROM ({TX8})", "net", "", "total positive negative uncertainty litigious")
 def tx8(t: Tables):
     lexicon = t.spark.createDataFrame(LEXICON, "word string, positive int, negative int, uncertainty int, litigious int")
-    return X.dictionary_counts(t.read("documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " ")), "doc_id", "text", F.broadcast(lexicon), ["positive", "negative", "uncertainty", "litigious"])
+    return X.dictionary_counts(t.read("documents"), "doc_id", "text", F.broadcast(lexicon), list(CATEGORIES))
+
 
+def lexicon_scores(df, text: str = "text"):
+    """Texts scored by the example dictionary, as a model would be plugged in."""
+    model = X.dictionary_scorer({w: p - n for w, p, n, _, _ in LEXICON})
+    return X.scored(df, text, scorer=lambda: model, weigh=X.tokens_of)
 
-@query("tx9_model_scores")
+
+@query("tx9_model_scores", f"SELECT doc_id, net AS score FROM ({TX8})", "score")
 def tx9(t: Tables):
-    return X.scored(t.read("documents").select("doc_id", "text"), "text").select("doc_id", "score")
+    return lexicon_scores(t.read("documents").select("doc_id", "text")).select("doc_id", "score")
+
+
+_NET = f"list_sum(list_transform({TOKENS.format('c')}, lambda x: {' '.join(f'CASE x' if i == 0 else '' for i in range(1))} {' '.join(f'WHEN {chr(39)}{w}{chr(39)} THEN {p - n}' for w, p, n, _, _ in LEXICON)} ELSE 0 END))"
 
 
-@query("tx10_document_scores", f"SELECT doc_id, greatest(-1, least(1, avg(s))) AS score, count(*) AS chunks FROM (SELECT doc_id, list_sum(list_transform(list_slice(w, i * 435 + 1, i * 435 + 435), lambda x: CASE WHEN length(x) > 6 THEN 1 WHEN length(x) < 3 THEN -1 ELSE 0 END)) / len(list_slice(w, i * 435 + 1, i * 435 + 435)) AS s FROM (SELECT doc_id, w, unnest(range((len(w) + 434) // 435)) AS i FROM (SELECT doc_id, {W} AS w FROM documents))) GROUP BY 1", "score", "", "chunks")
+@query("tx10_document_scores", f"SELECT doc_id, greatest(-1, least(1, avg(s))) AS score, count(*) AS chunks FROM (SELECT doc_id, coalesce({_NET}, 0) / greatest(len({TOKENS.format('c')}), 1) AS s FROM (SELECT doc_id, array_to_string(list_slice(w, i * 435 + 1, i * 435 + 435), ' ') AS c FROM (SELECT doc_id, w, unnest(range((len(w) + 434) // 435)) AS i FROM (SELECT doc_id, {W} AS w FROM documents)))) GROUP BY 1", "score", "", "chunks")
 def tx10(t: Tables):
     """Mean of chunk scores, cut to +-1."""
     chunks = t.read("documents").select("doc_id", F.explode(X.fixed_chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.text").alias("text"))
-    got = X.scored(chunks, "text").groupBy("doc_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("chunks"))
+    got = lexicon_scores(chunks).groupBy("doc_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("chunks"))
     return got.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score")))
 
 
-@query("tx11_batched_scores")
+@query("tx11_batched_scores", f"SELECT doc_id, lang, net AS score FROM ({TX8})", "score")
 def tx11(t: Tables):
     rows = X.batched_by_length(t.read("documents").select("doc_id", "lang", "text"), "lang", "text")
-    return X.scored(rows, "text").select("doc_id", "lang", "score")
+    return lexicon_scores(rows).select("doc_id", "lang", "score")
 
 
 @query("tx12_embeddings")
@@ -92,16 +107,16 @@ def tx13(t: Tables):
     return X.routed(chunks, "lang", {"en": "english", "de": "german"}, "id").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tx14_context", f"SELECT lang, string_agg(t, ' ... ' ORDER BY doc_id) AS context FROM (SELECT lang, doc_id, array_to_string(list_slice({W}, 1, 30), ' ') AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 6 GROUP BY 1")
+@query("tx14_context", f"SELECT lang, string_agg(t, ' ... ' ORDER BY doc_id) AS context FROM (SELECT lang, doc_id, array_to_string(list_slice({W}, 1, 300), ' ') AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 6 GROUP BY 1")
 def tx14(t: Tables):
-    """The first six of each language (a top-k, taken within salted parts first), each cut to 30 words."""
+    """The first six of each language (a top-k, taken within salted parts first), each cut to 300 words."""
     salted = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(32))).orderBy("doc_id")
     rows = t.read("documents").withColumn("r", F.row_number().over(salted)).where("r <= 6")
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("r <= 6")
-    cut = rows.select("lang", "doc_id", F.array_join(F.slice(X.words(F.col("text")), 1, 30), " ").alias("t"))
+    cut = rows.select("lang", "doc_id", F.array_join(F.slice(X.words(F.col("text")), 1, 300), " ").alias("t"))
     return cut.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), " ... ").alias("context"))
 
 
-@query("tx15_dehyphenated", r"SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 20 OR trim(x) = ''), chr(10)), '(\w)-\n(\w)', '\1\2', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents WHERE text NOT LIKE '%' || chr(9) || '%'")
+@query("tx15_dehyphenated", r"SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')) > 20 OR regexp_replace(x, '^\s+|\s+$', '', 'g') = ''), chr(10)), '(\w)-\n(\w)', '\1\2', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
 def tx15(t: Tables):
-    return t.read("documents").where(~F.contains("text", F.lit("\t"))).select("doc_id", X.dehyphenated(F.col("text")).alias("text"))
+    return t.read("documents").select("doc_id", X.dehyphenated(F.col("text")).alias("text"))

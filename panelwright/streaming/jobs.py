@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import clean_field, content_key, parse_timestamp, strip
+from panelwright.operators.panel import small
 from panelwright.sources.sinks import insert_absent
 
 
@@ -24,7 +25,7 @@ def landed(spark: SparkSession, path: str, schema, max_files: int = 1000) -> Dat
 def ingested(articles: DataFrame, universe: DataFrame, lateness: str = "7 days") -> DataFrame:
     """Articles(ticker, published_at as text, title, snippet) of known tickers: normalised, keyed by content, once each within the watermark."""
     rows = articles.select(F.upper(strip(F.col("ticker"))).alias("ticker"), parse_timestamp(F.col("published_at")).alias("published_at"), F.coalesce(clean_field(F.col("title")), F.lit("")).alias("title"), clean_field(F.col("snippet"), 2000).alias("snippet"))
-    rows = rows.where("published_at is not null").join(F.broadcast(universe.select("ticker")), "ticker", "left_semi")
+    rows = rows.where("published_at is not null").join(small(universe.select("ticker")), "ticker", "left_semi")
     rows = rows.withColumn("article_hash", content_key(F.col("ticker"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"), F.col("title")))
     return rows.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["article_hash"])
 
@@ -82,8 +83,22 @@ def freshness(latest: DataFrame, source: str, limits: dict[str, int], as_of: str
 
 
 def window_status(log: DataFrame, full: int, gap: int) -> DataFrame:
-    """log(rows, gap_days, ...) with a status told from evidence: no rows is an error, many rows that end early are partial."""
-    return log.withColumn("status", F.when(F.col("rows") == 0, "error").when((F.col("rows") >= full) & (F.col("gap_days") > gap), "partial").otherwise("ok"))
+    """log(rows, gap_days, answered) with a status told from evidence.
+
+    A window that was answered without rows is `empty` and done; one that was not answered is an `error` and asked again
+    (without a column `answered`, every window without rows); many rows that end early are `partial`.
+    """
+    none = F.when(F.coalesce("answered", F.lit(False)), "empty").otherwise("error") if "answered" in log.columns else F.lit("error")
+    return log.withColumn("status", F.when(F.col("rows") == 0, none).when((F.col("rows") >= full) & (F.col("gap_days") > gap), "partial").otherwise("ok"))
+
+
+#: Windows in these states are not asked for again.
+DONE = ("ok", "empty")
+
+
+def open_windows(log: DataFrame) -> DataFrame:
+    """The windows of a status log that have to be asked for again."""
+    return log.where(~F.col("status").isin(*DONE))
 
 
 def enriched(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

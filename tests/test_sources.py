@@ -128,3 +128,10 @@ def test_operator_edges(spark):
 def test_stream_status(spark):
     log = spark.createDataFrame([(0, 9), (950, 20), (950, 2), (5, 40)], "rows int, gap_days int")
     assert [r.status for r in J.window_status(log, 900, 14).collect()] == ["error", "partial", "ok", "ok"]
+
+
+def test_empty_windows_are_done(spark):
+    log = spark.createDataFrame([(0, 9, True), (0, 9, False), (0, 9, None), (950, 20, True), (5, 1, True)], "rows int, gap_days int, answered boolean")
+    told = J.window_status(log, 900, 14)
+    assert [r.status for r in told.collect()] == ["empty", "error", "error", "partial", "ok"]
+    assert sorted(r.status for r in J.open_windows(told).collect()) == ["error", "error", "partial"]
