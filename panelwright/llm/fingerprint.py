@@ -29,6 +29,8 @@ from panelwright.llm.common import stored, table
 BOUNDARY = r"(?<=[.!?\n])"
 IDENTITY, SKETCH = 4, 64
 COUNTERS = 2 * SKETCH
+#: Ranges of the order for each shuffle partition, so that several small ones share a task and a large one is none.
+RANGES = 4
 #: One bit in each of two counters of 32 bits.
 SPREAD = 0x0000000100000001
 
@@ -106,12 +108,13 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def bounds(docs: DataFrame) -> DataFrame:
-    """One row with `cuts`, the ordered lists of lists of (_key, _row) at which ranges of rows begin: as many as Spark's shuffle has partitions.
+    """One row with `cuts`, the ordered lists of lists of (_key, _row) at which ranges of rows begin: RANGES for each partition of Spark's shuffles.
 
     Ranges are those of Spark's own range partitioning of (key, hash of the text), so rows of one repeated or NULL doc_id
     fall into many of them.
     """
-    rows = docs.select("_key", "_row").repartitionByRange("_key", "_row").select(F.spark_partition_id().alias("_part"), F.struct("_key", "_row").alias("_at"))
+    many = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that small rows' ranges are not coalesced
+    rows = docs.select("_key", "_row").repartitionByRange(many, "_key", "_row").select(F.spark_partition_id().alias("_part"), F.struct("_key", "_row").alias("_at"))
     least = rows.groupBy("_part").agg(F.min("_at").alias("_at"))
     cuts = least.agg(F.array_sort(F.collect_list("_at")).alias("all"))
     step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("all")))).cast("int")
