@@ -3,8 +3,8 @@
 A line is cut if any earlier document aligns with it in a block of `words` words or more. Such a block contains one of the
 line's runs, neighbouring lines that reach `words` words going forward or backward from it, so only earlier documents
 that hold an open run need to be aligned: a run is open while one of its lines is uncut. Round by round open runs lead to
-further holders: to their first one, then to shares of all others, from one in about `n` to every one, each share four
-times the last. A run that its first holders cut never meets the rest, and what stays uncut has met them all.
+further holders: to their first one, then to about `GROWTH` others, then to `GROWTH` times as many in each round. A run
+that its first holders cut never meets the rest, and what stays uncut has met them all.
 
 Two documents are aligned by patience diff over their line hashes: common heads and tails, then the longest increasing
 chain of lines that occur once in both, then the same between its links. Blocks
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import small_batches, stored, table
 
 WORDS = 5
+GROWTH = 16
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -199,23 +201,21 @@ def shared_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:
     if asked.isEmpty():
         return total.select("doc.*", "gone")
     wanted = asked.select(F.explode("keys").alias("key")).distinct()
-    few = firsts.join(wanted, "key", "left_semi").select("key", F.col("first").alias("least"))
-    most = firsts.join(wanted, "key", "left_semi").agg(F.max("n")).first()[0]
+    few = firsts.join(wanted, "key", "left_semi").select("key", F.col("first").alias("least"), "n")
     draw = F.pmod(F.xxhash64("doc", F.lit("share")), F.lit(2**40))
-    holders = stored(each.join(few, "key").where("doc > least").select("key", F.col("doc").alias("first"), draw.alias("draw")).distinct())
-    share, low = 1.0 / max(most, 4), 0
-    while True:
-        high = min(2**40, int(2**40 * share) + 1)
-        here = holders.where((F.col("draw") >= low) & (F.col("draw") < high)).drop("draw")
+    # A run's holders in an order of chance: `turn` says in which round they are met, the first GROWTH ones, then GROWTH times as many.
+    turn = F.greatest(F.lit(1), F.ceil(F.log(draw / 2**40 * F.col("n") + 1e-9) / math.log(GROWTH))).cast("int")
+    holders = stored(each.join(few, "key").where("doc > least").select("key", F.col("doc").alias("first"), turn.alias("turn")).distinct())
+    last = holders.agg(F.max("turn")).first()[0] or 0
+    for now in range(1, last + 1):
+        here = holders.where(F.col("turn") == now).drop("turn")
         pairs = asked.select("doc", F.explode("keys").alias("key")).join(here, "key").where("first < doc").select("doc", "first").distinct()
-        fresh = stored(cut_by(pairs))
-        total = stored(total.unionByName(fresh).select("doc", F.explode("gone").alias("line")).groupBy("doc").agg(F.collect_set("line").alias("gone")))
-        if high == 2**40:
+        total = stored(total.unionByName(cut_by(pairs)).select("doc", F.explode("gone").alias("line")).groupBy("doc").agg(F.collect_set("line").alias("gone")))
+        if now == last:
             break
         asked = narrowed(asked, total)
         if asked.isEmpty():
             break
-        share, low = share * 4, high
     return total.select("doc.*", "gone")
 
 
