@@ -2,7 +2,8 @@
 
 Ids come from a local rank file through the tiktoken library. A text longer than `PIECE` characters is cut at safe
 boundaries first, places where every match of the pre-splitting pattern ends whatever follows, so that the ids equal
-those of the whole text while memory stays bounded by the piece. Ids are carried as packed little-endian unsigned
+those of the whole text while memory stays bounded by the piece, or by a single match of the pattern if that is longer (a run
+of letters, or of marks, without a break), which no cut may divide. Ids are carried as packed little-endian unsigned
 32-bit integers, the form in which token files are stored; decoding gives raw bytes, which need not be valid UTF-8.
 
 Defined results: a NULL or empty text has no ids and decodes to no bytes; repeated rows are encoded each; other
@@ -27,8 +28,8 @@ from panelwright.llm.common import small_batches, table
 
 #: Characters after which a text is cut at the next safe boundary.
 PIECE = 1 << 16
-#: No match of the pattern holds a letter or digit and a blank after it, nor a letter beside a digit.
-SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n])|(?<=\p{L})(?=[0-9])|(?<=[0-9])(?=\p{L})")
+#: No match of the pattern holds a letter or digit and a blank or mark after it, nor a letter beside a digit.
+SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n]|[^\s\p{L}\p{N}])|(?<=\p{L})(?=[0-9])|(?<=[0-9])(?=\p{L})")
 
 
 def pieces(text: str, most: int = PIECE) -> Iterator[str]:
