@@ -5,17 +5,23 @@ a class, and only class representatives are compared. Inverted lists of retained
 m values the m - overlap + 1 rarest (by the length of their lists) are listed, because two sketches that share at least
 `overlap` values then share a listed one. For sets that fit into the sketch together with any partner, overlap is what
 the similarity demands, so nothing can be missed; for larger sets it is m/2, and a pair at exactly the threshold of 0.8
-fails to share so many of 64 values with a probability below 1e-6. Rare values first keep a phrase that a third of all
-documents hold from generating pairs. Sets of over `SINGLES` shingles are listed under two neighbouring ones of these
-values at a time: similar ones share most of them and so some neighbours, while a single value that unlike documents have
-in common would chain them. Sizes near the bound are listed both ways, so that partners meet.
+fails to share so many of 64 values with a probability of 2e-8. Rare values first keep a phrase that a third of all
+documents hold from generating pairs.
+
+Sets of over `SINGLES` shingles are listed under two of these values at a time that stand within `REACH` places of each
+other in the order of rarity, because a single value that unlike documents have in common would chain them. Two sets that
+share s of their 33 listed values miss each other only if other values push all shared ones further apart, which takes
+REACH * (s - 1) of the 2 * (33 - s) others: not for 14 shared values or more. At the threshold, sets of one size share
+fewer with a probability of 1e-5; a set and a part of it can miss each other only if 24 of 64 values are the larger one's
+own, with a probability of 9e-4, and then only if these stand evenly between all shared ones, in at most one of 1e7 orders
+of rarity. Sizes near the bound are listed both ways, so that partners meet.
 
 Documents that share a list, directly or through others, are a family; a pair outside of families cannot be similar.
 Families of up to `BLOCK` members are compared in cells of about so many documents each. A larger family is cut into
 blocks. First every block meets one block of pivots; what that links is contracted. Then the members outside of the
 family's largest component meet all blocks in cells of two blocks, until every pair of different components has met. In a
-cell, sketches' overlaps and then the similarity estimated on the union's sketch (kept within 4.5 standard deviations of
-the threshold) filter the pairs, and full sets confirm them; pairs that the cell's links already connect are skipped. So a
+cell, sketches' overlaps and then the similarity estimated on the union's sketch (kept within 6 standard deviations of
+the threshold, half of the sketch; a pair at the threshold falls below with a probability of 2e-8) filter the pairs, and full sets confirm them; pairs that the cell's links already connect are skipped. So a
 group of copies yields about one link for each copy, texts travel once for a block and not once for a pair, and yet no
 component is missed. No list, candidate or partner is dropped.
 
@@ -41,6 +47,8 @@ K = 64
 BLOCK = 64
 #: Sets of so many shingles at most are listed under single values; those of 0.8 times as many or more under pairs of values.
 SINGLES = 60
+#: Places between the two values of a pair at most.
+REACH = 3
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
@@ -67,7 +75,8 @@ def listed(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
     rows = shared.select("rep", "n", own.alias("own"))
     none = F.array().cast("array<bigint>")
     singles = F.when(F.col("n") <= SINGLES, F.transform("own", lambda x: F.xxhash64(F.lit(1), x))).otherwise(none)
-    pairs = F.zip_with(F.slice("own", 1, F.greatest(F.size("own") - 1, F.lit(0))), F.slice("own", 2, F.greatest(F.size("own") - 1, F.lit(0))), lambda x, y: F.xxhash64(F.lit(2), x, y))
+    beside = lambda d: F.zip_with(F.slice("own", 1, F.greatest(F.size("own") - d, F.lit(0))), F.slice("own", d + 1, F.greatest(F.size("own") - d, F.lit(0))), lambda x, y: F.xxhash64(F.lit(2), x, y))
+    pairs = F.concat(*(F.when(F.size("own") > d, beside(d)).otherwise(none) for d in range(1, REACH + 1)))
     pairs = F.when(F.col("n") * 100 >= SINGLES * percent, pairs).otherwise(none)
     return rows.select("rep", F.explode(F.array_distinct(F.concat(singles, pairs))).alias("key"))
 
@@ -87,7 +96,7 @@ def cell_links(ids: list[int], sides: list[int], labels: list[int], sets: list[n
     held[np.repeat(np.arange(len(sets)), [len(x) for x in tops]), column] = 1
     overlap = held @ held.T
     t = percent / 100
-    slack = 4.5 * (t * (1 - t) / k) ** 0.5
+    slack = 6 * (t * (1 - t) / k) ** 0.5
     out = []
     for i, j in zip(*np.nonzero(np.triu(overlap, 1)), strict=True):
         n, m = len(sets[i]), len(sets[j])

@@ -57,6 +57,26 @@ def test_equals_all_pairs(spark, make_docs, sample, words, block, monkeypatch):
     assert got == brute(texts, words)
 
 
+def test_large_sets_near_the_threshold(spark, make_docs):
+    """Hundreds of sets of 100 to 900 shingles, in pairs at 0.80 to 0.83: parts of each other, and edited ones; values of all frequencies."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(120):
+        n = rng.randint(100, 900)
+        words = [f"w{rng.randint(0, 400) if rng.random() < 0.5 else rng.randint(0, 10**6)}" for _ in range(n)]
+        share = rng.uniform(0.80, 0.83)
+        if k % 2:
+            other = words[: int(n * share) + 1]
+        else:  # each changed word costs two shingles
+            changed = set(rng.sample(range(n), int(n * (1 - share) / (1 + share) / 2)))
+            other = [f"new{k}-{i}" if i in changed else w for i, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.read.parquet(make_docs(texts) + "/documents.parquet")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs, 2).collect())
+    want = brute(texts, 2)
+    assert got == want and sum(not r[3] for r in want) > 80
+
+
 def test_query_and_stage(spark, make_docs, sample):
     texts = [x["text"] for x in sample]
     folder = make_docs(texts)
