@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stored
+from panelwright.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,20 +17,24 @@ def components(links: DataFrame) -> DataFrame:
     of ids is long. Each round's tables are stored; only whether links are left reaches the driver.
     """
     edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("at")).distinct()
+    labels = stored(edges.select(F.col("a").alias("node"), F.col("a").alias("at")).distinct())
     turn = 0
     while not edges.isEmpty():
         rank = (lambda c: F.struct(F.col(c))) if turn % 2 == 0 else (lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c), F.col(c)))
         near = edges.groupBy("a").agg(F.min(rank("b")).alias("n"))
         names = near.schema["n"].dataType.names
-        up = stored(near.select("a", F.when(rank("a") < F.col("n"), F.col("a")).otherwise(F.col(f"n.{names[-1]}")).alias("up")))
+        first = up = stored(near.select("a", F.when(rank("a") < F.col("n"), F.col("a")).otherwise(F.col(f"n.{names[-1]}")).alias("up")))
         step = up.select(F.col("a").alias("up"), F.col("up").alias("further"))
         for _ in range(2):
             up = up.join(step, "up").select("a", F.col("further").alias("up"))
         up = stored(up)
+        old = first, labels, edges
         labels = stored(labels.join(up.select(F.col("a").alias("at"), "up"), "at", "left").select("node", F.coalesce("up", "at").alias("at")))
         moved = edges.join(up, "a").select(F.col("up").alias("x"), "b").join(up.withColumnRenamed("a", "b"), "b").select(F.col("x").alias("a"), F.col("up").alias("b"))
         edges = stored(moved.where("a != b").distinct())
+        discard(*old, up)
         turn += 1
     least = labels.groupBy("at").agg(F.min("node").alias("component"))
-    return stored(labels.join(least, "at").select("node", "component"))
+    found = stored(labels.join(least, "at").select("node", "component"))
+    discard(labels, edges)
+    return found

@@ -8,13 +8,15 @@ of one anchor, and
 
 * an anchor that occurs once has nothing that repeats;
 * equal fragments (by anchor and 64-bit hash) repeat as a whole, and one of them stands for all in what follows;
-* the different fragments of an anchor are sorted by suffixes, whole anchors together, up to about a MB at a time. The
-  sort has two stages: suffixes smaller than their successors are sorted directly, all others are induced by a scan of
-  the buckets of first bytes. Common prefixes of neighbours then tell which strings start twice;
-* an anchor with over `MANY` different fragments would make one task large, so Spark counts what its fragments share: for
-  a range of starts, the bytes that all of its strings hold (if they occur once, none of the strings repeats) and the bytes
-  that hold all of its strings (if they occur twice, all of them repeat), by two 64-bit hashes; ranges of which neither is
-  told are halved, as it were, in `STEPS` down to single starts. That gives the same result.
+* the starts of the different fragments of an anchor are taken in ranges, and the strings of a range have most of their
+  bytes in common, their core. Where no core occurs twice, none of the anchor's strings repeats. The fragments of all
+  other anchors are sorted by suffixes, whole anchors together, up to about a MB at a time. The sort has two stages:
+  suffixes smaller than their successors are sorted directly, all others are induced by a scan of the buckets of first
+  bytes. Common prefixes of neighbours then tell which strings start twice;
+* an anchor with over `MANY` different fragments would make one task large, so its ranges are taken apart by their cores,
+  and those of a core are sorted together. A core that over `MANY` fragments share is divided again: first by what holds
+  all strings of the range (where that occurs twice, all of them repeat), then into narrower ranges, in `STEPS` down to
+  single starts, whose core is the string itself, so that nothing is left to sort.
 
 Counts are combined before they are shuffled and no list is kept for an anchor, so a passage held by a third of all
 documents costs each task no more than others.
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import runs, stored, table
+from panelwright.llm.common import discard, runs, stored, table
 from panelwright.llm.shingles import _power, mix
 
 LENGTH, GRAM = 200, 16
@@ -231,28 +233,58 @@ def _sorted_spans(cut: DataFrame, length: int) -> DataFrame:
     return dealt.mapInPandas(run, "_id long, _hash long, start long, end long")
 
 
-def _counted_spans(cut: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many fragments: shared bytes are counted, range of starts by range."""
+def _ranges(cut: DataFrame, length: int, step: int, wide: int) -> DataFrame:
+    """cut with `within`, the ranges of `step` starts that a fragment has in its range of `wide` starts, and each one's core.
+
+    first and last are the fragment's starts, counted from the first one that an anchor can be reached from.
+    """
+    inside = F.sequence(F.greatest("first", F.col("range") * wide), F.least("last", F.col("range") * wide + wide - 1))
+    ranges = F.array_distinct(F.transform(inside, lambda s: F.floor(s / step).cast("int")))
+    core = lambda r: F.xxhash64(F.lit(1), F.substr(F.col("bytes"), r * step + step - F.col("first"), F.lit(length - step + 1)))
+    return cut.withColumn("within", F.transform(ranges, lambda r: F.struct(r.alias("range"), core(r).alias("core"))))
+
+
+def _with_starts(pieces: DataFrame, length: int) -> DataFrame:
     reach = length - min(GRAM, length)  # an anchor lies so many bytes after a start at most
-    first, last = reach - F.col("place"), reach - F.col("place") + F.octet_length("bytes") - length
-    live = cut.withColumns({"first": first, "last": last, "range": F.lit(0)})
-    wide, spans = reach + 1, None
+    return pieces.withColumns({"first": reach - F.col("place"), "last": reach - F.col("place") + F.octet_length("bytes") - length, "range": F.lit(0)})
+
+
+def _sharing(pieces: DataFrame, length: int) -> DataFrame:
+    """(anchor): anchors of which some range's core occurs in two different fragments."""
+    ranged = _ranges(_with_starts(pieces, length), length, STEPS[0], length)
+    each = ranged.select("anchor", F.explode("within").alias("w")).groupBy("anchor", "w.range", "w.core").agg(F.count(F.lit(1)).alias("n"))
+    return each.where("n > 1").select("anchor").distinct()
+
+
+def _divided(cut: DataFrame, length: int, many: int) -> tuple[DataFrame, DataFrame]:
+    """Of anchors with very many fragments: spans told from counts alone, and the pieces to be sorted, under names of their own as anchors."""
+    live, wide, spans, parts = _with_starts(cut, length), length, None, None
     for step in STEPS:
-        inside = F.sequence(F.greatest("first", F.col("range") * wide), F.least("last", F.col("range") * wide + wide - 1))
-        each = live.withColumn("range", F.explode(F.array_distinct(F.transform(inside, lambda s: F.floor(s / step).cast("int")))))
+        each = _ranges(live, length, step, wide).select(*cut.columns, "first", "last", F.explode("within").alias("w")).select(*cut.columns, "first", "last", "w.*")
         # Places in the fragment's bytes of the range's first and last start.
         low, high = F.col("range") * step - F.col("first"), F.col("range") * step + step - 1 - F.col("first")
-        bytes_ = lambda a, n: F.struct(*(F.xxhash64(F.lit(seed), F.substr("bytes", a + 1, F.lit(n))).alias(x) for seed, x in ((1, "x"), (2, "y"))))
         whole = (low >= 0) & (high + length <= F.octet_length("bytes"))
-        each = stored(each.withColumns({"core": bytes_(high, length - step + 1), "hull": F.when(whole, bytes_(low, length + step - 1))}))
-        shared = lambda c, each=each: each.where(F.col(c).isNotNull()).groupBy("anchor", "range", c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "range", c, F.lit(True).alias(f"{c}_shared"))
-        told = each.join(shared("core"), ["anchor", "range", "core"]).join(shared("hull"), ["anchor", "range", "hull"], "left")
-        told = stored(told.select(*cut.columns, "first", "last", "range", F.coalesce("hull_shared", F.lit(step == 1)).alias("all")))
+        each = stored(each.withColumn("hull", F.when(whole, F.xxhash64(F.lit(2), F.substr("bytes", low + 1, F.lit(length + step - 1))))))
+        sizes = each.groupBy("anchor", "range", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        told = stored(each.join(sizes, ["anchor", "range", "core"]))
+        discard(each)
+        if step > 1:
+            a, b = F.greatest(low, F.lit(0)), F.least(high, F.octet_length("bytes") - length)
+            few = told.where(F.col("n") <= many).select(
+                *KEYS, F.xxhash64("anchor", "range", "core").alias("anchor"), (F.col("lo") + a).alias("lo"), "place", "alone", "crowded", F.substr("bytes", a + 1, b - a + length).alias("bytes")
+            )
+            parts = few if parts is None else parts.unionByName(few)
+            told = told.where(F.col("n") > many)
+            # The core that very many fragments share may have all its strings from end to end in common as well.
+            again = told.where("hull is not null").groupBy("anchor", "range", "core", "hull").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor", "range", "core", "hull", F.lit(True).alias("all"))
+            told = told.join(again, ["anchor", "range", "core", "hull"], "left").withColumn("all", F.coalesce("all", F.lit(False)))
+        else:
+            told = told.withColumn("all", F.lit(True))
         start = F.col("lo") + F.col("range") * step - F.col("first")
         found = told.where("all and alone").select(*KEYS, start.alias("start"), (start + (step - 1 + length)).alias("end"))
         spans = found if spans is None else spans.unionByName(found)
-        live, wide = told.where("not all").drop("all"), step
-    return spans
+        live, wide = told.where("not all").select(*cut.columns, "first", "last", "range"), step
+    return spans, parts
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
@@ -262,6 +294,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     # Stored, so that both sides of the join are plain shuffles and a frequent anchor's rows can be split over tasks.
     again = stored(seen.where("n > 1").select("anchor", (F.col("x") != F.col("y")).alias("mixed")))
     met = stored(every.join(again, "anchor"))
+    discard(every, again)
     whole = lambda df: df.select(*KEYS, F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     alike = whole(met.where("not mixed"))
     one = F.min(F.struct(*KEYS, "lo", "hi", "place")).alias("one")
@@ -284,8 +317,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     # Equal rows give the same fragment; one of them is enough.
     texts = rows.select(*KEYS, "text").join(asked, KEYS)
     pieces = stored(texts.mapInPandas(cut, "_id long, _hash long, anchor long, lo long, place int, alone boolean, crowded boolean, bytes binary"))
-    apart = _sorted_spans(pieces.where("not crowded"), length).unionByName(_counted_spans(pieces.where("crowded"), length))
-    return alike.unionByName(copied).unionByName(apart)
+    # Stored, so that both sides of the join are plain shuffles.
+    sharing = stored(_sharing(pieces, length))
+    live = pieces.join(sharing, "anchor", "left_semi")
+    told, parts = _divided(live.where("crowded"), length, many)
+    apart = _sorted_spans(live.where("not crowded").unionByName(parts), length)
+    return alike.unionByName(copied).unionByName(told).unionByName(apart)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
