@@ -235,15 +235,19 @@ def scored(df: DataFrame, text: str, name: str = "score", scorer: Callable[[], C
     return df.withColumn(name, call(F.col(text)))
 
 
-def hashed_terms(dims: int = 64) -> Callable[[pd.Series], pd.Series]:
+def hashed_terms(dims: int = 256, hashes: int = 3) -> Callable[[pd.Series], pd.Series]:
+    """Signed hashed term vectors: each word in `hashes` places, so that two words seldom share all of theirs; ln(1 + count) weighs it."""
+    import math
     import zlib
+    from collections import Counter
 
     def encode(texts: pd.Series) -> pd.Series:
         def one(text):
             v = [0.0] * dims
-            for w in text.lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dims] += 1.0 if h & 0x80000000 else -1.0
+            for w, n in Counter(text.lower().split()).items():
+                for k in range(hashes):
+                    h = zlib.crc32(f"{k} {w}".encode())
+                    v[h % dims] += math.log1p(n) if h & 0x80000000 else -math.log1p(n)
             return v
 
         return texts.map(one)

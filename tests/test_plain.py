@@ -101,12 +101,13 @@ def test_packed_paragraphs(spark, docs):
 
 def test_embeddings(spark, docs):
     for r in run(spark, "tx12_embeddings"):
-        v = [0.0] * 64
-        for w in (docs[r.doc_id]["text"] or "").lower().split():
-            h = zlib.crc32(w.encode())
-            v[h % 64] += 1.0 if h & 0x80000000 else -1.0
+        words, v = (docs[r.doc_id]["text"] or "").lower().split(), [0.0] * 256
+        for w in set(words):
+            for k in range(3):
+                h = zlib.crc32(f"{k} {w}".encode())
+                v[h % 256] += math.log(1 + words.count(w)) * (1 if h >= 2**31 else -1)
         size = math.sqrt(sum(x * x for x in v))
-        assert (r.first is None) if size == 0 else (r.dims == 64 and abs(r.first - v[0] / size) < 1e-5)
+        assert (r.first is None) if size == 0 else (r.dims == 256 and abs(r.first - v[0] / size) < 1e-5)
 
 
 def test_models_of_folds(spark):
