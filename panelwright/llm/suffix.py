@@ -258,8 +258,13 @@ def _sharing(pieces: DataFrame, length: int) -> DataFrame:
 
 def _divided(cut: DataFrame, length: int, many: int) -> tuple[DataFrame, DataFrame]:
     """Of anchors with very many fragments: spans told from counts alone, and the pieces to be sorted, under names of their own as anchors."""
-    live, wide, spans, parts = _with_starts(cut, length), length, None, None
+    spark = cut.sparkSession
+    spans = spark.createDataFrame([], "_id long, _hash long, start long, end long")
+    parts = spark.createDataFrame([], "_id long, _hash long, anchor long, lo long, place int, alone boolean, crowded boolean, bytes binary")
+    live, wide = _with_starts(cut, length), length
     for step in STEPS:
+        if live.isEmpty():
+            break
         each = _ranges(live, length, step, wide).select(*cut.columns, "first", "last", F.explode("within").alias("w")).select(*cut.columns, "first", "last", "w.*")
         # Places in the fragment's bytes of the range's first and last start.
         low, high = F.col("range") * step - F.col("first"), F.col("range") * step + step - 1 - F.col("first")
@@ -273,7 +278,7 @@ def _divided(cut: DataFrame, length: int, many: int) -> tuple[DataFrame, DataFra
             few = told.where(F.col("n") <= many).select(
                 *KEYS, F.xxhash64("anchor", "range", "core").alias("anchor"), (F.col("lo") + a).alias("lo"), "place", "alone", "crowded", F.substr("bytes", a + 1, b - a + length).alias("bytes")
             )
-            parts = few if parts is None else parts.unionByName(few)
+            parts = parts.unionByName(few)
             told = told.where(F.col("n") > many)
             # The core that very many fragments share may have all its strings from end to end in common as well.
             again = told.where("hull is not null").groupBy("anchor", "range", "core", "hull").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor", "range", "core", "hull", F.lit(True).alias("all"))
@@ -282,7 +287,7 @@ def _divided(cut: DataFrame, length: int, many: int) -> tuple[DataFrame, DataFra
             told = told.withColumn("all", F.lit(True))
         start = F.col("lo") + F.col("range") * step - F.col("first")
         found = told.where("all and alone").select(*KEYS, start.alias("start"), (start + (step - 1 + length)).alias("end"))
-        spans = found if spans is None else spans.unionByName(found)
+        spans = spans.unionByName(found)
         live, wide = told.where("not all").select(*cut.columns, "first", "last", "range"), step
     return spans, parts
 
