@@ -8,13 +8,12 @@ the similarity demands, so nothing can be missed; for larger sets it is m/2, and
 fails to share so many of 64 values with a probability of 2e-8. Rare values first keep a phrase that a third of all
 documents hold from generating pairs.
 
-Sets of over `SINGLES` shingles are listed under two of these values at a time that stand within `REACH` places of each
-other in the order of rarity, because a single value that unlike documents have in common would chain them. Two sets that
-share s of their 33 listed values miss each other only if other values push all shared ones further apart, which takes
-REACH * (s - 1) of the 2 * (33 - s) others: not for 14 shared values or more. At the threshold, sets of one size share
-fewer with a probability of 1e-5; a set and a part of it can miss each other only if 24 of 64 values are the larger one's
-own, with a probability of 9e-4, and then only if these stand evenly between all shared ones, in at most one of 1e7 orders
-of rarity. Sizes near the bound are listed both ways, so that partners meet.
+Sets of over `SINGLES` shingles are listed under two of these values at a time, neighbours in the order of rarity (or up to
+`REACH` places apart), because a single value that unlike documents have in common would chain them. Two sets that share s
+of their 33 listed values miss each other only if other values part all shared ones, which takes s - 1 of the 2 * (33 - s)
+others: not for 23 shared values or more. Under orders of rarity that do not depend on
+the pair, a set and a part of it miss each other at exactly the threshold with a probability of 1.5e-4 (2e-6 at 0.85), and
+sets of one size with less than 1e-7. Sizes near the bound are listed both ways, so that partners meet.
 
 Documents that share a list, directly or through others, are a family; a pair outside of families cannot be similar.
 Families of up to `BLOCK` members are compared in cells of about so many documents each. A larger family is cut into
@@ -47,8 +46,8 @@ K = 64
 BLOCK = 64
 #: Sets of so many shingles at most are listed under single values; those of 0.8 times as many or more under pairs of values.
 SINGLES = 60
-#: Places between the two values of a pair at most.
-REACH = 3
+#: Places between the two values of a pair at most. With 3, more documents are chained into one family (disk 5.68 x input at 30 GB).
+REACH = 1
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
