@@ -13,7 +13,7 @@ Sets of over `SINGLES` shingles are listed under two of these values at a time,
 of their 33 listed values miss each other only if other values part all shared ones, which takes s - 1 of the 2 * (33 - s)
 others: not for 23 shared values or more. Under orders of rarity that do not depend on
 the pair, a set and a part of it miss each other at exactly the threshold with a probability of 1.5e-4 (2e-6 at 0.85), and
-sets of one size with less than 1e-7. Sizes near the bound are listed both ways, so that partners meet.
+sets of one size with 2e-7. Sizes near the bound are listed both ways, so that partners meet.
 
 Documents that share a list, directly or through others, are a family; a pair outside of families cannot be similar.
 Families of up to `BLOCK` members are compared in cells of about so many documents each. A larger family is cut into
