@@ -79,7 +79,8 @@ def tx9(t: Tables):
     return lexicon_scores(t.read("documents").select("doc_id", "text")).select("doc_id", "score")
 
 
-_NET = f"list_sum(list_transform({TOKENS.format('c')}, lambda x: {' '.join(f'CASE x' if i == 0 else '' for i in range(1))} {' '.join(f'WHEN {chr(39)}{w}{chr(39)} THEN {p - n}' for w, p, n, _, _ in LEXICON)} ELSE 0 END))"
+_CASES = " ".join(f"WHEN '{w}' THEN {p - n}" for w, p, n, _, _ in LEXICON)
+_NET = f"list_sum(list_transform({TOKENS.format('c')}, lambda x: CASE x {_CASES} ELSE 0 END))"
 
 
 @query("tx10_document_scores", f"SELECT doc_id, greatest(-1, least(1, avg(s))) AS score, count(*) AS chunks FROM (SELECT doc_id, coalesce({_NET}, 0) / greatest(len({TOKENS.format('c')}), 1) AS s FROM (SELECT doc_id, array_to_string(list_slice(w, i * 435 + 1, i * 435 + 435), ' ') AS c FROM (SELECT doc_id, w, unnest(range((len(w) + 434) // 435)) AS i FROM (SELECT doc_id, {W} AS w FROM documents)))) GROUP BY 1", "score", "", "chunks")
