@@ -16,6 +16,7 @@ MODULES = {
     "op8_line_dedup": "linededup",
     "op9_secret_scan": "secrets",
     "op10_suffix_dedup": "suffix",
+    "op11_importance_resampling": "resample",
 }
 
 
