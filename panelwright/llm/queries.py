@@ -17,6 +17,8 @@ MODULES = {
     "op9_secret_scan": "secrets",
     "op10_suffix_dedup": "suffix",
     "op11_importance_resampling": "resample",
+    "op12_chat_format": "chat",
+    "op13_periodic_runs": "periodic",
 }
 
 
