@@ -8,14 +8,15 @@ the similarity demands, so nothing can be missed; for larger sets it is m/2, and
 fails to share so many of 64 values with a probability of 2e-8. Rare values first keep a phrase that a third of all
 documents hold from generating pairs.
 
-Sets of over `SINGLES` shingles are listed under two of these values at a time, neighbours in the order of rarity (or up to
-`REACH` places apart), because a single value that unlike documents have in common would chain them. Two sets that share s
-of their 33 listed values miss each other only if other values part all shared ones, which takes s - 1 of the 2 * (33 - s)
-others: not for 23 shared values or more. Under orders of rarity that do not depend on
-the pair, a set and a part of it miss each other at exactly the threshold with a probability of 1.5e-4 (2e-6 at 0.85), and
-sets of one size with 2e-7. Sizes near the bound are listed both ways, so that partners meet.
-
-Documents that share a list, directly or through others, are a family; a pair outside of families cannot be similar.
+Comparing whoever shares a value would mean comparing unlike documents, so this takes two passes. The first lists sketches
+under two of these values at a time, neighbours in the order of rarity; that finds copies and most pairs, and contracts
+them. The second lists them under every single value. In a list only members of different components are set against each
+other, within the task, by the parities of their values in `BITS` places: these differ in no more places than the sketches
+differ in values, so a pair that differs in more than its overlap allows falls away, and no other. Of what is left a list
+gives a spanning forest, so a crowd yields as many rows as it has members. Lists of over `LONG` members meet in blocks.
+Together the passes miss only what the overlap misses.
+
+Documents that share a list of the first pass or a forest of the second, directly or through others, are a family.
 Families of up to `BLOCK` members are compared in cells of about so many documents each. A larger family is cut into
 blocks. First every block meets one block of pivots; what that links is contracted. Then the members outside of the
 family's largest component meet all blocks in cells of two blocks, until every pair of different components has met. In a
@@ -44,10 +45,17 @@ from panelwright.llm.shingles import set_key, shingle_sets
 
 K = 64
 BLOCK = 64
-#: Sets of so many shingles at most are listed under single values; those of 0.8 times as many or more under pairs of values.
-SINGLES = 60
-#: Places between the two values of a pair at most. With 3, more documents are chained into one family (disk 5.68 x input at 30 GB).
-REACH = 1
+#: Places of a sketch's parities.
+BITS = 512
+#: Members of a list that meet at once.
+LONG = 1024
+#: Rows of lists in a group of lists.
+LISTED = 20_000
+
+
+def parities(sketch: np.ndarray) -> bytes:
+    """One bit for each of BITS residues: whether an odd number of values have it."""
+    return np.packbits(np.bincount(sketch & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
@@ -62,7 +70,7 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
 
 
 def listed(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """(key, rep): under which values, or pairs of neighbouring values, each sketch is listed."""
+    """(rep, n, m, needed, own): the values under which each sketch is listed, rarest first, but for those that no other sketch holds."""
     each = classes.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     # Stored, so that both sides of the join are plain shuffles and a frequent value's rows can be split over tasks.
     lengths = stored(each.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
@@ -71,13 +79,78 @@ def listed(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
     # The m - size(own) values that no other sketch holds are the rarest and take their places first.
     places = (F.col("m") - needed + 1) - (F.col("m") - F.size("own"))
     own = F.transform(F.slice("own", F.lit(1), F.greatest(F.lit(0), places).cast("int")), lambda x: x["value"])
-    rows = shared.select("rep", "n", own.alias("own"))
-    none = F.array().cast("array<bigint>")
-    singles = F.when(F.col("n") <= SINGLES, F.transform("own", lambda x: F.xxhash64(F.lit(1), x))).otherwise(none)
-    beside = lambda d: F.zip_with(F.slice("own", 1, F.greatest(F.size("own") - d, F.lit(0))), F.slice("own", d + 1, F.greatest(F.size("own") - d, F.lit(0))), lambda x, y: F.xxhash64(F.lit(2), x, y))
-    pairs = F.concat(*(F.when(F.size("own") > d, beside(d)).otherwise(none) for d in range(1, REACH + 1)))
-    pairs = F.when(F.col("n") * 100 >= SINGLES * percent, pairs).otherwise(none)
-    return rows.select("rep", F.explode(F.array_distinct(F.concat(singles, pairs))).alias("key"))
+    return shared.select("rep", "n", "m", needed.cast("long").alias("needed"), own.alias("own")).where(F.size("own") > 0)
+
+
+def under_neighbours(lists: DataFrame) -> DataFrame:
+    """(key, rep): two neighbouring values at a time; a single value where there is no second one."""
+    pairs = F.zip_with(F.slice("own", F.lit(1), F.size("own") - 1), F.slice("own", F.lit(2), F.size("own") - 1), lambda x, y: F.xxhash64(x, y))
+    keys = F.when(F.size("own") > 1, pairs).otherwise(F.transform("own", lambda x: F.xxhash64(x)))
+    return lists.select("rep", F.explode(keys).alias("key"))
+
+
+def families(keyed: DataFrame) -> DataFrame:
+    """(rep, family): who shares a key, directly or through others."""
+    least = stored(keyed.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"))
+    found = components(keyed.join(least, "key").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    return found.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+
+
+def forest(key: np.ndarray, rep: np.ndarray, label: np.ndarray, n: np.ndarray, m: np.ndarray, needed: np.ndarray, side: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that span, in each list, the pairs of different labels whose parities leave them their overlap; rows stand in order of their list."""
+    left, right, d = [], [], 1
+    last = np.searchsorted(key, key, side="right")
+    live = np.arange(len(key))
+    while len(live := live[live + d < last[live]]):
+        i, j = live, live + d
+        some = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+        i, j = i[some], j[some]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        some = apart <= m[i] + m[j] - 2 * np.maximum(needed[i], needed[j])
+        left.append(i[some])
+        right.append(j[some])
+        d += 1
+    if not left:
+        return []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    # Rows are nodes, so that lists stay apart: a pair that meets in one list need not in another.
+    for i, j in zip(np.concatenate(left).tolist(), np.concatenate(right).tolist(), strict=True):
+        a, b = find(i), find(j)
+        if a != b:
+            root[b] = a
+            out.append((int(rep[i]), int(rep[j])))
+    return out
+
+
+def meetings(classes: DataFrame, lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): forests of all lists under single values, between different labels(node, component)."""
+    named = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "m", "needed", "own", F.coalesce("component", "rep").alias("label"))
+    rows = named.select("rep", "label", F.explode("own").alias("value"))
+    open_ = stored(rows.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("value", "members"))
+    blocks = F.ceil(F.col("members") / LONG).cast("int")
+    at = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    met = rows.join(open_, "value").withColumns({"blocks": blocks, "at": at}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("value")).otherwise(F.xxhash64("value", F.least("at", "other"), F.greatest("at", "other")))
+    side = F.when(F.col("at") == F.col("other"), 2).otherwise((F.col("at") > F.col("other")).cast("int"))
+    met = stored(met.select("rep", "label", key.alias("list"), side.alias("side")))
+    signs = F.pandas_udf(lambda x: x.map(parities), "binary")
+    signed = stored(lists.select("rep", "n", "m", "needed").join(classes.select("rep", signs("sketch").alias("sign")), "rep"))
+    cells = max(1, -(-met.count() // LISTED))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["list", "rep"])
+        bits = np.frombuffer(b"".join(rows["sign"]), np.uint64).reshape(len(rows), -1)
+        columns = (rows[c].to_numpy() for c in ("list", "rep", "label", "n", "m", "needed", "side"))
+        return pd.DataFrame(forest(*columns, bits, percent), columns=["a", "b"])
+
+    return met.join(signed, "rep").groupBy(F.pmod(F.xxhash64("list"), F.lit(cells)).alias("cell")).applyInPandas(run, "a long, b long")
 
 
 def cell_links(ids: list[int], sides: list[int], labels: list[int], sets: list[np.ndarray], percent: int, k: int = K) -> list[tuple[int, int]]:
@@ -130,13 +203,11 @@ def _blocks(count: str):
     return _blocks_of(F.col(count))
 
 
-def linked(lists: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
-    """(node, component) of all representatives that are similar to another one."""
-    least = stored(lists.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"))
-    found = components(lists.join(least, "key").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    found = found.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+def links_within(found: DataFrame, known_links: DataFrame | None, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
+    """(a, b): links that connect what is similar within families found(rep, family), beside those that known_links connect already."""
+    start = lambda rows, links: rows.withColumn("label", F.col("rep")) if links is None else rows.join(components(links).withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = stored(found.join(sizes, "family").withColumn("label", F.col("rep")))
+    members = stored(start(found.join(sizes, "family"), known_links))
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi"))
     small, large = members.where(f"size <= {BLOCK}"), members.where(f"size > {BLOCK}")
     cells = max(1, -(-small.count() // BLOCK))
@@ -148,10 +219,9 @@ def linked(lists: DataFrame, docs: DataFrame, words: int, percent: int, k: int =
     against = pivots.where("b > 0").select(at(one, F.col("b")), "rep", F.lit(0).alias("side"), "label")
     own = blocked.select(at(one, F.col("block")), "rep", F.when(F.col("block") == 0, 2).otherwise(1).alias("side"), "label")
     links = stored(_met(shared.unionByName(against).unionByName(own), texts, words, percent, k))
-    labels = components(links)
     if large.isEmpty():
-        return labels
-    known = stored(blocked.drop("label").join(labels.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+        return links
+    known = stored(start(blocked.drop("label"), links if known_links is None else known_links.union(links)))
     main = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = main.where(F.col("all") > F.col("most")).select("family", "main", _blocks_of(F.col("all") - F.col("most")).alias("parts"))
     known = known.join(main, "family")
@@ -159,8 +229,19 @@ def linked(lists: DataFrame, docs: DataFrame, words: int, percent: int, k: int =
     rest = known.where("label != main").withColumn("u", part)
     rest = rest.withColumn("b", F.explode(F.sequence(F.lit(0), _blocks("size") - 1))).select(at(F.col("u"), F.col("b")), "rep", F.lit(0).alias("side"), "label")
     every = known.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(at(F.col("u"), F.col("block")), "rep", F.lit(1).alias("side"), "label")
-    more = stored(_met(rest.unionByName(every), texts, words, percent, k))
-    return components(links.union(more))
+    return links.union(stored(_met(rest.unionByName(every), texts, words, percent, k)))
+
+
+def linked(classes: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
+    """(node, component) of all representatives that are similar to another one."""
+    lists = stored(listed(classes, percent, k))
+    links = links_within(families(under_neighbours(lists)), None, docs, words, percent, k)
+    labels = components(links)
+    met = stored(meetings(classes, lists, labels, percent))
+    if met.isEmpty():
+        return labels
+    found = components(met).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    return components(links.union(links_within(found, links, docs, words, percent, k)))
 
 
 def _blocks_of(count):
@@ -173,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     rows = stored(sketches(docs, words, k))
     linkable = rows.where("key is not null and doc_id is not null")
     classes = stored(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    found = linked(stored(listed(classes, percent, k)), docs, words, percent, k)
+    found = linked(classes, docs, words, percent, k)
     of_class = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     result = rows.drop("sketch").join(of_class, "key", "left")
     if not rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():

@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from conftest_data import ODD
 
 from panelwright.llm import minhash
+from panelwright.llm.shingles import shingle_hashes, word_hashes
 
 
 def brute(texts, words, ids=None):
@@ -92,3 +94,38 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     got = sorted(map(str, (tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())))
     assert got == sorted(map(str, [(3, 3, 1, False), (3, 3, 1, False), (1, 3, 1, True), (3, 3, 1, False), (None, 3, None, True), (None, 0, None, True), (7, 3, 7, True), (8, 0, 8, True)]))
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("long", [1024, 8])
+def test_other_documents_do_not_hide_a_pair(spark, long, monkeypatch):
+    """Shared values are parted by unshared ones in the order of rarity, because of how often other documents hold them: pairs at 0.80 and 0.86 are found all the same."""
+    monkeypatch.setattr(minhash, "LONG", long)
+    rows = []
+    for first, keep in ((1, 80), (1001, 86)):
+        for trial in range(10_000):  # texts with enough values in one sketch only
+            words = [f"s{first}x{trial}y{i}" for i in range(101)]
+            order = np.argsort(shingle_hashes(next(word_hashes([" ".join(words)])), 2).view(np.int64)).tolist()
+            whole, part = order[:64], [i for i in order if i < keep][:64]
+            shared, only, other = [i for i in whole if i in part], [i for i in whole if i not in part], [i for i in part if i not in whole]
+            if min(len(only), len(other)) >= 12:
+                break
+        rows += [(first, " ".join(words)), (first + 1, " ".join(words[: keep + 1]))]
+        # From rare to frequent: a shared value, one of the first text, a shared value, one of the second, and so on.
+        ranked = [x for i, v in enumerate(shared) for x in ((v, (only, other)[i % 2][i // 2]) if i < 24 else (v,))]
+        for often, i in enumerate(ranked, 1):
+            rows += [(5000 + len(rows) + n, f"{words[i]} {words[i + 1]} z{len(rows)}-{n}") for n in range(often)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got[1] == got[2] == 1 and got[1001] == got[1002] == 1001
+
+
+def test_forest_spans_each_list():
+    """Two lists of one crowd of different labels: every member is reached in each, by one edge less than there are members; equal labels do not meet."""
+    n = 40
+    rep, key = np.tile(np.arange(n), 2), np.repeat([1, 2], n)
+    ones = np.ones(2 * n, np.int64)
+    bits = np.zeros((2 * n, 8), np.uint64)
+    args = (ones * 100, ones * 64, ones * 32, ones * 2, bits, 80)
+    assert len(minhash.forest(key, rep, rep, *args)) == 2 * (n - 1)
+    assert minhash.forest(key, rep, ones, *args) == []
+    bits[5] = bits[n + 5] = np.uint64(2**64 - 1)  # 512 places apart
+    assert {5} & {x for e in minhash.forest(key, rep, rep, *args) for x in e} == set()
