@@ -68,23 +68,46 @@ def ewm(value: str, entity: str, time: str, span: int, rows: int | None = None)
     return F.aggregate(pairs, zero, step, lambda s: ratio(s["num"], s["den"]))
 
 
-def rolling_beta(y: str, x: str, entity: str, time: str, rows: int, least: int) -> Column:
-    """Covariance over rows that know both, over the variance of all known x."""
-    # Sums up to a row less the sums up to `rows` before it: each row is added once, not once for every frame that holds it.
-    so_far = along(entity, time).rowsBetween(Window.unboundedPreceding, 0)
-    u, v = F.col(x), F.col(y)
+def rolling_beta(df: DataFrame, y: str, x: str, entity: str, time: str, rows: int, least: int, name: str) -> DataFrame:
+    """df with `name`: covariance over the last rows that know both, over the variance of all known x; at least `least` of either.
+
+    Rows stand in blocks of `rows`. A window is the end of one block and the start of the next, so co-moments that grow
+    from both ends of each block (counts, means, products of deviations) are merged in pairs: each row is added twice,
+    however long the window is, nothing is ever subtracted, and a NaN counts in the windows that hold it and no others.
+    """
+    w = along(entity, time)
+    numbered = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_at") / rows))
+    u, v = F.col(x).cast("double"), F.col(y).cast("double")
     known = u.isNotNull() & v.isNotNull()
-    held = lambda c: F.coalesce(c, F.lit(0.0))
-    parts = {"n": F.when(known, 1.0), "u": F.when(known, u), "v": F.when(known, v), "uv": F.when(known, u * v), "m": F.when(u.isNotNull(), 1.0), "w": u, "ww": u * u}
-    past = along(entity, time).rowsBetween(Window.unboundedPreceding, -rows)
-    s = {k: F.sum(held(c)).over(so_far) - held(F.sum(held(c)).over(past)) for k, c in parts.items()}
-    cov = F.when((s["n"] >= least) & (s["n"] > 1), (s["uv"] - s["u"] * s["v"] / s["n"]) / (s["n"] - 1))
-    return ratio(cov, F.when((s["m"] >= least) & (s["m"] > 1), (s["ww"] - s["w"] * s["w"] / s["m"]) / (s["m"] - 1)))
+
+    def moments(order: Column) -> Column:
+        so_far = Window.partitionBy(entity, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        n, m = F.count(F.when(known, 1)).over(so_far), F.count(u).over(so_far)
+        held = lambda c: F.coalesce(c.over(so_far), F.lit(0.0))
+        both = [held(F.avg(F.when(known, c))) for c in (u, v)]
+        return F.struct(n.alias("n"), both[0].alias("u"), both[1].alias("v"), (held(F.covar_pop(u, v)) * n).alias("uv"), m.alias("m"), held(F.avg(u)).alias("w"), (held(F.var_pop(u)) * m).alias("ww"))
+
+    grown = numbered.withColumn("_head", moments(F.col("_at").asc())).withColumn("_tail", moments(F.col("_at").desc()))
+    # The window that fills a block is its head alone.
+    merged = grown.withColumn("_tail", F.when(F.col("_at") % rows != rows - 1, F.lag("_tail", rows - 1).over(w)))
+    a, b = F.col("_head"), F.col("_tail")
+
+    def joint(n: str, first: str, second: str, product: str) -> tuple[Column, Column]:
+        count = a[n] + F.coalesce(b[n], F.lit(0))
+        apart = (a[first] - b[first]) * (a[second] - b[second]) * a[n] * b[n] / count
+        return count, a[product] + F.when(F.coalesce(b[n], F.lit(0)) == 0, 0.0).otherwise(b[product] + F.when(a[n] == 0, 0.0).otherwise(apart))
+
+    (n, uv), (m, ww) = joint("n", "u", "v", "uv"), joint("m", "w", "w", "ww")
+    covariance = F.when((n >= least) & (n > 1), uv / (n - 1))
+    return merged.withColumn(name, ratio(covariance, F.when((m >= least) & (m > 1), ww / (m - 1)))).drop("_at", "_block", "_head", "_tail")
 
 
 def cumulated(ret: str, entity: str | list[str], time: str) -> Column:
-    """Value of 1 along returns; a missing return counts as 0."""
-    return F.exp(F.sum(F.log1p(F.coalesce(F.col(ret), F.lit(0.0)))).over(along(entity, time).rowsBetween(Window.unboundedPreceding, 0)))
+    """Value of 1 along returns; a missing return counts as 0, and after a loss of everything the value stays 0."""
+    w = along(entity, time).rowsBetween(Window.unboundedPreceding, 0)
+    r = F.col(ret)
+    lost = F.coalesce(F.max(r <= -1).over(w), F.lit(False))
+    return F.when(lost, 0.0).otherwise(F.exp(F.sum(F.log1p(F.when(r > -1, r).otherwise(0.0))).over(w)))
 
 
 def drawdown(value: str, entity: str | list[str], time: str) -> Column:
@@ -92,18 +115,29 @@ def drawdown(value: str, entity: str | list[str], time: str) -> Column:
     return ratio(F.col(value), top) - 1
 
 
-def path_metrics(df: DataFrame, keys: list[str], time: str, ret: str, per_year: float = 252.0, ddof: int = 1, downside: str = "std") -> DataFrame:
-    """total, years, cagr, sharpe, sortino, max_dd, calmar of each key's returns; the first return may be NULL and counts as 0."""
-    path = df.withColumn("_value", cumulated(ret, keys, time)).withColumn("_dd", drawdown("_value", keys, time))
-    sd = F.stddev_samp(ret) if ddof == 1 else F.stddev_pop(ret)
-    low = F.stddev_samp(F.when(F.col(ret) < 0, F.col(ret))) if downside == "std" else F.sqrt(F.avg(F.pow(F.least(F.col(ret), F.lit(0.0)), 2)))
-    got = path.groupBy(*keys).agg(
-        (F.max_by("_value", time) / F.min_by("_value", time) - 1).alias("total"), (F.date_diff(F.max(time), F.min(time)) / 365.25).alias("years"),
-        F.avg(ret).alias("_mean"), sd.alias("_sd"), low.alias("_low"), F.min("_dd").alias("max_dd"),
+def path_metrics(df: DataFrame, keys: list[str], time: str, value: str, of: str = "return", per_year: float = 252.0, ddof: int = 1, downside: str = "std") -> DataFrame:
+    """total, years, cagr, sharpe, sortino, max_dd, calmar of each key's path.
+
+    of="return": value is a period's return. The total is the product of all 1 + r, less 1, years are known returns over
+    per_year, and drawdowns are those of the value after each return (the 1 before the first one is no peak).
+    of="equity": value is what the path is worth. The total is the last over the first worth, less 1, years are calendar
+    days over 365.25, returns are changes from row to row.
+    cagr is NULL where less than nothing is left; sharpe, sortino and calmar are 0 where they would divide by 0.
+    """
+    if of == "equity":
+        path = df.withColumn("_value", F.col(value).cast("double")).withColumn("_ret", growth("_value", keys, time))
+        total, years = F.max_by("_value", time) / F.min_by("_value", time) - 1, F.date_diff(F.max(time), F.min(time)) / 365.25
+    else:
+        path = df.withColumn("_ret", F.col(value).cast("double")).withColumn("_value", cumulated("_ret", keys, time))
+        total, years = F.max_by("_value", time) - 1, F.count("_ret") / F.lit(per_year)
+    low = F.stddev_samp(F.when(F.col("_ret") < 0, F.col("_ret"))) if downside == "std" else F.sqrt(F.avg(F.pow(F.least(F.col("_ret"), F.lit(0.0)), 2)))
+    got = path.withColumn("_dd", drawdown("_value", keys, time)).groupBy(*keys).agg(
+        total.alias("total"), years.alias("years"), F.avg("_ret").alias("_mean"), (F.stddev_samp("_ret") if ddof == 1 else F.stddev_pop("_ret")).alias("_sd"),
+        low.alias("_low"), F.min("_dd").alias("max_dd"),
     )
     scale = math.sqrt(per_year)
     flat = F.coalesce(F.col("_sd"), F.lit(0.0)) == 0
-    got = got.withColumn("cagr", F.pow(1 + F.col("total"), 1 / F.greatest("years", F.lit(0.01))) - 1)
+    got = got.withColumn("cagr", F.when(F.col("total") >= -1, F.pow(1 + F.col("total"), 1 / F.greatest("years", F.lit(0.01))) - 1))
     got = got.withColumn("sharpe", F.when(flat, 0.0).otherwise(F.col("_mean") / F.col("_sd") * scale))
     got = got.withColumn("sortino", F.when(flat | ~F.coalesce(F.col("_low") > 0, F.lit(False)), 0.0).otherwise(F.col("_mean") / F.col("_low") * scale))
     got = got.withColumn("calmar", F.when(F.col("max_dd") != 0, F.col("cagr") / F.abs("max_dd")).otherwise(0.0))
@@ -133,21 +167,6 @@ def average_rank(df: DataFrame, value: str, period: str | None, name: str) -> Da
     return df.join(ranks.drop("_n"), [period, value], "left")
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, name): the median of each key, the mean of the two middle values: the bins that hold them are found from counts, and only these are ordered."""
-    seen = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", magnitude_bin(F.col(value)))
-    bins = seen.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_all"))
-    w = Window.partitionBy(*keys)
-    upto = bins.select(*keys, "_bin", (F.sum("_all").over(w.orderBy("_bin")) - F.col("_all")).alias("_before"), "_all", F.sum("_all").over(w).alias("_total"))
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    middle = upto.where((F.col("_before") < high) & (F.col("_before") + F.col("_all") >= low))
-    near = seen.join(F.broadcast(middle.drop("_all")), [*keys, "_bin"])  # two bins a key at most
-    last = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy(value))
-    near = near.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n") + 1)
-    hits = (F.col("_first") <= low).cast("int") * (F.col("_last") >= low).cast("int") + (F.col("_first") <= high).cast("int") * (F.col("_last") >= high).cast("int")
-    return near.groupBy(*keys).agg((F.sum(hits * F.col(value)) / 2).alias(name))
-
-
 def islands(df: DataFrame, entity: str, number: str, label: str) -> DataFrame:
     """Runs of one label over consecutive numbers: first, last, length."""
     group = F.col(number) - F.row_number().over(Window.partitionBy(entity, label).orderBy(number))

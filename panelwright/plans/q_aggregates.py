@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.scalar import graded_regime, ratio
 from panelwright.operators import panel as P
 from panelwright.operators import rolling as R
+from panelwright.operators.quantiles import exact_quantiles
 from panelwright.plans.q_windows import row_mean, surprises
 from panelwright.plans.registry import Tables, query
 
@@ -78,8 +79,9 @@ def ag9(t: Tables):
 @query("ag10_summary", "SELECT count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd, min(l_quantity) AS low, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS q2, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS high FROM lineitem", "mean sd low q1 q2 q3 high", "", "n")
 def ag10(t: Tables):
     x = "l_quantity"
-    q = [F.percentile(x, p).alias(f"q{i}") for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))]
-    return t.read("lineitem").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("low"), *q, F.max(x).alias("high"))
+    lines = t.read("lineitem")
+    told = lines.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"))
+    return told.join(exact_quantiles(lines, [], x, {"q1": 0.25, "q2": 0.5, "q3": 0.75}))  # one row each
 
 
 WEIGHTS = {"debt": 0.5, "equity": 0.3, "revenue": 0.2}
@@ -133,7 +135,7 @@ def ag17(t: Tables):
     x, key = "l_extendedprice", F.coalesce("l_returnflag", F.lit("all")).alias("trigger")
     got = t.read("lineitem").rollup("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_discount") > 0.05).cast("double")).alias("hit"), F.avg(x).alias("mean"), (F.sum(x) / 1000000).alias("total"))
     rows = t.read("lineitem").select(F.explode(F.array(F.col("l_returnflag"), F.lit("all"))).alias("trigger"), x)
-    return got.select(key, "n", "hit", "mean", "total").join(R.exact_median(rows, ["trigger"], x, "median"), "trigger")
+    return got.select(key, "n", "hit", "mean", "total").join(exact_quantiles(rows, ["trigger"], x, {"median": 0.5}), "trigger")
 
 
 @query("ag18_concentration", "SELECT count(*) FILTER (running <= 0.5 * total) + 1 AS n FROM (SELECT sum(v) OVER (ORDER BY v DESC, o_custkey) AS running, sum(v) OVER () AS total FROM (SELECT o_custkey, abs(sum(o_totalprice - 150000)) AS v FROM orders GROUP BY 1))", "", "", "n")
@@ -213,7 +215,9 @@ def ag24(t: Tables):
 
 @query("ag25_tail", "SELECT entity, quantile_cont(fwd, 0.05) AS p05, quantile_cont(fwd, 0.5) AS p50, quantile_cont(fwd, 0.95) AS p95, min(fwd) AS worst FROM fwd WHERE fwd IS NOT NULL GROUP BY 1", "p05 p50 p95 worst")
 def ag25(t: Tables):
-    return t.fwd.where("fwd is not null").groupBy("entity").agg(*(F.percentile("fwd", p).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))), F.min("fwd").alias("worst"))
+    fwd = t.fwd.where("fwd is not null")
+    shares = exact_quantiles(fwd, ["entity"], "fwd", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return shares.join(fwd.groupBy("entity").agg(F.min("fwd").alias("worst")), "entity")
 
 
 LIMITS = {"click": 5, "view": 3}

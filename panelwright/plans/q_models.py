@@ -12,6 +12,7 @@ from panelwright.functions.scalar import clip, graded_regime, multiplier, ratio,
 from panelwright.operators import models as M
 from panelwright.operators import panel as P
 from panelwright.operators import rolling as R
+from panelwright.operators.quantiles import exact_quantiles
 from panelwright.plans.q_aggregates import WEIGHTS
 from panelwright.plans.q_relational import FOLDS, REGIME_SQL, TOP
 from panelwright.plans.q_windows import METRICS, metrics_sql
@@ -97,9 +98,9 @@ def ml5(t: Tables):
 
 @query("ml5b_score_distribution", "SELECT label, count(*) AS n, avg(score) AS mean, stddev_samp(score) AS sd, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS q2, quantile_cont(score, 0.75) AS q3 FROM scored GROUP BY 1", "mean sd q1 q2 q3", "", "label n")
 def ml5b(t: Tables):
-    """Scores by label; there are about a thousand different ones, which bounds what the exact quantiles keep."""
-    q = [F.percentile("score", p).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
-    return t.scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), *q)
+    """Scores by label, with exact quartiles."""
+    told = t.scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
+    return told.join(exact_quantiles(t.scored, ["label"], "score", {"q1": 0.25, "q2": 0.5, "q3": 0.75}), "label")
 
 
 @query("ml6_labelled_dataset", "SELECT s.entity, s.month, r.ret, two.vix, s.fwd, s.label FROM scored s LEFT JOIN ret r USING (entity, month) LEFT JOIN two USING (month)", "ret vix fwd", "month", "label")
@@ -195,7 +196,7 @@ def ml11(t: Tables):
 @query("ml12_comparison", f"SELECT metric, strategy, value, strategy = arg_max(strategy, value) OVER (PARTITION BY metric) AS winner FROM (SELECT strategy, unnest(['total', 'cagr', 'sharpe', 'max_dd']) AS metric, unnest([total, cagr, sharpe, max_dd]) AS value FROM ({metrics_sql('strategy', 'SELECT strategy, month, ret FROM strat')}))", "value")
 def ml12(t: Tables):
     """Every metric of every strategy, and which one is best."""
-    got = R.path_metrics(t.ret.where("ret is not null").withColumnRenamed("entity", "strategy"), ["strategy"], "month", "ret", 12.0)
+    got = R.path_metrics(t.ret.where("ret is not null").withColumnRenamed("entity", "strategy"), ["strategy"], "month", "ret", per_year=12.0)
     long = got.unpivot("strategy", ["total", "cagr", "sharpe", "max_dd"], "metric", "value")
     best = long.groupBy("metric").agg(F.max_by("strategy", "value").alias("best"))
     return long.join(F.broadcast(best), "metric").select("metric", "strategy", "value", (F.col("strategy") == F.col("best")).alias("winner"))

@@ -110,7 +110,7 @@ def beta_panel(t: Tables):
     own = t.dense.select("entity", "day", R.growth("price", "entity", "day").alias("r"))
     index = t.panel.groupBy("day").agg(F.avg("price").alias("price")).withColumn("one", F.lit("index"))
     market = index.select("day", R.growth("price", "one", "day").alias("m"))
-    both = own.join(market, "day").select("entity", "day", R.rolling_beta("r", "m", "entity", "day", 252, 60).alias("beta"))
+    both = R.rolling_beta(own.join(market, "day"), "r", "m", "entity", "day", 252, 60, "beta").select("entity", "day", "beta")
     from panelwright.functions.scalar import quarter_end
 
     return P.to_period(both, quarter_end(F.col("day")), "entity", "day", ["beta"], "quarter")
@@ -209,7 +209,7 @@ def w21(t: Tables):
     return fwd.join(bench, "month").select("entity", "month", "fwd", "bench", F.when(F.col("fwd") > F.col("bench"), 1).otherwise(0).alias("label"))
 
 
-PATH = "SELECT strategy, month, value, value / max(value) OVER (PARTITION BY strategy ORDER BY month) - 1 AS dd, ret FROM (SELECT strategy, month, ret, exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY month)) AS value FROM strat)"
+PATH = "SELECT strategy, month, value, value / max(value) OVER (PARTITION BY strategy ORDER BY month) - 1 AS dd, ret FROM (SELECT strategy, month, ret, product(1 + ret) OVER (PARTITION BY strategy ORDER BY month) AS value FROM strat)"
 
 
 def strategies(t: Tables):
@@ -223,10 +223,22 @@ def w22(t: Tables):
 
 
 def metrics_sql(keys: str, source: str) -> str:
+    """Of monthly returns: the product of all 1 + r over n / 12 years, drawdowns of the running product."""
     k = keys.replace(" ", ", ")
-    path = f"SELECT *, value / max(value) OVER (PARTITION BY {k} ORDER BY month) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY {k} ORDER BY month)) AS value FROM ({source}))"
-    raw = f"SELECT {k}, arg_max(value, month) / arg_min(value, month) - 1 AS total, date_diff('day', min(month), max(month)) / 365.25 AS years, avg(ret) AS mean, stddev_samp(ret) AS sd, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS low, min(dd) AS max_dd FROM ({path}) GROUP BY {k}"
-    more = f"SELECT *, power(1 + total, 1 / greatest(years, 0.01)) - 1 AS cagr, CASE WHEN coalesce(sd, 0) = 0 THEN 0 ELSE mean / sd * sqrt(12) END AS sharpe, CASE WHEN coalesce(sd, 0) = 0 OR NOT coalesce(low > 0, false) THEN 0 ELSE mean / low * sqrt(12) END AS sortino FROM ({raw})"
+    path = f"SELECT *, value / max(value) OVER (PARTITION BY {k} ORDER BY month) - 1 AS dd FROM (SELECT *, product(1 + ret) OVER (PARTITION BY {k} ORDER BY month) AS value FROM ({source}))"
+    raw = f"SELECT {k}, product(1 + ret) - 1 AS total, count(ret) / 12.0 AS years, avg(ret) AS mean, stddev_samp(ret) AS sd, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS low, min(dd) AS max_dd FROM ({path}) GROUP BY {k}"
+    return ratios_sql(k, raw, 12)
+
+
+def equity_sql(key: str, time: str, value: str, source: str) -> str:
+    """Of daily values: last over first, calendar years, returns from row to row."""
+    path = f"SELECT {key}, {time}, {value} AS value, {value} / lag({value}) OVER (PARTITION BY {key} ORDER BY {time}) - 1 AS ret, {value} / max({value}) OVER (PARTITION BY {key} ORDER BY {time}) - 1 AS dd FROM ({source})"
+    raw = f"SELECT {key}, arg_max(value, {time}) / arg_min(value, {time}) - 1 AS total, date_diff('day', min({time}), max({time})) / 365.25 AS years, avg(ret) AS mean, stddev_samp(ret) AS sd, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS low, min(dd) AS max_dd FROM ({path}) GROUP BY {key}"
+    return ratios_sql(key, raw, 252)
+
+
+def ratios_sql(k: str, raw: str, per_year: int) -> str:
+    more = f"SELECT *, power(1 + total, 1 / greatest(years, 0.01)) - 1 AS cagr, CASE WHEN coalesce(sd, 0) = 0 THEN 0 ELSE mean / sd * sqrt({per_year}) END AS sharpe, CASE WHEN coalesce(sd, 0) = 0 OR NOT coalesce(low > 0, false) THEN 0 ELSE mean / low * sqrt({per_year}) END AS sortino FROM ({raw})"
     return f"SELECT {k}, total, years, cagr, sharpe, sortino, max_dd, CASE WHEN max_dd <> 0 THEN cagr / abs(max_dd) ELSE 0 END AS calmar FROM ({more})"
 
 
@@ -235,13 +247,19 @@ METRICS = "total years cagr sharpe sortino max_dd calmar"
 
 @query("w23_metrics", metrics_sql("strategy", "SELECT strategy, month, ret FROM strat"), METRICS)
 def w23(t: Tables):
-    return R.path_metrics(strategies(t), ["strategy"], "month", "ret", 12.0)
+    return R.path_metrics(strategies(t), ["strategy"], "month", "ret", per_year=12.0)
+
+
+@query("w23b_equity_metrics", equity_sql("entity", "day", "price", "SELECT * FROM panel"), METRICS)
+def w23b(t: Tables):
+    """Metrics of what a path is worth from day to day."""
+    return R.path_metrics(t.panel, ["entity"], "day", "price", of="equity")
 
 
 @query("w24_segment_metrics", metrics_sql("strategy segment", "SELECT strategy, month, ret, unnest(CASE WHEN year(month) >= 1999 THEN ['full', 'test'] ELSE ['full', 'train'] END) AS segment FROM strat"), METRICS)
 def w24(t: Tables):
     segment = F.when(F.year("month") >= 1999, F.array(F.lit("full"), F.lit("test"))).otherwise(F.array(F.lit("full"), F.lit("train")))
-    return R.path_metrics(strategies(t).withColumn("segment", F.explode(segment)), ["strategy", "segment"], "month", "ret", 12.0)
+    return R.path_metrics(strategies(t).withColumn("segment", F.explode(segment)), ["strategy", "segment"], "month", "ret", per_year=12.0)
 
 
 @query("w25_chain", f"""SELECT strategy, month, CASE WHEN year(month) < 1999 THEN value ELSE value * scale END AS value FROM (SELECT a.strategy, a.month, a.price AS value, s.scale FROM (SELECT entity AS strategy, month, price FROM monthly) a JOIN (SELECT entity AS strategy, arg_max(CASE WHEN year(month) < 1999 THEN price END, CASE WHEN year(month) < 1999 THEN month END) / nullif(arg_min(CASE WHEN year(month) >= 1999 THEN price END, CASE WHEN year(month) >= 1999 THEN month END), 0) AS scale FROM monthly GROUP BY 1) s USING (strategy))""", "value", "month")
@@ -258,7 +276,7 @@ def w26(t: Tables):
     return t.monthly.select("entity", "month", (F.col("price") / F.first("price").over(R.along("entity", "month")) * 100).alias("value"))
 
 
-@query("w27_equal_weight_index", "SELECT month, exp(sum(ln(1 + ret)) OVER (ORDER BY month)) AS value FROM index_ret", "value", "month")
+@query("w27_equal_weight_index", "SELECT month, product(1 + ret) OVER (ORDER BY month) AS value FROM index_ret", "value", "month")
 def w27(t: Tables):
     index = t.ret.where("ret is not null").groupBy("month").agg(F.avg("ret").alias("ret"))
     return index.withColumn("series", F.lit("index")).select("month", R.cumulated("ret", "series", "month").alias("value"))

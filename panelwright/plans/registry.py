@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.functions.scalar import month_end, quarter_end
+from panelwright.operators.durable import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,14 +97,8 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def scratch(self) -> str:
-        """A new folder in spark.checkpoint.dir; where it is unset, a temporary one on a single machine and an error on a cluster."""
-        sc = self.spark.sparkContext
-        shared = sc.getCheckpointDir() or self.spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if sc.master.split("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = f"file://{tempfile.mkdtemp(prefix='panelwright-')}"
-        return f"{shared}/query-{uuid.uuid4().hex}"
+        """A new folder that the driver and all executors share."""
+        return scratch_dir(self.spark)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
