@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.durable import remove, scratch_dir
+
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Old rows, replaced by new ones of the same key; among new rows of a key the last by `order` wins."""
@@ -13,7 +17,13 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] |
         new = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     else:
         new = settled(new, keys)
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
+    return _without(old, new, keys).unionByName(new.select(*old.columns))
+
+
+def _without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose key is not among others'; NULL is a key like any other."""
+    named = others.select(*(F.col(k).alias(f"_other_{i}") for i, k in enumerate(keys))).distinct()
+    return rows.join(named, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_other_{i}")) for i, k in enumerate(keys))), "left_anti")
 
 
 def settled(new: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,14 +41,31 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], part
     if path_exists(spark, path):
         touched = new.select(partition).distinct()
         old = spark.read.parquet(path).join(touched, partition, "left_semi")
-        aside = f"{path.rstrip('/')}__next"
-        upserted(old.select(*new.columns), new, keys).write.mode("overwrite").partitionBy(partition).parquet(aside)
+        aside = scratch_dir(spark, "upsert")
+        upserted(old.select(*new.columns), new, keys).write.partitionBy(partition).parquet(aside)
         rows = spark.read.parquet(aside).withColumn(partition, F.col(partition).cast(new.schema[partition].dataType))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        remove(spark, aside)
     else:
         settled(new, keys).write.partitionBy(partition).parquet(path)
 
 
+def merge_batch(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], epoch: int, buckets: int = 16) -> None:
+    """A batch of an update-mode stream into a table of one row a key: the batch's rows replace those of their keys, all others stay.
+
+    Keys lie in `buckets` partitions, and only those that the batch touches are rewritten. A row remembers its batch, and
+    a batch changes no row of its own or a later one, so a repeated batch changes nothing. Batch numbers are those of one
+    checkpoint: a stream that starts anew needs a table of its own.
+    """
+    from panelwright.sources.readers import path_exists
+
+    new = rows.withColumns({"_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"), "_epoch": F.lit(epoch).cast("long")})
+    if path_exists(spark, path):
+        new = _without(new, spark.read.parquet(path).where(F.col("_epoch") >= epoch), keys)
+    if not new.isEmpty():
+        upsert(spark, path, new, keys, "_bucket")
+
+
 def absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows whose key is not there yet, one for each key."""
     return new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import clean_field, content_key, parse_timestamp, strip
 from panelwright.operators.panel import small
-from panelwright.sources.sinks import insert_absent
+from panelwright.sources.readers import path_exists
+from panelwright.sources.sinks import merge_batch
 
 
 def landed(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
@@ -41,16 +42,51 @@ def quarantined(articles: DataFrame, good: str, bad: str) -> Callable[[DataFrame
     return write
 
 
+def sorted_out(path: str, ts: str, lateness: str, readable: Column) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: every row goes to rows/epoch=../kind= good, bad (not `readable`) or late (before the watermark); none vanishes.
+
+    A batch's watermark is the latest time of the batches before it less `lateness`. Each batch is written once, with
+    its counts and latest time observed on the way, and leaves them in marks/; a repeated batch finds the same watermark
+    and overwrites its own folders only. What is good never lies behind the watermark, so jobs with state can follow.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        marks = counted(spark, path).where(F.col("epoch") < epoch).agg((F.max("latest") - F.expr(f"interval {lateness}")).alias("line"))  # a row for each batch
+        line = marks.first()["line"]
+        late = F.col(ts) < F.lit(line) if line is not None else F.lit(False)
+        kind = F.when(~F.coalesce(readable & F.col(ts).isNotNull(), F.lit(False)), "bad").when(late, "late").otherwise("good")
+        seen = Observation()
+        counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
+        told = batch.withColumn("kind", kind).observe(seen, *counts, F.max(F.when(F.col("kind") != "bad", F.col(ts))).alias("latest"))
+        told.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/rows/epoch={epoch}")
+        latest = max((x for x in (seen.get["latest"], line and counted(spark, path).where(F.col("epoch") < epoch).agg(F.max("latest")).first()[0]) if x), default=None)
+        spark.createDataFrame([(*(seen.get[k] for k in KINDS), latest)], MARKS).coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/epoch={epoch}")
+
+    return write
+
+
+#: Where rows of a stream go, and what a batch leaves behind.
+KINDS = ("good", "bad", "late")
+MARKS = "good long, bad long, late long, latest timestamp"
+
+
+def counted(spark: SparkSession, path: str) -> DataFrame:
+    """(epoch, good, bad, late, latest): rows of each batch by kind, and the latest time up to it."""
+    if not path_exists(spark, f"{path}/marks"):
+        return spark.createDataFrame([], f"{MARKS}, epoch long")
+    return spark.read.schema(f"{MARKS}, epoch long").parquet(f"{path}/marks")
+
+
 def scored_once(path: str, score: Callable[[DataFrame], DataFrame], key: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: scores rows whose key has no score yet, once; a repeated batch adds nothing."""
-    from panelwright.sources.readers import path_exists
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
         if path_exists(spark, path):
             new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        insert_absent(spark, path, score(new), [key])
+        score(new).write.mode("append").parquet(path)
 
     return write
 
@@ -101,19 +137,74 @@ def open_windows(log: DataFrame) -> DataFrame:
     return log.where(~F.col("status").isin(*DONE))
 
 
+def _year(period: Column) -> Column:
+    return F.substring(period, 1, 4)
+
+
+def audited(log: DataFrame, articles: DataFrame, keys: list[str], as_of: str) -> DataFrame:
+    """log(keys, period, status, ..) with what articles(keys, day) hold of each window: rows, last, gap_days; one row for each key and year.
+
+    A period is `YYYY-MM..YYYY-MM`. Periods that do not span their year have drifted; they are folded onto the year's
+    stable period, where a stable row counts before drifted ones and a later `completed_at` before an earlier one.
+    """
+    year = _year(F.col("period"))
+    stable = F.concat(year, F.lit("-01.."), year, F.lit("-12"))
+    best = F.struct((F.col("period") == stable).alias("own"), "completed_at", "period", *(c for c in log.columns if c not in (*keys, "period", "completed_at")))
+    folded = log.groupBy(*keys, stable.alias("_stable"), year.alias("_year")).agg(F.max(best).alias("_row"))
+    rest = [c for c in log.columns if c not in (*keys, "period")]
+    folded = folded.select(*keys, F.col("_stable").alias("period"), "_year", *(F.col(f"_row.{c}").alias(c) for c in rest))
+    held = articles.groupBy(*keys, F.year("day").cast("string").alias("_year")).agg(F.count(F.lit(1)).alias("rows"), F.max("day").alias("last"))
+    first, end = F.make_date(F.col("_year").cast("int"), F.lit(1), F.lit(1)), F.least(F.make_date(F.col("_year").cast("int"), F.lit(12), F.lit(31)), F.lit(as_of).cast("date"))
+    joined = folded.join(held, [*keys, "_year"], "left").fillna(0, ["rows"])
+    return joined.withColumn("gap_days", F.date_diff(end, F.coalesce("last", first))).drop("_year")
+
+
+def reconciled(log: DataFrame, articles: DataFrame, keys: list[str], as_of: str, full: int, gap: int) -> DataFrame:
+    """The log with one row for each key and year, and statuses told from the articles at hand.
+
+    No rows are an `error`, to be asked for again, unless the log says that the window was answered and `empty`; `full`
+    rows or more that end over `gap` days early are `partial`; all else is `ok`. A second run changes nothing.
+    """
+    found = audited(log, articles, keys, as_of)
+    none = F.when(F.col("status") == "empty", "empty").otherwise("error")
+    status = F.when(F.col("rows") == 0, none).when((F.col("rows") >= full) & (F.col("gap_days") > gap), "partial").otherwise("ok")
+    return found.withColumn("status", status).select(*log.columns)
+
+
+def log_changes(log: DataFrame, articles: DataFrame, keys: list[str], as_of: str, full: int, gap: int) -> DataFrame:
+    """(keys, period, change, before, after): what reconciled() would change, as a dry run: a `rekey` for each drifted period, a `status` for each that differs."""
+    year = _year(F.col("period"))
+    stable = F.concat(year, F.lit("-01.."), year, F.lit("-12"))
+    moved = log.where(F.col("period") != stable).select(*keys, "period", F.lit("rekey").alias("change"), F.col("period").alias("before"), stable.alias("after"))
+    after = reconciled(log, articles, keys, as_of, full, gap).select(*keys, "period", F.col("status").alias("after"))
+    before = audited(log, articles, keys, as_of).select(*keys, "period", F.col("status").alias("before"))
+    differing = before.join(after, [*keys, "period"]).where(~F.col("before").eqNullSafe(F.col("after")))
+    return moved.unionByName(differing.withColumn("change", F.lit("status")))
+
+
 def enriched(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """A stream with the columns of a static table."""
     return events.join(dimension, key, "left")
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Takes what is there now through the stream and returns the result; update and complete results keep the last batch's rows."""
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Takes what is there now through the stream and returns the result.
+
+    Complete results replace the table. Update mode needs the `keys` of the result: each batch's rows are merged into
+    those of the batches before it, in this run or an earlier one with the same path.
+    """
     spark = stream.sparkSession
     schema = stream.schema
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{path}/data")
-    else:
+    elif mode == "complete":
         query = writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/data")).start()
+    elif keys:
+        query = writer.foreachBatch(lambda batch, epoch: merge_batch(spark, f"{path}/data", batch, keys, epoch)).start()
+    else:
+        raise ValueError("update mode keeps a row for each key: name the keys")
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/data")
+    if not path_exists(spark, f"{path}/data"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/data").select(*schema.names)
