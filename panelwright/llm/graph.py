@@ -1,4 +1,4 @@
-"""Connected components of links, by contraction: joins and aggregations only."""
+"""Connected components of links, by alternating stars: joins and aggregations only."""
 
 from __future__ import annotations
 
@@ -11,30 +11,24 @@ from panelwright.llm.common import discard, stored
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of links(a, b); the component is its least node.
 
-    In each round every node points to its least neighbour if that is less than itself, pointers are followed two steps
-    further, and links are moved to where they lead; links within a node vanish, so the work shrinks from round to round.
-    "Least" is by id in even rounds, which suits stars around small ids, and by a hash in odd ones, under which no chain
-    of ids is long. Each round's tables are stored; only whether links are left reaches the driver.
+    A round links each node's greater neighbours to the least of its neighbourhood (a large star), then each node and its
+    lesser neighbours to the least of these (a small star). Both keep what is connected and hang nodes lower; once every
+    node with a parent has one and no child, each hangs from the least of its component alone. Each round's links are stored,
+    and so are the least neighbours, so that the rows of a node with very many neighbours can be split over tasks; only
+    whether rounds are left reaches the driver.
     """
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = stored(edges.select(F.col("a").alias("node"), F.col("a").alias("at")).distinct())
-    turn = 0
-    while not edges.isEmpty():
-        rank = (lambda c: F.struct(F.col(c))) if turn % 2 == 0 else (lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c), F.col(c)))
-        near = edges.groupBy("a").agg(F.min(rank("b")).alias("n"))
-        names = near.schema["n"].dataType.names
-        first = up = stored(near.select("a", F.when(rank("a") < F.col("n"), F.col("a")).otherwise(F.col(f"n.{names[-1]}")).alias("up")))
-        step = up.select(F.col("a").alias("up"), F.col("up").alias("further"))
-        for _ in range(2):
-            up = up.join(step, "up").select("a", F.col("further").alias("up"))
-        up = stored(up)
-        old = first, labels, edges
-        labels = stored(labels.join(up.select(F.col("a").alias("at"), "up"), "at", "left").select("node", F.coalesce("up", "at").alias("at")))
-        moved = edges.join(up, "a").select(F.col("up").alias("x"), "b").join(up.withColumnRenamed("a", "b"), "b").select(F.col("x").alias("a"), F.col("up").alias("b"))
-        edges = stored(moved.where("a != b").distinct())
-        discard(*old, up)
-        turn += 1
-    least = labels.groupBy("at").agg(F.min("node").alias("component"))
-    found = stored(labels.join(least, "at").select("node", "component"))
-    discard(labels, edges)
-    return found
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
+        moved = stored(small)
+        discard(edges, near)
+        edges = moved
+        # Stars it is, once every node with a parent has one, and no child.
+        low = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+        if low.union(edges.groupBy("a").count().where("count > 1").select("a")).isEmpty():
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

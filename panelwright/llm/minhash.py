@@ -8,15 +8,15 @@ the similarity demands, so nothing can be missed; for larger sets it is m/2, and
 fails to share so many of 64 values with a probability of 2e-8. Rare values first keep a phrase that a third of all
 documents hold from generating pairs.
 
-Comparing whoever shares a value would mean comparing unlike documents, so this takes two passes. The first lists sketches
-under two of these values at a time, neighbours in the order of rarity; that finds copies and most pairs, and contracts
-them. The second lists them under every single value. In a list only members of different components are set against each
-other, within the task, by the parities of their values in `BITS` places: these differ in no more places than the sketches
-differ in values, so a pair that differs in more than its overlap allows falls away, and no other. Of what is left a list
-gives a spanning forest, so a crowd yields as many rows as it has members. Lists of over `LONG` members meet in blocks.
-Together the passes miss only what the overlap misses.
-
-Documents that share a list of the first pass or a forest of the second, directly or through others, are a family.
+A list's members are not compared pair by pair. Two sketches are told apart by the parities of their values in `BITS`
+places: these differ in no more places than the sketches differ in values, so a pair that differs in more than its overlap
+allows falls away, and no other. A first pass contracts copies: sketches are listed under two of these values at a time,
+neighbours in the order of rarity, each member of a list meets the list's least one, and what full sets confirm is linked.
+The second pass misses nothing: sketches are listed under every single value, and within a list all members of different
+components meet, by parities, in their task. Of the pairs that are left a list gives a spanning forest, so a crowd yields
+as many rows as it has members; lists of over `LONG` members meet in blocks. Documents that these forests connect are a
+family, and families are compared as a whole, but for what is linked already.
+
 Families of up to `BLOCK` members are compared in cells of about so many documents each. A larger family is cut into
 blocks. First every block meets one block of pivots; what that links is contracted. Then the members outside of the
 family's largest component meet all blocks in cells of two blocks, until every pair of different components has met. In a
@@ -44,7 +44,7 @@ from panelwright.llm.graph import components
 from panelwright.llm.shingles import set_key, shingle_sets
 
 K = 64
-BLOCK = 64
+BLOCK = 128
 #: Places of a sketch's parities.
 BITS = 512
 #: Members of a list that meet at once.
@@ -53,9 +53,9 @@ LONG = 1024
 LISTED = 20_000
 
 
-def parities(sketch: np.ndarray) -> bytes:
-    """One bit for each of BITS residues: whether an odd number of values have it."""
-    return np.packbits(np.bincount(sketch & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def parities(sketch: np.ndarray) -> np.ndarray:
+    """One bit for each of BITS residues, in longs: whether an odd number of values have it."""
+    return np.packbits(np.bincount(sketch & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
@@ -89,11 +89,30 @@ def under_neighbours(lists: DataFrame) -> DataFrame:
     return lists.select("rep", F.explode(keys).alias("key"))
 
 
-def families(keyed: DataFrame) -> DataFrame:
-    """(rep, family): who shares a key, directly or through others."""
+def signed(classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(rep, n, m, needed, sign) of all listed sketches."""
+    signs = F.pandas_udf(lambda x: x.map(parities), "array<long>")
+    return stored(lists.select("rep", "n", "m", "needed").join(classes.select("rep", signs("sketch").alias("sign")), "rep"))
+
+
+def copies(lists: DataFrame, signs: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
+    """(a, b): confirmed links between members of lists under neighbours and the least member of each."""
+    keyed = under_neighbours(lists)
     least = stored(keyed.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"))
-    found = components(keyed.join(least, "key").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    return found.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    pairs = keyed.join(least, "key").where("rep <> least").select("rep", "least").distinct()
+    other = signs.select(*(F.col(c).alias({"rep": "least"}.get(c, f"{c}_")) for c in signs.columns))
+    apart = F.aggregate(F.zip_with("sign", "sign_", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    alike = (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent) & (apart <= F.col("m") + F.col("m_") - 2 * F.greatest("needed", "needed_"))
+    pairs = stored(pairs.join(signs, "rep").join(other, "least").where(alike).select("rep", "least"))
+    # The lists of a few members share cells; a long one has cells of its own, which all hold its least member.
+    cells = max(1, -(-pairs.count() // BLOCK))
+    sizes = pairs.groupBy("least").agg(_blocks_of(F.count(F.lit(1))).alias("blocks"))
+    cell = F.when(F.col("blocks") == 1, F.struct(F.lit(-1).cast("long").alias("f"), F.pmod(F.xxhash64("least"), F.lit(cells)).cast("int").alias("b"))).otherwise(F.struct(F.col("least").alias("f"), F.col("b"))).alias("cell")
+    members = pairs.join(sizes, "least").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).select(cell, "rep", F.lit(1).alias("side"))
+    heads = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cell, F.col("least").alias("rep"), F.lit(0).alias("side"))
+    rows = stored(members.unionByName(heads).distinct())
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(rows.select("rep"), "rep", "left_semi"))
+    return stored(_met(rows.withColumn("label", F.col("rep")), texts, words, percent, k))
 
 
 def forest(key: np.ndarray, rep: np.ndarray, label: np.ndarray, n: np.ndarray, m: np.ndarray, needed: np.ndarray, side: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -129,9 +148,9 @@ def forest(key: np.ndarray, rep: np.ndarray, label: np.ndarray, n: np.ndarray, m
     return out
 
 
-def meetings(classes: DataFrame, lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def meetings(lists: DataFrame, signs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): forests of all lists under single values, between different labels(node, component)."""
-    named = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "m", "needed", "own", F.coalesce("component", "rep").alias("label"))
+    named = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "own", F.coalesce("component", "rep").alias("label"))
     rows = named.select("rep", "label", F.explode("own").alias("value"))
     open_ = stored(rows.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("value", "members"))
     blocks = F.ceil(F.col("members") / LONG).cast("int")
@@ -140,17 +159,15 @@ def meetings(classes: DataFrame, lists: DataFrame, labels: DataFrame, percent: i
     key = F.when(F.col("blocks") == 1, F.col("value")).otherwise(F.xxhash64("value", F.least("at", "other"), F.greatest("at", "other")))
     side = F.when(F.col("at") == F.col("other"), 2).otherwise((F.col("at") > F.col("other")).cast("int"))
     met = stored(met.select("rep", "label", key.alias("list"), side.alias("side")))
-    signs = F.pandas_udf(lambda x: x.map(parities), "binary")
-    signed = stored(lists.select("rep", "n", "m", "needed").join(classes.select("rep", signs("sketch").alias("sign")), "rep"))
     cells = max(1, -(-met.count() // LISTED))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["list", "rep"])
-        bits = np.frombuffer(b"".join(rows["sign"]), np.uint64).reshape(len(rows), -1)
+        bits = np.stack(rows["sign"].to_numpy()).view(np.uint64)
         columns = (rows[c].to_numpy() for c in ("list", "rep", "label", "n", "m", "needed", "side"))
         return pd.DataFrame(forest(*columns, bits, percent), columns=["a", "b"])
 
-    return met.join(signed, "rep").groupBy(F.pmod(F.xxhash64("list"), F.lit(cells)).alias("cell")).applyInPandas(run, "a long, b long")
+    return met.join(signs, "rep").groupBy(F.pmod(F.xxhash64("list"), F.lit(cells)).alias("cell")).applyInPandas(run, "a long, b long")
 
 
 def cell_links(ids: list[int], sides: list[int], labels: list[int], sets: list[np.ndarray], percent: int, k: int = K) -> list[tuple[int, int]]:
@@ -203,11 +220,11 @@ def _blocks(count: str):
     return _blocks_of(F.col(count))
 
 
-def links_within(found: DataFrame, known_links: DataFrame | None, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
-    """(a, b): links that connect what is similar within families found(rep, family), beside those that known_links connect already."""
-    start = lambda rows, links: rows.withColumn("label", F.col("rep")) if links is None else rows.join(components(links).withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+def joined_within(found: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
+    """(node, component): labels(node, component), joined further by all that is similar within families found(rep, family)."""
+    start = lambda rows, labels: rows.join(labels.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = stored(start(found.join(sizes, "family"), known_links))
+    members = stored(start(found.join(sizes, "family"), labels))
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi"))
     small, large = members.where(f"size <= {BLOCK}"), members.where(f"size > {BLOCK}")
     cells = max(1, -(-small.count() // BLOCK))
@@ -219,9 +236,13 @@ def links_within(found: DataFrame, known_links: DataFrame | None, docs: DataFram
     against = pivots.where("b > 0").select(at(one, F.col("b")), "rep", F.lit(0).alias("side"), "label")
     own = blocked.select(at(one, F.col("block")), "rep", F.when(F.col("block") == 0, 2).otherwise(1).alias("side"), "label")
     links = stored(_met(shared.unionByName(against).unionByName(own), texts, words, percent, k))
+    if links.isEmpty() and large.isEmpty():
+        return labels
+    linked_ = lambda labels, links: components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+    labels = linked_(labels, links)
     if large.isEmpty():
-        return links
-    known = stored(start(blocked.drop("label"), links if known_links is None else known_links.union(links)))
+        return labels
+    known = stored(start(blocked.drop("label"), labels))
     main = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = main.where(F.col("all") > F.col("most")).select("family", "main", _blocks_of(F.col("all") - F.col("most")).alias("parts"))
     known = known.join(main, "family")
@@ -229,19 +250,20 @@ def links_within(found: DataFrame, known_links: DataFrame | None, docs: DataFram
     rest = known.where("label != main").withColumn("u", part)
     rest = rest.withColumn("b", F.explode(F.sequence(F.lit(0), _blocks("size") - 1))).select(at(F.col("u"), F.col("b")), "rep", F.lit(0).alias("side"), "label")
     every = known.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(at(F.col("u"), F.col("block")), "rep", F.lit(1).alias("side"), "label")
-    return links.union(stored(_met(rest.unionByName(every), texts, words, percent, k)))
+    more = stored(_met(rest.unionByName(every), texts, words, percent, k))
+    return labels if more.isEmpty() else linked_(labels, more)
 
 
 def linked(classes: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
     """(node, component) of all representatives that are similar to another one."""
     lists = stored(listed(classes, percent, k))
-    links = links_within(families(under_neighbours(lists)), None, docs, words, percent, k)
-    labels = components(links)
-    met = stored(meetings(classes, lists, labels, percent))
+    signs = signed(classes, lists)
+    labels = components(copies(lists, signs, docs, words, percent, k))
+    met = stored(meetings(lists, signs, labels, percent))
     if met.isEmpty():
         return labels
     found = components(met).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    return components(links.union(links_within(found, links, docs, words, percent, k)))
+    return joined_within(found, labels, docs, words, percent, k)
 
 
 def _blocks_of(count):
