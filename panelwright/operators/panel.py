@@ -81,10 +81,10 @@ def full_outer_series(frames: dict[str, DataFrame], keys: list[str], value: str)
     return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in frames))
 
 
-def reconcile(target: DataFrame, actual: DataFrame, key: str, band: float) -> DataFrame:
-    """target(key, target), actual(key, actual): difference, and side where it leaves the band."""
+def reconcile(target: DataFrame, actual: DataFrame, key: str | list[str], band: float) -> DataFrame:
+    """target(key, target), actual(key, actual): difference, side where it leaves the band, and turn: sells come first, they free the cash for buys."""
     both = target.join(actual, key, "full").fillna(0.0, ["target", "actual"]).withColumn("delta", F.col("target") - F.col("actual"))
-    return both.withColumn("side", F.when(F.col("delta") < -band, "SELL").when(F.col("delta") > band, "BUY").otherwise("HOLD"))
+    return both.withColumn("side", F.when(F.col("delta") < -band, "SELL").when(F.col("delta") > band, "BUY").otherwise("HOLD")).withColumn("turn", F.when(F.col("delta") < -band, 1).when(F.col("delta") > band, 2).otherwise(3))
 
 
 def with_fallback(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

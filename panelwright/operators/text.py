@@ -175,16 +175,6 @@ def dictionary_counts(df: DataFrame, key: str, text: str, dictionary: DataFrame,
     return out.withColumn("net", (F.col("positive") - F.col("negative")) / F.greatest("total", F.lit(1)))
 
 
-def lexicon_scorer(texts: pd.Series) -> pd.Series:
-    """The default scorer, where no model is at hand: share of longer words less share of shorter ones."""
-
-    def one(text):
-        w = text.split()
-        return sum((len(x) > 6) - (len(x) < 3) for x in w) / max(len(w), 1)
-
-    return texts.map(one)
-
-
 def tokens_of(text: str) -> list[str]:
     """The tokens that dictionary_counts() takes."""
     return re.findall(r"[A-Z']+", text.upper())
@@ -210,7 +200,7 @@ def pieces(text: str, most: int) -> list[str]:
     return [*out, text[at:]]
 
 
-def scored(df: DataFrame, text: str, name: str = "score", scorer: Callable[[], Callable[[pd.Series], pd.Series]] = lambda: lexicon_scorer, most: int = 10_000, weigh: Callable[[str], list] = str.split) -> DataFrame:
+def scored(df: DataFrame, text: str, scorer: Callable[[], Callable[[pd.Series], pd.Series]], name: str = "score", most: int = 10_000, weigh: Callable[[str], list] = str.split) -> DataFrame:
     """Scores of texts by a model that `scorer()` loads once in each worker; empty texts score 0.
 
     The model takes `most` characters: longer texts are scored in pieces that end at a blank where there is one, and the

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.scalar import graded_regime, ratio
 from panelwright.operators import panel as P
 from panelwright.operators import rolling as R
+from panelwright.operators.durable import saved
 from panelwright.operators.quantiles import exact_quantiles
 from panelwright.plans.q_windows import row_mean, surprises
 from panelwright.plans.registry import Tables, query
@@ -155,10 +156,14 @@ _EACH = f"SELECT day, unnest([a, b]) AS v FROM ({PAIRS}) WHERE a IS NOT NULL AND
 AGREE = f"SELECT * FROM (SELECT count(*) AS n, avg(a - b) AS difference, stddev_samp(a) / nullif(stddev_samp(b), 0) AS sd_ratio, corr(ra, rb) AS rank_corr FROM ({_RANKS})) CROSS JOIN (SELECT stddev_samp(v) AS pooled_sd FROM ({_EACH})) CROSS JOIN (SELECT avg(sd) AS period_sd FROM (SELECT stddev_samp(v) AS sd FROM ({_EACH}) GROUP BY day))"
 
 
+def paired_means(t: Tables):
+    of = lambda c: F.avg(F.when(c, F.col("score")))
+    return t.news.groupBy("key", "day").agg(of(F.col("source") == "click").alias("a"), of(F.col("source") != "click").alias("b")).dropna("any", subset=["a", "b"])
+
+
 def agreement(t: Tables):
     """One row: difference, ratio of deviations and rank correlation of paired means, their pooled deviation and the mean of periods' deviations."""
-    of = lambda c: F.avg(F.when(c, F.col("score")))
-    pairs = t.news.groupBy("key", "day").agg(of(F.col("source") == "click").alias("a"), of(F.col("source") != "click").alias("b")).dropna("any", subset=["a", "b"])
+    pairs, _ = saved(paired_means(t))
     ranked = R.average_rank(R.average_rank(pairs, "a", None, "ra"), "b", None, "rb")
     told = ranked.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("a") - F.col("b")).alias("difference"), ratio(F.stddev_samp("a"), F.stddev_samp("b")).alias("sd_ratio"), F.corr("ra", "rb").alias("rank_corr"))
     each = pairs.select("day", F.explode(F.array("a", "b")).alias("v"))
@@ -294,7 +299,7 @@ def ag32(t: Tables):
     return a.join(b, "k", "full").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fn16_sell_rule", f"SELECT entity, phi, CASE WHEN phi <= 0 THEN 'NONE' WHEN f1 >= 0.05 THEN 'I' ELSE 'II' END AS kase FROM (SELECT *, (0.05 + lam1 - f1) * (0.05 + lam2 - f2) - lam1 * lam2 AS phi FROM (SELECT *, mu + s0 / sqrt(1 / 252.0) * sqrt(lam1 * (lam1 + lam2) / (2 * lam2)) AS f1, mu - s0 / sqrt(1 / 252.0) * sqrt(lam2 * (lam1 + lam2) / (2 * lam1)) AS f2 FROM ({FLIPS}) WHERE lam1 > 0 AND lam2 > 0))", "phi")
+@query("fn16_sell_rule", f"SELECT entity, phi, CASE WHEN phi <= 0 THEN 'NONE' WHEN f1 >= 0.05 THEN 'I' ELSE 'II' END AS kase, threshold, coalesce(1.0 >= threshold, false) AS sell FROM (SELECT *, CASE WHEN f1 >= 0.05 AND phi > 0 THEN (0.05 + lam1 - f1) / (0.05 + lam1) * 0.001 * beta / (beta - 1) END AS threshold FROM (SELECT *, ((0.05 + lam1) * f2 + (0.05 + lam2) * f1 - sqrt(greatest(0, power((0.05 + lam1) * f2 + (0.05 + lam2) * f1, 2) - 4 * f1 * f2 * ((0.05 + lam1) * (0.05 + lam2) - lam1 * lam2)))) / (2 * f1 * f2) AS beta FROM (SELECT *, (0.05 + lam1 - f1) * (0.05 + lam2 - f2) - lam1 * lam2 AS phi FROM (SELECT *, mu + s0 / sqrt(1 / 252.0) * sqrt(lam1 * (lam1 + lam2) / (2 * lam2)) AS f1, mu - s0 / sqrt(1 / 252.0) * sqrt(lam2 * (lam1 + lam2) / (2 * lam1)) AS f2 FROM ({FLIPS}) WHERE lam1 > 0 AND lam2 > 0))))", "phi threshold")
 def fn16(t: Tables):
     from panelwright.functions.scalar import sell_rule
 
@@ -303,7 +308,7 @@ def fn16(t: Tables):
     sigma = c("s0") / F.sqrt(F.lit(1 / 252.0))
     p = p.withColumns({"f1": c("mu") + sigma * F.sqrt(c("lam1") * (c("lam1") + c("lam2")) / (2 * c("lam2"))), "f2": c("mu") - sigma * F.sqrt(c("lam2") * (c("lam1") + c("lam2")) / (2 * c("lam1")))})
     rule = sell_rule(c("f1"), c("f2"), c("lam1"), c("lam2"), F.lit(1.0), F.lit(True), 0.05, 0.001)
-    return p.select("entity", rule["phi"].alias("phi"), rule["case"].alias("kase"))
+    return p.select("entity", rule["phi"].alias("phi"), rule["case"].alias("kase"), rule["threshold"].alias("threshold"), rule["sell"].alias("sell"))
 
 
 @query("w15b_direction_counts", "SELECT direction, count(*) AS n FROM (SELECT CASE WHEN sue - lag(sue) OVER (PARTITION BY entity ORDER BY quarter) > 0 THEN 'up' ELSE 'down' END AS direction FROM (SELECT * FROM (SELECT entity, quarter, surprise, CASE WHEN count(surprise) OVER w >= 4 THEN surprise / nullif(stddev_samp(surprise) OVER w, 0) END AS sue FROM (SELECT entity, quarter, eps - lag(eps, 4) OVER (PARTITION BY entity ORDER BY quarter) AS surprise FROM facts) WINDOW w AS (PARTITION BY entity ORDER BY quarter ROWS 7 PRECEDING)) WHERE sue IS NOT NULL)) GROUP BY 1", "", "", "n")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from panelwright.operators import models as M
 from panelwright.operators import panel as P
 from panelwright.operators import rolling as R
 from panelwright.operators.quantiles import exact_quantiles
-from panelwright.plans.q_aggregates import WEIGHTS
+from panelwright.plans.q_aggregates import PAIRS, WEIGHTS, paired_means
 from panelwright.plans.q_relational import FOLDS, REGIME_SQL, TOP
 from panelwright.plans.q_windows import METRICS, metrics_sql
 from panelwright.plans.registry import Tables, query
@@ -142,15 +141,9 @@ def ml8(t: Tables):
 @query("ml9_forecast_factor", "SELECT entity, month, exp(21 * (ln(last) - ln(first)) / (n - 1)) - 1 AS forecast FROM (SELECT m.entity, m.month, count(*) AS n, arg_min(p.price, p.day) AS first, arg_max(p.price, p.day) AS last FROM (SELECT DISTINCT entity, last_day(day) AS month FROM panel) m JOIN (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day) AS i FROM panel) p ON p.entity = m.entity AND p.day <= m.month JOIN (SELECT entity, last_day(day) AS month, max(i) AS top FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day) AS i FROM panel) GROUP BY 1, 2) x ON x.entity = m.entity AND x.month = m.month AND p.i > x.top - 252 GROUP BY 1, 2) WHERE n >= 63", "forecast", "month")
 def ml9(t: Tables):
     """A forecaster over context windows; the default one goes on with the mean log increment for 21 steps."""
-    @F.pandas_udf("double")
-    def drift(contexts: pd.Series) -> pd.Series:
-        import numpy as np
-
-        return contexts.map(lambda c: float(np.exp(21 * np.diff(np.log(c)).mean()) - 1) if len(c) >= 63 else None)
-
     from panelwright.plans.q_windows import contexts
 
-    return contexts(t.panel).select("entity", "month", drift("context").alias("forecast"))
+    return M.forecast(contexts(t.panel), "context", M.drift(21)).select("entity", "month", "forecast")
 
 
 HOLD = f"SELECT entity, month, weight FROM ({TOP})"
@@ -214,6 +207,22 @@ def ml13(t: Tables):
     return draws.agg(F.percentile("mean", 0.05).alias("p05"), F.percentile("mean", 0.5).alias("p50"), F.percentile("mean", 0.95).alias("p95"))
 
 
+RANKED = """SELECT draw, day, a, b, times, sum(times) OVER (PARTITION BY draw ORDER BY a) - sum(times) OVER (PARTITION BY draw, a) + (sum(times) OVER (PARTITION BY draw, a) + 1) / 2.0 AS ra,
+ sum(times) OVER (PARTITION BY draw ORDER BY b) - sum(times) OVER (PARTITION BY draw, b) + (sum(times) OVER (PARTITION BY draw, b) + 1) / 2.0 AS rb"""
+DAYS = f"SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM ({PAIRS}) WHERE a IS NOT NULL AND b IS NOT NULL)"
+TIMES = f"SELECT d.draw, x.day, count(*) AS times FROM (SELECT unnest(range(100)) AS draw) d CROSS JOIN (SELECT max(n) AS n FROM ({DAYS})) c CROSS JOIN LATERAL (SELECT unnest(range((c.n + 4) // 5)) AS b) e CROSS JOIN (SELECT unnest(range(5)) AS o) f JOIN ({DAYS}) x ON x.i = (CAST('0x' || substr(md5('7-' || d.draw || '-' || e.b), 1, 8) AS BIGINT) % c.n + f.o) % c.n WHERE e.b * 5 + f.o < c.n GROUP BY 1, 2"
+CORRELATED = f"SELECT draw, (sum(times * ra * rb) - sum(times * ra) * sum(times * rb) / sum(times)) / sqrt((sum(times * ra * ra) - sum(times * ra) * sum(times * ra) / sum(times)) * (sum(times * rb * rb) - sum(times * rb) * sum(times * rb) / sum(times))) AS r FROM ({RANKED} FROM ({PAIRS}) p JOIN ({TIMES}) w USING (day) WHERE a IS NOT NULL AND b IS NOT NULL) GROUP BY 1"
+
+
+@query("ml13b_correlation_interval", f"SELECT quantile_cont(r, 0.05) AS p05, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.95) AS p95 FROM ({CORRELATED})", "p05 p50 p95")
+def ml13b(t: Tables):
+    """An interval of the rank correlation of paired means: 100 resamples of blocks of five days, each with all its pairs."""
+    pairs = paired_means(t)
+    days = pairs.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)  # a row for each day
+    draws = M.bootstrapped_rank_correlation(pairs.join(P.small(days), "day"), "i", "a", "b", days.count(), 5, 100)
+    return draws.agg(*(F.percentile("correlation", p).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))))  # a row for each draw
+
+
 @query("ml14_perturbed_worlds", "SELECT quantile_cont(sharpe, 0.05) AS p05, quantile_cont(sharpe, 0.5) AS p50, quantile_cont(sharpe, 0.95) AS p95 FROM (SELECT world, avg(m) / nullif(stddev_samp(m), 0) * sqrt(12) AS sharpe FROM (SELECT world, month, avg(fwd * (1 + ((world * 7 + month(month)) % 5 - 2) * 0.1)) AS m FROM scored CROSS JOIN (SELECT unnest(range(20)) AS world) GROUP BY 1, 2) GROUP BY 1)", "p05 p50 p95")
 def ml14(t: Tables):
     worlds = t.spark.range(20).withColumnRenamed("id", "world")

@@ -37,23 +37,29 @@ def src15(t: Tables):
 # Sinks
 
 
-@query("snk1_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders", "o_totalprice")
+@query("snk1_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 < 5 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders", "o_totalprice")
 def snk1(t: Tables):
-    from panelwright.sources.sinks import upserted
+    """A table written, and new rows put in by key; they touch five of its seven partitions."""
+    from panelwright.sources.sinks import upsert
 
-    old = t.read("orders").select("o_orderkey", "o_totalprice")
-    new = old.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
-    return upserted(old, new, ["o_orderkey"])
+    path = t.scratch()
+    old = t.read("orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 7).cast("int").alias("part"))
+    new = old.where("o_orderkey % 3 = 0 and part < 5").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    for rows in (old, new):
+        upsert(t.spark, path, rows, ["part", "o_orderkey"], "part")
+    return t.spark.read.parquet(path).select("o_orderkey", "o_totalprice")
 
 
-@query("snk2_insert_absent", "SELECT DISTINCT p_name, p_brand FROM part WHERE p_partkey % 2 = 0 OR p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0)")
+@query("snk2_insert_absent", "SELECT p_name, p_brand, CASE WHEN bool_or(p_partkey % 2 = 0) THEN 'first' ELSE 'second' END AS run FROM part GROUP BY 1, 2")
 def snk2(t: Tables):
-    from panelwright.sources.sinks import absent
+    """Two runs of a write-once sink: the second brings all rows, and what the first one wrote stays as it is."""
+    from panelwright.sources.sinks import insert_absent
 
-    rows = t.read("part").select("p_partkey", "p_name", "p_brand").withColumn("hash", content_key(F.col("p_name"), F.col("p_brand")))
-    old = rows.where("p_partkey % 2 = 0")
-    new = rows.join(old.select("p_name").distinct(), "p_name", "left_anti")
-    return old.unionByName(absent(old, new.select(*old.columns), ["hash"])).select("p_name", "p_brand").distinct()
+    path = t.scratch()
+    rows = t.read("part").select("p_partkey", "p_name", "p_brand", content_key(F.col("p_name"), F.col("p_brand")).alias("hash"))
+    for run, part in (("first", rows.where("p_partkey % 2 = 0")), ("second", rows)):
+        insert_absent(t.spark, path, part.select("hash", "p_name", "p_brand", F.lit(run).alias("run")), ["hash"])
+    return t.spark.read.parquet(path).select("p_name", "p_brand", "run")
 
 
 @query("snk6_nested_holdings", "SELECT month, array_to_string(list(entity || ':' || rank ORDER BY rank), ',') AS holdings FROM (SELECT entity, month, row_number() OVER (PARTITION BY month ORDER BY score DESC, entity) AS rank FROM scored) WHERE rank <= 3 GROUP BY 1", "", "month")
@@ -209,24 +215,38 @@ def jn10(t: Tables):
     return t.scored.where("score > 0.5").join(t.ret.where("ret is not null"), ["entity", "month"], "left_semi").select("entity", "month")
 
 
+TOP = "SELECT entity, month, score, r AS rank, 1.0 / count(*) OVER (PARTITION BY month) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, entity) AS r FROM scored WHERE score > 0.52) WHERE r <= 5"
 FOLDS = "SELECT month AS test_month, row_number() OVER (ORDER BY month) AS i FROM (SELECT DISTINCT month FROM scored)"
 
 
 @query("jn11_expanding_windows", f"SELECT f.test_month, count(*) AS n, avg(s.fwd) AS mean FROM ({FOLDS}) f JOIN ({FOLDS}) e ON e.i = f.i - 3 JOIN scored s ON s.month <= e.test_month WHERE f.i > 39 GROUP BY 1", "mean", "test_month", "n")
 def jn11(t: Tables):
-    """Each fold's training rows are all rows up to its end: monthly sums first, then one running sum, no theta join of rows."""
+    """Each fold's training rows are all rows up to its end: monthly sums, joined to the folds that hold the month."""
+    return of_folds(t, None)
+
+
+@query("jn11b_trailing_windows", f"SELECT f.test_month, count(*) AS n, avg(s.fwd) AS mean FROM ({FOLDS}) f JOIN ({FOLDS}) e ON e.i = f.i - 3 JOIN ({FOLDS}) a ON a.i = greatest(1, f.i - 3 - 24 + 1) JOIN scored s ON s.month BETWEEN a.test_month AND e.test_month WHERE f.i > 39 GROUP BY 1", "mean", "test_month", "n")
+def jn11b(t: Tables):
+    """The same for windows of the last 24 months."""
+    return of_folds(t, 24)
+
+
+def of_folds(t: Tables, trailing: int | None):
     from panelwright.operators.models import folds
 
     sums = t.scored.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("fwd").alias("s"))
-    ends = folds(t.scored.select("month").distinct(), "month", 36, 3)
-    both = ends.join(F.broadcast(sums), F.col("month") <= F.col("train_end"))
+    windows = folds(t.scored.select("month").distinct(), "month", 36, 3, trailing)
+    both = windows.join(P.small(sums), F.col("month").between(F.col("train_start"), F.col("train_end")))  # months with months
     return both.groupBy("test_month").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
 
 
-@query("jn12_reconcile", """SELECT entity, coalesce(t.weight, 0) AS target, coalesce(a.weight, 0) AS actual, CASE WHEN coalesce(t.weight, 0) - coalesce(a.weight, 0) < -0.0025 THEN 'SELL' WHEN coalesce(t.weight, 0) - coalesce(a.weight, 0) > 0.0025 THEN 'BUY' ELSE 'HOLD' END AS side FROM (SELECT entity, 0.2 AS weight FROM scored WHERE month = DATE '1998-06-30' AND score > 0.5) t FULL JOIN (SELECT entity, 0.1 AS weight FROM scored WHERE month = DATE '1998-05-31' AND score > 0.5) a USING (entity)""", "target actual")
+@query("jn12_reconcile", f"""SELECT month, entity, coalesce(t.weight, 0) AS target, coalesce(a.weight, 0) AS actual, CASE WHEN coalesce(t.weight, 0) - coalesce(a.weight, 0) < -0.0025 THEN 'SELL' WHEN coalesce(t.weight, 0) - coalesce(a.weight, 0) > 0.0025 THEN 'BUY' ELSE 'HOLD' END AS side,
+ CASE WHEN coalesce(t.weight, 0) - coalesce(a.weight, 0) < -0.0025 THEN 1 WHEN coalesce(t.weight, 0) - coalesce(a.weight, 0) > 0.0025 THEN 2 ELSE 3 END AS turn FROM (SELECT month, entity, weight FROM ({TOP})) t FULL JOIN (SELECT last_day(month + INTERVAL 1 MONTH) AS month, entity, weight FROM ({TOP})) a USING (month, entity)""", "target actual", "month", "turn")
 def jn12(t: Tables):
-    at = lambda d, w, name: t.scored.where(f"month = date '{d}' and score > 0.5").select("entity", F.lit(w).alias(name))
-    return P.reconcile(at("1998-06-30", 0.2, "target"), at("1998-05-31", 0.1, "actual"), "entity", 0.0025).drop("delta")
+    """Each month's weights against those of the month before."""
+    held = R.top_n(t.scored, "month", "score", "entity", 5, 0.52).select("month", "entity", "weight")
+    before = held.select(F.last_day(F.add_months("month", 1)).alias("month"), "entity", F.col("weight").alias("actual"))
+    return P.reconcile(held.withColumnRenamed("weight", "target"), before, ["month", "entity"], 0.0025).drop("delta")
 
 
 @query("jn13_mirror", "SELECT entity, month, price FROM monthly WHERE entity <> 'Brand#12' UNION ALL SELECT 'Brand#12', month, price FROM monthly WHERE entity = 'Brand#11'", "price", "month")
@@ -280,9 +300,6 @@ def set4(t: Tables):
 
 # Top-k
 
-TOP = "SELECT entity, month, score, r AS rank, 1.0 / count(*) OVER (PARTITION BY month) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, entity) AS r FROM scored WHERE score > 0.52) WHERE r <= 5"
-
-
 @query("tk1_top_per_period", TOP, "score weight", "month", "rank")
 def tk1(t: Tables):
     return R.top_n(t.scored, "month", "score", "entity", 5, 0.52).select("entity", "month", "score", "rank", "weight")
@@ -339,6 +356,16 @@ def tk8(t: Tables):
     return nearest(rows, queries, 3, ["collection"])
 
 
+@query("tk8b_nearest_overall", f"SELECT q, collection, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM ({NEAR})) WHERE r <= 5", "sim", "", "collection")
+def tk8b(t: Tables):
+    """The best of all collections together, through an index that leaves out cells without a neighbour."""
+    from panelwright.operators.index import VectorIndex
+
+    rows = t.read("embeddings").select("vec_id", "embedding", (F.col("label") % 3).alias("collection"))
+    best, _ = VectorIndex(rows).nearest(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")), 5)
+    return best.join(rows.select("vec_id", "collection"), "vec_id")
+
+
 @query("tk9_filtered_retrieval", f"SELECT q, vec_id, sim, 'doc ' || vec_id || ' | c' || collection AS citation FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS r FROM (SELECT *, max(CASE WHEN collection = q % 4 THEN 1 ELSE 0 END) OVER (PARTITION BY q) AS has FROM ({NEAR})) WHERE has = 0 OR collection = q % 4) WHERE r <= 4", "sim")
 def tk9(t: Tables):
     """The best of the wanted collection, or of all where it holds nothing."""

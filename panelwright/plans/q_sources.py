@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import models as M
 from panelwright.operators import rolling as R
+from panelwright.plans.q_windows import METRICS, metrics_sql
 from panelwright.plans.registry import Tables, query
 from panelwright.sources import readers as RD
 from panelwright.sources import sinks as SK
@@ -201,7 +202,7 @@ def snk5(t: Tables):
     return SK.as_json(rows)
 
 
-EQUITY = "SELECT month, exp(sum(ln(1 + ret)) OVER (ORDER BY month)) AS equity FROM index_ret"
+EQUITY = "SELECT month, product(1 + ret) OVER (ORDER BY month) AS equity FROM index_ret"
 
 
 @query("snk7_equity_csv", f"SELECT month, equity, equity / max(equity) OVER (ORDER BY month) - 1 AS drawdown FROM ({EQUITY})", "equity drawdown", "month")
@@ -214,6 +215,20 @@ def snk7(t: Tables):
     return RD.read_csv(t.spark, path, "month date, equity double, drawdown double")
 
 
+STATS = metrics_sql("series", "SELECT 'strategy' AS series, month, ret FROM index_ret UNION ALL SELECT 'benchmark', month, ret FROM ret WHERE entity = 'Brand#11' AND ret IS NOT NULL")
+
+
+@query("snk7b_stats_csv", f"SELECT metric, max(CASE WHEN series = 'strategy' THEN value END) AS strategy, max(CASE WHEN series = 'benchmark' THEN value END) AS benchmark FROM (SELECT series, unnest(['total', 'years', 'cagr', 'sharpe', 'sortino', 'max_dd', 'calmar']) AS metric, unnest([total, years, cagr, sharpe, sortino, max_dd, calmar]) AS value FROM ({STATS})) GROUP BY 1", "strategy benchmark")
+def snk7b(t: Tables):
+    """Metrics of a path beside those of a benchmark, a row for each, written as CSV and read back."""
+    path, ret = t.scratch(), t.ret.where("ret is not null")
+    index = ret.groupBy("month").agg(F.avg("ret").alias("ret")).select(F.lit("strategy").alias("series"), "month", "ret")
+    got = R.path_metrics(index.unionByName(ret.where("entity = 'Brand#11'").select(F.lit("benchmark").alias("series"), "month", "ret")), ["series"], "month", "ret", per_year=12.0)
+    long = got.unpivot("series", METRICS.split(), "metric", "value")
+    SK.write_csv(long.groupBy("metric").pivot("series", ["strategy", "benchmark"]).agg(F.first("value")), path)
+    return RD.read_csv(t.spark, path, "metric string, strategy double, benchmark double")
+
+
 FOLDS = "SELECT month AS test_month, row_number() OVER (ORDER BY month) AS i FROM (SELECT DISTINCT month FROM scored)"
 
 

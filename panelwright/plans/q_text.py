@@ -6,7 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import text as X
+from panelwright.operators.panel import small
 from panelwright.plans.registry import Tables, query
+from panelwright.sources.chunks import add_chunks, counts
+from panelwright.sources.readers import read_lexicon
+from panelwright.sources.sinks import write_csv
 
 W = r"list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda x: x <> '')"
 #: Fixed values of the example dictionary: words and the categories they belong to.
@@ -64,8 +68,11 @@ TX8 = f"SELECT doc_id, lang, total, positive, negative, uncertainty, litigious,
 
 @query("tx8_dictionary_scores", f"SELECT * EXCLUDE (lang) FROM ({TX8})", "net", "", "total positive negative uncertainty litigious")
 def tx8(t: Tables):
-    lexicon = t.spark.createDataFrame(LEXICON, "word string, positive int, negative int, uncertainty int, litigious int")
-    return X.dictionary_counts(t.read("documents"), "doc_id", "text", F.broadcast(lexicon), list(CATEGORIES))
+    """The dictionary comes from a CSV with a column for each category, as such lists are published; the year a word was added marks its members."""
+    path = t.scratch()
+    write_csv(t.spark.createDataFrame([(w.title(), *(2009 * x for x in sets)) for w, *sets in LEXICON], "Word string, Positive int, Negative int, Uncertainty int, Litigious int"), path)
+    lexicon = read_lexicon(t.spark, path, ["Positive", "Negative", "Uncertainty", "Litigious"])
+    return X.dictionary_counts(t.read("documents"), "doc_id", "text", small(lexicon), list(CATEGORIES))
 
 
 def lexicon_scores(df, text: str = "text"):
@@ -102,10 +109,17 @@ def tx12(t: Tables):
     return X.embedded(t.read("documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dims"), F.get("embedding", F.lit(0)).alias("first"))
 
 
-@query("tx13_chunk_store", "SELECT CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE 'other' END AS collection, count(DISTINCT sha256(text)) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1", "", "", "n")
+ROUTE = "CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE 'other' END"
+
+
+@query("tx13_chunk_store", f"SELECT collection, n, added FROM (SELECT {ROUTE} AS collection, count(DISTINCT sha256(text)) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) JOIN (SELECT collection, count(*) FILTER (NOT early) AS added FROM (SELECT {ROUTE} AS collection, sha256(text) AS id, bool_or(doc_id % 3 <> 0) AS early FROM documents WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (collection)", "", "", "n added")
 def tx13(t: Tables):
-    chunks = t.read("documents").where("text is not null").select("lang", F.sha2("text", 256).alias("id"))
-    return X.routed(chunks, "lang", {"en": "english", "de": "german"}, "id").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+    """Two overlapping adds to a store of chunks; the second adds the difference only."""
+    path = t.scratch()
+    rows = t.read("documents").select("doc_id", F.col("lang").alias("source"), "text", F.to_json(F.struct("source", "doc_id")).alias("metadata"))
+    for part in (rows.where("doc_id % 3 <> 0"), rows):
+        added = add_chunks(t.spark, path, part, {"en": "english", "de": "german"})
+    return counts(t.spark, path).join(added, "collection")
 
 
 @query("tx14_context", f"SELECT lang, string_agg(t, ' ... ' ORDER BY doc_id) AS context FROM (SELECT lang, doc_id, array_to_string(list_slice({W}, 1, 300), ' ') AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 6 GROUP BY 1")

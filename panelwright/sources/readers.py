@@ -35,6 +35,19 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", multil
     return spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=multiline, escape='"', enforceSchema=False)
 
 
+def read_lexicon(spark: SparkSession, path: str, categories: list[str], word: str = "Word") -> DataFrame:
+    """(word, *categories in lower case): a dictionary from a CSV whose category columns hold a number (the year a word was added) above 0 for members.
+
+    Words are upper-cased, and one that stands twice belongs to the categories of either row. A missing category has no
+    members; without the word column there are no words.
+    """
+    rows = spark.read.csv(path, header=True, escape='"')
+    of = lambda c: (F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0)) > 0).cast("int") if c in rows.columns else F.lit(0)
+    if word not in rows.columns:
+        return spark.createDataFrame([], ", ".join(["word string", *(f"{c.lower()} int" for c in categories)]))
+    return rows.where(F.col(word).isNotNull()).groupBy(F.upper(F.col(word)).alias("word")).agg(*(F.max(of(c)).alias(c.lower()) for c in categories))
+
+
 def articles(rows: DataFrame, universe: DataFrame, first: str, last: str) -> DataFrame:
     """Bulk articles of known symbols within dates; unparseable dates are dropped."""
     from panelwright.functions.scalar import clean_field, parse_timestamp

@@ -110,7 +110,7 @@ def test_text_jobs(spark):
     assert {(r.section, len(r.body.split())) for r in X.sections(docs, "k", "t").collect()} == {("business", 63), ("risk_factors", 64)}
     vectors = X.embedded(spark.createDataFrame([("a b c",), ("",)], "t string"), "t").collect()
     assert abs(sum(x * x for x in vectors[0].embedding) - 1) < 1e-9 and vectors[1].embedding is None
-    assert X.scored(spark.createDataFrame([(None,), ("",)], "t string"), "t").select("score").collect() == [(0.0,), (0.0,)]
+    assert X.scored(spark.createDataFrame([(None,), ("",)], "t string"), "t", lambda: lambda texts: texts.str.len() + 1).select("score").collect() == [(0.0,), (0.0,)]
 
 
 def test_operator_edges(spark):
