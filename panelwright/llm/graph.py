@@ -9,7 +9,7 @@ from panelwright.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for all nodes of links(a, b); the component is its least node.
+    """(node, component) for all nodes of links(a, b), a stored table; the component is its least node.
 
     A round links each node's greater neighbours to the least of its neighbourhood (a large star), then each node and its
     lesser neighbours to the least of these (a small star). Both keep what is connected and hang nodes lower; once every
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     and so are the least neighbours, so that the rows of a node with very many neighbours can be split over tasks; only
     whether rounds are left reaches the driver.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = first = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
         moved = stored(small)
-        discard(edges, near)
+        discard(near, *(() if edges is first else (edges,)))
         edges = moved
         # Stars it is, once every node with a parent has one, and no child.
         low = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")

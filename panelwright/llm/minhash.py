@@ -2,7 +2,7 @@
 
 One hash function orders all shingles; a document retains its `k` least values. Documents with the same shingle set form
 a class, and only class representatives are compared. Inverted lists of retained values generate pairs: of a sketch of
-m values the m - overlap + 1 rarest (by the length of their lists) are listed, because two sketches that share at least
+m values the m - overlap + 1 rarest (by counters that values share by residue, an order that is the same for all) are listed, because two sketches that share at least
 `overlap` values then share a listed one. For sets that fit into the sketch together with any partner, overlap is what
 the similarity demands, so nothing can be missed; for larger sets it is m/2, and a pair at exactly the threshold of 0.8
 fails to share so many of 64 values with a probability of 2e-8. Rare values first keep a phrase that a third of all
@@ -17,12 +17,12 @@ components meet, by parities, in their task. Of the pairs that are left a list g
 as many rows as it has members; lists of over `LONG` members meet in blocks. Documents that these forests connect are a
 family, and families are compared as a whole, but for what is linked already.
 
-Families of up to `BLOCK` members are compared in cells of about so many documents each. A larger family is cut into
-blocks. First every block meets one block of pivots; what that links is contracted. Then the members outside of the
-family's largest component meet all blocks in cells of two blocks, until every pair of different components has met. In a
-cell, sketches' overlaps and then the similarity estimated on the union's sketch (kept within 6 standard deviations of
-the threshold, half of the sketch; a pair at the threshold falls below with a probability of 2e-8) filter the pairs, and full sets confirm them; pairs that the cell's links already connect are skipped. So a
-group of copies yields about one link for each copy, texts travel once for a block and not once for a pair, and yet no
+Families of up to `BLOCK` members are compared in cells of about so many documents each. Of a larger one the members
+outside of its largest component meet all blocks of the family, in cells of two blocks, which covers every pair of
+different components. In a cell the overlap of sketches and then the similarity estimated on the union's sketch (kept
+within 6 standard deviations of the threshold, half of the sketch; a pair at the threshold falls below with a probability
+of 2e-8) filter the pairs, and full sets confirm them; pairs that the cell's links already connect are skipped. So a group
+of copies yields about one link for each copy, texts travel once for a block and not once for a pair, and yet no
 component is missed. No list, candidate or partner is dropped.
 
 Defined results: a text without words (NULL, empty, blank) has an empty set, links with nothing and is kept. Fewer words
@@ -47,6 +47,8 @@ K = 64
 BLOCK = 128
 #: Places of a sketch's parities.
 BITS = 512
+#: Counters of how often values occur.
+COUNTERS = 1 << 20
 #: Members of a list that meet at once.
 LONG = 1024
 #: Rows of lists in a group of lists.
@@ -69,17 +71,45 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, sketch array<long>")
 
 
-def listed(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """(rep, n, m, needed, own): the values under which each sketch is listed, rarest first, but for those that no other sketch holds."""
-    each = classes.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+def rarity(classes: DataFrame) -> np.ndarray:
+    """How many retained values of all sketches fall into each of COUNTERS residues: a table of fixed size, whatever the documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(np.concatenate(batch["sketch"].tolist()) & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at.astype(np.int32), "n": total[at]})
+
+    found = classes.select("sketch").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["at"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def listed(classes: DataFrame, percent: int, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """(rep, own): the values under which each sketch is listed, rarest first, that another sketch is listed under too; and (rep, n, m, needed, sign) of all sketches."""
+    counts = classes.sparkSession.sparkContext.broadcast(rarity(classes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for n, sketch in zip(batch["n"].tolist(), batch["sketch"].tolist(), strict=True):
+                m = len(sketch)
+                needed = -(-n * percent // 100) if n * 100 <= k * percent else m // 2
+                often = counts.value[sketch & (COUNTERS - 1)]
+                order = np.lexsort((sketch, often))[: m - needed + 1]
+                out.append((m, needed, parities(sketch), sketch[order][often[order] > 1]))
+            m, needed, sign, own = zip(*out, strict=True) if out else ((),) * 4
+            yield pd.DataFrame({"rep": batch["rep"], "n": batch["n"], "m": m, "needed": needed, "sign": sign, "own": own})
+
+    held = stored(classes.select("rep", "n", "sketch").mapInPandas(run, "rep long, n long, m long, needed long, sign array<long>, own array<long>"))
+    each = held.select("rep", F.posexplode("own").alias("at", "value"))
     # Stored, so that both sides of the join are plain shuffles and a frequent value's rows can be split over tasks.
-    lengths = stored(each.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    shared = each.join(lengths, "value").groupBy("rep", "n", "m").agg(F.array_sort(F.collect_list(F.struct("members", "value"))).alias("own"))
-    needed = F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.floor(F.col("m") / 2))
-    # The m - size(own) values that no other sketch holds are the rarest and take their places first.
-    places = (F.col("m") - needed + 1) - (F.col("m") - F.size("own"))
-    own = F.transform(F.slice("own", F.lit(1), F.greatest(F.lit(0), places).cast("int")), lambda x: x["value"])
-    return shared.select("rep", "n", "m", needed.cast("long").alias("needed"), own.alias("own")).where(F.size("own") > 0)
+    shared = stored(each.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"))
+    own = each.join(shared, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own"))
+    return stored(own.select("rep", F.transform("own", lambda x: x["value"]).alias("own"))), held.drop("own")
 
 
 def under_neighbours(lists: DataFrame) -> DataFrame:
@@ -89,12 +119,6 @@ def under_neighbours(lists: DataFrame) -> DataFrame:
     return lists.select("rep", F.explode(keys).alias("key"))
 
 
-def signed(classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """(rep, n, m, needed, sign) of all listed sketches."""
-    signs = F.pandas_udf(lambda x: x.map(parities), "array<long>")
-    return stored(lists.select("rep", "n", "m", "needed").join(classes.select("rep", signs("sketch").alias("sign")), "rep"))
-
-
 def copies(lists: DataFrame, signs: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
     """(a, b): confirmed links between members of lists under neighbours and the least member of each."""
     keyed = under_neighbours(lists)
@@ -110,7 +134,7 @@ def copies(lists: DataFrame, signs: DataFrame, docs: DataFrame, words: int, perc
     cell = F.when(F.col("blocks") == 1, F.struct(F.lit(-1).cast("long").alias("f"), F.pmod(F.xxhash64("least"), F.lit(cells)).cast("int").alias("b"))).otherwise(F.struct(F.col("least").alias("f"), F.col("b"))).alias("cell")
     members = pairs.join(sizes, "least").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).select(cell, "rep", F.lit(1).alias("side"))
     heads = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cell, F.col("least").alias("rep"), F.lit(0).alias("side"))
-    rows = stored(members.unionByName(heads).distinct())
+    rows = members.unionByName(heads).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(rows.select("rep"), "rep", "left_semi"))
     return stored(_met(rows.withColumn("label", F.col("rep")), texts, words, percent, k))
 
@@ -165,7 +189,7 @@ def meetings(lists: DataFrame, signs: DataFrame, labels: DataFrame, percent: int
         rows = rows.sort_values(["list", "rep"])
         bits = np.stack(rows["sign"].to_numpy()).view(np.uint64)
         columns = (rows[c].to_numpy() for c in ("list", "rep", "label", "n", "m", "needed", "side"))
-        return pd.DataFrame(forest(*columns, bits, percent), columns=["a", "b"])
+        return pd.DataFrame(starred(forest(*columns, bits, percent)), columns=["a", "b"])
 
     return met.join(signs, "rep").groupBy(F.pmod(F.xxhash64("list"), F.lit(cells)).alias("cell")).applyInPandas(run, "a long, b long")
 
@@ -186,13 +210,16 @@ def cell_links(ids: list[int], sides: list[int], labels: list[int], sets: list[n
     overlap = held @ held.T
     t = percent / 100
     slack = 6 * (t * (1 - t) / k) ** 0.5
+    n_all, m_all, side, label = np.array([len(x) for x in sets]), np.array([len(x) for x in tops]), np.array(sides), np.array(labels)
+    # A sketch of a whole small set holds all that is shared; of a larger one half is shared, as for the lists.
+    needed = np.where(n_all * 100 <= k * percent, -(-n_all * percent // 100), m_all // 2)
+    both_sizes = np.minimum.outer(n_all, n_all) * 100 >= np.maximum.outer(n_all, n_all) * percent
+    may = (overlap >= np.maximum(1, np.maximum.outer(needed, needed))) & both_sizes & (np.not_equal.outer(side, side) | (side == 2)[:, None]) & np.not_equal.outer(label, label)
     out = []
-    for i, j in zip(*np.nonzero(np.triu(overlap, 1)), strict=True):
+    for i, j in zip(*np.nonzero(np.triu(may, 1)), strict=True):
         n, m = len(sets[i]), len(sets[j])
-        if (sides[i] == sides[j] and sides[i] != 2) or ids[i] == ids[j] or min(n, m) * 100 < max(n, m) * percent:
-            continue
         a, b = find(labels[i]), find(labels[j])
-        if a == b:
+        if ids[i] == ids[j] or a == b:
             continue
         if n > k or m > k:
             union = np.union1d(tops[i], tops[j])[:k]
@@ -203,7 +230,22 @@ def cell_links(ids: list[int], sides: list[int], labels: list[int], sets: list[n
         if both * 100 >= (n + m - both) * percent:
             root[b] = a
             out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    return out
+    return starred(out)
+
+
+def starred(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components, every node linked to the least of its own."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [(find(x), x) for x in root if find(x) != x]
 
 
 def _met(cells: DataFrame, texts: DataFrame, words: int, percent: int, k: int) -> DataFrame:
@@ -216,48 +258,27 @@ def _met(cells: DataFrame, texts: DataFrame, words: int, percent: int, k: int) -
     return cells.join(texts, "rep").groupBy("cell").applyInPandas(run, "a long, b long")
 
 
-def _blocks(count: str):
-    return _blocks_of(F.col(count))
-
-
 def joined_within(found: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
     """(node, component): labels(node, component), joined further by all that is similar within families found(rep, family)."""
-    start = lambda rows, labels: rows.join(labels.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = stored(start(found.join(sizes, "family"), labels))
+    named = found.join(labels.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    main = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
+    members = stored(named.join(main, "family"))
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep"), "rep", "left_semi"))
-    small, large = members.where(f"size <= {BLOCK}"), members.where(f"size > {BLOCK}")
+    small, large = members.where(f"size <= {BLOCK}"), members.where(f"size > {BLOCK}").withColumn("parts", _blocks_of(F.col("size") - F.col("most")))
     cells = max(1, -(-small.count() // BLOCK))
     shared = small.select(F.struct(F.lit(-1).cast("long").alias("f"), F.lit(0).alias("u"), F.pmod(F.xxhash64("family"), F.lit(cells)).cast("int").alias("b")).alias("cell"), "rep", F.lit(2).alias("side"), "label")
-    blocked = large.withColumn("block", F.pmod(F.xxhash64("rep"), _blocks("size")).cast("int"))
-    pivots = blocked.where("block = 0").withColumn("b", F.explode(F.sequence(F.lit(0), _blocks("size") - 1)))
-    at = lambda u, b: F.struct(F.col("family").alias("f"), u.alias("u"), b.cast("int").alias("b")).alias("cell")
-    one = F.lit(-1)
-    against = pivots.where("b > 0").select(at(one, F.col("b")), "rep", F.lit(0).alias("side"), "label")
-    own = blocked.select(at(one, F.col("block")), "rep", F.when(F.col("block") == 0, 2).otherwise(1).alias("side"), "label")
-    links = stored(_met(shared.unionByName(against).unionByName(own), texts, words, percent, k))
-    if links.isEmpty() and large.isEmpty():
-        return labels
-    linked_ = lambda labels, links: components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-    labels = linked_(labels, links)
-    if large.isEmpty():
-        return labels
-    known = stored(start(blocked.drop("label"), labels))
-    main = known.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.where(F.col("all") > F.col("most")).select("family", "main", _blocks_of(F.col("all") - F.col("most")).alias("parts"))
-    known = known.join(main, "family")
-    part = F.pmod(F.xxhash64(F.lit("part"), "rep"), F.col("parts")).cast("int")
-    rest = known.where("label != main").withColumn("u", part)
-    rest = rest.withColumn("b", F.explode(F.sequence(F.lit(0), _blocks("size") - 1))).select(at(F.col("u"), F.col("b")), "rep", F.lit(0).alias("side"), "label")
-    every = known.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(at(F.col("u"), F.col("block")), "rep", F.lit(1).alias("side"), "label")
-    more = stored(_met(rest.unionByName(every), texts, words, percent, k))
-    return labels if more.isEmpty() else linked_(labels, more)
+    blocks, block = _blocks_of(F.col("size")), F.pmod(F.xxhash64("rep"), _blocks_of(F.col("size"))).cast("int")
+    at = lambda u, b: F.struct(F.col("family").alias("f"), u.alias("u"), b.alias("b")).alias("cell")
+    rest = large.where("label <> main").withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.select(at(F.pmod(F.xxhash64(F.lit("part"), "rep"), F.col("parts")).cast("int"), F.col("b")), "rep", F.lit(0).alias("side"), "label")
+    every = large.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(at(F.col("u"), block), "rep", F.lit(1).alias("side"), "label")
+    links = stored(_met(shared.unionByName(rest).unionByName(every), texts, words, percent, k))
+    return labels if links.isEmpty() else components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def linked(classes: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
     """(node, component) of all representatives that are similar to another one."""
-    lists = stored(listed(classes, percent, k))
-    signs = signed(classes, lists)
+    lists, signs = listed(classes, percent, k)
     labels = components(copies(lists, signs, docs, words, percent, k))
     met = stored(meetings(lists, signs, labels, percent))
     if met.isEmpty():

@@ -100,7 +100,7 @@ def test_repeated_and_null_ids_and_empty_table(spark):
 def test_other_documents_do_not_hide_a_pair(spark, long, monkeypatch):
     """Shared values are parted by unshared ones in the order of rarity, because of how often other documents hold them: pairs at 0.80 and 0.86 are found all the same."""
     monkeypatch.setattr(minhash, "LONG", long)
-    rows = []
+    rows, common = [], " ".join(f"c{i}" for i in range(9))  # so frequent that the other documents are listed under what they share with the texts
     for first, keep in ((1, 80), (1001, 86)):
         for trial in range(10_000):  # texts with enough values in one sketch only
             words = [f"s{first}x{trial}y{i}" for i in range(101)]
@@ -113,7 +113,7 @@ def test_other_documents_do_not_hide_a_pair(spark, long, monkeypatch):
         # From rare to frequent: a shared value, one of the first text, a shared value, one of the second, and so on.
         ranked = [x for i, v in enumerate(shared) for x in ((v, (only, other)[i % 2][i // 2]) if i < 24 else (v,))]
         for often, i in enumerate(ranked, 1):
-            rows += [(5000 + len(rows) + n, f"{words[i]} {words[i + 1]} z{len(rows)}-{n}") for n in range(often)]
+            rows += [(5000 + len(rows) + n, f"{words[i]} {words[i + 1]} z{len(rows)}-{n} {common}") for n in range(often)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got[1] == got[2] == 1 and got[1001] == got[1002] == 1001
 
