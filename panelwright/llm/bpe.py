@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.common import small_batches, table
+from panelwright.llm.common import all_of, small_batches, table, unused
 
 #: Characters after which a text is cut at the next safe boundary.
 PIECE = 1 << 16
@@ -112,6 +112,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     others = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
-    coded = encode(docs.withColumn("_text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), *args, keep=[*others, "_text_sha256"])
-    back = decode(coded, *args)
-    return back.select(*others, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("_text_sha256")).alias("round_trip"))
+    # The other columns travel as one, so that none of their names can meet those of the encoder.
+    row = F.struct(F.lit(0).alias(unused(others, "_")), *all_of(others)).alias("row")
+    packed = docs.select("text", row, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    back = decode(encode(packed, *args, keep=["row", "digest"]), *args)
+    return back.select(*(F.col("row").getField(c).alias(c) for c in others), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))

@@ -36,6 +36,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with as many underscores behind it as set it apart from all columns (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_of(columns: list[str]) -> list[Column]:
+    """Columns by their names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes the files of stored tables from which nothing is read any more."""
     for df in tables:

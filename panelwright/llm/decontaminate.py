@@ -34,7 +34,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import stored, table
+from panelwright.llm.common import all_of, stored, table, unused
 
 SIZE, PERCENT = 5, 80
 #: Bits of each block; two fingerprints that differ in RADIUS bits differ in RADIUS // 5 at most in one of them.
@@ -191,6 +191,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found; of rows with a NULL or repeated doc_id only those whose own text matched go."""
-    hit = matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("_id").alias("_hit_id"), F.col("_hash").alias("_hit_text")).distinct()
-    own = (F.xxhash64(docs["doc_id"], F.lit("id")) == F.col("_hit_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hit_text"))
-    return docs.join(hit, own, "left_anti").select(*docs.columns)
+    id_, text_ = (unused(docs.columns, n) for n in ("_hit_id", "_hit_text"))
+    hit = matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("_id").alias(id_), F.col("_hash").alias(text_)).distinct()
+    own = (F.xxhash64(docs["doc_id"], F.lit("id")) == F.col(id_)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(text_))
+    return docs.join(hit, own, "left_anti").select(*all_of(docs.columns))

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import small_batches, stored, table
+from panelwright.llm.common import all_of, small_batches, stored, table
 from panelwright.llm.graph import components
 from panelwright.llm.shingles import set_key, shingle_sets
 
@@ -49,6 +49,8 @@ BLOCK = 128
 BITS = 512
 #: Counters of how often values occur.
 COUNTERS = 1 << 20
+#: Counters that travel to the driver in one row.
+PACKED = 4096
 #: Members of a list that meet at once.
 LONG = 1024
 #: Rows of lists in a group of lists.
@@ -82,10 +84,17 @@ def rarity(classes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": at.astype(np.int32), "n": total[at]})
 
-    found = classes.select("sketch").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[found["at"].to_numpy()] = found["n"].to_numpy()
-    return counts
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(PACKED, np.int64)
+        counts[rows["at"].to_numpy() % PACKED] = rows["n"].to_numpy()
+        return pd.DataFrame({"part": [int(rows["at"].iloc[0]) // PACKED], "counts": [counts.tobytes()]})
+
+    sums = classes.select("sketch").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    found = sums.groupBy(F.floor(F.col("at") / PACKED)).applyInPandas(packed, "part int, counts binary").collect()
+    counts = np.zeros((COUNTERS // PACKED, PACKED), np.int64)
+    for r in found:
+        counts[r.part] = np.frombuffer(r["counts"], np.int64)
+    return counts.reshape(-1)
 
 
 def listed(classes: DataFrame, percent: int, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -315,4 +324,4 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with 0.8 of their five-word shingles in common, the one with the least id."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*all_of(docs.columns))

@@ -5,6 +5,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from panelwright.llm.bpe import encoding
 
 from test_decontaminate import brute as contaminated
@@ -70,3 +71,19 @@ def test_odd_tables(spark, make_docs, sample):
             out = stage(spark, part, folder)
             assert name == "byte_bpe" or out.columns == part.columns
             part = spark.createDataFrame(out.collect(), out.schema)
+
+
+def test_columns_of_any_name_pass_through(spark, make_docs, sample):
+    """Names that stages use themselves, names with dots and backticks, in each stage."""
+    items = {"item_id": [1], "text": [sample[3]["text"]]}
+    folder = make_docs([x["text"] for x in sample[:25]], [x["lang"] for x in sample[:25]], benchmark=items)
+    names = ["_hit_id", "_hit_text", "_text_sha256", "row", "digest", "a.b", "c`d", "_", "rep", "label", "cell", "component"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", "decoded", "kept")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"{i}"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        left = [c for c in docs.columns if c != "text"]
+        assert [c for c in out.columns if c in left] == left
+        rows = out.collect()
+        assert rows and all([r[c] for c in names] == [str(i) for i in range(len(names))] and r["decoded"] == 7 for r in rows), name
