@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import clip, graded_regime, multiplier, ratio, shrink
+from panelwright.operators import boosting as B
 from panelwright.operators import models as M
 from panelwright.operators import panel as P
 from panelwright.operators import rolling as R
@@ -61,6 +62,19 @@ def ml3(t: Tables):
     return t.spark.createDataFrame(told, "test_month date, trees int, feature string, importance double")
 
 
+@query("ml3c_staged_rounds")
+def ml3c(t: Tables):
+    """For the last fold: one fit on all but its last six months, the AUC on these of every prefix of its trees, and which prefix is kept."""
+    features = ["score", "fwd_lag"]
+    rows = t.scored.withColumn("fwd_lag", F.lag("fwd").over(R.along("entity", "month"))).select("entity", "month", F.col("label").cast("double").alias("label"), "score", "fwd_lag")
+    last = M.folds(rows.select("month").distinct(), "month", 36, 3).orderBy(F.desc("fold")).first()
+    told = M.with_evaluation(rows.where(F.col("month") <= F.lit(last.train_end)), "month", order=["month", "entity"])
+    model = M.fit_fold(told.where("not evaluate"), features, "label", trees=30, depth=3)
+    auc = B.staged_auc(model, told.where("evaluate"), "label", features)
+    kept = B.rounds_kept([tuple(r) for r in auc.collect()])  # a row for each round
+    return auc.withColumn("kept", F.lit(kept) == F.col("round"))
+
+
 @query("ml4_walk_forward_scores")
 def ml4(t: Tables):
     """All folds, each scored by its own model, which its last six months stop early."""

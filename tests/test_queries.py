@@ -13,7 +13,7 @@ NAMES = sorted(catalog.queries())
 #: Queries that SQL cannot express, and the test that holds each against plain Python.
 PLAIN = {
     "tx1_html_text": "test_plain.py", "tx2_clean_report": "test_plain.py", "tx5_sections": "test_plain.py", "tx6_packed_paragraphs": "test_plain.py", "tx12_embeddings": "test_plain.py",
-    "ml3_boosted_trees": "test_plain.py", "ml4_walk_forward_scores": "test_walk_forward.py", "ml4b_frozen_scores": "test_plain.py",
+    "ml3_boosted_trees": "test_plain.py", "ml3c_staged_rounds": "test_boosting.py", "ml4_walk_forward_scores": "test_walk_forward.py", "ml4b_frozen_scores": "test_plain.py",
 }
 
 
