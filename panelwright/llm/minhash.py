@@ -143,7 +143,8 @@ def copies(lists: DataFrame, signs: DataFrame, docs: DataFrame, words: int, perc
     cell = F.when(F.col("blocks") == 1, F.struct(F.lit(-1).cast("long").alias("f"), F.pmod(F.xxhash64("least"), F.lit(cells)).cast("int").alias("b"))).otherwise(F.struct(F.col("least").alias("f"), F.col("b"))).alias("cell")
     members = pairs.join(sizes, "least").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).select(cell, "rep", F.lit(1).alias("side"))
     heads = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cell, F.col("least").alias("rep"), F.lit(0).alias("side"))
-    rows = members.unionByName(heads).distinct()
+    # Stored, so that Spark knows its size: texts are shuffled for a large one only.
+    rows = stored(members.unionByName(heads).distinct())
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(rows.select("rep"), "rep", "left_semi"))
     return stored(_met(rows.withColumn("label", F.col("rep")), texts, words, percent, k))
 
