@@ -4,7 +4,11 @@ from panelwright.operators import text as X
 def test_long_texts_are_scored_whole(spark):
     texts = ["is " * 4_000 + "elephants " * 2_000, "a " + "x" * 25_000, "", "  ", None, "elephants is"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r.i: round(r.score, 9) for r in X.scored(rows, "text").collect()}
+
+    def by_length(texts):
+        return texts.map(lambda t: sum((len(x) > 6) - (len(x) < 3) for x in t.split()) / max(len(t.split()), 1))
+
+    got = {r.i: round(r.score, 9) for r in X.scored(rows, "text", lambda: by_length).collect()}
     assert got == {0: round((2_000 - 4_000) / 6_000, 9), 1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0}
 
 
