@@ -3,7 +3,7 @@
 Defined results: documents that are NULL, empty or without a letter go with the first stage; rows with a NULL doc_id are
 judged by their own text (language, benchmark passages) and neither lose lines nor count as copies; rows that repeat a
 doc_id stay or go together in near dedup; an empty table gives an empty table; columns beside those of documents pass
-through, whatever their names, but for `text`, `ids`, `n_tokens` and `round_trip`, which the last stage replaces.
+through, whatever their names (without backticks), but for `text`, `ids`, `n_tokens` and `round_trip`, which the last stage replaces.
 """
 
 from __future__ import annotations
