@@ -160,7 +160,8 @@ def find_runs(texts: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
     offsets = np.cumsum([0, *(n + 1 for n in lengths)])[:-1]
     owner = np.repeat(np.arange(len(texts)), [n + 1 for n in lengths])
     n = len(words)
-    ahead, behind = Extensions(words, owner), Extensions(words[::-1], owner[::-1])
+    # Reversed, a text ends with the mark of the text before it, which then is this text's own: equal texts differ by it.
+    ahead, behind = Extensions(words, owner), Extensions(words[::-1], np.append(owner[1:], len(texts))[::-1])
     before = lambda x: n - x  # noqa: E731  the place of word x - 1 in the reversed words
     kept = []
     for b, p in _questions(lengths, offsets, least):

@@ -74,6 +74,14 @@ def test_long_texts():
     assert periodic.find_runs([np.zeros(300_000, np.int64)])[0].tolist() == [[0, 300_000, 1]]
 
 
+def test_copies_that_begin_alike_behind_other_texts():
+    """Copies whose first words, as many as a block, begin at places of the cover, behind texts without a far question."""
+    copy = np.tile(np.arange(50), 4)
+    for last in range(periodic.MODULUS):
+        found = periodic.find_runs([copy, np.arange(511), copy, np.arange(last)])
+        assert [f.tolist() for f in found] == [[[0, 200, 50]], [], [[0, 200, 50]], []]
+
+
 def test_query_equals_brute_force(spark, make_docs, sample):
     texts = [t[:3000] if t else t for t in ODD] + ["a b " * 6, "a b a b a b a b a b a", "A a " * 8, " ".join("xyzzy" * 40), "no run here", None] + [x["text"] for x in sample[:150]]
     ids = [None if i % 17 == 3 else i * 7 - 40 for i in range(len(texts))]
