@@ -19,6 +19,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
     interval from its least to its greatest value, whose rows alone are counted again in `bins` equal parts, until an
     interval is one value or holds no more than `rows` rows, which are then put in order. Intervals shrink with the
     values they hold, so it does not matter how close these lie. Only whether any interval is left reaches the driver.
+    Keys and values are written once: sums of doubles made anew, in another order, would lie beside their own intervals.
 
     A key without a known value is left out; with no keys there is one row, of NULLs where nothing is known. NaN counts
     as the greatest value.
@@ -26,7 +27,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
     spark = df.sparkSession
     names = ["_key"]  # one struct, in which NULL equals NULL
     key = F.struct(F.lit(0).alias("k"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
-    held = df.where(F.col(value).isNotNull()).select(key.alias("_key"), F.col(value).cast("double").alias("_v"))
+    held, held_path = saved(df.where(F.col(value).isNotNull()).select(key.alias("_key"), F.col(value).cast("double").alias("_v")))
     counted = held.groupBy(*names, magnitude_bin(F.col("_v")).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     total = Window.partitionBy(*names)
     spans = counted.withColumn("_total", F.sum("_n").over(total)).withColumn("_before", F.sum("_n").over(total.orderBy("_low")) - F.col("_n"))
@@ -35,7 +36,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
     ranks = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
     columns = [*names, "_total", "_rank", "_before", "_n", "_low", "_high"]
     found, path = saved(spans.withColumn("_rank", F.explode(ranks)).select(*columns))
-    paths, open_rows = [path], held
+    paths, open_rows = [held_path, path], held
     while not found.where(_open(rows)).isEmpty():
         wide = found.where(_open(rows)).select(*names, F.col("_low").alias("_from"), F.col("_high").alias("_to")).distinct()
         hit = open_rows.select(*names, "_v").join(wide, names).where(F.col("_v").between(F.col("_from"), F.col("_to"))).select(*names, "_v", "_from", "_to")
