@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote, unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,3 +122,31 @@ def load_models(spark: SparkSession, path: str, name: str = "test_month") -> tup
 
     metadata = spark.read.parquet(f"{path}/metadata")
     return {r[0]: PipelineModel.load(f"{path}/{r[0]}") for r in metadata.select(name).collect()}, metadata
+
+
+def write_notes(notes: DataFrame, path: str, section: str, name: str, text: str) -> None:
+    """A file for each row, in a folder `section=value` for each section.
+
+    Where the path lies on a disk, tasks write the files themselves, each under its own name (rows that share one are
+    numbered), so a task that runs again writes the same files: Spark's writer starts processes for each file there, to
+    set its permissions. Elsewhere Spark's writer has as many tasks.
+    """
+    spark = notes.sparkSession
+    dealt = notes.repartition(spark.sparkContext.defaultParallelism, section, name).select(section, name, text)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        dealt.drop(name).write.option("maxRecordsPerFile", 1).partitionBy(section).text(path)
+        return
+    root = unquote(urlparse(path).path)
+    os.makedirs(root, exist_ok=True)
+
+    def write(rows: Iterator) -> None:
+        last, n = None, 0
+        for key, title, value in rows:
+            n, last = n + 1 if (key, title) == last else 0, (key, title)
+            folder = os.path.join(root, f"{section}={'__HIVE_DEFAULT_PARTITION__' if key is None else quote(str(key), safe=' ')}")
+            os.makedirs(folder, exist_ok=True)
+            with open(os.path.join(folder, f"{quote(str(title), safe=' ')}{f'~{n}' if n else ''}.txt"), "w", encoding="utf-8", newline="") as f:
+                f.write(f"{value or ''}\n")
+
+    dealt.sortWithinPartitions(section, name, text).foreachPartition(write)

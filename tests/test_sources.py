@@ -61,6 +61,16 @@ def test_short_volume_notes_and_folders(spark, tmp_path):
     assert [(r.path, str(r.date)) for r in RD.largest_per_folder(files).collect()] == [("r/2021-02-03_x/b.htm", "2021-02-03")]
 
 
+def test_notes_are_written_a_file_each_from_many_tasks(spark, tmp_path):
+    rows = [(i % 3, f"n{i}", f"---\nkey: {i}\n---\nbody {i}") for i in range(40)] + [(0, "n0", "again"), (0, "n0", "again"), (None, "a/b", None)]
+    path = f"file://{tmp_path}/notes of all"
+    SK.write_notes(spark.createDataFrame(rows, "part int, title string, text string").coalesce(1), path, "part", "title", "text")
+    assert len(list((tmp_path / "notes of all").glob("part=*/*.txt"))) == len(rows)
+    got = RD.notes(spark, path)
+    assert sorted(map(str, (r.body for r in got.collect()))) == sorted([*(f"body {i}" for i in range(40)), "again", "again", ""])
+    assert {r.section for r in got.collect()} == {"part=0", "part=1", "part=2", "part=__HIVE_DEFAULT_PARTITION__"}
+
+
 def test_sinks(spark, tmp_path):
     path = f"{tmp_path}/prices"
     rows = lambda *x: spark.createDataFrame(list(x), "d int, k string, v double")
