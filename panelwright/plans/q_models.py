@@ -12,6 +12,7 @@ from panelwright.operators import boosting as B
 from panelwright.operators import models as M
 from panelwright.operators import panel as P
 from panelwright.operators import rolling as R
+from panelwright.operators.durable import saved
 from panelwright.operators.quantiles import exact_quantiles
 from panelwright.plans.q_aggregates import PAIRS, WEIGHTS, paired_means
 from panelwright.plans.q_relational import FOLDS, REGIME_SQL, TOP
@@ -43,8 +44,9 @@ def ml2b(t: Tables):
 
 
 def _boosted(t: Tables):
-    rows = t.scored.join(t.ret, ["entity", "month"]).select("entity", "month", F.col("label").cast("double").alias("label"), F.col("score").alias("x"), "ret")
-    return rows
+    """Rows that all folds read: written once, so that fits have as many tasks as the rows fill and not one for each shuffle partition of the tables behind them."""
+    rows, _ = saved(t.scored.join(t.ret, ["entity", "month"]).select("entity", "month", F.col("label").cast("double").alias("label"), F.col("score").alias("x"), "ret"))
+    return rows.cache()
 
 
 def _early_stopping(trees: int, depth: int):
@@ -55,7 +57,7 @@ def _early_stopping(trees: int, depth: int):
 @query("ml3_boosted_trees")
 def ml3(t: Tables):
     """A boosted-tree model for each yearly fold, stopped early by its last six months: trees kept and importance of each feature."""
-    rows = _boosted(t).cache()
+    rows = _boosted(t)
     folds = M.folds(rows.select("month").distinct(), "month", 36, 3).where("fold % 12 = 1")
     models = M.fit_folds(folds, rows, "month", _early_stopping(20, 4))
     told = [(m, len(x.stages[-1].trees), f, w) for m, x in models.items() for f, w in zip(["x", "ret"], x.stages[-1].featureImportances.toArray().tolist(), strict=True)]
@@ -78,7 +80,7 @@ def ml3c(t: Tables):
 @query("ml4_walk_forward_scores")
 def ml4(t: Tables):
     """All folds, each scored by its own model, which its last six months stop early."""
-    rows = _boosted(t).cache()
+    rows = _boosted(t)
     folds = M.folds(rows.select("month").distinct(), "month", 36, 3)
     models = M.fit_folds(folds, rows, "month", _early_stopping(5, 3))
     return M.score_folds(models, rows, "month", ["x", "ret"]).select("entity", "month", "label", "score")
@@ -87,7 +89,7 @@ def ml4(t: Tables):
 @query("ml4b_frozen_scores")
 def ml4b(t: Tables):
     """The first fold's model, frozen, scores all months after its training."""
-    rows = _boosted(t).cache()
+    rows = _boosted(t)
     fold = M.folds(rows.select("month").distinct(), "month", 36, 3).where("fold = 1")
     model = list(M.fit_folds(fold, rows, "month", _early_stopping(10, 3)).items())
     last = rows.agg(F.max("month")).first()[0]
