@@ -80,19 +80,31 @@ def without_boilerplate(text: Column, least_words: int = 100, after: float = 0.7
     lines = F.transform(F.split(text, "\n"), strip)
     for pattern in BOILERPLATE:
         lines = _replaced(lines, pattern)
-    total = F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x))
     legal = lambda x: F.exists(F.array(*(F.lit(m.lower()) for m in LEGAL)), lambda m: F.contains(F.lower(x), m))
-    zero = F.struct(F.lit(0).alias("seen"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))
-
-    def step(s, x):
-        over = s["over"] | (legal(x) & (s["seen"] > total * after))
-        return F.struct((s["seen"] + F.length(x)).alias("seen"), over.alias("over"), F.when(over & (x != ""), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"))
+    zero = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"), F.lit(-1).alias("first"))
 
     def tidy(parts):
         return strip(F.regexp_replace(F.regexp_replace(F.array_join(parts, "\n"), r"\n{3,}", "\n\n"), r"[ \t]+", " "))
 
-    cut = tidy(F.aggregate(lines, zero, step, lambda s: s["kept"]))
-    return F.when((F.size(words(cut)) < least_words) & (F.size(lines) > 20), tidy(lines)).otherwise(cut)
+    def first_legal(x, total):
+        def step(s, y):
+            first = F.when((s["first"] < 0) & (s["seen"] > total * after) & legal(y), s["at"]).otherwise(s["first"])
+            return F.struct((s["seen"] + F.length(y)).alias("seen"), (s["at"] + 1).alias("at"), first.alias("first"))
+
+        return F.aggregate(x, zero, step, lambda s: s["first"])
+
+    def of(x):
+        total = F.aggregate(x, F.lit(0), lambda s, y: s + F.length(y))
+        first = _bound(total, lambda n: first_legal(x, n))
+        cut = _bound(first, lambda k: tidy(F.filter(x, lambda y, i: (k < 0) | (i < k) | (y == ""))))
+        return _bound(cut, lambda c: F.when((F.size(words(c)) < least_words) & (F.size(x) > 20), tidy(x)).otherwise(c))
+
+    return _bound(lines, of)
+
+
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with the value made once: an expression inside a function over elements is made again for each of them."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def _replaced(lines: Column, pattern: str) -> Column:

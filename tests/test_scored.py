@@ -17,3 +17,14 @@ def test_pieces():
         cut = X.pieces(text, 4)
         assert "".join(cut) == text and all(len(p) <= 4 for p in cut)
     assert X.pieces("ab cd ef", 4) == ["ab ", "cd ", "ef"]
+
+
+def test_reports_of_many_lines_take_time_in_proportion(spark):
+    """Lines are cleaned once each, not once more for each line."""
+    from time import monotonic
+
+    lines = [f"line {i} of a long report" for i in range(3000)] + ["Safe Harbor Statement: x", "Cautionary Statement", "", "tail"]
+    df = spark.createDataFrame([("\n".join(lines),), (None,)], "text string")
+    start = monotonic()
+    got = [r[0] for r in df.select(X.without_boilerplate(df.text)).collect()]
+    assert got == ["\n".join(lines[:3000]), None] and monotonic() - start < 60
