@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ SECTIONS = {
 }
 
 
+#: Words whose places an encoder remembers.
+KNOWN = 100_000
+
+
 def words(text: Column) -> Column:
     """Words between white space; none for NULL or blank texts."""
     return F.array_remove(F.split(strip(F.coalesce(text, F.lit(""))), r"\s+"), "")
@@ -243,14 +248,23 @@ def hashed_terms(dims: int = 256, hashes: int = 3) -> Callable[[pd.Series], pd.S
     import zlib
     from collections import Counter
 
+    known: dict[str, list[int]] = {}
+
+    def places(word: str) -> list[int]:
+        """h % dims, twice: even where the sign is +, odd where it is -."""
+        if len(known) >= KNOWN:
+            known.clear()
+        found = known[word] = [h % dims * 2 + (h < 0x80000000) for h in (zlib.crc32(f"{k} {word}".encode()) for k in range(hashes))]
+        return found
+
     def encode(texts: pd.Series) -> pd.Series:
         def one(text):
-            v = [0.0] * dims
-            for w, n in Counter(text.lower().split()).items():
-                for k in range(hashes):
-                    h = zlib.crc32(f"{k} {w}".encode())
-                    v[h % dims] += math.log1p(n) if h & 0x80000000 else -math.log1p(n)
-            return v
+            counts = Counter(text.lower().split())
+            if not counts:
+                return np.zeros(dims)
+            at = np.array([known.get(w) or places(w) for w in counts]).ravel()
+            weights = np.repeat([math.log1p(n) for n in counts.values()], hashes)
+            return np.bincount(at >> 1, np.where(at & 1, -weights, weights), dims)
 
         return texts.map(one)
 

@@ -19,8 +19,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length 1; a zero vector is NULL."""
-    size = F.sqrt(dot(a, a))
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
+    # Bound to a variable: inside transform() the size would be made again for each element.
+    scaled = lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return F.get(F.transform(F.array(F.sqrt(dot(a, a))), scaled), F.lit(0))
 
 
 #: Bytes of query vectors that every task holds at a time.

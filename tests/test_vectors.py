@@ -23,3 +23,15 @@ def test_nearest_in_blocks(spark):
                 assert sorted(got[q, kind]) == best
         assert not any(q in (12, 13) for q, _ in got)
     assert nearest(table, asked.limit(0), 4, ["kind"]).count() == 0 and nearest(table.limit(0), asked, 4, ["kind"]).count() == 0
+
+
+def test_unit_makes_the_size_once_for_a_row(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from panelwright.operators.vectors import unit
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0],), (None,)], "v array<double>")
+    assert [r[0] for r in df.select(unit(F.col("v"))).collect()] == [[0.6, 0.8], None, None]
+    df.select(unit(F.col("v"))).explain(True)
+    # Not SQRT inside the lambda that divides each element.
+    assert "/ SQRT" not in capsys.readouterr().out
