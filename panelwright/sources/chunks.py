@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.operators.durable import remove, saved
 from panelwright.operators.text import embedded, hashed_terms
 from panelwright.sources.readers import path_exists
 
@@ -28,13 +29,16 @@ def add_chunks(spark: SparkSession, path: str, chunks: DataFrame, collections: d
     """
     named = chunks.where("text is not null").select(F.sha2("text", 256).alias("id"), "text", "metadata", collection_of(F.col("source"), collections, default).alias("collection"))
     new = named.groupBy("collection", "id").agg(F.first("text").alias("text"), F.min("metadata").alias("metadata")).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
+    new, new_path = saved(new)
     if path_exists(spark, path):
         touched = new.select("collection", "bucket").distinct()
         held = stored_chunks(spark, path).select("collection", "bucket", "id").join(touched, ["collection", "bucket"], "left_semi")
         new = new.join(held, ["collection", "bucket", "id"], "left_anti")
     before = counts(spark, path)
     columns = [c.split()[0] for c in COLUMNS.split(", ")]
-    embedded(new, "text", encoder=encoder).select(*columns).write.mode("append").partitionBy("collection", "bucket").parquet(path)
+    # A few files for each folder, and not one from each task.
+    embedded(new, "text", encoder=encoder).select(*columns).hint("rebalance", "collection", "bucket").write.mode("append").partitionBy("collection", "bucket").parquet(path)
+    remove(spark, new_path)
     after = counts(spark, path).join(before.withColumnRenamed("n", "old"), "collection", "left")
     return after.select("collection", (F.col("n") - F.coalesce("old", F.lit(0))).alias("added"))
 
