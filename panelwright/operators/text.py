@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import strip
@@ -40,6 +40,13 @@ SECTIONS = {
 KNOWN = 100_000
 
 
+def small_batches(rows: int = 200) -> None:
+    """Arrow batches of `rows` rows at most in this session: texts are long, and Python workers keep what a batch took."""
+    spark, key = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def words(text: Column) -> Column:
     """Words between white space; none for NULL or blank texts."""
     return F.array_remove(F.split(strip(F.coalesce(text, F.lit(""))), r"\s+"), "")
@@ -64,6 +71,7 @@ class _Text(HTMLParser):
 def html_text(html: Column, dropped: tuple[str, ...] = ("script", "style", "head")) -> Column:
     """Text of a page, one line for each piece; NULL stays NULL."""
     gone = frozenset(dropped)
+    small_batches()
 
     @F.pandas_udf("string")
     def read(pages: pd.Series) -> pd.Series:
@@ -225,6 +233,8 @@ def scored(df: DataFrame, text: str, scorer: Callable[[], Callable[[pd.Series],
     out as on the whole text (a single word longer than `most` counts once for each piece).
     """
 
+    small_batches()
+
     @F.pandas_udf("double")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = scorer()
@@ -275,6 +285,8 @@ def embedded(df: DataFrame, text: str, name: str = "embedding", encoder: Callabl
     """Unit vectors of texts by an encoder loaded once in each worker; a text without words is NULL."""
     from panelwright.operators.vectors import unit
 
+    small_batches()
+
     @F.pandas_udf("array<double>")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder()

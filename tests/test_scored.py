@@ -28,3 +28,14 @@ def test_reports_of_many_lines_take_time_in_proportion(spark):
     start = monotonic()
     got = [r[0] for r in df.select(X.without_boilerplate(df.text)).collect()]
     assert got == ["\n".join(lines[:3000]), None] and monotonic() - start < 60
+
+
+def test_texts_come_in_small_batches(spark):
+    rows = spark.range(3000).selectExpr("'a b' AS text").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        assert X.scored(rows, "text", lambda: lambda texts: texts.map(lambda t: float(len(texts)))).agg({"score": "max"}).first()[0] <= 200
+    finally:
+        spark.conf.set(key, before)
