@@ -14,6 +14,10 @@ from panelwright.functions.scalar import ratio
 from panelwright.operators.durable import remove, saved
 
 
+#: Rows of a range partition whose ranks are told at once.
+RANKED_ROWS = 50_000
+
+
 def folds(months: DataFrame, month: str, least: int = 36, purge: int = 3, trailing: int | None = None) -> DataFrame:
     """(fold, train_start, train_end, test_month): the purge months before the test month are not trained on. months has one row a month."""
     w = Window.orderBy(month)  # one row a month
@@ -146,7 +150,8 @@ def _moments(first: int, n: int, names: tuple[str, ...]):
 
 def _weighted_ranks(weighted: DataFrame, value: str, n: int) -> tuple[DataFrame, str]:
     """(_row, _rank): in each draw the mean rank of a row's value about the middle of all ranks; _w says how often a draw holds the row."""
-    ordered, path = saved(weighted.select("_row", F.col(value).alias("_v"), "_w").repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    parts = weighted.count() // RANKED_ROWS + 1  # stated, as a part is one group in Python
+    ordered, path = saved(weighted.select("_row", F.col(value).alias("_v"), "_w").repartitionByRange(parts, "_v").withColumn("_part", F.spark_partition_id()))
     totals = {r["_part"]: r["_t"] for r in ordered.groupBy("_part").agg(F.array(*(F.sum(F.get("_w", F.lit(i))) for i in range(n))).alias("_t")).collect()}
     before, so_far = {}, np.zeros(n)
     for part in sorted(totals):

@@ -51,3 +51,13 @@ def test_block_bootstrap_weighs_known_values(spark):
     want = {r.draw: sum(n * i * i for i, n in r.t.items() if i != 2) / sum(n for i, n in r.t.items() if i != 2) for r in times.collect()}
     got = {r.draw: r["mean"] for r in M.block_bootstrap(series, "i", "v", 9, 4, 5).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[d], want[d]) for d in want)
+
+
+def test_ranks_are_told_from_parts_of_bounded_size(spark, monkeypatch):
+    """However few partitions Spark would make, no group in Python holds more than about RANKED_ROWS rows."""
+    real, taken = M.saved, []
+    monkeypatch.setattr(M, "RANKED_ROWS", 100)
+    monkeypatch.setattr(M, "saved", lambda df: (taken.append(df.rdd.getNumPartitions()), real(df))[1])
+    rows = spark.range(1000).select(F.col("id").alias("_row"), (F.col("id") * 1.5).alias("x"), F.array(F.lit(1)).alias("_w"))
+    ranks, _ = M._weighted_ranks(rows, "x", 1)
+    assert taken[0] == 11 and sorted(r[0] for r in ranks.select(F.get("_rank", F.lit(0))).collect()) == [i - 499.5 for i in range(1000)]
