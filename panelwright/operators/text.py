@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -49,7 +50,7 @@ def small_batches(rows: int = 200) -> None:
 
 def words(text: Column) -> Column:
     """Words between white space; none for NULL or blank texts."""
-    return F.array_remove(F.split(strip(F.coalesce(text, F.lit(""))), r"\s+"), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
 
 
 class _Text(HTMLParser):
@@ -131,34 +132,57 @@ def fixed_chunks(text: Column, size: int = 435) -> Column:
 
 def windows(text: Column, size: int = 1000, step: int = 800, least: int = 40) -> Column:
     """Array of (offset, text) of word windows; it ends before the first window of under `least` words."""
+    return _bound(words(text), lambda w: _windows_of(w, size, step, least))
 
-    def of(w: Column) -> Column:
-        starts = F.when(F.size(w) >= least, F.sequence(F.lit(0), F.size(w) - least, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("offset"), F.array_join(F.slice(w, i + 1, F.lit(size)), " ").alias("text")))
 
-    return F.element_at(F.transform(F.array(words(text)), of), 1)
+def _windows_of(w: Column, size: int, step: int, least: int) -> Column:
+    """windows() of words that are made already: w is used more than once."""
+    starts = F.when(F.size(w) >= least, F.sequence(F.lit(0), F.size(w) - least, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("offset"), F.array_join(F.slice(w, i + 1, F.lit(size)), " ").alias("text")))
 
 
-def sections(df: DataFrame, key: str, text: str, patterns: dict[str, str] = SECTIONS, least: int = 50) -> DataFrame:
-    """(key, section, body): from a heading to the next; of sections of one name the last with `least` words stays.
+def _common_start(patterns: list[str]) -> str:
+    """Letters that all matches of all patterns begin with, as far as that is plain to see."""
+    common = re.match("[A-Za-z]*", os.path.commonprefix(patterns))[0]
+    if any("|" in p or p[len(common) :][:1] in ("?", "*", "{") for p in patterns):
+        return ""
+    return common
+
+
+def _sections_of(text: Column, patterns: dict[str, str], least: int) -> Column:
+    """Array of (section, body, words) of a text: from a heading to the next; of sections of one name the last with `least` words.
 
-    Headings are marked in the text by a control character each, then the text is split at the marks.
+    The text is cut once, at all places where a heading begins, and the words of a part are made once. Where two headings begin
+    at one place the later pattern's counts. The start that the headings share is looked for first: to try them all at every
+    character takes four times as long.
     """
-    marked = F.col(text)
-    for i, pattern in enumerate(patterns.values()):
-        marked = F.regexp_replace(marked, f"(?i)({pattern})", f"\x01{chr(97 + i)}\x02$1")
-    each = df.select(key, F.posexplode(F.split(marked, "\x01")).alias("at", "part")).where("at > 0")
-    names = F.create_map(*(x for i, n in enumerate(patterns) for x in (F.lit(chr(97 + i)), F.lit(n))))
-    each = each.select(key, "at", names[F.substring("part", 1, 1)].alias("section"), strip(F.regexp_replace("part", r"^[a-z]\x02", "")).alias("body"))
-    long = each.where(F.size(words(F.col("body"))) >= least)
-    return long.groupBy(key, "section").agg(F.max_by("body", "at").alias("body"))
+    heading = "|".join(f"(?:{p})" for p in patterns.values())
+    parts = F.split(text, f"(?i)(?={_common_start([*patterns.values()])})(?={heading})")
+
+    def name(part):
+        return F.coalesce(*(F.when(part.rlike(f"(?i)^(?:{p})"), F.lit(n)) for n, p in reversed(patterns.items())))
+
+    headed = F.filter(F.transform(parts, lambda p: F.struct(name(p).alias("section"), p.alias("body"))), lambda x: x["section"].isNotNull())
+    each = F.filter(F.transform(headed, lambda x: F.struct(x["section"], x["body"], words(x["body"]).alias("words"))), lambda x: F.size(x["words"]) >= least)
+    last = lambda x, n: F.try_element_at(F.filter(x, lambda y: y["section"] == n), F.lit(-1))
+    return _bound(each, lambda x: F.array_compact(F.array(*(last(x, n) for n in patterns))))
+
+
+def sections(df: DataFrame, key: str, text: str, patterns: dict[str, str] = SECTIONS, least: int = 50) -> DataFrame:
+    """(key, section, body) of each row's text: from a heading to the next; of sections of one name the last with `least` words stays."""
+    each = df.select(key, F.explode(_sections_of(F.col(text), patterns, least)).alias("x"))
+    return each.select(key, "x.section", strip(F.col("x.body")).alias("body"))
 
 
 def section_chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200, least: int = 40) -> DataFrame:
-    """(key, section, chunk, word_offset, text): windows within each section; a text without sections is windowed as a whole, section NULL."""
-    found = sections(df, key, text)
-    whole = df.join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(None).cast("string").alias("section"), F.col(text).alias("body"))
-    each = found.unionByName(whole).select(key, "section", F.posexplode(windows(F.col("body"), size, size - overlap, least)).alias("chunk", "w"))
+    """(key, section, chunk, word_offset, text): windows within each section; a text without sections is windowed as a whole, section NULL.
+
+    All is made from a row by itself, so that no text is shuffled.
+    """
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("section"), words(F.col(text)).alias("words")))
+    found = _bound(_sections_of(F.col(text), SECTIONS, 50), lambda x: F.when(F.size(x) > 0, F.transform(x, lambda y: F.struct(y["section"], y["words"]))).otherwise(whole))
+    cut = F.transform(found, lambda x: F.struct(x["section"], _windows_of(x["words"], size, size - overlap, least).alias("windows")))
+    each = df.select(key, F.explode(cut).alias("x")).select(key, "x.section", F.posexplode("x.windows").alias("chunk", "w"))
     return each.select(key, "section", "chunk", F.col("w.offset").alias("word_offset"), F.col("w.text").alias("text"))
 
 

@@ -123,6 +123,19 @@ def test_text_jobs(spark):
     assert X.scored(spark.createDataFrame([(None,), ("",)], "t string"), "t", lambda: lambda texts: texts.str.len() + 1).select("score").collect() == [(0.0,), (0.0,)]
 
 
+def test_sections_come_from_each_row_alone(spark):
+    b, r = "b " * 60, "r " * 70
+    texts = [(1, f"Item 1. Business {b}\x01 {b}ITEM  1A.Risk Factors {r}"), (2, f"item 8. financial statements {b}"), (2, f"x {r}"), (None, f"{b}Item 9A. Controls {r}item 9a. controls few"), (3, f"Item 1. Business few {b[:20]}\u00a0{r}item"), (4, None), (5, "")]
+    got = X.section_chunks(spark.createDataFrame(texts, "k long, t string"), "k", "t", 100, 20, 40)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    have = sorted(((x.k, x.section, x.chunk, x.word_offset, len(x.text.split(" "))) for x in got.collect()), key=str)
+    want = [(1, "business", 0, 0, 100), (1, "business", 1, 80, 44), (1, "risk_factors", 0, 0, 73), (2, "financial_statements", 0, 0, 64), (2, None, 0, 0, 71), (None, "controls", 0, 0, 73), (3, "business", 0, 0, 85)]
+    assert have == sorted(want, key=str)
+    for patterns in ({"a": "alpha|beta", "b": "alp?x"}, {"a": "alpha|beta", "b": "gamma"}, {"a": "beta", "b": "alp?x"}):
+        found = X.sections(spark.createDataFrame([(1, "0 beta 1 2 alx 3 4 5")], "k long, t string"), "k", "t", patterns, 1)
+        assert {(x.section, x.body) for x in found.collect()} == ({("a", "beta 1 2"), ("b", "alx 3 4 5")} if "alp?x" in patterns.values() else {("a", "beta 1 2 alx 3 4 5")})
+
+
 def test_operator_edges(spark):
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, None), ("b", 2, 3.0)], "e string, t int, v double")
     z = {(r.e, r.t): r.z for r in R.cross_z(rows, "v", "t", "z", least=1).collect()}
